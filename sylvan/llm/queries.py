@@ -26,6 +26,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_decontaminate)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.toxicity import fit, remainder, score
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "worst_window")
+
+
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_decontaminate, op9_toxicity)}
 
 ORACLES: dict[str, str] = {}
