@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,8 +85,8 @@ def count_tokens(
             for part in slices(batch, "__sv_text", batch_bytes):
                 texts = part.column("__sv_text").to_pylist()
                 n = pa.array(lengths(texts, tokenizer, split_chars), pa.int64())
-                size = pa.compute.binary_length(part.column("__sv_text")).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), size, n, pa.compute.greater(n, limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+                size = pc.binary_length(part.column("__sv_text")).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), size, n, pc.greater(n, limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("__sv_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__sv_text"))
