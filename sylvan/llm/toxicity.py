@@ -114,8 +114,8 @@ class Model:
             rows[i] = (self.bias + means[worst], worst)
 
 
-def train(texts: list[str | None], labels: list[int], *, span: int = 8, dim: int = 8, epochs: int = 10, batch: int = 128, rate: float = 0.2, seed: int = 7) -> Model:
-    """Joint training of the subword vectors and the softmax, in numpy."""
+def train(texts: list[str | None], labels: list[int], *, span: int = 8, dim: int = 8, steps: int = 640, batch: int = 128, rate: float = 0.2, seed: int = 7) -> Model:
+    """Joint training of the subword vectors and the softmax, in numpy: about `steps` batches, whatever the sample's size."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
@@ -130,7 +130,7 @@ def train(texts: list[str | None], labels: list[int], *, span: int = 8, dim: int
     out = rng.uniform(-1, 1, dim).astype(np.float32)
     bias = float(np.log(y.mean() / (1 - y.mean())))
     square, square_out, square_bias = np.full(1 << BITS, 1e-6, np.float32), np.full(dim, 1e-6, np.float32), 1e-6
-    for _ in range(epochs):
+    for _ in range(-(-steps * batch // len(docs))):
         shuffled = rng.permutation(len(docs))
         for start in range(0, len(docs), batch):
             ids = [i for i in shuffled[start : start + batch] if len(docs[i])]
