@@ -73,8 +73,6 @@ class Model:
         self.known: dict[bytes, float] = {}
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.known) > 1 << 18:  # a cache only
-            self.known.clear()
         for start in range(0, len(words), 1 << 15):
             part = words[start : start + (1 << 15)]
             owner, bucket = subwords(part)
@@ -99,7 +97,7 @@ class Model:
         known = self.known
         new = [w for w in fresh if w not in known]
         if new:
-            if len(known) + len(new) > 1 << 19:
+            if len(known) + len(new) > 1 << 19:  # a cache only
                 known.clear()
                 new = list(fresh)
             self.learn(new)

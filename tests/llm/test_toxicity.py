@@ -66,3 +66,13 @@ def test_subwords_match_a_plain_loop():
                 hashes.append(h)
         plain = sorted(((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % 2**64) >> (64 - BITS) for h in hashes)
         assert sorted(bucket[owner == k].tolist()) == plain
+
+
+def test_scores_do_not_depend_on_the_cache():
+    from sylvan.llm import toxicity
+
+    model = train([text(i % 2) for i in range(60)], [i % 2 for i in range(60)], steps=40)
+    many = [" ".join(f"w{i * 1000 + j}x" for j in range(1000)) for i in range(700)] + [text(1)]
+    z, _ = model.logits(many)
+    fresh = toxicity.Model(model.weights, model.bias, model.span)
+    assert np.allclose(z[[0, 350, 700]], fresh.logits([many[0], many[350], many[700]])[0])
