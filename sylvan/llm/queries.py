@@ -34,6 +34,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "worst_window")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_decontaminate, op9_toxicity)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.quality import judge
+
+    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return judged.select("doc_id", *(F.col(f"__sv_{n}").alias(n) for n in names))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_decontaminate, op9_toxicity, op10_quality)}
 
 ORACLES: dict[str, str] = {}
