@@ -42,6 +42,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"__sv_{n}").alias(n) for n in names))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_decontaminate, op9_toxicity, op10_quality)}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.common import materialize
+    from sylvan.llm.mixing import decide, measured, plan_sources
+
+    rows = measured(table(spark, sf_dir, "documents")).select("doc_id", "__sv_source", "__sv_size", "__sv_key")
+    rows = materialize(rows, "sizes")
+    taken = decide(rows, *plan_sources(rows))
+    return taken.select(
+        "doc_id", F.col("__sv_size").alias("size"), F.col("__sv_total").alias("source_size"), F.col("__sv_target").alias("target"),
+        (F.col("__sv_size") * F.col("__sv_copies")).alias("taken"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_decontaminate, op8_mixing, op9_toxicity, op10_quality)}
 
 ORACLES: dict[str, str] = {}
