@@ -42,6 +42,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"__sv_{n}").alias(n) for n in names))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.licenses import scan
+
+    rows = scan(table(spark, sf_dir, "documents")).select("doc_id", F.col("__sv_matches").alias("m"))
+    order = F.array_sort(F.transform("m", lambda r: F.struct(r["unit"], r["index"], r["name"])))
+    return rows.select(
+        "doc_id", F.size("m").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("m", lambda r: r["name"]))), ",").alias("licenses"),
+        F.array_join(F.transform(order, lambda r: F.concat_ws(":", r["unit"], r["index"].cast("string"), r["name"])), ",").alias("matches"),
+        F.coalesce(F.array_max(F.transform("m", lambda r: r["dice"])), F.lit(0.0)).alias("best_dice"),
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sylvan.llm.common import materialize
     from sylvan.llm.mixing import decide, measured, plan_sources
@@ -55,6 +68,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_decontaminate, op8_mixing, op9_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_decontaminate, op7_licenses, op8_mixing, op9_toxicity, op10_quality)}
+
+def _oracles() -> dict[str, str]:
+    from sylvan.llm import licenses
+
+    return {"op7_licenses": licenses.ORACLE}
+
 
-ORACLES: dict[str, str] = {}
+ORACLES = _oracles()
