@@ -43,7 +43,7 @@ def test_against_plain_python(spark):
     rows = scan(docs).collect()
     assert len(rows) == len(TEXTS) + 1
     for r in rows:
-        got = [(m.unit, m.index, m.name) for m in r["__sv_matches"]]
+        got = [(m["unit"], m["index"], m["name"]) for m in r["__sv_matches"]]
         assert len(got) == len(set(got))
         assert set(got) == plain(r.text), (r.doc_id, r.text)
     assert sum(bool(r["__sv_matches"]) for r in rows) >= 8
