@@ -38,43 +38,61 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def joined(left: Column, right: Column, shift: int) -> Column:
+    """Hashes of left[i] and right[i + shift], for each i that has both."""
+    n = F.greatest(F.size(right) - shift, F.lit(0))
+    return F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(1 + shift), n), lambda a, b: F.xxhash64(a, b))
+
+
+def runs_of_five(words: Column) -> Column:
+    """A hash of each five words in a row."""
+    four = lambda h: let(joined(h, h, 1), lambda two: joined(two, two, 2))
+    return let(hashes(words), lambda h: joined(four(h), h, 4))
+
+
 def covered(runs: Column, n: int) -> Column:
-    """Words that stand in runs of n words which are there twice or more; runs: all of them in order."""
+    """Words that stand in runs of n words which are there twice or more; runs: hashes of all of them in order."""
 
     def repeats(ordered: Column) -> Column:
         same = lambda x, i: (i > 0) & (F.get(ordered, i - 1)["h"] == x["h"]) | F.coalesce(F.get(ordered, i + 1)["h"] == x["h"], F.lit(False))
         return F.array_sort(F.transform(F.filter(ordered, same), lambda x: x["p"]))
 
-    ordered = F.sort_array(F.transform(runs, lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("p"))))
+    ordered = F.sort_array(F.transform(runs, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
     grow = lambda a, p: F.struct((a["n"] + n - F.greatest(a["end"] - p, F.lit(0))).cast("long").alias("n"), (p + n).cast("int").alias("end"))
     count = F.aggregate(let(ordered, repeats), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")), grow, lambda a: a["n"])
     return F.when(F.size(F.array_distinct(runs)) == F.size(runs), F.lit(0).cast("long")).otherwise(count)
 
 
-def buckets(text: Column) -> Column:
-    """The buckets of all grams of a text: as many as single tokens and pairs of neighbours."""
-    tokens = found(F.lower(text), TOKEN)
-    joined = F.array_join(tokens, " ")
-    return F.transform(F.concat(tokens, found(joined, RUN % 1, 1)), lambda g: F.pmod(F.xxhash64(g), F.lit(1 << BITS)).cast("int"))
-
-
-def base(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with __sv_n_words, __sv_word_chars, __sv_n_symbols, __sv_n_dup_lines, __sv_n_repeat_words, __sv_base_failed."""
-    rows = docs.withColumn("__sv_text", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    rows = rows.withColumn("__sv_words", found(F.col("__sv_text"), WORD))
-    rows = rows.withColumn("__sv_lines", F.filter(F.split("__sv_text", "\n"), lambda x: x.rlike(WORD[:-1])))
-    rows = rows.withColumn("__sv_joined", F.array_join("__sv_words", " ")).withColumn("__sv_runs", found(F.col("__sv_joined"), RUN % 4, 1))
-    n_words = F.size("__sv_words").cast("long")
-    rows = rows.withColumns(
-        {
-            "__sv_n_words": n_words,
-            "__sv_word_chars": (F.length("__sv_joined") - F.greatest(n_words - 1, F.lit(0))).cast("long"),
-            "__sv_n_symbols": F.length(F.regexp_replace("__sv_text", r"[^#*$%&|<>]+", "")).cast("long"),
-            "__sv_n_dup_lines": (F.size("__sv_lines") - F.size(F.array_distinct("__sv_lines"))).cast("long"),
-            "__sv_n_repeat_words": covered(F.col("__sv_runs"), 5),
-        }
-    ).drop("__sv_words", "__sv_lines", "__sv_joined", "__sv_runs")
-    return rows.withColumn("__sv_base_failed", (F.col("__sv_n_words") < 10) | (100 * F.col("__sv_n_repeat_words") > 20 * F.col("__sv_n_words"))).drop("__sv_text")
+def singles(text: Column) -> Column:
+    return hashes(found(F.lower(text), TOKEN))
+
+
+def bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+
+
+def counts(text: Column) -> Column:
+    """A struct of the plain counts; one expression that names each step once, so that no filter pushed below repeats a step."""
+    dup_lines = lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")
+
+    def of_words(t: Column, w: Column) -> Column:
+        n = F.size(w).cast("long")
+        return F.struct(
+            n.alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+            let(F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD[:-1])), dup_lines).alias("n_dup_lines"),
+            let(runs_of_five(w), lambda r: covered(r, 5)).alias("n_repeat_words"),
+        )
+
+    return let(text, lambda t: let(found(t, WORD), lambda w: of_words(t, w)))
+
+
+def failed(c: Column) -> Column:
+    return (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
 
 
 def ratios(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_trusted: int = 20000, smoothing: float = 1.0) -> DataFrame:
@@ -84,7 +102,8 @@ def ratios(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     trusted = trusted.orderBy(F.xxhash64(F.col("__sv_id").cast("string")), "__sv_id").limit(max_trusted).select("__sv_id", F.lit(1).alias("__sv_trusted"))
     rows = docs.select(F.col(id_col).alias("__sv_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__sv_text"))
     rows = rows.join(F.broadcast(trusted), "__sv_id", "left")  # max_trusted ids
-    grams = rows.select(F.coalesce("__sv_trusted", F.lit(0)).alias("t"), F.explode(buckets(F.col("__sv_text"))).alias("b"))
+    grams = let(singles(F.col("__sv_text")), lambda h: F.concat(h, joined(h, h, 1)))
+    grams = rows.select(F.coalesce("__sv_trusted", F.lit(0)).alias("t"), F.explode(grams).alias("h")).select("t", bucket(F.col("h")).alias("b"))
     counts = grams.groupBy("b").agg(F.sum("t").alias("t"), F.count("*").alias("n"))
     size = 1 << BITS
     all_buckets = docs.sparkSession.range(size).select(F.col("id").cast("int").alias("b"))
@@ -94,16 +113,23 @@ def ratios(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     return one.select(F.when(F.col("nt") == 0, F.array_repeat(F.lit(0.0), size)).otherwise(F.transform("c", ratio)).alias("ratios"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = -0.25, **options) -> DataFrame:
-    """docs with the counts of base(), __sv_score and __sv_kept."""
+def verdict(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = -0.25, **options) -> Column:
+    """A struct of base (the counts), base_failed, score and kept of each row of docs."""
     table = ratios(docs, labels, id_col=id_col, text_col=text_col, **options).first()["ratios"]  # 2 ** BITS numbers
     weights = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")  # folds into one constant
-    total = lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(weights, b)) / F.size(g))
-    mean = let(buckets(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), total)
-    rows = base(docs, text_col).withColumn("__sv_score", mean)
-    return rows.withColumn("__sv_kept", ~F.col("__sv_base_failed") & (F.col("__sv_score") >= threshold))
+    add = lambda a, h: a + F.get(weights, bucket(h))
+    total = lambda h: F.aggregate(joined(h, h, 1), F.aggregate(h, F.lit(0.0), add), add)
+    mean = let(singles(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), lambda h: F.when(F.size(h) == 0, F.lit(0.0)).otherwise(total(h) / (2 * F.size(h) - 1)))
+    base = counts(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    row = lambda c, m: F.struct(c.alias("base"), failed(c).alias("base_failed"), m.alias("score"), (~failed(c) & (m >= threshold)).alias("kept"))
+    return let(base, lambda c: let(mean, lambda m: row(c, m)))
+
+
+def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """docs with __sv_verdict."""
+    return docs.withColumn("__sv_verdict", verdict(docs, labels, **options))
 
 
 def clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents, in their own columns, that are kept."""
-    return judge(docs, labels, **options).filter("__sv_kept").select(*(f"`{c}`" for c in docs.columns))
+    return docs.filter(verdict(docs, labels, **options)["kept"])

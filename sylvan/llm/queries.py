@@ -26,22 +26,6 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sylvan.llm.toxicity import fit, remainder, score
-
-    docs = table(spark, sf_dir, "documents")
-    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "worst_window")
-
-
-def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sylvan.llm.quality import judge
-
-    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
-    return judged.select("doc_id", *(F.col(f"__sv_{n}").alias(n) for n in names))
-
-
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sylvan.llm.licenses import scan
 
@@ -68,8 +52,26 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.toxicity import fit, remainder, score
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "worst_window")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.quality import judge
+
+    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    v = F.col("__sv_verdict")
+    return judged.select("doc_id", *(v["base"][n].alias(n) for n in base), *(v[n].alias(n) for n in ("base_failed", "kept", "score")))
+
+
 QUERIES = {f.__name__: f for f in (op3_token_counts, op4_decontaminate, op7_licenses, op8_mixing, op9_toxicity, op10_quality)}
 
+
 def _oracles() -> dict[str, str]:
     from sylvan.llm import licenses
 

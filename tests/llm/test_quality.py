@@ -1,5 +1,6 @@
 import math
 import random
+import struct
 from collections import Counter
 
 import pytest
@@ -24,7 +25,9 @@ def plain(text):
 
 def grams(text):
     tokens = regex.findall(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]+", (text or "").lower())
-    return [xxhash.xxh64_intdigest(g.encode(), 42) % 2**BITS for g in tokens + [f"{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False)]]
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in tokens]
+    chain = lambda a, b: xxhash.xxh64_intdigest(struct.pack("<Q", b), xxhash.xxh64_intdigest(struct.pack("<Q", a), 42))
+    return [x % 2**BITS for x in h + [chain(a, b) for a, b in zip(h, h[1:], strict=False)]]
 
 
 def scores(docs, trusted):
@@ -57,19 +60,19 @@ def test_against_plain_python(spark):
     assert len(rows) == len(docs)
     got = {(r.doc_id, r.text): r for r in rows}
     for (i, t), s in zip(docs, scores(docs, trusted), strict=True):
-        r = got[i, t]
-        assert (r["__sv_n_words"], r["__sv_word_chars"], r["__sv_n_symbols"], r["__sv_n_dup_lines"], r["__sv_n_repeat_words"], r["__sv_base_failed"]) == plain(t), (i, (t or "")[:40])
-        assert r["__sv_score"] == pytest.approx(s, abs=1e-9)
-        assert r["__sv_kept"] == (not r["__sv_base_failed"] and s >= -0.25)
+        r = got[i, t]["__sv_verdict"]
+        assert (*r.base, r.base_failed) == plain(t), (i, (t or "")[:40])
+        assert r.score == pytest.approx(s, abs=1e-9)
+        assert r.kept == (not r.base_failed and s >= -0.25)
     kept = clean(df, labels)
     assert kept.columns == df.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in rows if r["__sv_kept"])
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in rows if r["__sv_verdict"].kept)
 
 
 def test_no_labels_and_empty(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     df = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")] * 2, "doc_id long, text string")
-    assert [(r["__sv_score"], r["__sv_kept"]) for r in judge(df, labels).collect()] == [(0.0, True)] * 2
+    assert [(r["__sv_verdict"].score, r["__sv_verdict"].kept) for r in judge(df, labels).collect()] == [(0.0, True)] * 2
     assert judge(df.limit(0), labels).count() == 0
 
 
