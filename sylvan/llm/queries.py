@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from sylvan.llm.common import table
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.language_model import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.line_dedup import dedup_lines
+
+    rows = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id", F.col("__sv_n_lines").alias("n_lines"), (F.col("__sv_n_lines") - F.col("__sv_n_kept")).alias("n_removed"),
+        F.sha2(F.coalesce("__sv_text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -26,6 +42,23 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.pii import KINDS, find, listed
+
+    pii = F.col("__sv_pii")
+    return find(table(spark, sf_dir, "documents")).select(
+        "doc_id", *(F.size(pii[k]).cast("long").alias(f"n_{k}") for k in KINDS),
+        F.sha2(listed(pii["base"]).cast("binary"), 256).alias("base_sha256"), listed(pii["spans"]).alias("spans"),
+    )
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.simhash import classes
+
+    rows = classes(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("__sv_id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sylvan.llm.licenses import scan
 
@@ -69,7 +102,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(v["base"][n].alias(n) for n in base), *(v[n].alias(n) for n in ("base_failed", "kept", "score")))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_decontaminate, op7_licenses, op8_mixing, op9_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_line_dedup, op3_token_counts, op4_decontaminate, op5_pii, op6_simhash, op7_licenses, op8_mixing, op9_toxicity, op10_quality)}
 
 
 def _oracles() -> dict[str, str]:
