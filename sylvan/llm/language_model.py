@@ -98,29 +98,31 @@ class Parameters:
         square[rows] += grad * grad
         own[rows] += rate * grad / np.sqrt(square[rows])
 
-    def learn(self, before: np.ndarray, last: np.ndarray, token: np.ndarray, weight: np.ndarray, rng: np.random.Generator, noise: int = 64, batch: int = 8192, rate: float = 0.1) -> None:
-        """One pass of noise-contrastive estimation over weighted (token two before, token before, token)."""
+    def learn(self, before: np.ndarray, last: np.ndarray, token: np.ndarray, weight: np.ndarray, rng: np.random.Generator, noise: int = 64, batch: int = 1024, rate: float = 0.3, passes: int = 4, steps: int = 600) -> None:
+        """Noise-contrastive estimation over weighted (token two before, token before, token): some passes, and `steps` batches at least."""
         log_noise = np.log(noise * self.share).astype(np.float32)
         sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        order, cumulative = rng.permutation(len(token)), np.cumsum(self.share)
-        for a in range(0, len(order), batch):
-            i = order[a : a + batch]
-            b2, b1, w, c = before[i], last[i], token[i], weight[i] / weight[i].sum()
-            e1, e2, q = self.embed[b1], self.embed[b2], self.out[w]
-            context = e1 @ self.first + e2 @ self.second
-            z = np.minimum(np.searchsorted(cumulative, rng.random(noise)), len(cumulative) - 1)
-            qz = self.out[z]
-            real = c * (1 - sigmoid((context * q).sum(1) + self.bias[w] - log_noise[w]))
-            false = -c[:, None] * sigmoid(context @ qz.T + self.bias[z] - log_noise[z])
-            back = real[:, None] * q + false @ qz
-            grads = [("first", slice(None), e1.T @ back), ("second", slice(None), e2.T @ back)]
-            grads.append(("embed", *summed(np.concatenate([b1, b2]), np.concatenate([back @ self.first.T, back @ self.second.T]))))
-            both = np.concatenate([w, z])
-            grads.append(("out", *summed(both, np.concatenate([real[:, None] * context, false.T @ context]))))
-            rows, grad = summed(both, np.concatenate([real, false.sum(0)])[:, None])
-            grads.append(("bias", rows, grad[:, 0]))
-            for k, rows, grad in grads:
-                self.move(k, rows, grad.astype(np.float32), rate)
+        cumulative, n = np.cumsum(self.share), len(token)
+        for _ in range(max(passes, -(-steps // -(-n // batch)))):
+            order = rng.permutation(n)
+            for a in range(0, len(order), batch):
+                i = order[a : a + batch]
+                b2, b1, w, c = before[i], last[i], token[i], weight[i] / weight[i].sum()
+                e1, e2, q = self.embed[b1], self.embed[b2], self.out[w]
+                context = e1 @ self.first + e2 @ self.second
+                z = np.minimum(np.searchsorted(cumulative, rng.random(noise)), len(cumulative) - 1)
+                qz = self.out[z]
+                real = c * (1 - sigmoid((context * q).sum(1) + self.bias[w] - log_noise[w]))
+                false = -c[:, None] * sigmoid(context @ qz.T + self.bias[z] - log_noise[z])
+                back = real[:, None] * q + false @ qz
+                grads = [("first", slice(None), e1.T @ back), ("second", slice(None), e2.T @ back)]
+                grads.append(("embed", *summed(np.concatenate([b1, b2]), np.concatenate([back @ self.first.T, back @ self.second.T]))))
+                both = np.concatenate([w, z])
+                grads.append(("out", *summed(both, np.concatenate([real[:, None] * context, false.T @ context]))))
+                rows, grad = summed(both, np.concatenate([real, false.sum(0)])[:, None])
+                grads.append(("bias", rows, grad[:, 0]))
+                for k, rows, grad in grads:
+                    self.move(k, rows, grad.astype(np.float32), rate)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores by the token before (with bias) and two before, and log normalisers of all pairs of those."""
