@@ -23,16 +23,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from sylvan.llm.common import WORD, materialize, row_key, ship, slices, utf8
 
 MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
-ORDER = ["__sv_none", "__sv_id", "__sv_hash", "__sv_line"]
+FEW = 1 << 20  # lines that may have a partner, up to which their hashes are broadcast to spare the others' words
 
 
 def halves(words: list[bytes]) -> list[int]:
@@ -55,90 +57,120 @@ def deletions(words: list[bytes]) -> tuple[np.ndarray, int]:
     return (before + (sums[-1] - sums) * np.uint64(INVERSE)).view(np.int64), int(sums[-1].view(np.int64))
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str, min_words: int, near_words: int, batch_bytes: int) -> DataFrame:
-    """A row for each line to compare: __sv_key (of its words), __sv_halves, __sv_words and its place."""
+def scan(docs: DataFrame, id_col: str, text_col: str, names: list[str], kinds: str, batch_bytes: int, row) -> DataFrame:
+    """A pass over all lines: row(words) gives the values of a line, or None to leave it out; then come its place's columns."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
+    types = {"binary": pa.binary(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = row()
         for batch in batches:
             for part in slices(batch, "__sv_text", batch_bytes):
-                owner, place, keys, half, text = [], [], [], [], []
+                owner, place, values = [], [], []
                 for i, t in enumerate(utf8(part.column("__sv_text"))):
                     for j, line in enumerate(t.lower().split(b"\n")):
-                        words = line.split()
-                        if len(words) < min_words:
-                            continue
-                        joined = b" ".join(words)
-                        owner.append(i)
-                        place.append(j)
-                        keys.append(xxhash.xxh3_128_digest(joined))
-                        near = len(words) >= near_words
-                        half.append(halves(words) if near else [])
-                        text.append(joined if near else None)
+                        own = make(line.split())
+                        if own is not None:
+                            owner.append(i)
+                            place.append(j)
+                            values.append(own)
                 ids = pa.array(owner, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(ids), part.column(1).take(ids), pa.array(place, pa.int32()), pa.array(keys, pa.binary()), pa.array(half, pa.list_(pa.int64())), pa.array(text, pa.binary())],
-                    names=["__sv_id", "__sv_hash", "__sv_line", "__sv_key", "__sv_halves", "__sv_words"],
-                )
+                columns = [pa.array([v[k] for v in values], types[t]) for k, t in enumerate(kinds.split())]
+                yield pa.RecordBatch.from_arrays([*columns, part.column(0).take(ids), part.column(1).take(ids), pa.array(place, pa.int32())], names=[*names, "__sv_id", "__sv_hash", "__sv_line"])
 
     rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("__sv_text"))
-    return rows.mapInArrow(run, f"__sv_id {kind}, __sv_hash long, __sv_line int, __sv_key binary, __sv_halves array<long>, __sv_words binary")
+    own = ", ".join(f"{n} {k}" for n, k in zip(names, kinds.split(), strict=True))
+    return rows.mapInArrow(run, f"{own}, __sv_id {kind}, __sv_hash long, __sv_line int")
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """Of lines (__sv_at, __sv_words): key, place of the deleted word (-1: none), __sv_at."""
-    kind = lines.schema["__sv_at"].dataType.simpleString()
+    """Of lines (short, words): key, place of the deleted word (-1: none), short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__sv_words", 1 << 18):
+            for part in slices(batch, "words", 1 << 20):
                 keys, place, owner = [], [], []
-                for i, text in enumerate(utf8(part.column("__sv_words"))):
+                short = part.column(0).to_numpy(zero_copy_only=False)
+                for i, text in enumerate(utf8(part.column("words"))):
                     less, own = deletions(text.split())
                     keys += [less, [own]]
                     place += [np.arange(len(less)), [-1]]
                     owner.append(np.full(len(less) + 1, i))
                 if owner:
-                    at = part.column(0).take(pa.array(np.concatenate(owner)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(place).astype(np.int32)), at], names=["key", "place", "__sv_at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(place).astype(np.int32)), pa.array(short[np.concatenate(owner)])], names=["key", "place", "short"])
 
-    return lines.select("__sv_at", "__sv_words").mapInArrow(run, f"key long, place int, __sv_at {kind}")
+    return lines.select("short", "words").mapInArrow(run, "key long, place int, short long")
 
 
-def one_edit(a: Column, b: Column) -> Column:
-    """Whether two lines, as arrays of words, are at edit distance 1: compared from both ends."""
-    short, long_ = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
-    n, gap = F.size(short), F.size(long_) - F.size(short)
-    places = lambda x: F.filter(F.sequence(F.lit(0), n), x)
-    front = F.element_at(places(lambda i: ~F.coalesce(F.get(short, i) == F.get(long_, i), F.lit(False))), 1)
-    back = F.element_at(places(lambda i: ~F.coalesce(F.get(short, n - 1 - i) == F.get(long_, n - 1 - i + gap), F.lit(False))), 1)
-    return (gap <= 1) & (front + back >= n - 1 + gap) & ((gap == 1) | (front < n))
+def one_edit(a: list[bytes], b: list[bytes]) -> bool:
+    """Whether two lines are at edit distance 1 in words: what they share from both ends leaves one word at most."""
+    if len(a) > len(b):
+        a, b = b, a
+    gap, n = len(b) - len(a), len(a)
+    if gap > 1 or a == b:
+        return False
+    front = next((i for i in range(n) if a[i] != b[i]), n)
+    back = next((i for i in range(n - front) if a[n - 1 - i] != b[n - 1 - i + gap]), n - front)
+    return front + back >= n - 1 + gap
+
+
+def verified(own: pd.Series, other: pd.Series) -> pd.Series:
+    return (own.map(bytes.split).combine(other.map(bytes.split), one_edit)).astype(bool)
 
 
 def kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, near_words: int = 8, batch_bytes: int = 4 << 20) -> DataFrame:
     """The occurrences that stay of the lines that are compared: __sv_id, __sv_hash, __sv_line."""
-    rows = occurrences(docs, id_col, text_col, min_words, near_words, batch_bytes)
-    place = F.struct(F.col("__sv_id").isNull().alias("__sv_none"), "__sv_id", "__sv_hash", "__sv_line")
-    lines = rows.groupBy("__sv_key").agg(F.min(place).alias("__sv_at"), F.any_value("__sv_halves").alias("__sv_halves"), F.any_value("__sv_words").alias("__sv_words"))
-    lines = materialize(lines.drop("__sv_key"), "lines")
-    shared = lines.select(F.explode("__sv_halves").alias("half"), "__sv_at")
+    spark = docs.sparkSession
+    digest = xxhash.xxh3_128_digest
+
+    def hashed():
+        def make(words: list[bytes]):
+            return None if len(words) < min_words else (digest(b" ".join(words)), halves(words) if len(words) >= near_words else [])
+
+        return make
+
+    rows = scan(docs, id_col, text_col, ["key", "halves"], "binary array<long>", batch_bytes, hashed)
+    place = F.struct(F.col("__sv_id").isNull().alias("none"), "__sv_id", "__sv_hash", "__sv_line")
+    lines = materialize(rows.groupBy("key").agg(F.min(place).alias("at"), F.any_value("halves").alias("halves")), "lines")
+    shared = lines.select(F.explode("halves").alias("half"), "key")
     met = shared.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    near = materialize(shared.join(met, "half", "left_semi").select("__sv_at").distinct(), "near")
-    near = materialize(lines.select("__sv_at", "__sv_words").join(near, "__sv_at", "left_semi"), "near_lines")
+    near = materialize(shared.join(met, "half", "left_semi").select("key").distinct(), "near")
+    short = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")  # the first eight bytes
+    few = spark.sparkContext.broadcast(np.sort(near.select(short.alias("s")).toArrow()["s"].to_numpy()) if near.count() <= FEW else None)
+
+    def spelled():
+        chosen = few.value
+
+        def make(words: list[bytes]):
+            if len(words) < near_words:
+                return None
+            text = b" ".join(words)
+            key = digest(text)
+            if chosen is not None:
+                s = int.from_bytes(key[:8], "big", signed=True)
+                k = np.searchsorted(chosen, s)
+                if k == len(chosen) or chosen[k] != s:
+                    return None
+            return key, text
+
+        return make
+
+    text = scan(docs, id_col, text_col, ["key", "words"], "binary binary", batch_bytes, spelled).groupBy("key").agg(F.any_value("words").alias("words"))
+    near = materialize(text.join(lines.join(near, "key", "left_semi").select("key", "at"), "key").select(short.alias("short"), "at", "words"), "near_lines")
     made = variants(near)
     crowd = made.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    made = materialize(made.join(crowd, "key", "left_semi"), "variants")
-    whole = made.filter("place < 0").groupBy("key").agg(F.min("__sv_at").alias("first"))
+    made = made.join(crowd, "key", "left_semi")
+    made = materialize(made.join(near.select("short", "at"), "short").select("key", "place", "at"), "variants")
+    whole = made.filter("place < 0").groupBy("key").agg(F.min("at").alias("first"))
     less = made.filter("place >= 0")
-    replaced = less.join(less.groupBy("key", "place").agg(F.min("__sv_at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), ["key", "place"])
+    replaced = less.join(less.groupBy("key", "place").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), ["key", "place"])
     added = less.join(whole, "key")
-    left_out = made.filter("place < 0").join(less.groupBy("key").agg(F.min("__sv_at").alias("first")), "key")
-    pairs = replaced.select("__sv_at", "first").unionByName(added.select("__sv_at", "first")).unionByName(left_out.select("__sv_at", "first")).filter("first < __sv_at").distinct()
-    words = lambda c: F.split(c.cast("string"), " ")
-    pairs = pairs.join(near.withColumnRenamed("__sv_words", "own"), "__sv_at").join(near.select(F.col("__sv_at").alias("first"), F.col("__sv_words").alias("other")), "first")
-    dropped = materialize(pairs.filter(one_edit(words(F.col("own")), words(F.col("other")))).select("__sv_at").distinct(), "dropped")
-    return lines.select("__sv_at").join(dropped, "__sv_at", "left_anti").select("__sv_at.__sv_id", "__sv_at.__sv_hash", "__sv_at.__sv_line")
+    left_out = made.filter("place < 0").join(less.groupBy("key").agg(F.min("at").alias("first")), "key")
+    pairs = replaced.select("at", "first").unionByName(added.select("at", "first")).unionByName(left_out.select("at", "first")).filter("first < at").distinct()
+    pairs = pairs.join(near.select("at", F.col("words").alias("own")), "at").join(near.select(F.col("at").alias("first"), F.col("words").alias("other")), "first")
+    dropped = materialize(pairs.filter(F.pandas_udf(verified, BooleanType())("own", "other")).select("at").distinct(), "dropped")
+    return lines.select("at").join(dropped, "at", "left_anti").select("at.__sv_id", "at.__sv_hash", "at.__sv_line")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, **options) -> DataFrame:
