@@ -42,26 +42,36 @@ def shingles(text: bytes, k: int) -> list[bytes]:
     return [joined[a : b - 1] for a, b in zip([0, *ends], ends[k - 1 :], strict=False)]
 
 
-def fingerprints(texts: list[bytes], k: int = 3, seed: int = 42) -> np.ndarray:
-    """The fingerprint of each text, as unsigned 64-bit numbers."""
+def mixed(h: np.ndarray, n: int) -> np.ndarray:
+    """The n-th hash of each shingle, made from its first: SplitMix64's steps."""
+    if n:
+        h = h + np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h = h ^ (h >> np.uint64(31))
+    return h
+
+
+def fingerprints(texts: list[bytes], k: int = 3, seed: int = 42, wide: int = 1) -> np.ndarray:
+    """The fingerprint of each text, as unsigned 64-bit numbers; wide: that many numbers each, as columns."""
     digest, hashes, sizes = xxhash.xxh64_intdigest, [], []
     for text in texts:
         own = shingles(text, k)
         sizes.append(len(own))
         hashes += [digest(s, seed) for s in own]
-    out, n = np.zeros(len(texts), np.uint64), np.array(sizes, np.int64)
+    out, n = np.zeros((len(texts), wide), np.uint64), np.array(sizes, np.int64)
     full = np.flatnonzero(n)
-    if not len(full):
-        return out
-    h = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
-    n = n[full]
-    parts = -(-n // 255)  # as many as a lane can count
-    starts = np.concatenate([s + 255 * np.arange(p) for s, p in zip(np.cumsum(n) - n, parts, strict=True)])
-    heads = np.cumsum(parts) - parts
-    counts = np.concatenate([np.add.reduceat(np.add.reduceat(LANES[h[:, j]], starts).view(np.uint8).reshape(-1, 8).astype(np.int64), heads) for j in range(8)], 1)
-    bits = 2 * counts > n[:, None]
-    out[full] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+    if len(full):
+        n = n[full]
+        parts = -(-n // 255)  # as many as a lane can count
+        starts = np.concatenate([s + 255 * np.arange(p) for s, p in zip(np.cumsum(n) - n, parts, strict=True)])
+        heads = np.cumsum(parts) - parts
+        first = np.array(hashes, np.uint64)
+        for w in range(wide):
+            h = mixed(first, w).view(np.uint8).reshape(-1, 8)
+            counts = np.concatenate([np.add.reduceat(np.add.reduceat(LANES[h[:, j]], starts).view(np.uint8).reshape(-1, 8).astype(np.int64), heads) for j in range(8)], 1)
+            out[full, w] = np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return out if wide > 1 else out[:, 0]
 
 
 def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, batch_bytes: int = 4 << 20) -> DataFrame:
@@ -115,8 +125,8 @@ class Forest:
 class Index:
     """Codes in Gray order under nodes of `fan` neighbours with the bits they share."""
 
-    def __init__(self, codes: np.ndarray, distance: int, fan: int = 8):
-        self.codes, self.distance, self.fan = codes, distance, fan
+    def __init__(self, codes: np.ndarray, distance: int, fan: int = 8, wide: np.ndarray | None = None, wide_distance: int = 0):
+        self.codes, self.distance, self.fan, self.wide, self.wide_distance = codes, distance, fan, wide, wide_distance
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # from the leaves: shared bits, their values
         low = high = codes
         while len(low) > 1:
@@ -129,7 +139,7 @@ class Index:
         """Join each code with those after it within the distance."""
         codes, top = self.codes, len(self.levels) - 1
         n = len(codes)
-        for k, (mask, _) in enumerate(self.levels):  # neighbours that differ in so few bits all link
+        for k, (mask, _) in enumerate(self.levels if self.wide is None else []):  # neighbours that differ in so few bits all link
             near = np.flatnonzero(np.bitwise_count(~mask) <= self.distance)
             width = self.fan ** (k + 1)
             inside = np.flatnonzero(np.isin(np.arange(1, n) // width, near) & (np.arange(1, n) % width > 0)) + 1
@@ -152,7 +162,7 @@ class Index:
         width = self.fan ** (k + 1)
         keep = (seen <= self.distance) & (np.minimum((node + 1) * width, len(self.codes)) - 1 > q)
         q, node, seen = q[keep], node[keep], seen[keep]
-        whole = seen + np.bitwise_count(~mask[node]) <= self.distance
+        whole = (seen + np.bitwise_count(~mask[node]) <= self.distance) & (self.wide is None)
         first = np.maximum(node * width, 0)
         forest.union(q[whole], first[whole])
         q, node, seen = q[~whole], node[~whole], seen[~whole]
@@ -164,9 +174,12 @@ class Index:
         if k:
             if len(q):
                 stack.append((k - 1, q, child, seen))
-            return
+            return None
         ok = (child > q) & (np.bitwise_count(self.codes[q] ^ self.codes[child]) <= self.distance)
+        if self.wide is not None:
+            return forest.union(*near(self.wide, q[ok], child[ok], self.wide_distance))
         forest.union(q[ok], child[ok])
+        return None
 
 
 def group_links(codes: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -251,11 +264,109 @@ def links(prints: DataFrame, *, distance: int = 3, most: int = 200_000, buffer:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, **options) -> DataFrame:
-    """__sv_id, __sv_hash, fingerprint, component_id of every row."""
-    rows = materialize(fingerprint(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
-    prints = materialize(rows.groupBy("fingerprint").agg(F.min("__sv_id").alias("least")), "prints")
-    roots = components(materialize(links(prints.select("fingerprint"), distance=distance, **options), "links"))
+#: Of wide fingerprints: their 64-bit words, the tables of sampled bits, and the differing bits of 256 that
+#: texts of similarity 0.8 (Jaccard, of five-word shingles) have on average: 256 / pi * acos(2 * 0.8 / 1.8).
+WIDE, TABLES, WIDE_DISTANCE = 4, 40, 39
+
+
+def wide_fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, batch_bytes: int = 4 << 20) -> DataFrame:
+    """__sv_id, __sv_hash, fingerprint (a hash of the words) and words w0, w1, ... of every row. No shuffle."""
+    ship(docs.sparkSession)
+    names = [f"w{i}" for i in range(WIDE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "__sv_text", batch_bytes):
+                own = fingerprints(utf8(part.column("__sv_text")), words, wide=WIDE).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(np.ascontiguousarray(own[:, i])) for i in range(WIDE))], names=["__sv_id", "__sv_hash", *names])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("__sv_text"))
+    rows = rows.mapInArrow(run, f"__sv_id {kind}, __sv_hash long, " + ", ".join(f"{n} long" for n in names))
+    return rows.withColumn("fingerprint", F.xxhash64(*names))
+
+
+def wide_links(prints: DataFrame, *, distance: int = WIDE_DISTANCE, buffer: int = 1 << 17, most: int = 200_000) -> DataFrame:
+    """a, b: links between fingerprints at `distance` or fewer of the wide bits; prints: distinct fingerprint, w0, ...
+
+    Fingerprints meet in tables by sampled bits, so many of them that a chance meeting is rare, and by
+    the number of tables similar ones meet in one of them nearly always. Those of one key are put in
+    Gray order of their first word and searched by the index, whose word may differ in as many bits
+    as leaves few out. A key of more than `most` fingerprints is dealt again by as many bits more.
+    """
+    ship(prints.sparkSession)
+    bits = max(16, int(prints.count()).bit_length() + 2)
+    rng = np.random.default_rng(17)
+    names = [f"w{i}" for i in range(WIDE)]
+
+    def sampled(t: int, own: np.ndarray):
+        masks = [int(np.bitwise_or.reduce([np.uint64(1) << np.uint64(b % 64) for b in own if b // 64 == w] or [np.uint64(0)]).view(np.int64)) for w in range(WIDE)]
+        return F.xxhash64(F.lit(t), *(F.col(n).bitwiseAND(F.lit(m)) for n, m in zip(names, masks, strict=True)))
+
+    chosen = [rng.choice(64 * WIDE, min(2 * bits, 64 * WIDE), replace=False) for _ in range(TABLES)]
+    keys = [F.struct(sampled(t, own[:bits]).alias("key"), sampled(t, own).alias("longer")) for t, own in enumerate(chosen)]
+
+    def flush(group: np.ndarray, ids: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((gray_rank(words[:, 0]), group))
+        group, ids, words = group[order], ids[order], words[order]
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        size = np.diff(np.append(first, len(group)))
+        forest = Forest(len(ids))
+        small = size <= 16
+        left = np.repeat(size, size) - 1 - (np.arange(len(ids)) - np.repeat(first, size))
+        for shift in range(1, 16):
+            a = np.flatnonzero(np.repeat(small, size) & (left >= shift))
+            forest.union(*near(words, a, a + shift, distance))
+        for s, n in zip(first[~small], size[~small], strict=True):
+            own = Forest(n)
+            Index(words[s : s + n, 0], distance // WIDE + 12, wide=words[s : s + n], wide_distance=distance).link(own)
+            forest.parent[s : s + n] = own.roots(np.arange(n)) + s
+        root = forest.roots(np.arange(len(ids)))
+        linked = root != np.arange(len(ids))
+        if linked.any():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[root[linked]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held.append((columns[0], columns[1], np.stack(columns[2:], 1).view(np.uint64)))
+            total += batch.num_rows
+            if total >= buffer:  # all but the last group is complete
+                group, ids, words = (np.concatenate(x) for x in zip(*held, strict=True))
+                cut = np.searchsorted(group, group[-1])
+                if cut:
+                    yield from flush(group[:cut], ids[:cut], words[:cut])
+                held, total = [(group[cut:], ids[cut:], words[cut:])], len(ids) - cut
+        if total:
+            yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    rows = prints.select(F.explode(F.array(*keys)).alias("k"), "fingerprint", *names).select("k.key", "k.longer", "fingerprint", *names)
+    met = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "met")
+    crowded = met.filter(F.col("n") > most)
+    if crowded.take(1):
+        rows = rows.join(crowded.select("key", F.lit(True).alias("crowded")), "key", "left").withColumn("key", F.when(F.col("crowded"), F.col("longer")).otherwise(F.col("key"))).drop("crowded")
+        met = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "met")
+    met, rows = met.select("key"), rows.drop("longer")
+    return rows.join(met, "key", "left_semi").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def near(words: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows of words, those that differ in so many bits at most."""
+    keep = np.bitwise_count(words[a] ^ words[b]).sum(1) <= distance
+    return a[keep], b[keep]
+
+
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, wide: bool = False, **options) -> DataFrame:
+    """__sv_id, __sv_hash, fingerprint, component_id of every row.
+
+    wide: fingerprints of 256 bits, and `distance` of those (see WIDE_DISTANCE); fingerprint is then their hash.
+    """
+    more = [f"w{i}" for i in range(WIDE)] if wide else []
+    rows = materialize((wide_fingerprint if wide else fingerprint)(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
+    prints = materialize(rows.groupBy("fingerprint").agg(F.min("__sv_id").alias("least"), *(F.any_value(c).alias(c) for c in more)), "prints")
+    found = (wide_links if wide else links)(prints.select("fingerprint", *more), distance=distance, **options)
+    roots = components(materialize(found, "links"))
     roots = materialize(roots.join(prints, roots.node == prints.fingerprint).select("node", "root", "least"), "roots")
     least = roots.groupBy("root").agg(F.min("least").alias("component"))
     linked = roots.join(least, "root").select(F.col("node").alias("fingerprint"), "component")

@@ -7,7 +7,7 @@ import xxhash
 
 from sylvan.llm import simhash
 from sylvan.llm.graph import components
-from sylvan.llm.simhash import Forest, Index, classes, dedup, fingerprints, gray_rank, links
+from sylvan.llm.simhash import TABLES, WIDE_DISTANCE, Forest, Index, classes, dedup, fingerprints, gray_rank, links
 
 
 def plain(text):
@@ -123,3 +123,48 @@ def test_gray_rank():
     codes = np.array([i ^ (i >> 1) for i in range(1000)], np.uint64)
     assert gray_rank(codes).tolist() == list(range(1000))
     assert simhash.LANES[5] == 1 + (1 << 16)
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_wide_fingerprints_find_similar_texts(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    data, pairs = [], []
+    for i in range(150):
+        own = [word() for _ in range(200)]
+        other = own[:]
+        for _ in range((0, 1, 2, 30, 60)[i % 5]):
+            other[rng.randrange(200)] = word()
+        data += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+        pairs.append((jaccard(data[-2][1], data[-1][1]), 2 * i))
+    docs = spark.createDataFrame([*data, (900, None), (901, "")], "doc_id long, text string")
+    crowded = {r["__sv_id"]: r.component_id for r in classes(docs, words=5, wide=True, distance=WIDE_DISTANCE, most=1).collect()}
+    got = {r["__sv_id"]: r.component_id for r in classes(docs, words=5, wide=True, distance=WIDE_DISTANCE).collect()}
+    close = [got[i + 1] == i for s, i in pairs if s >= 0.9]
+    apart = [got[i + 1] == i + 1 for s, i in pairs if s < 0.5]
+    assert len(close) > 80 and sum(close) >= 0.97 * len(close)
+    assert len(apart) > 50 and all(apart)
+    assert got[900] == got[901] == 900
+    assert all(crowded[i] in (got[i], i) for i in got)
+    assert all(got[i] in (i, i - 1) for i in range(300))
+    kept = dedup(docs, words=5, wide=True, distance=WIDE_DISTANCE)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
+    assert TABLES >= 20
+
+
+def test_wide_index_against_brute_force():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, (20, 4)).astype(np.uint64)
+    words = np.repeat(base, 20, 0)
+    for i in range(len(words)):
+        for b in rng.choice(256, rng.integers(0, 30), replace=False):
+            words[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    words = words[np.argsort(gray_rank(words[:, 0]))]
+    forest = Forest(len(words))
+    Index(words[:, 0], 64, wide=words, wide_distance=39).link(forest, block=2000)
+    numbers = [sum(int(w) << (64 * k) for k, w in enumerate(row)) for row in words]
+    assert forest.roots(np.arange(len(words))).tolist() == grouped(numbers, list(range(len(words))), 39)
