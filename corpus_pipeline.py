@@ -24,8 +24,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.dedup(docs)
+    """One document of each group of near copies stays: of similarity 0.8 or so, by five-word shingles."""
+    return simhash.dedup(docs, words=5, wide=True, distance=simhash.WIDE_DISTANCE)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
