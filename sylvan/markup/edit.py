@@ -86,7 +86,8 @@ def edit(doc: Document, targets: list[Node], verb: str, *args) -> None:
     With HTML: set_html, append_html, prepend_html, before_html, after_html, replace_with_html, wrap_html.
     With a list of nodes, which are taken from their place and copied to each target: append_selection,
     prepend_selection, replace_with_selection. Others: remove, remove_children, set_text(text), unwrap,
-    strip_elements(*names), normalize, rename(name).
+    strip_elements(*names), normalize, rename(name), set_attr(name, value), remove_attrs(*names),
+    retain_attrs(*names), add_class(names), remove_class(names).
     """
     if verb.endswith("_html"):
         nodes = fragment_nodes(args[0])
@@ -159,10 +160,32 @@ def edit(doc: Document, targets: list[Node], verb: str, *args) -> None:
                     elif c.kind != "text" or c.text:
                         kept.append(c)
                 n.children = kept
+    elif verb in ("set_attr", "remove_attrs", "retain_attrs", "add_class", "remove_class"):
+        for t in targets:
+            if t.kind == "element":
+                attributes(t, verb, *args)
     else:
         raise ValueError(f"no such edit: {verb}")
 
 
+def attributes(node: Node, verb: str, *args: str) -> None:
+    """Attribute and class edits of one element."""
+    if verb == "set_attr":
+        old = next((a for a in node.attrs if a[2] == args[0]), None)
+        if old is None:
+            node.attrs.append([None, None, args[0], args[1]])
+        else:
+            old[3] = args[1]
+    elif verb.endswith("_attrs"):
+        node.attrs = [a for a in node.attrs if (a[2] in args) == (verb == "retain_attrs")]
+    else:
+        names, own = args[0].split(), (node.attr("class") or "").split()
+        if not names or verb == "remove_class" and node.attr("class") is None:
+            return
+        kept = own + [n for n in dict.fromkeys(names) if n not in own] if verb == "add_class" else [c for c in own if c not in names]
+        attributes(node, "set_attr", "class", " ".join(kept))
+
+
 def violations(doc: Document) -> list[str]:
     """What is wrong with the links between nodes: nothing, unless an edit went wrong."""
     out, seen = [], set()

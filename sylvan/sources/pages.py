@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sylvan.css import match, mini
 from sylvan.css.parser import parse as parse_selector
+from sylvan.markup.edit import edit
 from sylvan.markup.markdown import to_markdown
 from sylvan.markup.serialize import to_html
 from sylvan.markup.textfmt import char_count, formatted
@@ -133,6 +134,27 @@ def render(pages: DataFrame, output: str, *, id_col: str = "page_id", html_col:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, value string")
 
 
+def rewrite(pages: DataFrame, steps: Sequence[tuple], output: str = "html", *, id_col: str = "page_id", html_col: str = "html", fragment: bool = False) -> DataFrame:
+    """doc_id, value: documents after edits, in one pass without a shuffle.
+
+    A step is (selector, verb, *arguments): the verbs of sylvan.markup.edit with text or HTML arguments,
+    and set_attr(name, value), remove_attrs(*names), retain_attrs(*names), add_class(names),
+    remove_class(names). Each step selects in the document that the steps before it left.
+    """
+    parsed = [(parse_selector(selector), verb, args) for selector, verb, *args in steps]
+    fold = FOLDS[output]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, docs in _parsed(batches, fragment):
+            for doc in docs:
+                for selectors, verb, args in parsed:
+                    edit(doc, match.select([doc.root], selectors), verb, *args)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([str(fold(d.root)) for d in docs], pa.string())], names=["doc_id", "value"])
+
+    source = _source(pages, id_col, html_col)
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, value string")
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (the path) and html of HTML files, each a page."""
     files = spark.read.text(path, wholetext=True)

@@ -6,7 +6,7 @@ from sylvan.markup.edit import edit, violations
 from sylvan.markup.serialize import to_html
 from sylvan.markup.treebuilder import parse_document
 from sylvan.operators.frame import Nodes, checked, matches
-from sylvan.sources.pages import documents, extract, parse, read_files, render
+from sylvan.sources.pages import documents, extract, parse, read_files, render, rewrite
 
 HTML = '<div id="a" class="x y"><p>one</p>two<p class="k"><b>three</b></p></div><ul><li>1</li><li>2</li><li>3</li></ul><template><i>t</i></template>'
 PAGES = [HTML, "<p>only</p>", ""]
@@ -155,3 +155,16 @@ def test_one_shuffle_only(nodes):
     finally:
         nodes.df.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Exchange hashpartitioning" not in plan.replace("InMemoryTableScan", "").split("InMemoryRelation")[0]
+
+
+def test_fused_edits_agree_with_the_table(spark, nodes):
+    pages = spark.createDataFrame(list(enumerate(PAGES)), "page_id long, html string")
+    value = lambda df: sorted((r.doc_id, r.value) for r in df.collect())
+    div = nodes.select("div")
+    for verb, args, new in [
+        ("set_attr", ("class", "z"), nodes.set_attr(div, "class", "z")), ("remove_attrs", ("id", "class"), nodes.remove_attrs(div, ["id", "class"])), ("retain_attrs", ("id",), nodes.retain_attrs(div, ["id"])),
+        ("add_class", ("n x",), nodes.add_class(div, "n x")), ("remove_class", ("x",), nodes.remove_class(div, "x")), ("rename", ("main",), nodes.rename(div, "main")), ("append_html", ("<i>1</i>",), nodes.edit(div, "append_html", "<i>1</i>")),
+    ]:
+        assert value(rewrite(pages, [("div", verb, *args)])) == value(new.render("html")), verb
+    two = rewrite(pages, [("li", "remove"), ("ul", "append_html", "<li>n</li>"), ("li:only-child", "add_class", "k")])
+    assert '<ul><li class="k">n</li></ul>' in value(two)[0][1]
