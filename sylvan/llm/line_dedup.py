@@ -201,3 +201,29 @@ def dedup(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "
         same = F.col("__sv_n_lines") == F.col("__sv_n_kept")
         new[length_col] = F.when(same, F.col(f"`{length_col}`")).otherwise(F.length("__sv_text")).cast(docs.schema[length_col].dataType)
     return out.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+
+
+#: The same as DuckDB SQL, for ids that are there once: doc_id, n_lines, n_removed, text_sha256.
+ORACLE = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM l
+), k AS (
+  SELECT doc_id, line, raw, w, len(w) AS n, array_to_string(w, ' ') AS s, doc_id * 1000000 + line AS f FROM w
+), u AS (
+  SELECT s, any_value(w) AS w, any_value(n) AS n, min(f) AS f FROM k WHERE n >= 3 GROUP BY s
+), v AS (
+  SELECT s, n, f, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS v FROM (SELECT *, unnest(generate_series(1, n)) AS i FROM u WHERE n >= 8)
+), x AS (
+  SELECT s FROM (SELECT s, f, min(f) OVER (PARTITION BY n, i, v) AS m FROM v) WHERE m < f
+  UNION SELECT v.s FROM v JOIN u ON u.s = v.v AND u.n >= 8 WHERE u.f < v.f
+  UNION SELECT u.s FROM v JOIN u ON u.s = v.v AND u.n >= 8 WHERE v.f < u.f
+), g AS (
+  SELECT k.doc_id, k.line, k.raw, k.n, k.n < 3 OR (u.s IS NOT NULL AND x.s IS NULL) AS keep
+  FROM k LEFT JOIN u ON k.s = u.s AND k.f = u.f LEFT JOIN x ON x.s = k.s
+)
+SELECT doc_id, count(*) FILTER (n >= 3) AS n_lines, count(*) FILTER (n >= 3 AND NOT keep) AS n_removed,
+  sha256(coalesce(string_agg(raw, chr(10) ORDER BY line) FILTER (keep), '')) AS text_sha256
+FROM g GROUP BY doc_id
+"""

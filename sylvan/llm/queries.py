@@ -106,9 +106,9 @@ QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_line_dedup, op3_token_coun
 
 
 def _oracles() -> dict[str, str]:
-    from sylvan.llm import licenses
+    from sylvan.llm import decontaminate, licenses, line_dedup
 
-    return {"op7_licenses": licenses.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op7_licenses": licenses.ORACLE}
 
 
 ORACLES = _oracles()

@@ -135,7 +135,7 @@ class Index:
             mask = ~(low ^ high)
             self.levels.append((mask, low & mask))
 
-    def link(self, forest: Forest, block: int = 1 << 20) -> None:
+    def link(self, forest: Forest, block: int = 1 << 16) -> None:
         """Join each code with those after it within the distance."""
         codes, top = self.codes, len(self.levels) - 1
         n = len(codes)
@@ -144,7 +144,7 @@ class Index:
             width = self.fan ** (k + 1)
             inside = np.flatnonzero(np.isin(np.arange(1, n) // width, near) & (np.arange(1, n) % width > 0)) + 1
             forest.union(inside, inside - 1)
-        step = max(1, block // 64)
+        step = max(1, min(block // 64, (1 << 21) // n))  # so that even without any pruning few pairs are held
         for start in range(0, n, step):
             query = np.arange(start, min(n, start + step))
             stack = [(top, query, np.zeros(len(query), np.int64), np.zeros(len(query), np.int64))] if top >= 0 else []
