@@ -72,6 +72,15 @@ def empty(target: Node) -> None:
         c.detach()
 
 
+def siblings_run(node: Node, before: bool) -> list[Node]:
+    """The node with the siblings after it, or before it."""
+    if node.parent is None:
+        return [node]
+    own = node.parent.children
+    at = next(i for i, c in enumerate(own) if c is node)
+    return own[: at + 1] if before else own[at:]
+
+
 def within(node: Node, other: Node) -> bool:
     while node is not None:
         if node is other:
@@ -85,7 +94,10 @@ def edit(doc: Document, targets: list[Node], verb: str, *args) -> None:
 
     With HTML: set_html, append_html, prepend_html, before_html, after_html, replace_with_html, wrap_html.
     With a list of nodes, which are taken from their place and copied to each target: append_selection,
-    prepend_selection, replace_with_selection. Others: remove, remove_children, set_text(text), unwrap,
+    prepend_selection, before_selection, after_selection, replace_with_selection, wrap_selection (in the
+    first of them). With a list of nodes that move to the first target, each with the siblings that follow
+    it: append_run, before_run, after_run; prepend_run takes those before it instead; reparent_children
+    moves what is in them. Others: remove, remove_children, set_text(text), unwrap,
     strip_elements(*names), normalize, rename(name), set_attr(name, value), remove_attrs(*names),
     retain_attrs(*names), add_class(names), remove_class(names).
     """
@@ -115,12 +127,22 @@ def edit(doc: Document, targets: list[Node], verb: str, *args) -> None:
         for s in sources:
             s.detach()
         for t in targets:
-            own = [copied(doc, s) for s in sources]
+            own = [copied(doc, s) for s in (sources[:1] if verb == "wrap_selection" else sources)]
             if verb == "replace_with_selection":
                 put_before(t, own)
                 t.detach()
+            elif verb == "wrap_selection":
+                if t.parent is not None:
+                    put_before(t, own)
+                    put_last(own[0], [t])
             else:
-                {"append_selection": put_last, "prepend_selection": put_first}[verb](t, own)
+                {"append_selection": put_last, "prepend_selection": put_first, "before_selection": put_before, "after_selection": put_after}[verb](t, own)
+    elif verb.endswith("_run") or verb == "reparent_children":
+        for s in args[0] if targets else []:
+            run = s.children[:] if verb == "reparent_children" else siblings_run(s, verb == "prepend_run")
+            if any(within(targets[0], n) for n in run):
+                raise ValueError("a node can't move below itself")
+            {"append_run": put_last, "reparent_children": put_last, "prepend_run": put_first, "before_run": put_before, "after_run": put_after}[verb](targets[0], run)
     elif verb == "remove":
         for t in targets:
             t.detach()

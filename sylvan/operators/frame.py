@@ -88,6 +88,10 @@ class Nodes:
     def body(self) -> Selection:
         return self._part("body")
 
+    def get(self, ids: DataFrame) -> Selection:
+        """The nodes of doc_id, node_id that are there."""
+        return self._in_order(self.df.join(ids.select(*KEY).distinct(), KEY, "left_semi"))
+
     def base_uri(self) -> DataFrame:
         """doc_id, value: the href of the first base that is a child of the head."""
         return self.head().children().filter("base").first().attr("href")
@@ -155,6 +159,12 @@ class Nodes:
         kind = self.df.schema["doc_id"].dataType.simpleString()
         return Nodes(rows.groupBy("doc_id").applyInArrow(run, ddl(kind)), partitioned=True)
 
+    def merge(self, other: Nodes) -> Nodes:
+        """Documents with the content of other's documents of the same id put at the end of their body."""
+        html = other.body().fold("inner_html").select(F.col("doc_id").alias("m_doc"), F.col("value").alias("m_html"))
+        pages = self.render("html").join(html, F.col("doc_id") == F.col("m_doc"), "left")
+        return Nodes.parse(pages.select(F.col("doc_id").alias("page_id"), F.concat("value", F.coalesce("m_html", F.lit(""))).alias("html")))
+
     def validate(self) -> DataFrame:
         """doc_id, problem: where intervals, parents or positions of the table don't fit together."""
         own = self.df.filter("attached")
@@ -338,6 +348,16 @@ class Selection:
         nearest = F.row_number().over(Window.partitionBy("doc_id", "l_node_id").orderBy(F.abs(F.col("sib_idx") - F.col("l_sib_idx"))))
         return self._new(rows.withColumn("n", nearest).filter("n = 1"), "l_sel_ord")
 
+    def child(self, which: str = "first", condition: Column | None = None) -> Selection:
+        """One child each: the first or last of any kind, or the first element (that meets a condition)."""
+        rows = self.owner.plan().elements if which == "element" else self.owner.plan().nodes
+        if condition is not None:
+            rows = rows.filter(condition)
+        near = self._joined(rows, F.col("parent_id") == F.col("l_node_id"))
+        order = F.desc("sib_idx") if which == "last" else F.asc("sib_idx")
+        nearest = F.row_number().over(Window.partitionBy("doc_id", "l_node_id").orderBy(order))
+        return self._new(near.withColumn("n", nearest).filter("n = 1"), "l_sel_ord")
+
     def siblings(self, which: str) -> Selection:
         """Of any kind: next, previous, or last (none for a node that is the last)."""
         by = {"next": F.col("sib_idx") == F.col("l_sib_idx") + 1, "previous": F.col("sib_idx") == F.col("l_sib_idx") - 1, "last": F.col("sib_idx") > F.col("l_sib_idx")}[which]

@@ -168,3 +168,24 @@ def test_fused_edits_agree_with_the_table(spark, nodes):
         assert value(rewrite(pages, [("div", verb, *args)])) == value(new.render("html")), verb
     two = rewrite(pages, [("li", "remove"), ("ul", "append_html", "<li>n</li>"), ("li:only-child", "add_class", "k")])
     assert '<ul><li class="k">n</li></ul>' in value(two)[0][1]
+
+
+def test_children_runs_and_merge(spark, nodes):
+    div, li = nodes.select("div"), nodes.select("li")
+    assert values(div.child("first").text(), "value") == [(0, "one")]
+    assert values(div.child("last").text(), "value") == [(0, "three")]
+    assert values(nodes.select("p.k").child("element").nodes("tag"), "tag") == [(0, "b")]
+    assert tags(div.child("element", matches(".k"))) == [(0, 1, "p")]
+    assert nodes.get(spark.createDataFrame([(0, 0), (0, 999)], "doc_id long, node_id int")).rows.count() == 1
+    body = lambda own: {r.doc_id: r.value for r in own.body().inner_html().collect()}[0]
+    second = nodes.select("li:nth-child(2)")
+    assert "<ul><li>1</li></ul>" in body(div.edit("append_run", source=second)) and "</p><li>2</li><li>3</li></div>" in body(div.edit("append_run", source=second))
+    assert '<div id="a" class="x y"><li>1</li><li>2</li><p>one' in body(div.edit("prepend_run", source=second))
+    assert body(div.edit("before_run", source=second)).startswith("<li>2</li><li>3</li><div")
+    assert "</div><li>2</li><li>3</li><ul>" in body(div.edit("after_run", source=second))
+    assert "<ul></ul>" in body(div.edit("reparent_children", source=nodes.select("ul")))
+    assert body(nodes.select("p").first().edit("before_selection", source=li.first())).startswith('<div id="a" class="x y"><li>1</li><p>one')
+    assert "</p><li>1</li>" in body(nodes.select("p").first().edit("after_selection", source=li.first()))
+    assert '<ul><li>1</li><li>2</li><li>3</li><p class="k"><b>three</b></p></ul>' in body(nodes.select("p.k").edit("wrap_selection", source=nodes.select("ul")))
+    two = Nodes.parse(spark.createDataFrame([(0, "<p>more</p>")], "page_id long, html string"))
+    assert body(nodes.merge(two)) == HTML + "<p>more</p>"

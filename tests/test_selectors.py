@@ -2,7 +2,7 @@ import pytest
 
 from sylvan.css import mini
 from sylvan.css.match import select
-from sylvan.css.parser import SelectorError, parse
+from sylvan.css.parser import SelectorError, parse, to_css
 from sylvan.markup.treebuilder import parse_document
 from sylvan.operators.frame import Nodes
 from sylvan.sources.pages import extract
@@ -83,3 +83,8 @@ def test_restricted_grammar():
         mini.parse_one("*")
     node = select([parse_document("<i k=''></i>").root], "i")[0]
     assert mini.matches(node, mini.parse_one("i[k]")) and not mini.matches(node, mini.parse_one("[k^=a]"))
+
+
+def test_text_of_a_selector_parses_to_the_same():
+    for selector in [*ALL, r"a\.b#\31 x", r'[a="q\"\\"]', "div:has(> a, + b c)", r"""a:contains('x"y')"""]:
+        assert parse(to_css(parse(selector))) == parse(selector), selector
