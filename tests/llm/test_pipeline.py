@@ -2,11 +2,11 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+from sylvan.llm.simhash import WIDE, WIDE_DISTANCE, fingerprints
 from tests.llm.test_decontaminate import brute
 from tests.llm.test_line_dedup import plain as dedup_plain
 from tests.llm.test_mixing import fill
 from tests.llm.test_simhash import grouped
-from tests.llm.test_simhash import plain as fingerprint
 
 
 def write(spark, folder):
@@ -43,7 +43,8 @@ def test_stages_against_plain_python(spark, tmp_path):
     assert {(i, t) for i, t, _ in lines} == {(i, t) for i, t in want.items() if t.strip()}
     assert not {100, 101, 102, 103, 104} & {i for i, _, _ in lines}
     rows = sorted(lines)
-    least = grouped([fingerprint(t) for _, t, _ in rows], [i for i, _, _ in rows])
+    wide = fingerprints([t.encode() for _, t, _ in rows], 5, wide=WIDE)
+    least = grouped([sum(int(w) << (64 * k) for k, w in enumerate(row)) for row in wide], [i for i, _, _ in rows], WIDE_DISTANCE)
     assert {i for i, _, _ in near} == set(least)
     assert {i for i, t, _ in near if not brute(t, [(1, passage)])[1]} == {i for i, _, _ in clean}
     assert 110 in {i for i, _, _ in near} and 110 not in {i for i, _, _ in clean}
