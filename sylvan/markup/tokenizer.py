@@ -13,6 +13,9 @@ _REFERENCE = re.compile(r"&(?:#[xX]([0-9a-fA-F]+);?|#([0-9]+);?|([A-Za-z][A-Za-z
 _NAME = re.compile(r"[^\t\n\f />]*")
 _GAP = re.compile(r"[\t\n\f /]*")
 _ATTRIBUTE = re.compile(r"([^\t\n\f />][^\t\n\f />=]*)(?:[\t\n\f ]*=[\t\n\f ]*(?:\"([^\"]*)(\"?)|'([^']*)('?)|([^\t\n\f >\"'][^\t\n\f >]*)?))?")
+#: Most tags: lower-case names, one space before each attribute, double quotes and no references.
+_USUAL = re.compile(r"([a-z][a-z0-9]*)((?: [a-z][a-z0-9-]*=\"[^\"&\0]*\")*)>")
+_PAIR = re.compile(r" ([a-z0-9-]+)=\"([^\"]*)\"")
 _COMMENT_END = re.compile(r"--!?>")
 _SCRIPT = re.compile(r"<!--|-->|<(/?)script(?=[\t\n\f />])", re.IGNORECASE)
 _DOCTYPE = re.compile(r"[\t\n\f ]*([^\t\n\f >]*)[\t\n\f ]*(?:(public|system)[\t\n\f ]*(?:\"([^\">]*)\"?|'([^'>]*)'?)?[\t\n\f ]*(?:\"([^\">]*)\"?|'([^'>]*)'?)?)?[^>]*", re.IGNORECASE)
@@ -144,6 +147,14 @@ class Tokenizer:
 
     def tag(self, at: int, end: bool) -> tuple:
         text, n = self.text, len(self.text)
+        if m := _USUAL.match(text, at):
+            pairs = _PAIR.findall(m[2]) if m[2] else []
+            if len(pairs) < 2 or len({k for k, _ in pairs}) == len(pairs):
+                self.at = m.end()
+                if end:
+                    return ("end", m[1])
+                self.last = m[1]
+                return ("start", m[1], pairs, False)
         m = _NAME.match(text, at)
         name = m[0].lower() if m[0].isascii() else "".join(c.lower() if c.isascii() else c for c in m[0])
         name = name.replace("\0", "�")

@@ -18,7 +18,7 @@ from sylvan.markup.edit import edit as edit_tree
 from sylvan.markup.edit import violations
 from sylvan.plans.selector import KEY, Plan, compound_column, mini_column
 from sylvan.schema import NAMES, batch_of, ddl, rows_of, tree_of
-from sylvan.session import ship
+from sylvan.session import ship, shuffle_partitions
 from sylvan.sources.pages import FOLDS
 from sylvan.sources.pages import parse as parse_pages
 
@@ -32,11 +32,15 @@ def ranked(rows: DataFrame, *order) -> DataFrame:
 
 
 class Nodes:
-    """A node table, partitioned by document once so that no join or window on it shuffles again."""
+    """A node table, partitioned by document once so that no join or window on it shuffles again.
+
+    The number of partitions is spark.sql.shuffle.partitions as it stands: tables are small beside the
+    work on them, so adaptive execution, which goes by bytes, would put them in too few.
+    """
 
     def __init__(self, df: DataFrame, partitioned: bool = False):
         ship(df.sparkSession)
-        self.df = df if partitioned else df.repartition("doc_id")
+        self.df = df if partitioned else df.repartition(shuffle_partitions(df.sparkSession), "doc_id")
 
     @classmethod
     def parse(cls, pages: DataFrame, **options) -> Nodes:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvan.operators.frame import Nodes, Selection, attr_value, checked
+from sylvan.session import ship, shuffle_partitions
 from sylvan.sources.pages import documents, extract, parse, render
-from sylvan.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,7 +34,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages")
+    """The pages, dealt to all cores where the files make too few partitions for that."""
+    rows = read(spark, sf_dir, "pages")
+    n = shuffle_partitions(spark)
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < min(n, spark.sparkContext.defaultParallelism) else rows
 
 
 def orders_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +54,8 @@ def orders_html(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<div class="order '), "o_orderstatus", F.lit('" id="o'), F.col("o_orderkey").cast("string"), F.lit('" data-prio="'), "o_orderpriority",
         F.lit('"><ul>'), F.coalesce("items", F.lit("")), F.lit("</ul></div>"),
     )
-    return rows.select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
+    pages = rows.select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
+    return pages.repartition(shuffle_partitions(spark), "page_id")  # few bytes, much parsing
 
 
 def page_nodes(spark: SparkSession, sf_dir: str) -> Nodes:

@@ -23,6 +23,10 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def builder(app: str = "sylvan", cores: int | str = "*", partitions: int = 8) -> SparkSession.Builder:
     """A local session with the settings that the library recommends."""
     return (
