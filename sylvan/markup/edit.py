@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from sylvan.markup.dom import Document, Node
 from sylvan.markup.treebuilder import parse_fragment
 
@@ -24,7 +26,9 @@ def copied(doc: Document, node: Node) -> Node:
     return top
 
 
+@lru_cache(64)
 def fragment_nodes(html: str) -> list[Node]:
+    """The top nodes of a fragment, parsed once a worker; they are only ever copied."""
     return parse_fragment(html).root.children[0].children[:]
 
 
