@@ -18,6 +18,7 @@ null ids only has a null id. Empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -266,7 +267,26 @@ def links(prints: DataFrame, *, distance: int = 3, most: int = 200_000, buffer:
 
 #: Of wide fingerprints: their 64-bit words, the tables of sampled bits, and the differing bits of 256 that
 #: texts of similarity 0.8 (Jaccard, of five-word shingles) have on average: 256 / pi * acos(2 * 0.8 / 1.8).
-WIDE, TABLES, WIDE_DISTANCE = 4, 40, 39
+#: LEAST_BITS are sampled for a table, of which there are TABLES then.
+WIDE, TABLES, WIDE_DISTANCE, LEAST_BITS = 4, 40, 39, 16
+
+
+def meeting(bits: int, distance: int) -> float:
+    """The chance that fingerprints which differ in `distance` wide bits agree in so many sampled ones, short of 0 and 1."""
+    chance = math.prod(max(0, 64 * WIDE - distance - i) / (64 * WIDE - i) for i in range(bits))
+    return min(max(chance, 1e-300), 1 - 1e-9)
+
+
+def sampled_bits(n: int, distance: int) -> list[np.ndarray]:
+    """The bits sampled for each table of n fingerprints.
+
+    The bits grow so that a key holds 2 ** 8 fingerprints by chance at most, and the tables with them so
+    that two at the distance meet in one of them as often as in TABLES tables of LEAST_BITS.
+    """
+    bits = max(LEAST_BITS, n.bit_length() - 8)
+    tables = math.ceil(TABLES * math.log1p(-meeting(LEAST_BITS, distance)) / math.log1p(-meeting(bits, distance)))
+    rng = np.random.default_rng(17)
+    return [rng.choice(64 * WIDE, bits, replace=False) for _ in range(tables)]
 
 
 def wide_fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, batch_bytes: int = 4 << 20) -> DataFrame:
@@ -289,22 +309,22 @@ def wide_fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def wide_links(prints: DataFrame, *, distance: int = WIDE_DISTANCE, buffer: int = 1 << 17, most: int = 200_000) -> DataFrame:
     """a, b: links between fingerprints at `distance` or fewer of the wide bits; prints: distinct fingerprint, w0, ...
 
-    Fingerprints meet in tables by sampled bits, so many of them that a chance meeting is rare, and by
-    the number of tables similar ones meet in one of them nearly always. Those of one key are put in
+    Fingerprints meet in tables by sampled bits, whose number of tables grows with that of the bits, so
+    that the chance of a meeting doesn't depend on the number of fingerprints. Those of one key are put in
     Gray order of their first word and searched by the index, whose word may differ in as many bits
     as leaves few out. A key of more than `most` fingerprints is dealt again by as many bits more.
     """
     ship(prints.sparkSession)
-    bits = max(16, int(prints.count()).bit_length() + 2)
-    rng = np.random.default_rng(17)
+    chosen = sampled_bits(prints.count(), distance)
+    rng = np.random.default_rng(18)
     names = [f"w{i}" for i in range(WIDE)]
 
     def sampled(t: int, own: np.ndarray):
         masks = [int(np.bitwise_or.reduce([np.uint64(1) << np.uint64(b % 64) for b in own if b // 64 == w] or [np.uint64(0)]).view(np.int64)) for w in range(WIDE)]
         return F.xxhash64(F.lit(t), *(F.col(n).bitwiseAND(F.lit(m)) for n, m in zip(names, masks, strict=True)))
 
-    chosen = [rng.choice(64 * WIDE, min(2 * bits, 64 * WIDE), replace=False) for _ in range(TABLES)]
-    keys = [F.struct(sampled(t, own[:bits]).alias("key"), sampled(t, own).alias("longer")) for t, own in enumerate(chosen)]
+    longer = [np.append(own, rng.permutation(np.setdiff1d(np.arange(64 * WIDE), own))[: len(own)]) for own in chosen]
+    keys = [F.struct(sampled(t, own).alias("key"), sampled(t, more).alias("longer")) for t, (own, more) in enumerate(zip(chosen, longer, strict=True))]
 
     def flush(group: np.ndarray, ids: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((gray_rank(words[:, 0]), group))
@@ -342,13 +362,10 @@ def wide_links(prints: DataFrame, *, distance: int = WIDE_DISTANCE, buffer: int
             yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     rows = prints.select(F.explode(F.array(*keys)).alias("k"), "fingerprint", *names).select("k.key", "k.longer", "fingerprint", *names)
-    met = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "met")
-    crowded = met.filter(F.col("n") > most)
+    crowded = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most), "crowded")
     if crowded.take(1):
         rows = rows.join(crowded.select("key", F.lit(True).alias("crowded")), "key", "left").withColumn("key", F.when(F.col("crowded"), F.col("longer")).otherwise(F.col("key"))).drop("crowded")
-        met = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "met")
-    met, rows = met.select("key"), rows.drop("longer")
-    return rows.join(met, "key", "left_semi").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return rows.drop("longer").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def near(words: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
