@@ -312,19 +312,19 @@ def wide_links(prints: DataFrame, *, distance: int = WIDE_DISTANCE, buffer: int
     Fingerprints meet in tables by sampled bits, whose number of tables grows with that of the bits, so
     that the chance of a meeting doesn't depend on the number of fingerprints. Those of one key are put in
     Gray order of their first word and searched by the index, whose word may differ in as many bits
-    as leaves few out. A key of more than `most` fingerprints is dealt again by as many bits more.
+    as leaves few out. A key of more than `most` fingerprints is cut into pieces of half as many, and
+    each two pieces are searched together, so none of its links is lost; the rows of a key of n
+    fingerprints are then read 2 n / most times.
     """
     ship(prints.sparkSession)
     chosen = sampled_bits(prints.count(), distance)
-    rng = np.random.default_rng(18)
     names = [f"w{i}" for i in range(WIDE)]
 
     def sampled(t: int, own: np.ndarray):
         masks = [int(np.bitwise_or.reduce([np.uint64(1) << np.uint64(b % 64) for b in own if b // 64 == w] or [np.uint64(0)]).view(np.int64)) for w in range(WIDE)]
         return F.xxhash64(F.lit(t), *(F.col(n).bitwiseAND(F.lit(m)) for n, m in zip(names, masks, strict=True)))
 
-    longer = [np.append(own, rng.permutation(np.setdiff1d(np.arange(64 * WIDE), own))[: len(own)]) for own in chosen]
-    keys = [F.struct(sampled(t, own).alias("key"), sampled(t, more).alias("longer")) for t, (own, more) in enumerate(zip(chosen, longer, strict=True))]
+    keys = [sampled(t, own) for t, own in enumerate(chosen)]
 
     def flush(group: np.ndarray, ids: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((gray_rank(words[:, 0]), group))
@@ -361,11 +361,16 @@ def wide_links(prints: DataFrame, *, distance: int = WIDE_DISTANCE, buffer: int
         if total:
             yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    rows = prints.select(F.explode(F.array(*keys)).alias("k"), "fingerprint", *names).select("k.key", "k.longer", "fingerprint", *names)
+    rows = prints.select(F.explode(F.array(*keys)).alias("key"), "fingerprint", *names)
     crowded = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most), "crowded")
     if crowded.take(1):
-        rows = rows.join(crowded.select("key", F.lit(True).alias("crowded")), "key", "left").withColumn("key", F.when(F.col("crowded"), F.col("longer")).otherwise(F.col("key"))).drop("crowded")
-    return rows.drop("longer").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+        crowded = crowded.select("key", F.ceil(F.col("n") * 2 / most).cast("int").alias("pieces"))
+        rows = rows.join(F.broadcast(crowded) if crowded.count() <= 100_000 else crowded, "key", "left")
+        rows = rows.withColumn("piece", F.pmod(F.xxhash64("fingerprint"), "pieces").cast("int"))
+        others = F.filter(F.sequence(F.lit(0), F.col("pieces") - 1), lambda p: p != F.col("piece"))
+        cells = F.transform(others, lambda p: F.xxhash64("key", F.least(p, "piece"), F.greatest(p, "piece")))
+        rows = rows.withColumn("key", F.explode(F.when(F.col("pieces").isNull(), F.array("key")).otherwise(cells))).drop("pieces", "piece")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def near(words: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:

@@ -183,3 +183,23 @@ def test_recall_does_not_fall_with_size(n):
             met += any(not differs[own].any() for own in tables)
         assert met >= least * 1000, (distance, met)
     assert n / 2 ** len(tables[0]) <= 256
+
+
+def wide_clusters(seed=5):
+    """Fingerprints of 256 bits around a few templates: many share sampled bits, and not all of those link."""
+    rng = np.random.default_rng(seed)
+    words = np.repeat(rng.integers(0, 2**63, (4, 4)).astype(np.uint64), 60, 0)
+    for i in range(len(words)):
+        for b in rng.choice(256, rng.integers(0, 50), replace=False):
+            words[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    return np.unique(words, axis=0)
+
+
+def test_crowded_keys_keep_all_links(spark):
+    words = wide_clusters()
+    rows = [(i, *map(int, w.view(np.int64))) for i, w in enumerate(words)]
+    prints = spark.createDataFrame(rows, "fingerprint long, w0 long, w1 long, w2 long, w3 long")
+    plain, *crowded = ({r.node: r.root for r in components(simhash.wide_links(prints, most=m)).collect()} for m in (200_000, 40, 1))
+    assert len(plain) > 100
+    for own in crowded:
+        assert own == plain
