@@ -310,9 +310,8 @@ def wide_links(prints: DataFrame, *, distance: int = WIDE_DISTANCE, buffer: int
     """a, b: links between fingerprints at `distance` or fewer of the wide bits; prints: distinct fingerprint, w0, ...
 
     Fingerprints meet in tables by sampled bits, whose number of tables grows with that of the bits, so
-    that the chance of a meeting doesn't depend on the number of fingerprints. Those of one key are put in
-    Gray order of their first word and searched by the index, whose word may differ in as many bits
-    as leaves few out. A key of more than `most` fingerprints is cut into pieces of half as many, and
+    that the chance of a meeting doesn't depend on the number of fingerprints. Those of one key are all
+    compared, but for those known to be of one component. A key of more than `most` fingerprints is cut into pieces of half as many, and
     each two pieces are searched together, so none of its links is lost; the rows of a key of n
     fingerprints are then read 2 n / most times.
     """
@@ -327,8 +326,6 @@ def wide_links(prints: DataFrame, *, distance: int = WIDE_DISTANCE, buffer: int
     keys = [sampled(t, own) for t, own in enumerate(chosen)]
 
     def flush(group: np.ndarray, ids: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((gray_rank(words[:, 0]), group))
-        group, ids, words = group[order], ids[order], words[order]
         first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         size = np.diff(np.append(first, len(group)))
         forest = Forest(len(ids))
@@ -338,9 +335,7 @@ def wide_links(prints: DataFrame, *, distance: int = WIDE_DISTANCE, buffer: int
             a = np.flatnonzero(np.repeat(small, size) & (left >= shift))
             forest.union(*near(words, a, a + shift, distance))
         for s, n in zip(first[~small], size[~small], strict=True):
-            own = Forest(n)
-            Index(words[s : s + n, 0], distance // WIDE + 12, wide=words[s : s + n], wide_distance=distance).link(own)
-            forest.parent[s : s + n] = own.roots(np.arange(n)) + s
+            forest.parent[s : s + n] = wide_forest(words[s : s + n], distance).roots(np.arange(n)) + s
         root = forest.roots(np.arange(len(ids)))
         linked = root != np.arange(len(ids))
         if linked.any():
@@ -373,6 +368,42 @@ def wide_links(prints: DataFrame, *, distance: int = WIDE_DISTANCE, buffer: int
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def wide_forest(words: np.ndarray, distance: int, pivots: int = 64, block: int = 1 << 16) -> Forest:
+    """The components of rows of words by their links at the distance; what is in one component already isn't compared."""
+    n = len(words)
+    forest, rest = Forest(n), np.arange(n)
+    for _ in range(pivots if n > 512 else 0):  # of near copies of one text, most are near the first of them
+        if len(rest) < 2:
+            break
+        close = np.bitwise_count(words[rest] ^ words[rest[0]]).sum(1) <= distance
+        forest.union(rest[close], np.full(close.sum(), rest[0]))
+        rest = rest[~close]
+    root = forest.roots(np.arange(n))
+    order = np.argsort(root, kind="stable")  # components so far stand together
+    root = root[order]
+    ends = np.searchsorted(root, root, "right")
+    start = 0
+    while start < n - 1:
+        step = max(1, block // (n - start))
+        stop = min(start + step, n)
+        if ends[start] > start + 1:  # a component, as a whole against those after it that it hasn't joined
+            stop = min(stop, int(ends[start]))
+            own = forest.roots(order[ends[start] :])
+            others = order[ends[start] :][own != forest.roots(order[start : start + 1])]
+        else:
+            others = order[start + 1 :]
+        query = order[start:stop]
+        for a in range(0, len(others), block):
+            part = others[a : a + block]
+            few = np.bitwise_count(words[query, None, 0] ^ words[None, part, 0]) + np.bitwise_count(words[query, None, 1] ^ words[None, part, 1])
+            if np.count_nonzero(few <= distance) > few.size // 16:  # of one template: the other words tell them apart
+                few = few.astype(np.uint16) + sum(np.bitwise_count(words[query, None, k] ^ words[None, part, k]).astype(np.uint16) for k in range(2, words.shape[1]))
+            i, j = np.nonzero(few <= distance)
+            forest.union(*near(words, query[i], part[j], distance))
+        start = stop
+    return forest
+
+
 def near(words: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Of pairs of rows of words, those that differ in so many bits at most."""
     keep = np.bitwise_count(words[a] ^ words[b]).sum(1) <= distance

@@ -203,3 +203,34 @@ def test_crowded_keys_keep_all_links(spark):
     assert len(plain) > 100
     for own in crowded:
         assert own == plain
+
+
+@pytest.mark.parametrize(("n", "pivots"), [(17, 64), (400, 64), (700, 64), (700, 3)])
+def test_wide_groups_against_brute_force(n, pivots):
+    """Links whose differing bits stand in one word or anywhere, in the search that groups beyond 16 take."""
+    rng = np.random.default_rng(n)
+    words = rng.integers(0, 2**63, (max(2, n // 30), 4)).astype(np.uint64)[rng.integers(0, max(2, n // 30), n)]
+    for i in range(n):
+        for b in rng.choice(64 if i % 2 else 256, rng.integers(0, 39), replace=False):
+            words[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    numbers = [sum(int(w) << (64 * k) for k, w in enumerate(row)) for row in words]
+    forest = simhash.wide_forest(words, WIDE_DISTANCE, pivots=pivots, block=300)
+    assert forest.roots(np.arange(n)).tolist() == grouped(numbers, list(range(n)), WIDE_DISTANCE)
+
+
+def test_links_in_one_word_are_found_in_groups_of_any_size(spark, monkeypatch):
+    """Two that differ in 30 bits of the first word link, whether their key holds 2 or 42."""
+    monkeypatch.setattr(simhash, "sampled_bits", lambda n, distance: [np.arange(192, 208)])
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 4).astype(np.uint64)
+    far = base.copy()
+    far[0] ^= np.uint64((1 << 30) - 1)
+    crowd = np.stack([base] * 40)  # 45 bits from the first, so no link
+    for row in crowd:
+        for b in rng.choice(np.arange(64, 192), 45, replace=False):
+            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    rows = [(i, *map(int, w.view(np.int64))) for i, w in enumerate([base, far, *crowd])]
+    for own in (rows[:2], rows):
+        prints = spark.createDataFrame(own, "fingerprint long, w0 long, w1 long, w2 long, w3 long")
+        roots = {r.node: r.root for r in components(simhash.wide_links(prints)).collect()}
+        assert roots.get(1) == 0
