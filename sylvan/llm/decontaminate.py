@@ -9,9 +9,11 @@ join into the longest verbatim matches, with their places in document and item.
 The benchmark is read in blocks of bounded size, each searched in turn inside the task, so neither
 driver nor executor holds more than one block; documents are never shuffled.
 
-Null texts have no words. Repeated rows give repeated results; items with equal texts all count. A
-document or item of no words matches nothing; empty tables give empty or clean results. Only the id
-and text columns are read for the search, so other columns can have any name.
+Null texts have no words. Items of null id are searched like others: their matches count as hit words
+and have a null item_id, and only `items` doesn't name them. Repeated rows give repeated results;
+items with equal texts all count. A document or item of no words matches nothing; empty tables give
+empty or clean results. Only the id and text columns are read for the search, so other columns can
+have any name.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ def words(text: bytes) -> list[bytes]:
 class Block:
     """A block of benchmark items: its vocabulary, its word pairs, and its windows by length."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.names = [name for name, _ in items]
         self.vocabulary: dict[bytes, int] = {}
         found: dict[int, dict[bytes, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
@@ -136,7 +138,7 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window:
     out = []
     for k in range(n):
         own = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        out.append(spark.sparkContext.broadcast(Block([(r.item, bytes(r.text)) for r in own.collect() if r.item is not None], window)))
+        out.append(spark.sparkContext.broadcast(Block([(r.item, bytes(r.text)) for r in own.collect()], window)))
     return out
 
 
@@ -157,8 +159,8 @@ def find_matches(
     def result(rows: list[pa.RecordBatch], texts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
         hits, matches = scan(texts, blocks)
         n = [len(t) for t in texts]
-        items = [sorted({m[0] for m in own}) for own in matches]
-        cells = [[dict(zip(("item_id", "doc_word", "item_word", "n_words"), m, strict=True)) for m in sorted(own)] for own in matches]
+        items = [sorted({m[0] for m in own} - {None}) for own in matches]
+        cells = [[dict(zip(("item_id", "doc_word", "item_word", "n_words"), m, strict=True)) for m in sorted(own, key=lambda m: (m[0] is None, m[0] or "", *m[1:]))] for own in matches]
         more = [pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(cells, found)]
         at = 0
         for batch in rows:

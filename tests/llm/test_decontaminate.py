@@ -56,3 +56,14 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert find_matches(none, items).count() == 0
     assert decontaminate(docs, items).count() == 1
+
+
+def test_items_without_an_id(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, "x " + item), (2, "nothing"), (3, item + " named " * 12)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, item), (None, None), (7, "named " * 10)], "item_id long, text string")
+    for options in ({}, {"block_bytes": 20}):
+        rows = {r.doc_id: r for r in find_matches(docs, items, **options).collect()}
+        assert [(rows[i].n_hit, rows[i]["items"]) for i in (1, 2, 3)] == [(12, []), (0, []), (24, ["7"])]
+        assert [m.item_id for m in rows[1].matches] == [None] and rows[3].matches[-1].item_id is None
+        assert [r.doc_id for r in decontaminate(docs, items, **options).collect()] == [2]
