@@ -1,4 +1,4 @@
-"""Licence texts and notices that scans compare with: fixed values, each from the licence's public text."""
+"""Licence texts and notices that scans compare with: fixed values, each from the licence's public text, full texts without apostrophes."""
 
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -57,4 +57,417 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("All-Rights-Reserved", "All rights reserved."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    (
+        "Apache-2.0",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "
+        '"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. "Licensor" '
+        'shall mean the copyright owner or entity authorized by the copyright owner that is granting the License. "Legal Entity" shall mean the union of the '
+        "acting entity and all other entities that control, are controlled by, or are under common control with that entity. For the purposes of this "
+        'definition, "control" means (i) the power, direct or indirect, to cause the direction or management of such entity, whether by contract or otherwise, '
+        'or (ii) ownership of fifty percent (50%) or more of the outstanding shares, or (iii) beneficial ownership of such entity. "You" (or "Your") shall mean '
+        'an individual or Legal Entity exercising permissions granted by this License. "Source" form shall mean the preferred form for making modifications, '
+        'including but not limited to software source code, documentation source, and configuration files. "Object" form shall mean any form resulting from '
+        "mechanical transformation or translation of a Source form, including but not limited to compiled object code, generated documentation, and conversions "
+        'to other media types. "Work" shall mean the work of authorship, whether in Source or Object form, made available under the License, as indicated by a '
+        'copyright notice that is included in or attached to the work (an example is provided in the Appendix below). "Derivative Works" shall mean any work, '
+        "whether in Source or Object form, that is based on (or derived from) the Work and for which the editorial revisions, annotations, elaborations, or "
+        "other modifications represent, as a whole, an original work of authorship. For the purposes of this License, Derivative Works shall not include works "
+        'that remain separable from, or merely link (or bind by name) to the interfaces of, the Work and Derivative Works thereof. "Contribution" shall mean '
+        "any work of authorship, including the original version of the Work and any modifications or additions to that Work or Derivative Works thereof, that "
+        "is intentionally submitted to Licensor for inclusion in the Work by the copyright owner or by an individual or Legal Entity authorized to submit on "
+        'behalf of the copyright owner. For the purposes of this definition, "submitted" means any form of electronic, verbal, or written communication sent to '
+        "the Licensor or its representatives, including but not limited to communication on electronic mailing lists, source code control systems, and issue "
+        "tracking systems that are managed by, or on behalf of, the Licensor for the purpose of discussing and improving the Work, but excluding communication "
+        'that is conspicuously marked or otherwise designated in writing by the copyright owner as "Not a Contribution." "Contributor" shall mean Licensor and '
+        "any individual or Legal Entity on behalf of whom a Contribution has been received by Licensor and subsequently incorporated within the Work. 2. Grant "
+        "of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, "
+        "non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, "
+        "sublicense, and distribute the Work and such Derivative Works in Source or Object form. 3. Grant of Patent License. Subject to the terms and "
+        "conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except "
+        "as stated in this section) patent license to make, have made, use, offer to sell, sell, import, and otherwise transfer the Work, where such license "
+        "applies only to those patent claims licensable by such Contributor that are necessarily infringed by their Contribution(s) alone or by combination of "
+        "their Contribution(s) with the Work to which such Contribution(s) was submitted. If You institute patent litigation against any entity (including a "
+        "cross-claim or counterclaim in a lawsuit) alleging that the Work or a Contribution incorporated within the Work constitutes direct or contributory "
+        "patent infringement, then any patent licenses granted to You under this License for that Work shall terminate as of the date such litigation is filed. "
+        "4. Redistribution. You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications, and "
+        "in Source or Object form, provided that You meet the following conditions: (a) You must give any other recipients of the Work or Derivative Works a "
+        "copy of this License; and (b) You must cause any modified files to carry prominent notices stating that You changed the files; and (c) You must "
+        "retain, in the Source form of any Derivative Works that You distribute, all copyright, patent, trademark, and attribution notices from the Source form "
+        'of the Work, excluding those notices that do not pertain to any part of the Derivative Works; and (d) If the Work includes a "NOTICE" text file as '
+        "part of its distribution, then any Derivative Works that You distribute must include a readable copy of the attribution notices contained within such "
+        "NOTICE file, excluding those notices that do not pertain to any part of the Derivative Works, in at least one of the following places: within a NOTICE "
+        "text file distributed as part of the Derivative Works; within the Source form or documentation, if provided along with the Derivative Works; or, "
+        "within a display generated by the Derivative Works, if and wherever such third-party notices normally appear. The contents of the NOTICE file are for "
+        "informational purposes only and do not modify the License. You may add Your own attribution notices within Derivative Works that You distribute, "
+        "alongside or as an addendum to the NOTICE text from the Work, provided that such additional attribution notices cannot be construed as modifying the "
+        "License. You may add Your own copyright statement to Your modifications and may provide additional or different license terms and conditions for use, "
+        "reproduction, or distribution of Your modifications, or for any such Derivative Works as a whole, provided Your use, reproduction, and distribution of "
+        "the Work otherwise complies with the conditions stated in this License. 5. Submission of Contributions. Unless You explicitly state otherwise, any "
+        "Contribution intentionally submitted for inclusion in the Work by You to the Licensor shall be under the terms and conditions of this License, without "
+        "any additional terms or conditions. Notwithstanding the above, nothing herein shall supersede or modify the terms of any separate license agreement "
+        "you may have executed with Licensor regarding such Contributions. 6. Trademarks. This License does not grant permission to use the trade names, "
+        "trademarks, service marks, or product names of the Licensor, except as required for reasonable and customary use in describing the origin of the Work "
+        "and reproducing the content of the NOTICE file. 7. Disclaimer of Warranty. Unless required by applicable law or agreed to in writing, Licensor "
+        'provides the Work (and each Contributor provides its Contributions) on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express '
+        "or implied, including, without limitation, any warranties or conditions of TITLE, NON-INFRINGEMENT, MERCHANTABILITY, or FITNESS FOR A PARTICULAR "
+        "PURPOSE. You are solely responsible for determining the appropriateness of using or redistributing the Work and assume any risks associated with Your "
+        "exercise of permissions under this License. 8. Limitation of Liability. In no event and under no legal theory, whether in tort (including negligence), "
+        "contract, or otherwise, unless required by applicable law (such as deliberate and grossly negligent acts) or agreed to in writing, shall any "
+        "Contributor be liable to You for damages, including any direct, indirect, special, incidental, or consequential damages of any character arising as a "
+        "result of this License or out of the use or inability to use the Work (including but not limited to damages for loss of goodwill, work stoppage, "
+        "computer failure or malfunction, or any and all other commercial damages or losses), even if such Contributor has been advised of the possibility of "
+        "such damages. 9. Accepting Warranty or Additional Liability. While redistributing the Work or Derivative Works thereof, You may choose to offer, and "
+        "charge a fee for, acceptance of support, warranty, indemnity, or other liability obligations and/or rights consistent with this License. However, in "
+        "accepting such obligations, You may act only on Your own behalf and on Your sole responsibility, not on behalf of any other Contributor, and only if "
+        "You agree to indemnify, defend, and hold each Contributor harmless for any liability incurred by, or claims asserted against, such Contributor by "
+        "reason of your accepting any such warranty or additional liability. END OF TERMS AND CONDITIONS APPENDIX: How to apply the Apache License to your "
+        'work. To apply the Apache License to your work, attach the following boilerplate notice, with the fields enclosed by brackets "[]" replaced with your '
+        "own identifying information. (Don t include the brackets!) The text should be enclosed in the appropriate comment syntax for the file format. We also "
+        'recommend that a file or class name and description of purpose be included on the same "printed page" as the copyright notice for easier '
+        'identification within third-party archives. Copyright [yyyy] [name of copyright owner] Licensed under the Apache License, Version 2.0 (the "License"); '
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT '
+        "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under "
+        "the License."
+    ),
+    (
+        "GPL-2.0",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA "
+        "02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The "
+        "licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to "
+        "guarantee your freedom to share and change free software--to make sure the software is free for all its users. This General Public License applies to "
+        "most of the Free Software Foundation s software and to any other program whose authors commit to using it. (Some other Free Software Foundation "
+        "software is covered by the GNU Lesser General Public License instead.) You can apply it to your programs, too. When we speak of free software, we are "
+        "referring to freedom, not price. Our General Public Licenses are designed to make sure that you have the freedom to distribute copies of free software "
+        "(and charge for this service if you wish), that you receive source code or can get it if you want it, that you can change the software or use pieces "
+        "of it in new free programs; and that you know you can do these things. To protect your rights, we need to make restrictions that forbid anyone to deny "
+        "you these rights or to ask you to surrender the rights. These restrictions translate to certain responsibilities for you if you distribute copies of "
+        "the software, or if you modify it. For example, if you distribute copies of such a program, whether gratis or for a fee, you must give the recipients "
+        "all the rights that you have. You must make sure that they, too, receive or can get the source code. And you must show them these terms so they know "
+        "their rights. We protect your rights with two steps: (1) copyright the software, and (2) offer you this license which gives you legal permission to "
+        "copy, distribute and/or modify the software. Also, for each author s protection and ours, we want to make certain that everyone understands that there "
+        "is no warranty for this free software. If the software is modified by someone else and passed on, we want its recipients to know that what they have "
+        "is not the original, so that any problems introduced by others will not reflect on the original authors reputations. Finally, any free program is "
+        "threatened constantly by software patents. We wish to avoid the danger that redistributors of a free program will individually obtain patent licenses, "
+        "in effect making the program proprietary. To prevent this, we have made it clear that any patent must be licensed for everyone s free use or not "
+        "licensed at all. The precise terms and conditions for copying, distribution and modification follow. GNU GENERAL PUBLIC LICENSE TERMS AND CONDITIONS "
+        "FOR COPYING, DISTRIBUTION AND MODIFICATION 0. This License applies to any program or other work which contains a notice placed by the copyright holder "
+        'saying it may be distributed under the terms of this General Public License. The "Program", below, refers to any such program or work, and a "work '
+        'based on the Program" means either the Program or any derivative work under copyright law: that is to say, a work containing the Program or a portion '
+        "of it, either verbatim or with modifications and/or translated into another language. (Hereinafter, translation is included without limitation in the "
+        'term "modification".) Each licensee is addressed as "you". Activities other than copying, distribution and modification are not covered by this '
+        "License; they are outside its scope. The act of running the Program is not restricted, and the output from the Program is covered only if its contents "
+        "constitute a work based on the Program (independent of having been made by running the Program). Whether that is true depends on what the Program "
+        "does. 1. You may copy and distribute verbatim copies of the Program s source code as you receive it, in any medium, provided that you conspicuously "
+        "and appropriately publish on each copy an appropriate copyright notice and disclaimer of warranty; keep intact all the notices that refer to this "
+        "License and to the absence of any warranty; and give any other recipients of the Program a copy of this License along with the Program. You may charge "
+        "a fee for the physical act of transferring a copy, and you may at your option offer warranty protection in exchange for a fee. 2. You may modify your "
+        "copy or copies of the Program or any portion of it, thus forming a work based on the Program, and copy and distribute such modifications or work under "
+        "the terms of Section 1 above, provided that you also meet all of these conditions: a) You must cause the modified files to carry prominent notices "
+        "stating that you changed the files and the date of any change. b) You must cause any work that you distribute or publish, that in whole or in part "
+        "contains or is derived from the Program or any part thereof, to be licensed as a whole at no charge to all third parties under the terms of this "
+        "License. c) If the modified program normally reads commands interactively when run, you must cause it, when started running for such interactive use "
+        "in the most ordinary way, to print or display an announcement including an appropriate copyright notice and a notice that there is no warranty (or "
+        "else, saying that you provide a warranty) and that users may redistribute the program under these conditions, and telling the user how to view a copy "
+        "of this License. (Exception: if the Program itself is interactive but does not normally print such an announcement, your work based on the Program is "
+        "not required to print an announcement.) These requirements apply to the modified work as a whole. If identifiable sections of that work are not "
+        "derived from the Program, and can be reasonably considered independent and separate works in themselves, then this License, and its terms, do not "
+        "apply to those sections when you distribute them as separate works. But when you distribute the same sections as part of a whole which is a work based "
+        "on the Program, the distribution of the whole must be on the terms of this License, whose permissions for other licensees extend to the entire whole, "
+        "and thus to each and every part regardless of who wrote it. Thus, it is not the intent of this section to claim rights or contest your rights to work "
+        "written entirely by you; rather, the intent is to exercise the right to control the distribution of derivative or collective works based on the "
+        "Program. In addition, mere aggregation of another work not based on the Program with the Program (or with a work based on the Program) on a volume of "
+        "a storage or distribution medium does not bring the other work under the scope of this License. 3. You may copy and distribute the Program (or a work "
+        "based on it, under Section 2) in object code or executable form under the terms of Sections 1 and 2 above provided that you also do one of the "
+        "following: a) Accompany it with the complete corresponding machine-readable source code, which must be distributed under the terms of Sections 1 and 2 "
+        "above on a medium customarily used for software interchange; or, b) Accompany it with a written offer, valid for at least three years, to give any "
+        "third party, for a charge no more than your cost of physically performing source distribution, a complete machine-readable copy of the corresponding "
+        "source code, to be distributed under the terms of Sections 1 and 2 above on a medium customarily used for software interchange; or, c) Accompany it "
+        "with the information you received as to the offer to distribute corresponding source code. (This alternative is allowed only for noncommercial "
+        "distribution and only if you received the program in object code or executable form with such an offer, in accord with Subsection b above.) The source "
+        "code for a work means the preferred form of the work for making modifications to it. For an executable work, complete source code means all the source "
+        "code for all modules it contains, plus any associated interface definition files, plus the scripts used to control compilation and installation of the "
+        "executable. However, as a special exception, the source code distributed need not include anything that is normally distributed (in either source or "
+        "binary form) with the major components (compiler, kernel, and so on) of the operating system on which the executable runs, unless that component "
+        "itself accompanies the executable. If distribution of executable or object code is made by offering access to copy from a designated place, then "
+        "offering equivalent access to copy the source code from the same place counts as distribution of the source code, even though third parties are not "
+        "compelled to copy the source along with the object code. 4. You may not copy, modify, sublicense, or distribute the Program except as expressly "
+        "provided under this License. Any attempt otherwise to copy, modify, sublicense or distribute the Program is void, and will automatically terminate "
+        "your rights under this License. However, parties who have received copies, or rights, from you under this License will not have their licenses "
+        "terminated so long as such parties remain in full compliance. 5. You are not required to accept this License, since you have not signed it. However, "
+        "nothing else grants you permission to modify or distribute the Program or its derivative works. These actions are prohibited by law if you do not "
+        "accept this License. Therefore, by modifying or distributing the Program (or any work based on the Program), you indicate your acceptance of this "
+        "License to do so, and all its terms and conditions for copying, distributing or modifying the Program or works based on it. 6. Each time you "
+        "redistribute the Program (or any work based on the Program), the recipient automatically receives a license from the original licensor to copy, "
+        "distribute or modify the Program subject to these terms and conditions. You may not impose any further restrictions on the recipients exercise of the "
+        "rights granted herein. You are not responsible for enforcing compliance by third parties to this License. 7. If, as a consequence of a court judgment "
+        "or allegation of patent infringement or for any other reason (not limited to patent issues), conditions are imposed on you (whether by court order, "
+        "agreement or otherwise) that contradict the conditions of this License, they do not excuse you from the conditions of this License. If you cannot "
+        "distribute so as to satisfy simultaneously your obligations under this License and any other pertinent obligations, then as a consequence you may not "
+        "distribute the Program at all. For example, if a patent license would not permit royalty-free redistribution of the Program by all those who receive "
+        "copies directly or indirectly through you, then the only way you could satisfy both it and this License would be to refrain entirely from distribution "
+        "of the Program. If any portion of this section is held invalid or unenforceable under any particular circumstance, the balance of the section is "
+        "intended to apply and the section as a whole is intended to apply in other circumstances. It is not the purpose of this section to induce you to "
+        "infringe any patents or other property right claims or to contest validity of any such claims; this section has the sole purpose of protecting the "
+        "integrity of the free software distribution system, which is implemented by public license practices. Many people have made generous contributions to "
+        "the wide range of software distributed through that system in reliance on consistent application of that system; it is up to the author/donor to "
+        "decide if he or she is willing to distribute software through any other system and a licensee cannot impose that choice. This section is intended to "
+        "make thoroughly clear what is believed to be a consequence of the rest of this License. 8. If the distribution and/or use of the Program is restricted "
+        "in certain countries either by patents or by copyrighted interfaces, the original copyright holder who places the Program under this License may add "
+        "an explicit geographical distribution limitation excluding those countries, so that distribution is permitted only in or among countries not thus "
+        "excluded. In such case, this License incorporates the limitation as if written in the body of this License. 9. The Free Software Foundation may "
+        "publish revised and/or new versions of the General Public License from time to time. Such new versions will be similar in spirit to the present "
+        "version, but may differ in detail to address new problems or concerns. Each version is given a distinguishing version number. If the Program specifies "
+        'a version number of this License which applies to it and "any later version", you have the option of following the terms and conditions either of that '
+        "version or of any later version published by the Free Software Foundation. If the Program does not specify a version number of this License, you may "
+        "choose any version ever published by the Free Software Foundation. 10. If you wish to incorporate parts of the Program into other free programs whose "
+        "distribution conditions are different, write to the author to ask for permission. For software which is copyrighted by the Free Software Foundation, "
+        "write to the Free Software Foundation; we sometimes make exceptions for this. Our decision will be guided by the two goals of preserving the free "
+        "status of all derivatives of our free software and of promoting the sharing and reuse of software generally. NO WARRANTY 11. BECAUSE THE PROGRAM IS "
+        "LICENSED FREE OF CHARGE, THERE IS NO WARRANTY FOR THE PROGRAM, TO THE EXTENT PERMITTED BY APPLICABLE LAW. EXCEPT WHEN OTHERWISE STATED IN WRITING THE "
+        'COPYRIGHT HOLDERS AND/OR OTHER PARTIES PROVIDE THE PROGRAM "AS IS" WITHOUT WARRANTY OF ANY KIND, EITHER EXPRESSED OR IMPLIED, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE. THE ENTIRE RISK AS TO THE QUALITY AND PERFORMANCE OF THE "
+        "PROGRAM IS WITH YOU. SHOULD THE PROGRAM PROVE DEFECTIVE, YOU ASSUME THE COST OF ALL NECESSARY SERVICING, REPAIR OR CORRECTION. 12. IN NO EVENT UNLESS "
+        "REQUIRED BY APPLICABLE LAW OR AGREED TO IN WRITING WILL ANY COPYRIGHT HOLDER, OR ANY OTHER PARTY WHO MAY MODIFY AND/OR REDISTRIBUTE THE PROGRAM AS "
+        "PERMITTED ABOVE, BE LIABLE TO YOU FOR DAMAGES, INCLUDING ANY GENERAL, SPECIAL, INCIDENTAL OR CONSEQUENTIAL DAMAGES ARISING OUT OF THE USE OR INABILITY "
+        "TO USE THE PROGRAM (INCLUDING BUT NOT LIMITED TO LOSS OF DATA OR DATA BEING RENDERED INACCURATE OR LOSSES SUSTAINED BY YOU OR THIRD PARTIES OR A "
+        "FAILURE OF THE PROGRAM TO OPERATE WITH ANY OTHER PROGRAMS), EVEN IF SUCH HOLDER OR OTHER PARTY HAS BEEN ADVISED OF THE POSSIBILITY OF SUCH DAMAGES. "
+        "END OF TERMS AND CONDITIONS How to Apply These Terms to Your New Programs If you develop a new program, and you want it to be of the greatest possible "
+        "use to the public, the best way to achieve this is to make it free software which everyone can redistribute and change under these terms. To do so, "
+        "attach the following notices to the program. It is safest to attach them to the start of each source file to most effectively convey the exclusion of "
+        'warranty; and each file should have at least the "copyright" line and a pointer to where the full notice is found. <one line to give the program s '
+        "name and a brief idea of what it does.> Copyright (C) <year> <name of author> This program is free software; you can redistribute it and/or modify it "
+        "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) "
+        "any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU "
+        "General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA "
+        "02110-1301 USA. Also add information on how to contact you by electronic and paper mail. If the program is interactive, make it output a short notice "
+        "like this when it starts in an interactive mode: Gnomovision version 69, Copyright (C) year name of author Gnomovision comes with ABSOLUTELY NO "
+        "WARRANTY; for details type `show w . This is free software, and you are welcome to redistribute it under certain conditions; type `show c for details. "
+        "The hypothetical commands `show w and `show c should show the appropriate parts of the General Public License. Of course, the commands you use may be "
+        "called something other than `show w and `show c ; they could even be mouse-clicks or menu items--whatever suits your program. You should also get your "
+        'employer (if you work as a programmer) or your school, if any, to sign a "copyright disclaimer" for the program, if necessary. Here is a sample; alter '
+        "the names: Yoyodyne, Inc., hereby disclaims all copyright interest in the program `Gnomovision (which makes passes at compilers) written by James "
+        "Hacker. <signature of Ty Coon>, 1 April 1989 Ty Coon, President of Vice This General Public License does not permit incorporating your program into "
+        "proprietary programs. If your program is a subroutine library, you may consider it more useful to permit linking proprietary applications with the "
+        "library. If this is what you want to do, use the GNU Lesser General Public License instead of this License."
+    ),
+    (
+        "LGPL-3.0",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted "
+        "to copy and distribute verbatim copies of this license document, but changing it is not allowed. This version of the GNU Lesser General Public License "
+        "incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below. 0. "
+        'Additional Definitions. As used herein, "this License" refers to version 3 of the GNU Lesser General Public License, and the "GNU GPL" refers to '
+        'version 3 of the GNU General Public License. "The Library" refers to a covered work governed by this License, other than an Application or a Combined '
+        'Work as defined below. An "Application" is any work that makes use of an interface provided by the Library, but which is not otherwise based on the '
+        'Library. Defining a subclass of a class defined by the Library is deemed a mode of using an interface provided by the Library. A "Combined Work" is a '
+        "work produced by combining or linking an Application with the Library. The particular version of the Library with which the Combined Work was made is "
+        'also called the "Linked Version". The "Minimal Corresponding Source" for a Combined Work means the Corresponding Source for the Combined Work, '
+        "excluding any source code for portions of the Combined Work that, considered in isolation, are based on the Application, and not on the Linked "
+        'Version. The "Corresponding Application Code" for a Combined Work means the object code and/or source code for the Application, including any data and '
+        "utility programs needed for reproducing the Combined Work from the Application, but excluding the System Libraries of the Combined Work. 1. Exception "
+        "to Section 3 of the GNU GPL. You may convey a covered work under sections 3 and 4 of this License without being bound by section 3 of the GNU GPL. 2. "
+        "Conveying Modified Versions. If you modify a copy of the Library, and, in your modifications, a facility refers to a function or data to be supplied "
+        "by an Application that uses the facility (other than as an argument passed when the facility is invoked), then you may convey a copy of the modified "
+        "version: a) under this License, provided that you make a good faith effort to ensure that, in the event an Application does not supply the function or "
+        "data, the facility still operates, and performs whatever part of its purpose remains meaningful, or b) under the GNU GPL, with none of the additional "
+        "permissions of this License applicable to that copy. 3. Object Code Incorporating Material from Library Header Files. The object code form of an "
+        "Application may incorporate material from a header file that is part of the Library. You may convey such object code under terms of your choice, "
+        "provided that, if the incorporated material is not limited to numerical parameters, data structure layouts and accessors, or small macros, inline "
+        "functions and templates (ten or fewer lines in length), you do both of the following: a) Give prominent notice with each copy of the object code that "
+        "the Library is used in it and that the Library and its use are covered by this License. b) Accompany the object code with a copy of the GNU GPL and "
+        "this license document. 4. Combined Works. You may convey a Combined Work under terms of your choice that, taken together, effectively do not restrict "
+        "modification of the portions of the Library contained in the Combined Work and reverse engineering for debugging such modifications, if you also do "
+        "each of the following: a) Give prominent notice with each copy of the Combined Work that the Library is used in it and that the Library and its use "
+        "are covered by this License. b) Accompany the Combined Work with a copy of the GNU GPL and this license document. c) For a Combined Work that displays "
+        "copyright notices during execution, include the copyright notice for the Library among these notices, as well as a reference directing the user to the "
+        "copies of the GNU GPL and this license document. d) Do one of the following: 0) Convey the Minimal Corresponding Source under the terms of this "
+        "License, and the Corresponding Application Code in a form suitable for, and under terms that permit, the user to recombine or relink the Application "
+        "with a modified version of the Linked Version to produce a modified Combined Work, in the manner specified by section 6 of the GNU GPL for conveying "
+        "Corresponding Source. 1) Use a suitable shared library mechanism for linking with the Library. A suitable mechanism is one that (a) uses at run time a "
+        "copy of the Library already present on the user s computer system, and (b) will operate properly with a modified version of the Library that is "
+        "interface-compatible with the Linked Version. e) Provide Installation Information, but only if you would otherwise be required to provide such "
+        "information under section 6 of the GNU GPL, and only to the extent that such information is necessary to install and execute a modified version of the "
+        "Combined Work produced by recombining or relinking the Application with a modified version of the Linked Version. (If you use option 4d0, the "
+        "Installation Information must accompany the Minimal Corresponding Source and Corresponding Application Code. If you use option 4d1, you must provide "
+        "the Installation Information in the manner specified by section 6 of the GNU GPL for conveying Corresponding Source.) 5. Combined Libraries. You may "
+        "place library facilities that are a work based on the Library side by side in a single library together with other library facilities that are not "
+        "Applications and are not covered by this License, and convey such a combined library under terms of your choice, if you do both of the following: a) "
+        "Accompany the combined library with a copy of the same work based on the Library, uncombined with any other library facilities, conveyed under the "
+        "terms of this License. b) Give prominent notice with the combined library that part of it is a work based on the Library, and explaining where to find "
+        "the accompanying uncombined form of the same work. 6. Revised Versions of the GNU Lesser General Public License. The Free Software Foundation may "
+        "publish revised and/or new versions of the GNU Lesser General Public License from time to time. Such new versions will be similar in spirit to the "
+        "present version, but may differ in detail to address new problems or concerns. Each version is given a distinguishing version number. If the Library "
+        'as you received it specifies that a certain numbered version of the GNU Lesser General Public License "or any later version" applies to it, you have '
+        "the option of following the terms and conditions either of that published version or of any later version published by the Free Software Foundation. "
+        "If the Library as you received it does not specify a version number of the GNU Lesser General Public License, you may choose any version of the GNU "
+        "Lesser General Public License ever published by the Free Software Foundation. If the Library as you received it specifies that a proxy can decide "
+        "whether future versions of the GNU Lesser General Public License shall apply, that proxy s public statement of acceptance of any version is permanent "
+        "authorization for you to choose that version for the Library."
+    ),
+    (
+        "MPL-2.0",
+        'Mozilla Public License Version 2.0 ================================== 1. Definitions -------------- 1.1. "Contributor" means each individual or legal '
+        'entity that creates, contributes to the creation of, or owns Covered Software. 1.2. "Contributor Version" means the combination of the Contributions '
+        'of others (if any) used by a Contributor and that particular Contributor s Contribution. 1.3. "Contribution" means Covered Software of a particular '
+        'Contributor. 1.4. "Covered Software" means Source Code Form to which the initial Contributor has attached the notice in Exhibit A, the Executable Form '
+        'of such Source Code Form, and Modifications of such Source Code Form, in each case including portions thereof. 1.5. "Incompatible With Secondary '
+        'Licenses" means (a) that the initial Contributor has attached the notice described in Exhibit B to the Covered Software; or (b) that the Covered '
+        "Software was made available under the terms of version 1.1 or earlier of the License, but not also under the terms of a Secondary License. 1.6. "
+        '"Executable Form" means any form of the work other than Source Code Form. 1.7. "Larger Work" means a work that combines Covered Software with other '
+        'material, in a separate file or files, that is not Covered Software. 1.8. "License" means this document. 1.9. "Licensable" means having the right to '
+        "grant, to the maximum extent possible, whether at the time of the initial grant or subsequently, any and all of the rights conveyed by this License. "
+        '1.10. "Modifications" means any of the following: (a) any file in Source Code Form that results from an addition to, deletion from, or modification of '
+        'the contents of Covered Software; or (b) any new file in Source Code Form that contains any Covered Software. 1.11. "Patent Claims" of a Contributor '
+        "means any patent claim(s), including without limitation, method, process, and apparatus claims, in any patent Licensable by such Contributor that "
+        "would be infringed, but for the grant of the License, by the making, using, selling, offering for sale, having made, import, or transfer of either its "
+        'Contributions or its Contributor Version. 1.12. "Secondary License" means either the GNU General Public License, Version 2.0, the GNU Lesser General '
+        'Public License, Version 2.1, the GNU Affero General Public License, Version 3.0, or any later versions of those licenses. 1.13. "Source Code Form" '
+        'means the form of the work preferred for making modifications. 1.14. "You" (or "Your") means an individual or a legal entity exercising rights under '
+        'this License. For legal entities, "You" includes any entity that controls, is controlled by, or is under common control with You. For purposes of this '
+        'definition, "control" means (a) the power, direct or indirect, to cause the direction or management of such entity, whether by contract or otherwise, '
+        "or (b) ownership of more than fifty percent (50%) of the outstanding shares or beneficial ownership of such entity. 2. License Grants and Conditions "
+        "-------------------------------- 2.1. Grants Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license: (a) under "
+        "intellectual property rights (other than patent or trademark) Licensable by such Contributor to use, reproduce, make available, modify, display, "
+        "perform, distribute, and otherwise exploit its Contributions, either on an unmodified basis, with Modifications, or as part of a Larger Work; and (b) "
+        "under Patent Claims of such Contributor to make, use, sell, offer for sale, have made, import, and otherwise transfer either its Contributions or its "
+        "Contributor Version. 2.2. Effective Date The licenses granted in Section 2.1 with respect to any Contribution become effective for each Contribution "
+        "on the date the Contributor first distributes such Contribution. 2.3. Limitations on Grant Scope The licenses granted in this Section 2 are the only "
+        "rights granted under this License. No additional rights or licenses will be implied from the distribution or licensing of Covered Software under this "
+        "License. Notwithstanding Section 2.1(b) above, no patent license is granted by a Contributor: (a) for any code that a Contributor has removed from "
+        "Covered Software; or (b) for infringements caused by: (i) Your and any other third party s modifications of Covered Software, or (ii) the combination "
+        "of its Contributions with other software (except as part of its Contributor Version); or (c) under Patent Claims infringed by Covered Software in the "
+        "absence of its Contributions. This License does not grant any rights in the trademarks, service marks, or logos of any Contributor (except as may be "
+        "necessary to comply with the notice requirements in Section 3.4). 2.4. Subsequent Licenses No Contributor makes additional grants as a result of Your "
+        "choice to distribute the Covered Software under a subsequent version of this License (see Section 10.2) or under the terms of a Secondary License (if "
+        "permitted under the terms of Section 3.3). 2.5. Representation Each Contributor represents that the Contributor believes its Contributions are its "
+        "original creation(s) or it has sufficient rights to grant the rights to its Contributions conveyed by this License. 2.6. Fair Use This License is not "
+        "intended to limit any rights You have under applicable copyright doctrines of fair use, fair dealing, or other equivalents. 2.7. Conditions Sections "
+        "3.1, 3.2, 3.3, and 3.4 are conditions of the licenses granted in Section 2.1. 3. Responsibilities ------------------- 3.1. Distribution of Source Form "
+        "All distribution of Covered Software in Source Code Form, including any Modifications that You create or to which You contribute, must be under the "
+        "terms of this License. You must inform recipients that the Source Code Form of the Covered Software is governed by the terms of this License, and how "
+        "they can obtain a copy of this License. You may not attempt to alter or restrict the recipients rights in the Source Code Form. 3.2. Distribution of "
+        "Executable Form If You distribute Covered Software in Executable Form then: (a) such Covered Software must also be made available in Source Code Form, "
+        "as described in Section 3.1, and You must inform recipients of the Executable Form how they can obtain a copy of such Source Code Form by reasonable "
+        "means in a timely manner, at a charge no more than the cost of distribution to the recipient; and (b) You may distribute such Executable Form under "
+        "the terms of this License, or sublicense it under different terms, provided that the license for the Executable Form does not attempt to limit or "
+        "alter the recipients rights in the Source Code Form under this License. 3.3. Distribution of a Larger Work You may create and distribute a Larger Work "
+        "under terms of Your choice, provided that You also comply with the requirements of this License for the Covered Software. If the Larger Work is a "
+        "combination of Covered Software with a work governed by one or more Secondary Licenses, and the Covered Software is not Incompatible With Secondary "
+        "Licenses, this License permits You to additionally distribute such Covered Software under the terms of such Secondary License(s), so that the "
+        "recipient of the Larger Work may, at their option, further distribute the Covered Software under the terms of either this License or such Secondary "
+        "License(s). 3.4. Notices You may not remove or alter the substance of any license notices (including copyright notices, patent notices, disclaimers of "
+        "warranty, or limitations of liability) contained within the Source Code Form of the Covered Software, except that You may alter any license notices to "
+        "the extent required to remedy known factual inaccuracies. 3.5. Application of Additional Terms You may choose to offer, and to charge a fee for, "
+        "warranty, support, indemnity or liability obligations to one or more recipients of Covered Software. However, You may do so only on Your own behalf, "
+        "and not on behalf of any Contributor. You must make it absolutely clear that any such warranty, support, indemnity, or liability obligation is offered "
+        "by You alone, and You hereby agree to indemnify every Contributor for any liability incurred by such Contributor as a result of warranty, support, "
+        "indemnity or liability terms You offer. You may include additional disclaimers of warranty and limitations of liability specific to any jurisdiction. "
+        "4. Inability to Comply Due to Statute or Regulation --------------------------------------------------- If it is impossible for You to comply with any "
+        "of the terms of this License with respect to some or all of the Covered Software due to statute, judicial order, or regulation then You must: (a) "
+        "comply with the terms of this License to the maximum extent possible; and (b) describe the limitations and the code they affect. Such description must "
+        "be placed in a text file included with all distributions of the Covered Software under this License. Except to the extent prohibited by statute or "
+        "regulation, such description must be sufficiently detailed for a recipient of ordinary skill to be able to understand it. 5. Termination "
+        "-------------- 5.1. The rights granted under this License will terminate automatically if You fail to comply with any of its terms. However, if You "
+        "become compliant, then the rights granted under this License from a particular Contributor are reinstated (a) provisionally, unless and until such "
+        "Contributor explicitly and finally terminates Your grants, and (b) on an ongoing basis, if such Contributor fails to notify You of the non-compliance "
+        "by some reasonable means prior to 60 days after You have come back into compliance. Moreover, Your grants from a particular Contributor are reinstated "
+        "on an ongoing basis if such Contributor notifies You of the non-compliance by some reasonable means, this is the first time You have received notice "
+        "of non-compliance with this License from such Contributor, and You become compliant prior to 30 days after Your receipt of the notice. 5.2. If You "
+        "initiate litigation against any entity by asserting a patent infringement claim (excluding declaratory judgment actions, counter-claims, and "
+        "cross-claims) alleging that a Contributor Version directly or indirectly infringes any patent, then the rights granted to You by any and all "
+        "Contributors for the Covered Software under Section 2.1 of this License shall terminate. 5.3. In the event of termination under Sections 5.1 or 5.2 "
+        "above, all end user license agreements (excluding distributors and resellers) which have been validly granted by You or Your distributors under this "
+        "License prior to termination shall survive termination. ************************************************************************ * * * 6. Disclaimer "
+        'of Warranty * * ------------------------- * * * * Covered Software is provided under this License on an "as is" * * basis, without warranty of any '
+        "kind, either expressed, implied, or * * statutory, including, without limitation, warranties that the * * Covered Software is free of defects, "
+        "merchantable, fit for a * * particular purpose or non-infringing. The entire risk as to the * * quality and performance of the Covered Software is "
+        "with You. * * Should any Covered Software prove defective in any respect, You * * (not any Contributor) assume the cost of any necessary servicing, * "
+        "* repair, or correction. This disclaimer of warranty constitutes an * * essential part of this License. No use of any Covered Software is * * "
+        "authorized under this License except under this disclaimer. * * * ************************************************************************ "
+        "************************************************************************ * * * 7. Limitation of Liability * * -------------------------- * * * * Under "
+        "no circumstances and under no legal theory, whether tort * * (including negligence), contract, or otherwise, shall any * * Contributor, or anyone who "
+        "distributes Covered Software as * * permitted above, be liable to You for any direct, indirect, * * special, incidental, or consequential damages of "
+        "any character * * including, without limitation, damages for lost profits, loss of * * goodwill, work stoppage, computer failure or malfunction, or "
+        "any * * and all other commercial damages or losses, even if such party * * shall have been informed of the possibility of such damages. This * * "
+        "limitation of liability shall not apply to liability for death or * * personal injury resulting from such party s negligence to the * * extent "
+        "applicable law prohibits such limitation. Some * * jurisdictions do not allow the exclusion or limitation of * * incidental or consequential damages, "
+        "so this exclusion and * * limitation may not apply to You. * * * ************************************************************************ 8. "
+        "Litigation ------------- Any litigation relating to this License may be brought only in the courts of a jurisdiction where the defendant maintains its "
+        "principal place of business and such litigation shall be governed by laws of that jurisdiction, without reference to its conflict-of-law provisions. "
+        "Nothing in this Section shall prevent a party s ability to bring cross-claims or counter-claims. 9. Miscellaneous ---------------- This License "
+        "represents the complete agreement concerning the subject matter hereof. If any provision of this License is held to be unenforceable, such provision "
+        "shall be reformed only to the extent necessary to make it enforceable. Any law or regulation which provides that the language of a contract shall be "
+        "construed against the drafter shall not be used to construe this License against a Contributor. 10. Versions of the License "
+        "--------------------------- 10.1. New Versions Mozilla Foundation is the license steward. Except as provided in Section 10.3, no one other than the "
+        "license steward has the right to modify or publish new versions of this License. Each version will be given a distinguishing version number. 10.2. "
+        "Effect of New Versions You may distribute the Covered Software under the terms of the version of the License under which You originally received the "
+        "Covered Software, or under the terms of any subsequent version published by the license steward. 10.3. Modified Versions If you create software not "
+        "governed by this License, and you want to create a new license for such software, you may create and use a modified version of this License if you "
+        "rename the license and remove any references to the name of the license steward (except to note that such modified license differs from this License). "
+        "10.4. Distributing Source Code Form that is Incompatible With Secondary Licenses If You choose to distribute Source Code Form that is Incompatible "
+        "With Secondary Licenses under the terms of this version of the License, the notice described in Exhibit B of this License must be attached. Exhibit A "
+        "- Source Code Form License Notice ------------------------------------------- This Source Code Form is subject to the terms of the Mozilla Public "
+        "License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/. If it is not possible or "
+        "desirable to put the notice in a particular file, then You may include the notice in a location (such as a LICENSE file in a relevant directory) where "
+        'a recipient would be likely to look for such a notice. You may add additional accurate notices of copyright ownership. Exhibit B - "Incompatible With '
+        'Secondary Licenses" Notice --------------------------------------------------------- This Source Code Form is "Incompatible With Secondary Licenses", '
+        "as defined by the Mozilla Public License, v. 2.0."
+    ),
+    (
+        "CC0-1.0",
+        "Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS "
+        'DOCUMENT DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP. CREATIVE COMMONS PROVIDES THIS INFORMATION ON AN "AS-IS" BASIS. CREATIVE COMMONS MAKES NO '
+        "WARRANTIES REGARDING THE USE OF THIS DOCUMENT OR THE INFORMATION OR WORKS PROVIDED HEREUNDER, AND DISCLAIMS LIABILITY FOR DAMAGES RESULTING FROM THE "
+        "USE OF THIS DOCUMENT OR THE INFORMATION OR WORKS PROVIDED HEREUNDER. Statement of Purpose The laws of most jurisdictions throughout the world "
+        'automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an "owner") of an '
+        'original work of authorship and/or a database (each, a "Work"). Certain owners wish to permanently relinquish those rights to a Work for the purpose '
+        'of contributing to a commons of creative, cultural and scientific works ("Commons") that the public can reliably and without fear of later claims of '
+        "infringement build upon, modify, incorporate in other works, reuse and redistribute as freely as possible in any form whatsoever and for any purposes, "
+        "including without limitation commercial purposes. These owners may contribute to the Commons to promote the ideal of a free culture and the further "
+        "production of creative, cultural and scientific works, or to gain reputation or greater distribution for their Work in part through the use and "
+        "efforts of others. For these and/or other purposes and motivations, and without any expectation of additional consideration or compensation, the "
+        'person associating CC0 with a Work (the "Affirmer"), to the extent that he or she is an owner of Copyright and Related Rights in the Work, voluntarily '
+        "elects to apply CC0 to the Work and publicly distribute the Work under its terms, with knowledge of his or her Copyright and Related Rights in the "
+        "Work and the meaning and intended legal effect of CC0 on those rights. 1. Copyright and Related Rights. A Work made available under CC0 may be "
+        'protected by copyright and related or neighboring rights ("Copyright and Related Rights"). Copyright and Related Rights include, but are not limited '
+        "to, the following: i. the right to reproduce, adapt, distribute, perform, display, communicate, and translate a Work; ii. moral rights retained by the "
+        "original author(s) and/or performer(s); iii. publicity and privacy rights pertaining to a person s image or likeness depicted in a Work; iv. rights "
+        "protecting against unfair competition in regards to a Work, subject to the limitations in paragraph 4(a), below; v. rights protecting the extraction, "
+        "dissemination, use and reuse of data in a Work; vi. database rights (such as those arising under Directive 96/9/EC of the European Parliament and of "
+        "the Council of 11 March 1996 on the legal protection of databases, and under any national implementation thereof, including any amended or successor "
+        "version of such directive); and vii. other similar, equivalent or corresponding rights throughout the world based on applicable law or treaty, and any "
+        "national implementations thereof. 2. Waiver. To the greatest extent permitted by, but not in contravention of, applicable law, Affirmer hereby "
+        "overtly, fully, permanently, irrevocably and unconditionally waives, abandons, and surrenders all of Affirmer s Copyright and Related Rights and "
+        "associated claims and causes of action, whether now known or unknown (including existing as well as future claims and causes of action), in the Work "
+        "(i) in all territories worldwide, (ii) for the maximum duration provided by applicable law or treaty (including future time extensions), (iii) in any "
+        "current or future medium and for any number of copies, and (iv) for any purpose whatsoever, including without limitation commercial, advertising or "
+        'promotional purposes (the "Waiver"). Affirmer makes the Waiver for the benefit of each member of the public at large and to the detriment of Affirmer '
+        "s heirs and successors, fully intending that such Waiver shall not be subject to revocation, rescission, cancellation, termination, or any other legal "
+        "or equitable action to disrupt the quiet enjoyment of the Work by the public as contemplated by Affirmer s express Statement of Purpose. 3. Public "
+        "License Fallback. Should any part of the Waiver for any reason be judged legally invalid or ineffective under applicable law, then the Waiver shall be "
+        "preserved to the maximum extent permitted taking into account Affirmer s express Statement of Purpose. In addition, to the extent the Waiver is so "
+        "judged Affirmer hereby grants to each affected person a royalty-free, non transferable, non sublicensable, non exclusive, irrevocable and "
+        "unconditional license to exercise Affirmer s Copyright and Related Rights in the Work (i) in all territories worldwide, (ii) for the maximum duration "
+        "provided by applicable law or treaty (including future time extensions), (iii) in any current or future medium and for any number of copies, and (iv) "
+        'for any purpose whatsoever, including without limitation commercial, advertising or promotional purposes (the "License"). The License shall be deemed '
+        "effective as of the date CC0 was applied by Affirmer to the Work. Should any part of the License for any reason be judged legally invalid or "
+        "ineffective under applicable law, such partial invalidity or ineffectiveness shall not invalidate the remainder of the License, and in such case "
+        "Affirmer hereby affirms that he or she will not (i) exercise any of his or her remaining Copyright and Related Rights in the Work or (ii) assert any "
+        "associated claims and causes of action with respect to the Work, in either case contrary to Affirmer s express Statement of Purpose. 4. Limitations "
+        "and Disclaimers. a. No trademark or patent rights held by Affirmer are waived, abandoned, surrendered, licensed or otherwise affected by this "
+        "document. b. Affirmer offers the Work as-is and makes no representations or warranties of any kind concerning the Work, express, implied, statutory or "
+        "otherwise, including without limitation warranties of title, merchantability, fitness for a particular purpose, non infringement, or the absence of "
+        "latent or other defects, accuracy, or the present or absence of errors, whether or not discoverable, all to the greatest extent permissible under "
+        "applicable law. c. Affirmer disclaims responsibility for clearing rights of other persons that may apply to the Work or any use thereof, including "
+        "without limitation any person s Copyright and Related Rights in the Work. Further, Affirmer disclaims responsibility for obtaining any necessary "
+        "consents, permissions or other rights required for any use of the Work. d. Affirmer understands and acknowledges that Creative Commons is not a party "
+        "to this document and has no duty or obligation with respect to this CC0 or use of the Work."
+    ),
 ]

@@ -59,3 +59,21 @@ def test_coefficient_and_own_templates(spark):
 def test_no_python_in_the_plan(spark):
     plan = scan(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Exchange", "Join"))
+
+
+def test_licence_lines_of_the_tables_and_full_texts(spark):
+    """The lines as they stand in the documents tables, and variants of full texts; not the list itself."""
+    lines = [
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Released under the MIT License.", "MIT"), ("All rights reserved.", "All-Rights-Reserved"),
+        ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+        ("licensed under CC-BY-SA 4.0", "CC-BY-SA-4.0"), ("Licensed under CC BY-NC-ND 4.0", "CC-BY-NC-ND-4.0"),
+    ]
+    full = [(t.replace(". ", ".\n\n").upper() + "\n\nCopyright of somebody and 30 words more." * 2, n) for n, t in TEMPLATES if len(t) > 5000]
+    assert {n for _, n in full} >= {"Apache-2.0", "GPL-2.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0"}
+    rows = lines + full
+    docs = spark.createDataFrame([(i, "Some text.\n" + t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    for r in scan(docs).collect():
+        text, name = rows[r.doc_id]
+        found = {m["name"] for m in r["__sv_matches"]}
+        assert name in found, text[:60]
+        assert len(found) == 1 or name == "GPL-3.0", (name, found)  # the short notices of the GPL family are alike
