@@ -132,7 +132,7 @@ def scan(texts: list[list[bytes]], blocks: list) -> tuple[list[int], list[list[t
 def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list:
     """The benchmark as broadcast blocks of about block_bytes of text; the driver holds one at a time."""
     spark = benchmark.sparkSession
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    rows = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
     n = max(1, -(-total // block_bytes))
     out = []
@@ -185,8 +185,8 @@ def find_matches(
             yield from result(rows, texts)
 
     prefix = "__sv_" if keep else ""
-    kept = [F.col(f"`{c}`") for c in docs.columns] if keep else [F.col(id_col)]
-    source = docs.select(*kept, F.col(text_col).alias("__sv_text"))
+    kept = [F.col(f"`{c}`") for c in docs.columns] if keep else [F.col(f"`{id_col}`")]
+    source = docs.select(*kept, F.col(f"`{text_col}`").alias("__sv_text"))
     names = [*source.columns[:-1], *(f"{prefix}{c}" for c in ("n_words", "n_hit", "items", "matches"))]
     kinds = [*(source.schema[i].dataType.simpleString() for i in range(len(source.columns) - 1)), "long", "long", "array<string>", "array<struct<item_id:string,doc_word:long,item_word:long,n_words:long>>"]
     return source.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))

@@ -66,7 +66,7 @@ def count_tokens(train: DataFrame, text_col: str, most: int = 1 << 19) -> DataFr
         yield from out()
 
     ship(train.sparkSession)
-    rows = train.select(F.col(text_col).alias("__sv_text")).mapInArrow(run, "token binary, n long")
+    rows = train.select(F.col(f"`{text_col}`").alias("__sv_text")).mapInArrow(run, "token binary, n long")
     return rows.groupBy("token").agg(F.sum("n").alias("n"))
 
 
@@ -196,7 +196,7 @@ def train(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], share: n
             yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([flat.tobytes()], pa.binary())], names=["n", "flat"])
 
     kind = "n double, flat binary"
-    rows = docs.select(F.col(text_col).alias("__sv_text"))
+    rows = docs.select(F.col(f"`{text_col}`").alias("__sv_text"))
     parts, rows = rows.rdd.getNumPartitions(), rows.mapInArrow(learn, kind)
     while parts > 32:  # sums of sums, so that each task adds up 16 sets or so
         parts = -(-parts // 16)
@@ -281,7 +281,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
                 )
 
     columns = f"__sv_id {kind}, __sv_hash long, token binary, times long, n_tokens long, n_known long, log_counts double, log_model double, n_rest long, log_rest double, n_rows long"
-    parts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("__sv_text")).mapInArrow(run, columns)
+    parts = docs.select(*row_key(id_col, text_col), F.col(f"`{text_col}`").alias("__sv_text")).mapInArrow(run, columns)
     scored = parts.join(counts.filter(bin_ < least), "token", "left")
     of_rare = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTHING)
     scored = scored.groupBy("__sv_id", "__sv_hash").agg(

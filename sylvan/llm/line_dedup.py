@@ -1,17 +1,19 @@
-"""Line dedup across documents by deletion neighbourhoods, with edits counted in words.
+"""Line dedup across documents by deletion neighbourhoods.
 
-A line's words are its runs of other than white space, with A-Z lower-cased. Lines of `min_words`
-words or more are compared; shorter ones, and blank ones, stay. An occurrence goes if an earlier
-occurrence, in the order of id, text hash and line number, has the same words, or words at edit
-distance 1 (a word replaced, added or left out) where the line has `near_words` words or more. Lines
-between which nothing earlier is that close stay: of a group, the earliest.
+A line's words are its runs of other than white space, with A-Z lower-cased; every line with a word is
+compared. An occurrence goes if an earlier occurrence, in the order of id, text hash and line number,
+has the same words, or is one edit away: a unit replaced, added or left out, where one edit is an eighth
+of the line at most. Units are words in lines of `near_words` words or more; in shorter lines, where a
+word would be too much, they are the characters of the words joined by single spaces, from `near_chars`
+characters on; lines shorter than that are compared for equality. Lines of words and lines of characters
+aren't near each other. Lines between which nothing earlier is that close stay: of a group, the earliest.
 
 Equal lines meet in a minimum by a 128-bit hash, which combines before its shuffle, so a line that
 stands everywhere is one row a task. For the rest each distinct line emits all its variants with one
-word deleted, as hashed keys, and itself: lines with a word replaced share a variant at one place, a
-line and the same line with a word more share one as a whole. Partners are the least of each key,
-never pairs of a group, and their edit distance is verified on the words. Only lines that share the
-first or last words of half a line with another line need to emit variants, since one edit leaves a
+unit deleted, as hashed keys, and itself: lines with a unit replaced share a variant at one place, a
+line and the same line with a unit more share one as a whole. Partners are the least of each key,
+never pairs of a group, and their edit distance is verified on the units. Only lines that share the
+first or last units of half a line with another line need to emit variants, since one edit leaves a
 half whole; that test loses none.
 
 Null or empty texts have no lines to compare. Rows equal in id and text are one occurrence and share
@@ -31,24 +33,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from sylvan.llm.common import WORD, materialize, row_key, ship, slices, utf8
+from sylvan.llm.quality import let
 
 MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 FEW = 1 << 20  # lines that may have a partner, up to which their hashes are broadcast to spare the others' words
 
 
-def halves(words: list[bytes]) -> list[int]:
-    """Hashes of the first and last words of half a line, for lines as long and for those one longer or shorter."""
-    n, out = len(words), []
-    for m in {(n - 1) // 2, (n - 2) // 2}:
-        for side, part in ((b"<", words[:m]), (b">", words[n - m :])):
-            out.append(xxhash.xxh64_intdigest(side + b" ".join(part), m) - (1 << 63))
+def units(words: list[bytes], near_words: int, near_chars: int) -> tuple[list[bytes], bytes]:
+    """What a line's edits count, and what stands between them; none in a line that is too short for an edit."""
+    if len(words) >= near_words:
+        return words, b" "
+    text = b" ".join(words).decode()
+    return ([c.encode() for c in text] if len(text) >= near_chars else []), b""
+
+
+def halves(own: list[bytes], between: bytes) -> list[int]:
+    """Hashes of the first and last units of half a line, for lines as long and for those one longer or shorter."""
+    n, out = len(own), []
+    for m in {(n - 1) // 2, (n - 2) // 2} if n else ():
+        for side, part in ((b"<", own[:m]), (b">", own[n - m :])):
+            out.append(xxhash.xxh64_intdigest(side + between + b"|" + between.join(part), m) - (1 << 63))
     return out
 
 
-def deletions(words: list[bytes]) -> tuple[np.ndarray, int]:
-    """Hashes of the line without its i-th word, for each i, and of the line."""
-    h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+def deletions(own: list[bytes], between: bytes) -> tuple[np.ndarray, int]:
+    """Hashes of the line without its i-th unit, for each i, and of the line."""
+    seed = len(between)
+    h = np.array([xxhash.xxh64_intdigest(w, seed) for w in own], np.uint64)
     powers = np.full(len(h), MULTIPLIER, np.uint64)
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
@@ -79,13 +91,13 @@ def scan(docs: DataFrame, id_col: str, text_col: str, names: list[str], kinds: s
                 columns = [pa.array([v[k] for v in values], types[t]) for k, t in enumerate(kinds.split())]
                 yield pa.RecordBatch.from_arrays([*columns, part.column(0).take(ids), part.column(1).take(ids), pa.array(place, pa.int32())], names=[*names, "__sv_id", "__sv_hash", "__sv_line"])
 
-    rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("__sv_text"))
+    rows = docs.select(*row_key(id_col, text_col), F.col(f"`{text_col}`").alias("__sv_text"))
     own = ", ".join(f"{n} {k}" for n, k in zip(names, kinds.split(), strict=True))
     return rows.mapInArrow(run, f"{own}, __sv_id {kind}, __sv_hash long, __sv_line int")
 
 
-def variants(lines: DataFrame) -> DataFrame:
-    """Of lines (short, words): key, place of the deleted word (-1: none), short."""
+def variants(lines: DataFrame, near_words: int, near_chars: int) -> DataFrame:
+    """Of lines (short, words): key, place of the deleted unit (-1: none), short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +105,7 @@ def variants(lines: DataFrame) -> DataFrame:
                 keys, place, owner = [], [], []
                 short = part.column(0).to_numpy(zero_copy_only=False)
                 for i, text in enumerate(utf8(part.column("words"))):
-                    less, own = deletions(text.split())
+                    less, own = deletions(*units(text.split(), near_words, near_chars))
                     keys += [less, [own]]
                     place += [np.arange(len(less)), [-1]]
                     owner.append(np.full(len(less) + 1, i))
@@ -104,7 +116,7 @@ def variants(lines: DataFrame) -> DataFrame:
 
 
 def one_edit(a: list[bytes], b: list[bytes]) -> bool:
-    """Whether two lines are at edit distance 1 in words: what they share from both ends leaves one word at most."""
+    """Whether two lines are at edit distance 1 in units: what they share from both ends leaves one unit at most."""
     if len(a) > len(b):
         a, b = b, a
     gap, n = len(b) - len(a), len(a)
@@ -115,20 +127,17 @@ def one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return front + back >= n - 1 + gap
 
 
-def verified(own: pd.Series, other: pd.Series) -> pd.Series:
-    return (own.map(bytes.split).combine(other.map(bytes.split), one_edit)).astype(bool)
-
-
-def kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, near_words: int = 8, batch_bytes: int = 4 << 20) -> DataFrame:
-    """The occurrences that stay of the lines that are compared: __sv_id, __sv_hash, __sv_line."""
+def kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", near_words: int = 8, near_chars: int = 8, batch_bytes: int = 4 << 20) -> DataFrame:
+    """The occurrences that stay of the lines that have words: __sv_id, __sv_hash, __sv_line."""
     spark = docs.sparkSession
     digest = xxhash.xxh3_128_digest
 
     def hashed():
-        def make(words: list[bytes]):
-            return None if len(words) < min_words else (digest(b" ".join(words)), halves(words) if len(words) >= near_words else [])
+        return lambda words: (digest(b" ".join(words)), halves(*units(words, near_words, near_chars))) if words else None
 
-        return make
+    def verified(own: pd.Series, other: pd.Series) -> pd.Series:
+        parts = lambda text: units(text.split(), near_words, near_chars)
+        return pd.Series([x[1] == y[1] and one_edit(x[0], y[0]) for x, y in zip(own.map(parts), other.map(parts), strict=True)], dtype=bool)
 
     rows = scan(docs, id_col, text_col, ["key", "halves"], "binary array<long>", batch_bytes, hashed)
     place = F.struct(F.col("__sv_id").isNull().alias("none"), "__sv_id", "__sv_hash", "__sv_line")
@@ -143,7 +152,7 @@ def kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         chosen = few.value
 
         def make(words: list[bytes]):
-            if len(words) < near_words:
+            if not words:
                 return None
             text = b" ".join(words)
             key = digest(text)
@@ -158,7 +167,7 @@ def kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     text = scan(docs, id_col, text_col, ["key", "words"], "binary binary", batch_bytes, spelled).groupBy("key").agg(F.any_value("words").alias("words"))
     near = materialize(text.join(lines.join(near, "key", "left_semi").select("key", "at"), "key").select(short.alias("short"), "at", "words"), "near_lines")
-    made = variants(near)
+    made = variants(near, near_words, near_chars)
     crowd = made.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     made = made.join(crowd, "key", "left_semi")
     made = materialize(made.join(near.select("short", "at"), "short").select("key", "place", "at"), "variants")
@@ -173,20 +182,22 @@ def kept_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return lines.select("at").join(dropped, "at", "left_anti").select("at.__sv_id", "at.__sv_hash", "at.__sv_line")
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, **options) -> DataFrame:
-    """docs with __sv_text (without the lines that go), __sv_n_lines (compared) and __sv_n_kept (of those)."""
-    kept = kept_lines(docs, id_col=id_col, text_col=text_col, min_words=min_words, **options)
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with __sv_text (without the lines that go), __sv_n_lines (that have words) and __sv_n_kept (of those)."""
+    kept = kept_lines(docs, id_col=id_col, text_col=text_col, **options)
     kept = kept.groupBy(F.col("__sv_id").alias("__sv_kept_id"), F.col("__sv_hash").alias("__sv_kept_hash")).agg(F.collect_set("__sv_line").alias("__sv_kept"))
     own = docs.select("*", *(c.alias(n) for c, n in zip(row_key(id_col, text_col), ("__sv_own_id", "__sv_own_hash"), strict=True)))
     own = own.join(kept, F.col("__sv_own_id").eqNullSafe(F.col("__sv_kept_id")) & (F.col("__sv_own_hash") == F.col("__sv_kept_hash")), "left")
-    lines = F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n")
     stays = F.coalesce("__sv_kept", F.array().cast("array<int>"))
-    marked = F.transform(lines, lambda x, i: F.struct(x.alias("line"), (F.regexp_count(x, F.lit(WORD)) >= min_words).alias("compared"), i.alias("i")))
-    text = F.array_join(F.transform(F.filter("__sv_marked", lambda m: ~m["compared"] | F.array_contains("__sv_stays", m["i"])), lambda m: m["line"]), "\n")
-    out = own.withColumns({"__sv_marked": marked, "__sv_stays": stays})
-    out = out.withColumn("__sv_n_lines", F.size(F.filter("__sv_marked", lambda m: m["compared"])).cast("long")).withColumn("__sv_n_kept", F.size("__sv_stays").cast("long"))
-    out = out.withColumn("__sv_text", F.when(F.col("__sv_n_lines") == F.col("__sv_n_kept"), F.col(f"`{text_col}`")).otherwise(text))
-    return out.select(*(f"`{c}`" for c in docs.columns), "__sv_text", "__sv_n_lines", "__sv_n_kept")
+
+    def result(lines):  # lines are taken by their places, so the work grows with their number
+        blank = F.filter(F.transform(lines, lambda x, i: F.when(~x.rlike(WORD[:-1]), i)), lambda i: i.isNotNull())
+        joined = lambda places: F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+        return let(blank, lambda b: F.struct(let(F.array_sort(F.concat(stays, b)), joined).alias("text"), (F.size(lines) - F.size(b)).cast("long").alias("n")))
+
+    out = own.withColumn("__sv_lines", let(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n"), result)).withColumn("__sv_n_kept", F.size(stays).cast("long"))
+    same = F.col("__sv_lines.n") == F.col("__sv_n_kept")
+    return out.select(*(f"`{c}`" for c in docs.columns), F.when(same, F.col(f"`{text_col}`")).otherwise(F.col("__sv_lines.text")).alias("__sv_text"), F.col("__sv_lines.n").alias("__sv_n_lines"), "__sv_n_kept")
 
 
 def dedup(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
@@ -195,10 +206,10 @@ def dedup(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "
     A document that had no line to begin with stays as it is. length_col, where it is there, is set to the new text's length.
     """
     out = dedup_lines(docs, text_col=text_col, **options)
-    out = out.filter((F.col("__sv_n_lines") == F.col("__sv_n_kept")) | F.col("__sv_text").rlike(WORD))
+    same = F.col("__sv_n_lines") == F.col("__sv_n_kept")
+    out = out.filter(same | (F.col("__sv_n_kept") > 0))
     new = {text_col: F.col("__sv_text")}
     if length_col in docs.columns:
-        same = F.col("__sv_n_lines") == F.col("__sv_n_kept")
         new[length_col] = F.when(same, F.col(f"`{length_col}`")).otherwise(F.length("__sv_text")).cast(docs.schema[length_col].dataType)
     return out.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
@@ -212,18 +223,19 @@ WITH l AS (
 ), k AS (
   SELECT doc_id, line, raw, w, len(w) AS n, array_to_string(w, ' ') AS s, doc_id * 1000000 + line AS f FROM w
 ), u AS (
-  SELECT s, any_value(w) AS w, any_value(n) AS n, min(f) AS f FROM k WHERE n >= 3 GROUP BY s
+  SELECT s, any_value(w) AS w, any_value(n) >= 8 AS words, CASE WHEN any_value(n) >= 8 THEN any_value(n) ELSE length(s) END AS n, min(f) AS f FROM k WHERE n > 0 GROUP BY s
 ), v AS (
-  SELECT s, n, f, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS v FROM (SELECT *, unnest(generate_series(1, n)) AS i FROM u WHERE n >= 8)
+  SELECT s, words, n, f, i, CASE WHEN words THEN array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') ELSE substr(s, 1, i - 1) || substr(s, i + 1) END AS v
+  FROM (SELECT *, unnest(generate_series(1, n)) AS i FROM u WHERE n >= 8)
 ), x AS (
-  SELECT s FROM (SELECT s, f, min(f) OVER (PARTITION BY n, i, v) AS m FROM v) WHERE m < f
-  UNION SELECT v.s FROM v JOIN u ON u.s = v.v AND u.n >= 8 WHERE u.f < v.f
-  UNION SELECT u.s FROM v JOIN u ON u.s = v.v AND u.n >= 8 WHERE v.f < u.f
+  SELECT s FROM (SELECT s, f, min(f) OVER (PARTITION BY words, n, i, v) AS m FROM v) WHERE m < f
+  UNION SELECT v.s FROM v JOIN u ON u.s = v.v AND u.words = v.words AND u.n >= 8 WHERE u.f < v.f
+  UNION SELECT u.s FROM v JOIN u ON u.s = v.v AND u.words = v.words AND u.n >= 8 WHERE v.f < u.f
 ), g AS (
-  SELECT k.doc_id, k.line, k.raw, k.n, k.n < 3 OR (u.s IS NOT NULL AND x.s IS NULL) AS keep
+  SELECT k.doc_id, k.line, k.raw, k.n, k.n = 0 OR (u.s IS NOT NULL AND x.s IS NULL) AS keep
   FROM k LEFT JOIN u ON k.s = u.s AND k.f = u.f LEFT JOIN x ON x.s = k.s
 )
-SELECT doc_id, count(*) FILTER (n >= 3) AS n_lines, count(*) FILTER (n >= 3 AND NOT keep) AS n_removed,
+SELECT doc_id, count(*) FILTER (n > 0) AS n_lines, count(*) FILTER (n > 0 AND NOT keep) AS n_removed,
   sha256(coalesce(string_agg(raw, chr(10) ORDER BY line) FILTER (keep), '')) AS text_sha256
 FROM g GROUP BY doc_id
 """

@@ -97,10 +97,10 @@ def failed(c: Column) -> Column:
 
 def ratios(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_trusted: int = 20000, smoothing: float = 1.0) -> DataFrame:
     """One row with `ratios`: log of the trusted over the raw share of each bucket, an array of 2 ** BITS."""
-    trusted = labels.select(F.col(id_col).alias("__sv_id"), F.col(label_col).alias("__sv_y")).filter("__sv_id is not null and __sv_y is not null")
+    trusted = labels.select(F.col(f"`{id_col}`").alias("__sv_id"), F.col(f"`{label_col}`").alias("__sv_y")).filter("__sv_id is not null and __sv_y is not null")
     trusted = trusted.groupBy("__sv_id").agg(F.min("__sv_y").alias("__sv_y")).filter("__sv_y > 0")
     trusted = trusted.orderBy(F.xxhash64(F.col("__sv_id").cast("string")), "__sv_id").limit(max_trusted).select("__sv_id", F.lit(1).alias("__sv_trusted"))
-    rows = docs.select(F.col(id_col).alias("__sv_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__sv_text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("__sv_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__sv_text"))
     rows = rows.join(F.broadcast(trusted), "__sv_id", "left")  # max_trusted ids
     grams = let(singles(F.col("__sv_text")), lambda h: F.concat(h, joined(h, h, 1)))
     grams = rows.select(F.coalesce("__sv_trusted", F.lit(0)).alias("t"), F.explode(grams).alias("h")).select("t", bucket(F.col("h")).alias("b"))

@@ -86,7 +86,7 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own)], names=["__sv_id", "__sv_hash", "fingerprint"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("__sv_text"))
+    rows = docs.select(*row_key(id_col, text_col), F.col(f"`{text_col}`").alias("__sv_text"))
     return rows.mapInArrow(run, f"__sv_id {kind}, __sv_hash long, fingerprint long")
 
 
@@ -301,7 +301,7 @@ def wide_fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(np.ascontiguousarray(own[:, i])) for i in range(WIDE))], names=["__sv_id", "__sv_hash", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("__sv_text"))
+    rows = docs.select(*row_key(id_col, text_col), F.col(f"`{text_col}`").alias("__sv_text"))
     rows = rows.mapInArrow(run, f"__sv_id {kind}, __sv_hash long, " + ", ".join(f"{n} long" for n in names))
     return rows.withColumn("fingerprint", F.xxhash64(*names))
 

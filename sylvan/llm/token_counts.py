@@ -89,5 +89,5 @@ def count_tokens(
                 yield pa.RecordBatch.from_arrays([part.column(0), size, n, pc.greater(n, limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("__sv_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__sv_text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("__sv_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__sv_text"))
     return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

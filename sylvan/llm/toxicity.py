@@ -33,7 +33,7 @@ BITS, SIZES, STRIP = 17, (3, 4, 5, 6), b".,;:!?\"'()[]{}<>|*#%&$-_/\\"
 
 def remainder(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+    return F.pmod(F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -167,10 +167,10 @@ def train(texts: list[str | None], labels: list[int], *, span: int = 8, dim: int
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 8000, fold: int = 5, **options) -> Model:
     """A model from labelled rows outside the held-out fold, max_labelled at most."""
-    rows = labels.select(F.col(id_col).alias("__sv_id"), F.col(label_col).alias("__sv_y")).filter("__sv_id is not null and __sv_y is not null")
+    rows = labels.select(F.col(f"`{id_col}`").alias("__sv_id"), F.col(f"`{label_col}`").alias("__sv_y")).filter("__sv_id is not null and __sv_y is not null")
     rows = rows.filter(remainder("__sv_id", fold) != 0).groupBy("__sv_id").agg(F.max((F.col("__sv_y") > 0).cast("int")).alias("__sv_y"))
     rows = rows.orderBy(F.xxhash64(F.col("__sv_id").cast("string")), "__sv_id").limit(max_labelled)
-    texts = docs.select(F.col(id_col).alias("__sv_id"), F.col(text_col).alias("__sv_text")).join(F.broadcast(rows), "__sv_id")  # max_labelled rows of two numbers
+    texts = docs.select(F.col(f"`{id_col}`").alias("__sv_id"), F.col(f"`{text_col}`").alias("__sv_text")).join(F.broadcast(rows), "__sv_id")  # max_labelled rows of two numbers
     texts = texts.groupBy("__sv_id", "__sv_y").agg(F.max_by("__sv_text", F.xxhash64("__sv_text")).alias("__sv_text"))
     found = sorted(((r["__sv_id"], r["__sv_text"] or "", r["__sv_y"]) for r in texts.toLocalIterator()), key=lambda r: (str(r[0]), r[1]))
     return train([r[1] for r in found], [r[2] for r in found], **options)
@@ -190,5 +190,5 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("__sv_id"), F.col(text_col).alias("__sv_text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("__sv_id"), F.col(f"`{text_col}`").alias("__sv_text"))
     return rows.mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int, worst_window long")
