@@ -3,12 +3,17 @@
 A fingerprint is the majority of the bits of the XXH64 hashes of a text's word shingles. Fingerprints
 link at `distance` or fewer differing bits. Of distance + 1 equal blocks of bits two linked
 fingerprints share one at least, so each distinct fingerprint goes, once a block, to the group of
-those that agree in it; a group beyond `most` is dealt again by blocks of its other bits. Within a
-group, fingerprints are sorted by Gray rank and every `fan` neighbours become a node that holds the
-bits on which they agree, and so on upwards; a search adds up differences from the top, drops a whole
-node once they exceed the distance, and takes a whole node once they can't. A group returns a
-spanning forest of its links, never pairs; links of all groups join into components by rounds of
-minima. Nothing is sampled or capped, and no list of fingerprints, links or components is collected.
+those that agree in it; a group beyond `most` is dealt again by blocks of its other bits, and one that
+is still beyond it in pieces of which each two are searched together. Groups of any size are searched
+alike: fingerprints are sorted by Gray rank and every `fan` neighbours of a group become a node that
+holds the bits on which they agree, and so on upwards; a search adds up differences from the top, drops
+a whole node once they exceed the distance or once it is of the searching fingerprint's component, and
+takes a whole node once they can't. A group returns a spanning forest of its links, never pairs; links
+of all groups join into components by rounds of minima. Nothing is sampled or capped, and no list of
+fingerprints, links or components is collected.
+
+Wide fingerprints (`wide=True`) have 256 bits and link at WIDE_DISTANCE, which catches pairs of Jaccard
+similarity 0.8; they meet by sampled bits, and the same index searches their groups.
 
 Copies share a fingerprint and enter the search once. Texts of fewer words than a shingle are one
 shingle; null and empty texts have fingerprint 0, which links like any other. Repeated rows give
@@ -91,10 +96,13 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
-    """The place of each code in Gray order."""
+    """The place of each code in Gray order; of codes of several words (columns), the place as as many words, highest first."""
     out = codes.copy()
     for shift in (1, 2, 4, 8, 16, 32):
         out ^= out >> np.uint64(shift)
+    if out.ndim > 1:  # a word whose higher words have odd parity counts down
+        odd = np.bitwise_xor.accumulate(out & np.uint64(1), 1)
+        out[:, 1:] ^= np.where(odd[:, :-1] > 0, ~np.uint64(0), np.uint64(0))
     return out
 
 
@@ -123,87 +131,165 @@ class Forest:
             x = up
 
 
+def bits(x: np.ndarray) -> np.ndarray:
+    """Bits set in each row."""
+    return np.bitwise_count(x).sum(1, dtype=np.int64)
+
+
 class Index:
-    """Codes in Gray order under nodes of `fan` neighbours with the bits they share."""
+    """Codes (rows of words) in Gray order within groups, under nodes of `fan` neighbours with the bits they share.
 
-    def __init__(self, codes: np.ndarray, distance: int, fan: int = 8, wide: np.ndarray | None = None, wide_distance: int = 0):
-        self.codes, self.distance, self.fan, self.wide, self.wide_distance = codes, distance, fan, wide, wide_distance
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # from the leaves: shared bits, their values
-        low = high = codes
-        while len(low) > 1:
-            starts = np.arange(0, len(low), fan)
-            low, high = np.bitwise_and.reduceat(low, starts), np.bitwise_or.reduceat(high, starts)
-            mask = ~(low ^ high)
-            self.levels.append((mask, low & mask))
+    Rows of a group stand together; each group is a tree of its own, of as many levels as it needs.
+    """
 
-    def link(self, forest: Forest, block: int = 1 << 16) -> None:
-        """Join each code with those after it within the distance."""
-        codes, top = self.codes, len(self.levels) - 1
+    def __init__(self, codes: np.ndarray, group: np.ndarray, distance: int, fan: int = 8):
+        self.codes, self.distance = codes, distance
         n = len(codes)
-        for k, (mask, _) in enumerate(self.levels if self.wide is None else []):  # neighbours that differ in so few bits all link
-            near = np.flatnonzero(np.bitwise_count(~mask) <= self.distance)
-            width = self.fan ** (k + 1)
-            inside = np.flatnonzero(np.isin(np.arange(1, n) // width, near) & (np.arange(1, n) % width > 0)) + 1
-            forest.union(inside, inside - 1)
-        step = max(1, min(block // 64, (1 << 21) // n))  # so that even without any pruning few pairs are held
-        for start in range(0, n, step):
-            query = np.arange(start, min(n, start + step))
-            stack = [(top, query, np.zeros(len(query), np.int64), np.zeros(len(query), np.int64))] if top >= 0 else []
+        self.levels: list[dict[str, np.ndarray]] = []  # from the leaves
+        self.root = np.full(n, -1)  # of each code's group: level and node, as level + LEVELS * node
+        low = high = codes
+        own, first, last = group, np.arange(n), np.arange(n)
+        head = np.arange(n)  # the items' places in the level below
+        while True:
+            start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            size = np.diff(np.append(start, len(own)))
+            many = np.repeat(size > 1, size)
+            alone = np.flatnonzero(~many)
+            if self.levels:  # what stands alone here is its group's root
+                span = last[alone] - first[alone] + 1
+                self.root[np.repeat(first[alone], span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)] = np.repeat(len(self.levels) - 1 + LEVELS * head[alone], span)
+            if not many.any():
+                break
+            place = (np.arange(len(own)) - np.repeat(start, size))[many]
+            own, first, last, low, high, below = own[many], first[many], last[many], low[many], high[many], head[many]
+            cut = np.flatnonzero(place % fan == 0)
+            low, high = np.bitwise_and.reduceat(low, cut), np.bitwise_or.reduceat(high, cut)
+            mask = ~(low ^ high)
+            count = np.diff(np.append(cut, len(place)))
+            above = np.repeat(np.arange(len(cut)), count)
+            fresh = mask.copy()  # bits that the node above doesn't share
+            if self.levels:
+                self.levels[-1]["fresh"][below] &= ~mask[above]
+            own, first, last = own[cut], first[cut], last[cut + count - 1]
+            self.levels.append({"mask": mask, "value": low & mask, "fresh": fresh, "below": below[cut], "count": count, "first": first, "last": last})
+            head = np.arange(len(cut))
+
+    def link(self, forest: Forest, block: int = 1 << 16, step: int = 1 << 14) -> None:
+        """Join each code with those after it in its group within the distance."""
+        for level in self.levels:  # neighbours that differ in so few bits all link
+            for k in np.flatnonzero(bits(~level["mask"]) <= self.distance):
+                inside = np.arange(level["first"][k] + 1, level["last"][k] + 1)
+                forest.union(inside, inside - 1)
+        self.neighbours(forest)
+        inner = np.flatnonzero(self.root >= 0)
+        for a in range(0, len(inner), step):
+            query = inner[a : a + step]
+            own = forest.roots(np.arange(len(self.codes)))
+            for level in self.levels:  # nodes of one component
+                edges = np.stack([level["first"], level["last"] + 1], 1).ravel()
+                low, high = (f.reduceat(np.append(own, own[-1]), edges)[::2] for f in (np.minimum, np.maximum))
+                level["one"] = np.where(low == high, low, -1)
+            at, node = self.root[query] % LEVELS, self.root[query] // LEVELS
+            stack = [(k, query[at == k], node[at == k], np.zeros((at == k).sum(), np.int64)) for k in range(len(self.levels))]
             while stack:
                 k, q, node, seen = stack.pop()
-                for a in range(0, len(q), block):
-                    self.step(k, q[a : a + block], node[a : a + block], seen[a : a + block], forest, stack)
-
-    def step(self, k: int, q: np.ndarray, node: np.ndarray, seen: np.ndarray, forest: Forest, stack: list) -> None:
-        mask, value = self.levels[k]
-        own = mask[node]
-        if k + 1 < len(self.levels):  # bits that upper nodes share are counted already
-            own = own & ~self.levels[k + 1][0][node // self.fan]
-        seen = seen + np.bitwise_count((self.codes[q] ^ value[node]) & own)
-        width = self.fan ** (k + 1)
-        keep = (seen <= self.distance) & (np.minimum((node + 1) * width, len(self.codes)) - 1 > q)
+                if len(q) > block:
+                    stack.append((k, q[block:], node[block:], seen[block:]))
+                if len(q):
+                    self.step(k, q[:block], node[:block], seen[:block], own, forest, stack)
+
+    def neighbours(self, forest: Forest) -> None:
+        """Links of codes that are next to each other: not needed, but nodes of one component needn't be searched then."""
+        for shift in (1, 2, 3):
+            a = np.flatnonzero(self.root[:-shift] >= 0) if len(self.codes) > shift else np.arange(0)
+            a = a[self.root[a] == self.root[a + shift]]
+            forest.union(*near(self.codes, a, a + shift, self.distance))
+
+    def step(self, k: int, q: np.ndarray, node: np.ndarray, seen: np.ndarray, own: np.ndarray, forest: Forest, stack: list) -> None:
+        level = self.levels[k]
+        keep = (level["last"][node] > q) & (level["one"][node] != own[q])
         q, node, seen = q[keep], node[keep], seen[keep]
-        whole = (seen + np.bitwise_count(~mask[node]) <= self.distance) & (self.wide is None)
-        first = np.maximum(node * width, 0)
-        forest.union(q[whole], first[whole])
+        seen = seen + bits((self.codes[q] ^ level["value"][node]) & level["fresh"][node])
+        keep = seen <= self.distance
+        q, node, seen = q[keep], node[keep], seen[keep]
+        whole = seen + bits(~level["mask"][node]) <= self.distance
+        forest.union(q[whole], level["first"][node[whole]])
         q, node, seen = q[~whole], node[~whole], seen[~whole]
-        child = (node[:, None] * self.fan + np.arange(self.fan)).ravel()
-        q, seen = np.repeat(q, self.fan), np.repeat(seen, self.fan)
-        size = len(self.levels[k - 1][0]) if k else len(self.codes)
-        real = child < size
-        q, child, seen = q[real], child[real], seen[real]
+        count = level["count"][node]
+        child = np.repeat(level["below"][node] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        q = np.repeat(q, count)
         if k:
-            if len(q):
-                stack.append((k - 1, q, child, seen))
-            return None
-        ok = (child > q) & (np.bitwise_count(self.codes[q] ^ self.codes[child]) <= self.distance)
-        if self.wide is not None:
-            return forest.union(*near(self.wide, q[ok], child[ok], self.wide_distance))
-        forest.union(q[ok], child[ok])
-        return None
-
-
-def group_links(codes: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within groups; rows of a group stand together."""
-    order = np.lexsort((gray_rank(codes), group))
-    codes, group = codes[order], group[order]
-    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    size = np.diff(np.append(first, len(group)))
+            stack.append((k - 1, q, child, np.repeat(seen, count)))
+            return
+        later = (child > q) & (own[child] != own[q])
+        forest.union(*near(self.codes, q[later], child[later], self.distance))
+
+
+LEVELS = 32
+
+
+def near(codes: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows of codes, those that differ in so many bits at most; words are counted until it's clear."""
+    count = np.zeros(len(a), np.int64)
+    for k in range(codes.shape[1]):
+        word = np.ascontiguousarray(codes[:, k])
+        count += np.bitwise_count(word[a] ^ word[b])
+        keep = count <= distance
+        a, b, count = a[keep], b[keep], count[keep]
+    return a, b
+
+
+def group_links(codes: np.ndarray, group: np.ndarray, distance: int, **options) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a spanning forest of the links within groups; rows of a group stand together."""
+    rank = gray_rank(codes)
+    order = np.lexsort((*rank.T[::-1], group))
     forest = Forest(len(codes))
-    small = size <= 16
-    place = np.arange(len(codes)) - np.repeat(first, size)
-    left = np.repeat(size, size) - 1 - place  # rows after this one in its group
-    for shift in range(1, 16):
-        a = np.flatnonzero(np.repeat(small, size) & (left >= shift))
-        a = a[np.bitwise_count(codes[a] ^ codes[a + shift]) <= distance]
-        forest.union(a, a + shift)
-    for s, n in zip(first[~small], size[~small], strict=True):
-        own = Forest(n)
-        Index(codes[s : s + n], distance).link(own)
-        forest.parent[s : s + n] = own.roots(np.arange(n)) + s
+    Index(codes[order], group[order], distance).link(forest, **options)
     root = forest.roots(np.arange(len(codes)))
     linked = root != np.arange(len(codes))
-    return codes[linked], codes[root[linked]]
+    return order[linked], order[root[linked]]
+
+
+def searched(rows: DataFrame, codes: list[str], distance: int, most: int, buffer: int) -> DataFrame:
+    """a, b: links within each key of rows (key, fingerprint, and the columns of its code).
+
+    A key of more than `most` fingerprints is cut into pieces of half as many, and each two pieces are
+    searched together, so none of its links is lost; the rows of a key of n fingerprints are then read
+    2 n / most times.
+    """
+    ship(rows.sparkSession)
+
+    def flush(group: np.ndarray, ids: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = group_links(words, group, distance)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held.append((columns[0], columns[1], np.stack(columns[2:], 1).view(np.uint64)))
+            total += batch.num_rows
+            if total >= buffer:  # all but the last group is complete
+                group, ids, words = (np.concatenate(x) for x in zip(*held, strict=True))
+                cut = np.searchsorted(group, group[-1])
+                if cut:
+                    yield from flush(group[:cut], ids[:cut], words[:cut])
+                held, total = [(group[cut:], ids[cut:], words[cut:])], len(ids) - cut
+        if total:
+            yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    own = ["fingerprint", *(c for c in codes if c != "fingerprint")]
+    crowded = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most), "crowded")
+    if crowded.take(1):
+        crowded = crowded.select("key", F.ceil(F.col("n") * 2 / most).cast("int").alias("pieces"))
+        rows = rows.join(F.broadcast(crowded) if crowded.count() <= 100_000 else crowded, "key", "left")
+        rows = rows.withColumn("piece", F.pmod(F.xxhash64("fingerprint"), "pieces").cast("int"))
+        others = F.filter(F.sequence(F.lit(0), F.col("pieces") - 1), lambda p: p != F.col("piece"))
+        cells = F.transform(others, lambda p: F.xxhash64("key", F.least(p, "piece"), F.greatest(p, "piece")))
+        rows = rows.withColumn("key", F.explode(F.when(F.col("pieces").isNull(), F.array("key")).otherwise(cells)))
+    rows = rows.select("key", *own).repartition("key").sortWithinPartitions("key")
+    return rows.select("key", "fingerprint", *(F.col(c).alias(f"c{i}") for i, c in enumerate(codes))).mapInArrow(run, "a long, b long")
 
 
 def keyed(rows: DataFrame, distance: int, most: int) -> DataFrame:
@@ -222,10 +308,10 @@ def keyed(rows: DataFrame, distance: int, most: int) -> DataFrame:
     whole = F.array(F.struct(F.lit(-1).alias("t2"), F.lit(0).cast("long").alias("key2")))
     again = F.lit(None)
     for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):  # the bits outside block i, cut anew
-        bits = [x for x in range(64) if not a <= x < b]
+        rest = [x for x in range(64) if not a <= x < b]
         own = []
         for j in range(n):
-            chosen = bits[len(bits) * j // n : len(bits) * (j + 1) // n]
+            chosen = rest[len(rest) * j // n : len(rest) * (j + 1) // n]
             own.append(F.struct(F.lit(j).alias("t2"), F.col("fingerprint").bitwiseAND(F.lit(np.uint64(sum(1 << x for x in chosen)).view(np.int64).item())).alias("key2")))
         again = F.when(F.col("t") == i, F.array(*own)).otherwise(again)
     rows = rows.select("fingerprint", "t", "key", F.explode(F.when(F.col("again").isNull(), whole).otherwise(again)).alias("g"))
@@ -234,41 +320,16 @@ def keyed(rows: DataFrame, distance: int, most: int) -> DataFrame:
 
 def links(prints: DataFrame, *, distance: int = 3, most: int = 200_000, buffer: int = 1 << 18) -> DataFrame:
     """a, b: links that join the distinct fingerprints of each component; prints: distinct fingerprint."""
-    ship(prints.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush(codes: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b = group_links(codes, group, distance)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-        total = 0
-        for batch in batches:
-            held.append((batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False)))
-            total += batch.num_rows
-            if total >= buffer:  # all but the last group is complete
-                codes, group = (np.concatenate(x) for x in zip(*held, strict=True))
-                cut = np.searchsorted(group, group[-1])
-                if cut:
-                    yield from flush(codes[:cut], group[:cut])
-                held, total = [(codes[cut:], group[cut:])], len(codes) - cut
-        if held:
-            codes, group = (np.concatenate(x) for x in zip(*held, strict=True))
-            if len(codes):
-                yield from flush(codes, group)
-
     # groups are told apart by a 64-bit hash; two that share it are only compared for nothing
-    rows = keyed(prints, distance, most).select("fingerprint", F.xxhash64("group").alias("group"))
-    rows = rows.repartition("group").sortWithinPartitions("group")
-    return rows.mapInArrow(run, "a long, b long")
+    rows = keyed(prints, distance, most).select("fingerprint", F.xxhash64("group").alias("key"))
+    return searched(rows, ["fingerprint"], distance, most, buffer)
 
 
-#: Of wide fingerprints: their 64-bit words, the tables of sampled bits, and the differing bits of 256 that
-#: texts of similarity 0.8 (Jaccard, of five-word shingles) have on average: 256 / pi * acos(2 * 0.8 / 1.8).
-#: LEAST_BITS are sampled for a table, of which there are TABLES then.
-WIDE, TABLES, WIDE_DISTANCE, LEAST_BITS = 4, 40, 39, 16
+#: Of wide fingerprints: their 64-bit words, the tables of sampled bits, and the differing bits of 256 at which they
+#: link. Texts of similarity 0.8 (Jaccard, of five-word shingles) differ in 256 / pi * acos(2 * 0.8 / 1.8) = 39 bits on
+#: average, with a deviation of 6, so 48 bits catch more than nine in ten of them. LEAST_BITS are sampled for a table, of
+#: which there are TABLES then.
+WIDE, TABLES, WIDE_DISTANCE, LEAST_BITS = 4, 40, 48, 14
 
 
 def meeting(bits: int, distance: int) -> float:
@@ -283,10 +344,10 @@ def sampled_bits(n: int, distance: int) -> list[np.ndarray]:
     The bits grow so that a key holds 2 ** 8 fingerprints by chance at most, and the tables with them so
     that two at the distance meet in one of them as often as in TABLES tables of LEAST_BITS.
     """
-    bits = max(LEAST_BITS, n.bit_length() - 8)
-    tables = math.ceil(TABLES * math.log1p(-meeting(LEAST_BITS, distance)) / math.log1p(-meeting(bits, distance)))
+    many = max(LEAST_BITS, n.bit_length() - 8)
+    tables = math.ceil(TABLES * math.log1p(-meeting(LEAST_BITS, distance)) / math.log1p(-meeting(many, distance)))
     rng = np.random.default_rng(17)
-    return [rng.choice(64 * WIDE, bits, replace=False) for _ in range(tables)]
+    return [rng.choice(64 * WIDE, many, replace=False) for _ in range(tables)]
 
 
 def wide_fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, batch_bytes: int = 4 << 20) -> DataFrame:
@@ -310,12 +371,8 @@ def wide_links(prints: DataFrame, *, distance: int = WIDE_DISTANCE, buffer: int
     """a, b: links between fingerprints at `distance` or fewer of the wide bits; prints: distinct fingerprint, w0, ...
 
     Fingerprints meet in tables by sampled bits, whose number of tables grows with that of the bits, so
-    that the chance of a meeting doesn't depend on the number of fingerprints. Those of one key are all
-    compared, but for those known to be of one component. A key of more than `most` fingerprints is cut into pieces of half as many, and
-    each two pieces are searched together, so none of its links is lost; the rows of a key of n
-    fingerprints are then read 2 n / most times.
+    that the chance of a meeting doesn't depend on the number of fingerprints.
     """
-    ship(prints.sparkSession)
     chosen = sampled_bits(prints.count(), distance)
     names = [f"w{i}" for i in range(WIDE)]
 
@@ -324,90 +381,7 @@ def wide_links(prints: DataFrame, *, distance: int = WIDE_DISTANCE, buffer: int
         return F.xxhash64(F.lit(t), *(F.col(n).bitwiseAND(F.lit(m)) for n, m in zip(names, masks, strict=True)))
 
     keys = [sampled(t, own) for t, own in enumerate(chosen)]
-
-    def flush(group: np.ndarray, ids: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        size = np.diff(np.append(first, len(group)))
-        forest = Forest(len(ids))
-        small = size <= 16
-        left = np.repeat(size, size) - 1 - (np.arange(len(ids)) - np.repeat(first, size))
-        for shift in range(1, 16):
-            a = np.flatnonzero(np.repeat(small, size) & (left >= shift))
-            forest.union(*near(words, a, a + shift, distance))
-        for s, n in zip(first[~small], size[~small], strict=True):
-            forest.parent[s : s + n] = wide_forest(words[s : s + n], distance).roots(np.arange(n)) + s
-        root = forest.roots(np.arange(len(ids)))
-        linked = root != np.arange(len(ids))
-        if linked.any():
-            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[root[linked]])], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held.append((columns[0], columns[1], np.stack(columns[2:], 1).view(np.uint64)))
-            total += batch.num_rows
-            if total >= buffer:  # all but the last group is complete
-                group, ids, words = (np.concatenate(x) for x in zip(*held, strict=True))
-                cut = np.searchsorted(group, group[-1])
-                if cut:
-                    yield from flush(group[:cut], ids[:cut], words[:cut])
-                held, total = [(group[cut:], ids[cut:], words[cut:])], len(ids) - cut
-        if total:
-            yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-    rows = prints.select(F.explode(F.array(*keys)).alias("key"), "fingerprint", *names)
-    crowded = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most), "crowded")
-    if crowded.take(1):
-        crowded = crowded.select("key", F.ceil(F.col("n") * 2 / most).cast("int").alias("pieces"))
-        rows = rows.join(F.broadcast(crowded) if crowded.count() <= 100_000 else crowded, "key", "left")
-        rows = rows.withColumn("piece", F.pmod(F.xxhash64("fingerprint"), "pieces").cast("int"))
-        others = F.filter(F.sequence(F.lit(0), F.col("pieces") - 1), lambda p: p != F.col("piece"))
-        cells = F.transform(others, lambda p: F.xxhash64("key", F.least(p, "piece"), F.greatest(p, "piece")))
-        rows = rows.withColumn("key", F.explode(F.when(F.col("pieces").isNull(), F.array("key")).otherwise(cells))).drop("pieces", "piece")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
-
-
-def wide_forest(words: np.ndarray, distance: int, pivots: int = 64, block: int = 1 << 16) -> Forest:
-    """The components of rows of words by their links at the distance; what is in one component already isn't compared."""
-    n = len(words)
-    forest, rest = Forest(n), np.arange(n)
-    for _ in range(pivots if n > 512 else 0):  # of near copies of one text, most are near the first of them
-        if len(rest) < 2:
-            break
-        close = np.bitwise_count(words[rest] ^ words[rest[0]]).sum(1) <= distance
-        forest.union(rest[close], np.full(close.sum(), rest[0]))
-        rest = rest[~close]
-    root = forest.roots(np.arange(n))
-    order = np.argsort(root, kind="stable")  # components so far stand together
-    root = root[order]
-    ends = np.searchsorted(root, root, "right")
-    start = 0
-    while start < n - 1:
-        step = max(1, block // (n - start))
-        stop = min(start + step, n)
-        if ends[start] > start + 1:  # a component, as a whole against those after it that it hasn't joined
-            stop = min(stop, int(ends[start]))
-            own = forest.roots(order[ends[start] :])
-            others = order[ends[start] :][own != forest.roots(order[start : start + 1])]
-        else:
-            others = order[start + 1 :]
-        query = order[start:stop]
-        for a in range(0, len(others), block):
-            part = others[a : a + block]
-            few = np.bitwise_count(words[query, None, 0] ^ words[None, part, 0]) + np.bitwise_count(words[query, None, 1] ^ words[None, part, 1])
-            if np.count_nonzero(few <= distance) > few.size // 16:  # of one template: the other words tell them apart
-                few = few.astype(np.uint16) + sum(np.bitwise_count(words[query, None, k] ^ words[None, part, k]).astype(np.uint16) for k in range(2, words.shape[1]))
-            i, j = np.nonzero(few <= distance)
-            forest.union(*near(words, query[i], part[j], distance))
-        start = stop
-    return forest
-
-
-def near(words: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs of rows of words, those that differ in so many bits at most."""
-    keep = np.bitwise_count(words[a] ^ words[b]).sum(1) <= distance
-    return a[keep], b[keep]
+    return searched(prints.select(F.explode(F.array(*keys)).alias("key"), "fingerprint", *names), names, distance, most, buffer)
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, wide: bool = False, **options) -> DataFrame:
