@@ -7,8 +7,9 @@ its documents floor(target / size) times, and the rest of its target from the do
 first in the order of a seeded 64-bit hash, up to the document nearest the target.
 
 Only DataFrame functions. One pass computes (source, hash, words) of each row, a table of a few bytes
-a row; the hash order is cut by sums over 2 ** 16 ranges of the hash and an exact running sum inside
-the one range that holds the cut, so no source, however large, is ever sorted in one task. What is
+a row; the hash order is cut by sums over the 2 ** 8 ranges of the hash's first 8 bits, then of the next
+8 inside the range that holds the cut, and so on for 32 bits, and by an exact running sum inside the last
+range, so that a source of any size puts 2 ** 8 rows in a task. What is
 decided is a row per source, joined to the documents by broadcast while there are few sources and
 with salted keys beyond that. Texts are never shuffled.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sylvan.llm.common import WORD, materialize
 
-RANGES = 16  # bits of the hash that its first cut uses
+RANGES, STEP = 32, 8  # bits of the hash that its ranges use, and one round of cutting
 FEW = 100_000  # sources whose plan is broadcast
 SALTS = 64
 
@@ -80,6 +81,22 @@ def attach(rows: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
     return rows.join(plan, same & (F.col("__sv_salt") == F.col("__sv_plan_salt")), "left").drop("__sv_plan_source", "__sv_salt", "__sv_plan_salt")
 
 
+def within(rows: DataFrame, cut: DataFrame, n_sources: int, bits: int) -> DataFrame:
+    """rows whose hash begins with the bits of their source's range, with its plan."""
+    out = attach(rows, cut, n_sources).filter("__sv_range is not null")
+    return out.filter(F.shiftrightunsigned("__sv_key", 64 - bits) == F.col("__sv_range")) if bits else out
+
+
+def narrowed(rows: DataFrame, cut: DataFrame, n_sources: int, bits: int) -> DataFrame:
+    """cut (source, goal, words before its range, range of so many bits) with the range of STEP bits more that holds the goal."""
+    at = F.shiftrightunsigned("__sv_key", 64 - bits - STEP).bitwiseAND(F.lit((1 << STEP) - 1))
+    sums = within(rows, cut, n_sources, bits).groupBy("__sv_source", "__sv_goal", "__sv_start", "__sv_range", at.alias("__sv_at")).agg(F.sum("__sv_size").alias("__sv_sum"))
+    over = Window.partitionBy("__sv_source").orderBy("__sv_at")
+    sums = sums.withColumn("__sv_start", F.col("__sv_start") + F.sum("__sv_sum").over(over) - F.col("__sv_sum")).filter("__sv_goal > __sv_start")
+    last = sums.groupBy("__sv_source").agg(F.max_by(F.struct("__sv_goal", "__sv_start", (F.col("__sv_range") * (1 << STEP) + F.col("__sv_at")).alias("__sv_range")), "__sv_at").alias("c"))
+    return last.select("__sv_source", "c.*")
+
+
 def plan_sources(rows: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0) -> tuple[DataFrame, int]:
     """The plan of each source, and their number; rows: measured() ones.
 
@@ -92,15 +109,11 @@ def plan_sources(rows: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share
     sources = sources.withColumn("__sv_whole", F.floor(epochs)).withColumn("__sv_rest", F.col("__sv_target") - F.col("__sv_whole") * F.col("__sv_total"))
     sources = materialize(sources.drop("__sv_rank", "__sv_weight", "__sv_cap"), "targets")
     n = sources.count()
-    keyed = rows.select("__sv_source", "__sv_size", "__sv_key", F.shiftrightunsigned("__sv_key", 64 - RANGES).alias("__sv_at"))
-    sums = keyed.groupBy("__sv_source", "__sv_at").agg(F.sum("__sv_size").alias("__sv_sum"))
-    over = Window.partitionBy("__sv_source").orderBy("__sv_at")
-    sums = sums.withColumn("__sv_before", F.sum("__sv_sum").over(over) - F.col("__sv_sum"))
-    rest = sources.select("__sv_source", "__sv_rest").withColumnRenamed("__sv_source", "__sv_plan_source")
-    sums = sums.join(rest, F.col("__sv_source").eqNullSafe(F.col("__sv_plan_source")))
-    cut = sums.filter("__sv_rest > __sv_before").groupBy("__sv_source").agg(F.max_by(F.struct("__sv_at", "__sv_before", "__sv_rest"), "__sv_at").alias("c"))
-    cut = materialize(cut.select("__sv_source", F.col("c.__sv_at").alias("__sv_range"), F.col("c.__sv_before").alias("__sv_start"), F.col("c.__sv_rest").alias("__sv_goal")), "ranges")
-    inside = attach(keyed, cut, n).filter("__sv_at = __sv_range").withColumn("__sv_place", F.col("__sv_key").bitwiseAND(F.lit((1 << 64 - RANGES) - 1)))
+    small = rows.select("__sv_source", "__sv_size", "__sv_key")
+    cut = sources.filter("__sv_rest > 0").select("__sv_source", F.col("__sv_rest").alias("__sv_goal"), F.lit(0.0).alias("__sv_start"), F.lit(0).cast("long").alias("__sv_range"))
+    for bit in range(0, RANGES, STEP):
+        cut = materialize(narrowed(small, cut, n, bit), "ranges")
+    inside = within(small, cut, n, RANGES).withColumn("__sv_place", F.col("__sv_key").bitwiseAND(F.lit((1 << 64 - RANGES) - 1)))
     inside = inside.groupBy("__sv_source", "__sv_range", "__sv_start", "__sv_goal", "__sv_place").agg(F.sum("__sv_size").alias("__sv_sum"))
     middle = F.col("__sv_start") + F.sum("__sv_sum").over(Window.partitionBy("__sv_source").orderBy("__sv_place")) - F.col("__sv_sum") / 2
     low = inside.withColumn("__sv_middle", middle).groupBy("__sv_source", "__sv_range").agg(F.coalesce(F.max(F.when(F.col("__sv_middle") <= F.col("__sv_goal"), F.col("__sv_place"))), F.lit(-1)).alias("__sv_low"))
