@@ -1,9 +1,15 @@
-"""Matching selectors on one tree."""
+"""Matching selectors on one tree.
+
+A selector is evaluated over all elements at once, compound by compound from the left: each step marks
+the elements that what is marked so far reaches through the combinator, in one pass over the tree. Work
+goes by elements and compounds, whatever the depth of the tree and the number of siblings.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from functools import cached_property
 
 from sylvan.css.parser import Attr, Complex, Compound, Pseudo, parse
 from sylvan.markup.dom import HTML, Node
@@ -45,11 +51,6 @@ def attr_matches(node: Node, test: Attr) -> bool:
     return False
 
 
-def siblings(node: Node, same: bool) -> list[Node]:
-    own = node.parent.elements() if node.parent is not None else [node]
-    return [c for c in own if c.tag == node.tag and c.ns == node.ns] if same else own
-
-
 def nth(place: int, a: int, b: int) -> bool:
     return place == b if a == 0 else (place - b) % a == 0 and (place - b) // a >= 0
 
@@ -58,29 +59,146 @@ def is_blank(text: str) -> bool:
     return not text.strip(TRIM)
 
 
-def pseudo_matches(node: Node, p: Pseudo) -> bool:
-    name = p.name
-    if name in ("root", "scope"):
-        return node.kind == "document"
-    if name == "not":
-        return not any(matches(node, s) for s in p.selectors)
-    if name in ("is", "where"):
-        return any(matches(node, s) for s in p.selectors)
-    if name == "has":
-        return any(has(node, s) for s in p.selectors)
-    if name == "has-text":
-        return any(p.text in n.text for n in node.walk() if n.kind == "text")
-    if name == "contains":
-        return p.text in node.string()
+class Tree:
+    """The elements of a tree, and its root, in document order, with the places of what is around each."""
+
+    def __init__(self, root: Node):
+        self.nodes: list[Node] = []
+        self.up: list[int] = []  # parents
+        self.prev: list[int] = []  # element siblings before
+        self.at: dict[int, int] = {}
+        stack = [(root, -1, None)]
+        while stack:
+            node, parent, before = stack.pop()
+            i = len(self.nodes)
+            self.at[id(node)] = i
+            self.nodes.append(node)
+            self.up.append(parent)
+            self.prev.append(-1 if before is None else self.at[id(before)])
+            before = None
+            own = []
+            for c in node.children:
+                if c.kind == "element":
+                    own.append((c, i, before))
+                    before = c
+            stack += reversed(own)
+
+    @cached_property
+    def last(self) -> list[int]:
+        """The last place below each."""
+        out = list(range(len(self.nodes)))
+        for i in range(len(out) - 1, 0, -1):
+            out[self.up[i]] = max(out[self.up[i]], out[i])
+        return out
+
+    @cached_property
+    def places(self) -> list[tuple[int, int, int, int]]:
+        """Place among element siblings, from the end, and among those of its name, from the end."""
+        count: dict = {}
+        first = []
+        for n, up in zip(self.nodes, self.up, strict=True):
+            of_kind = (up, n.ns, n.tag)
+            count[up] = count.get(up, 0) + 1
+            count[of_kind] = count.get(of_kind, 0) + 1
+            first.append((count[up], count[of_kind]))
+        return [(a, count[up] - a + 1, b, count[up, n.ns, n.tag] - b + 1) for (a, b), n, up in zip(first, self.nodes, self.up, strict=True)]
+
+    @cached_property
+    def texts(self) -> tuple[str, list[int], list[int], list[tuple[int, str]]]:
+        """All text, where that of each element starts and ends, and (place of the element around it, text) of each piece."""
+        start, end, pieces = [0] * len(self.nodes), [0] * len(self.nodes), []
+        at, stack = 0, [(self.nodes[0], False)]
+        while stack:
+            node, leaving = stack.pop()
+            if leaving:
+                end[self.at[id(node)]] = at
+            elif node.kind == "text":
+                pieces.append((self.at[id(node.parent)] if node.parent is not None else 0, node.text))
+                at += len(node.text)
+            elif id(node) in self.at:
+                start[self.at[id(node)]] = at
+                stack.append((node, True))
+                stack += [(c, False) for c in reversed(node.children)]
+        return "".join(t for _, t in pieces), start, end, pieces
+
+    def reached(self, marked: list[bool], combinator: str) -> list[bool]:
+        """What has a marked element to its left, through a combinator."""
+        if combinator == ">":
+            return [u >= 0 and marked[u] for u in self.up]
+        if combinator == "+":
+            return [p >= 0 and marked[p] for p in self.prev]
+        out: list[bool] = []
+        for before in self.up if combinator == " " else self.prev:
+            out.append(before >= 0 and (marked[before] or out[before]))
+        return out
+
+    def reaching(self, marked: list[bool], combinator: str) -> list[bool]:
+        """What has a marked element to its right, through a combinator."""
+        out = [False] * len(marked)
+        far = combinator in (" ", "~")
+        before = self.up if combinator in (" ", ">") else self.prev
+        for i in range(len(marked) - 1, 0, -1):
+            if before[i] >= 0 and (marked[i] or far and out[i]):
+                out[before[i]] = True
+        return out
+
+    def compound(self, c: Compound, among: list[bool] | None = None) -> list[bool]:
+        """What matches a compound, among what is marked."""
+        out = [(among is None or among[i]) and simple_matches(n, c) for i, n in enumerate(self.nodes)]
+        for p in c.pseudos:
+            own = self.pseudo(p, out)
+            out = [a and b for a, b in zip(out, own, strict=True)]
+        return out
+
+    def complex(self, s: Complex) -> list[bool]:
+        marked = self.compound(s.compounds[0])
+        for c, combinator in zip(s.compounds[1:], s.combinators[1:], strict=True):
+            marked = self.compound(c, self.reached(marked, combinator))
+        return marked
+
+    def relative(self, s: Complex) -> list[bool]:
+        """What has a relative selector's match to its right."""
+        marked = self.compound(s.compounds[-1], [n.kind == "element" for n in self.nodes])
+        for c, combinator in zip(reversed(s.compounds[:-1]), reversed(s.combinators[1:]), strict=True):
+            marked = self.compound(c, [a and n.kind == "element" for a, n in zip(self.reaching(marked, combinator), self.nodes, strict=True)])
+        return self.reaching(marked, s.combinators[0])
+
+    def any(self, marks: list[list[bool]]) -> list[bool]:
+        return [any(m) for m in zip(*marks, strict=True)] if marks else [False] * len(self.nodes)
+
+    def pseudo(self, p: Pseudo, among: list[bool]) -> list[bool]:
+        name = p.name
+        if name in ("root", "scope"):
+            return [n.kind == "document" for n in self.nodes]
+        if name in ("not", "is", "where"):
+            own = self.any([self.complex(s) for s in p.selectors])
+            return [not x for x in own] if name == "not" else own
+        if name == "has":
+            return self.any([self.relative(s) for s in p.selectors])
+        if name == "has-text":
+            out = [False] * len(self.nodes)
+            for i, text in self.texts[3]:
+                out[i] = out[i] or p.text in text
+            return [a or b for a, b in zip(out, self.reaching(out, " "), strict=True)]
+        if name == "contains":
+            text, start, end, _ = self.texts
+            found, at = [], text.find(p.text)
+            while at >= 0:
+                found.append(at)
+                at = text.find(p.text, at + 1)
+            first = [bisect_left(found, a) for a in start]
+            return [k < len(found) and found[k] + len(p.text) <= b for k, b in zip(first, end, strict=True)]
+        if name.endswith("child") or name.endswith("of-type"):
+            side = 2 if name.endswith("of-type") else 0
+            test = (lambda x: nth(x[side + ("last" in name)], p.a, p.b)) if name.startswith("nth") else (lambda x: x[side] == 1) if name.startswith("first") else (lambda x: x[side + 1] == 1) if name.startswith("last") else (lambda x: x[side] == 1 == x[side + 1])
+            return [a and n.kind == "element" and test(x) for a, n, x in zip(among, self.nodes, self.places, strict=True)]
+        return [a and element_state(n, name) for a, n in zip(among, self.nodes, strict=True)]
+
+
+def element_state(node: Node, name: str) -> bool:
+    """Pseudo-classes that an element and its children decide."""
     if node.kind != "element":
         return False
-    if name.endswith("child") or name.endswith("of-type"):
-        own = siblings(node, name.endswith("of-type"))
-        at = own.index(node)
-        if name.startswith("nth"):
-            return nth(len(own) - at if "last" in name else at + 1, p.a, p.b)
-        first, last = at == 0, at == len(own) - 1
-        return first if name.startswith("first") else last if name.startswith("last") else first and last
     if name == "empty":
         return not any(c.kind == "element" or c.kind == "text" and not is_blank(c.text) for c in node.children)
     if name == "only-text":
@@ -90,7 +208,8 @@ def pseudo_matches(node: Node, p: Pseudo) -> bool:
     return False
 
 
-def compound_matches(node: Node, c: Compound) -> bool:
+def simple_matches(node: Node, c: Compound) -> bool:
+    """A compound but for its pseudo-classes."""
     if c.tag is not None and (node.kind != "element" or node.tag != (c.tag.lower() if node.ns == HTML else c.tag)):
         return False
     if c.ns == "" and node.kind == "element":
@@ -101,57 +220,25 @@ def compound_matches(node: Node, c: Compound) -> bool:
         own = SPLIT.split(node.attr("class") or "")
         if any(k not in own for k in c.classes):
             return False
-    return all(attr_matches(node, a) for a in c.attrs) and all(pseudo_matches(node, p) for p in c.pseudos)
-
-
-def step(node: Node, combinator: str) -> Iterator[Node]:
-    """The nodes to the left of a combinator, seen from the right."""
-    if combinator in (" ", ">"):
-        up = node.parent
-        while up is not None:
-            yield up
-            up = up.parent if combinator == " " else None
-    elif node.parent is not None:
-        own = node.parent.elements()
-        at = next((i for i, c in enumerate(own) if c is node), 0)
-        yield from reversed(own[:at]) if combinator == "~" else own[max(0, at - 1) : at]
-
-
-def matches(node: Node, s: Complex, anchor: Node | None = None) -> bool:
-    """Whether a selector's last compound matches the node and the others what is to the left; anchor: of a relative one."""
-    found, at = [node], len(s.compounds) - 1
-    if not compound_matches(node, s.compounds[at]):
-        return False
-    # a set of nodes for each place from the right: every way that a combinator can be met is kept
-    while True:
-        combinator = s.combinators[at]
-        if at == 0:
-            return not combinator or any(anchor is x for n in found for x in step(n, combinator))
-        at -= 1
-        left = {id(x): x for n in found for x in step(n, combinator) if compound_matches(x, s.compounds[at])}
-        if not left:
-            return False
-        found = list(left.values())
-
-
-def has(node: Node, s: Complex) -> bool:
-    if s.combinators[0] in (" ", ">"):
-        area = [n for n in node.walk() if n is not node]
-    else:
-        own = node.parent.elements() if node.parent is not None else []
-        at = next((i for i, c in enumerate(own) if c is node), len(own))
-        area = [n for c in own[at + 1 :] for n in c.walk()]
-    return any(n.kind == "element" and matches(n, s, node) for n in area)
+    return all(attr_matches(node, a) for a in c.attrs)
 
 
 def select(roots: list[Node], selector: str | tuple) -> list[Node]:
     """Elements below the roots that match, root by root in document order, each once."""
     parsed = parse(selector) if isinstance(selector, str) else selector
-    seen, out = set(), []
+    trees: dict[int, tuple[Tree, list[bool]]] = {}
+    out = []
     for root in roots:
-        for n in root.walk():
-            if n is not root and n.kind == "element" and id(n) not in seen:
-                seen.add(id(n))
-                if any(matches(n, s) for s in parsed):
-                    out.append(n)
+        top = root
+        while top.parent is not None:
+            top = top.parent
+        if id(top) not in trees:
+            tree = Tree(top)
+            trees[id(top)] = tree, tree.any([tree.complex(s) for s in parsed])
+        tree, marked = trees[id(top)]
+        at = tree.at.get(id(root))
+        for i in range(at + 1, tree.last[at] + 1) if at is not None else ():
+            if marked[i]:
+                marked[i] = False
+                out.append(tree.nodes[i])
     return out

@@ -9,20 +9,22 @@ from sylvan.markup.treebuilder import parse_fragment
 
 
 def copied(doc: Document, node: Node) -> Node:
-    """A copy of a subtree as nodes of doc, with new ids in document order."""
-    pairs: list[tuple[Node, Node | None]] = [(node, None)]
+    """A copy of a subtree as nodes of doc, with new ids in document order, contents of templates first."""
+    todo: list[tuple[Node, Node | None, bool]] = [(node, None, False)]
     top = None
-    while pairs:
-        old, parent = pairs.pop()
+    while todo:
+        old, owner, content = todo.pop()
         new = doc.new(old.kind, tag=old.tag, ns=old.ns, attrs=[a[:] for a in old.attrs], text=old.text)
         new.target, new.public, new.system, new.math_ip = old.target, old.public, old.system, old.math_ip
-        if old.template is not None:
-            new.template = copied(doc, old.template)
-        if parent is None:
+        if owner is None:
             top = new
+        elif content:
+            owner.template = new
         else:
-            parent.append(new)
-        pairs += [(c, new) for c in reversed(old.children)]
+            owner.append(new)
+        todo += [(c, new, False) for c in reversed(old.children)]
+        if old.template is not None:
+            todo.append((old.template, new, True))
     return top
 
 
@@ -32,48 +34,91 @@ def fragment_nodes(html: str) -> list[Node]:
     return parse_fragment(html).root.children[0].children[:]
 
 
-def put_before(target: Node, nodes: list[Node]) -> None:
-    if target.parent is None:
-        return
+class Changes:
+    """What is to stand before, instead of and after children, made in one pass over each parent's children."""
+
+    def __init__(self):
+        self.parents: dict[int, tuple[Node, dict[int, tuple[list[Node], list[Node]]]]] = {}
+
+    def put(self, target: Node, before: list[Node] = (), after: list[Node] = (), keep: bool = True) -> None:
+        if target.parent is not None:
+            own = self.parents.setdefault(id(target.parent), (target.parent, {}))[1]
+            own[id(target)] = ([*before, *([target] if keep else [])], list(after))
+
+    def make(self) -> None:
+        for parent, own in self.parents.values():
+            old, parent.children = parent.children, []
+            for c in old:
+                if id(c) in own:
+                    c.parent = None
+                    for n in (n for part in own[id(c)] for n in part):
+                        parent.append(n)
+                else:
+                    parent.children.append(c)
+
+
+def detach_all(nodes: list[Node]) -> None:
+    changes = Changes()
     for n in nodes:
-        n.detach()
-        target.parent.insert(n, target)
+        changes.put(n, keep=False)
+    changes.make()
+
+
+def put_before(target: Node, nodes: list[Node]) -> None:
+    put_beside(target, nodes, True)
 
 
 def put_after(target: Node, nodes: list[Node]) -> None:
-    parent = target.parent
-    if parent is None:
-        return
-    at = next(i for i, c in enumerate(parent.children) if c is target) + 1
-    follow = parent.children[at] if at < len(parent.children) else None
-    for n in nodes:
-        n.detach()
-        if follow is None:
-            parent.append(n)
-        else:
-            parent.insert(n, follow)
+    put_beside(target, nodes, False)
+
+
+def put_beside(target: Node, nodes: list[Node], before: bool) -> None:
+    if target.parent is not None:
+        detach_all([n for n in nodes if n is not target])
+        changes = Changes()
+        changes.put(target, *((nodes, ()) if before else ((), nodes)))
+        changes.make()
 
 
 def put_first(target: Node, nodes: list[Node]) -> None:
+    detach_all(nodes)
+    rest, target.children = target.children, []
     for n in nodes:
-        n.detach()
-    first = target.children[0] if target.children else None
-    for n in nodes:
-        if first is None:
-            target.append(n)
-        else:
-            target.insert(n, first)
+        target.append(n)
+    target.children += rest
 
 
 def put_last(target: Node, nodes: list[Node]) -> None:
+    detach_all(nodes)
     for n in nodes:
-        n.detach()
         target.append(n)
 
 
 def empty(target: Node) -> None:
-    for c in target.children[:]:
-        c.detach()
+    for c in target.children:
+        c.parent = None
+    target.children = []
+
+
+def put(targets: list[Node], verb: str, copies) -> None:
+    """Copies, made anew for each target, put where the first word of the verb says."""
+    changes, wrapped = Changes(), []
+    for t in targets:
+        own = copies()
+        if verb == "set":
+            empty(t)
+            put_last(t, own)
+        elif verb in ("append", "prepend"):
+            (put_last if verb == "append" else put_first)(t, own)
+        elif verb == "wrap":
+            if own:
+                changes.put(t, own[:1], keep=False)
+                wrapped += [(own[0], t)] if t.parent is not None else []
+        else:
+            changes.put(t, *(((), own) if verb == "after" else (own, ())), keep=verb != "replace")
+    changes.make()
+    for outer, t in wrapped:
+        outer.append(t)
 
 
 def siblings_run(node: Node, before: bool) -> list[Node]:
@@ -101,55 +146,28 @@ def edit(doc: Document, targets: list[Node], verb: str, *args) -> None:
     prepend_selection, before_selection, after_selection, replace_with_selection, wrap_selection (in the
     first of them). With a list of nodes that move to the first target, each with the siblings that follow
     it: append_run, before_run, after_run; prepend_run takes those before it instead; reparent_children
-    moves what is in them. Others: remove, remove_children, set_text(text), unwrap,
+    moves what is in them. What would stand below itself doesn't move. Others: remove, remove_children, set_text(text), unwrap,
     strip_elements(*names), normalize, rename(name), set_attr(name, value), remove_attrs(*names),
     retain_attrs(*names), add_class(names), remove_class(names).
     """
     if verb.endswith("_html"):
         nodes = fragment_nodes(args[0])
-        for t in targets:
-            own = [copied(doc, n) for n in nodes]
-            if verb == "set_html":
-                empty(t)
-                put_last(t, own)
-            elif verb == "wrap_html":
-                if own and t.parent is not None:
-                    put_before(t, own[:1])
-                    put_last(own[0], [t])
-            elif verb == "replace_with_html":
-                put_before(t, own)
-                t.detach()
-            else:
-                {"append_html": put_last, "prepend_html": put_first, "before_html": put_before, "after_html": put_after}[verb](t, own)
+        put(targets, verb.split("_")[0], lambda: [copied(doc, n) for n in nodes])
     elif verb.endswith("_selection"):
-        sources = args[0]
-        if not sources:
+        sources = args[0][:1] if verb == "wrap_selection" else args[0]
+        held = {id(n) for s in args[0] for n in s.walk()}
+        if not sources or any(id(t) in held for t in targets):
             return
-        for t in targets:
-            if any(within(t, s) for s in sources):
-                raise ValueError("a node can't move below itself")
-        for s in sources:
-            s.detach()
-        for t in targets:
-            own = [copied(doc, s) for s in (sources[:1] if verb == "wrap_selection" else sources)]
-            if verb == "replace_with_selection":
-                put_before(t, own)
-                t.detach()
-            elif verb == "wrap_selection":
-                if t.parent is not None:
-                    put_before(t, own)
-                    put_last(own[0], [t])
-            else:
-                {"append_selection": put_last, "prepend_selection": put_first, "before_selection": put_before, "after_selection": put_after}[verb](t, own)
+        detach_all(args[0])
+        put(targets, verb.split("_")[0], lambda: [copied(doc, s) for s in sources])
     elif verb.endswith("_run") or verb == "reparent_children":
         for s in args[0] if targets else []:
             run = s.children[:] if verb == "reparent_children" else siblings_run(s, verb == "prepend_run")
             if any(within(targets[0], n) for n in run):
-                raise ValueError("a node can't move below itself")
+                continue
             {"append_run": put_last, "reparent_children": put_last, "prepend_run": put_first, "before_run": put_before, "after_run": put_after}[verb](targets[0], run)
     elif verb == "remove":
-        for t in targets:
-            t.detach()
+        detach_all(targets)
     elif verb == "remove_children":
         for t in targets:
             empty(t)
@@ -173,9 +191,14 @@ def edit(doc: Document, targets: list[Node], verb: str, *args) -> None:
                 parent.detach()
     elif verb == "strip_elements":
         for t in targets:
-            for n in reversed([x for x in t.walk() if x is not t and x.kind == "element" and x.tag in args]):
-                put_before(n, n.children[:])
-                n.detach()
+            for n in reversed(list(t.walk())):  # what is below a node is done before it
+                old, n.children = n.children, []
+                for c in old:
+                    strip = c.kind == "element" and c.tag in args
+                    for x in c.children if strip else [c]:
+                        n.append(x)
+                    if strip:
+                        c.parent, c.children = None, []
     elif verb == "normalize":
         for t in targets:
             for n in list(t.walk()):
