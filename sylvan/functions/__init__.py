@@ -34,8 +34,9 @@ def html_attr(html: pd.Series, selector: pd.Series, name: pd.Series) -> pd.Serie
     known: dict = {}
 
     def one(h, s, n):
-        own = known.setdefault(s, None) or known.setdefault(s, parse(s)) or parse(s)
-        found = select([parse_document(h).root], own)
+        if s not in known:
+            known[s] = parse(s)
+        found = select([parse_document(h).root], known[s])
         return found[0].attr(n) if found else None
 
     return pd.Series([one(*r) for r in zip(html, selector, name, strict=True)], dtype=object)

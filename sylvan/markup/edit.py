@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+from sylvan.css.match import SPLIT
 from sylvan.markup.dom import Document, Node
 from sylvan.markup.treebuilder import parse_fragment
 
@@ -228,7 +229,7 @@ def attributes(node: Node, verb: str, *args: str) -> None:
     elif verb.endswith("_attrs"):
         node.attrs = [a for a in node.attrs if (a[2] in args) == (verb == "retain_attrs")]
     else:
-        names, own = args[0].split(), (node.attr("class") or "").split()
+        names, own = args[0].split(), [c for c in SPLIT.split(node.attr("class") or "") if c]
         if not names or verb == "remove_class" and node.attr("class") is None:
             return
         kept = own + [n for n in dict.fromkeys(names) if n not in own] if verb == "add_class" else [c for c in own if c not in names]

@@ -6,18 +6,22 @@ document become verbs of each document; getters of the first node give a row per
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import gc
+import tempfile
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylvan.css import mini
+from sylvan.css import match, mini
 from sylvan.css.parser import SelectorError, parse
+from sylvan.markup.dom import HTML, Document, Node
+from sylvan.markup.edit import copied, violations
 from sylvan.markup.edit import edit as edit_tree
-from sylvan.markup.edit import violations
 from sylvan.plans.selector import KEY, Plan, compound_column, mini_column
-from sylvan.schema import NAMES, batch_of, ddl, rows_of, tree_of
+from sylvan.schema import FIELDS, NAMES, batch_of, ddl, rows_of, tree_of
 from sylvan.session import ship, shuffle_partitions
 from sylvan.sources.pages import FOLDS
 from sylvan.sources.pages import parse as parse_pages
@@ -36,19 +40,61 @@ class Nodes:
 
     The number of partitions is spark.sql.shuffle.partitions as it stands: tables are small beside the
     work on them, so adaptive execution, which goes by bytes, would put them in too few.
+
+    Edits whose targets are found by a route (selectors and steps from the document) make a list of steps
+    on the first table, carried out together document by document, however long the chain. Edits of other
+    targets of an edited table cut its plan by a checkpoint, so that plans grow with the number of edits.
     """
 
-    def __init__(self, df: DataFrame, partitioned: bool = False):
-        ship(df.sparkSession)
-        self.df = df if partitioned else df.repartition(shuffle_partitions(df.sparkSession), "doc_id")
+    def __init__(self, df: DataFrame | None, partitioned: bool = False, base: Nodes | None = None, steps: tuple = (), edited: bool = False):
+        self.base, self.steps, self.edited = base, steps, edited or bool(steps)
+        self._df = df
+        if df is not None:
+            ship(df.sparkSession)
+            self._df = df if partitioned else df.repartition(shuffle_partitions(df.sparkSession), "doc_id")
+
+    @property
+    def df(self) -> DataFrame:
+        if self._df is None:
+            self._df = rebuilt(self.base.df, self.steps)
+        return self._df
+
+    @df.setter
+    def df(self, df: DataFrame) -> None:
+        self._df = df
 
     @classmethod
     def parse(cls, pages: DataFrame, **options) -> Nodes:
         return cls(parse_pages(pages, **options))
 
+    @classmethod
+    def new(cls, ids: DataFrame, kind: str = "document", tag: str | None = None) -> Nodes:
+        """A tree of nothing but its root for each of the ids (first column): document, fragment or element."""
+        root = [F.lit(v).cast(t).alias(n) for (n, _, t), v in zip(FIELDS, alone(0, kind, tag), strict=True)]
+        return cls(ids.select(F.col(f"`{ids.columns[0]}`").alias("doc_id"), *root))
+
+    def create(self, kind: str = "element", tag: str | None = None, text: str | None = None, ns: str = HTML) -> tuple[Nodes, Selection]:
+        """The table with one more node in each document, which stands nowhere yet, and that node."""
+        top = self.df.groupBy("doc_id").agg((F.max("node_id") + 1).alias("node_id"), (F.max("pre") + 1).alias("pre"))
+        own = dict(zip(NAMES, alone(0, kind, tag, text, ns, attached=False), strict=True))
+        new = top.select("doc_id", *(F.col(n) if n in ("node_id", "pre") else F.col("pre").alias("last") if n == "last" else F.lit(own[n]).cast(t).alias(n) for n, _, t in FIELDS))
+        out = Nodes(self.df.unionByName(new).repartition(shuffle_partitions(self.df.sparkSession), "doc_id"), partitioned=True, edited=True)
+        return out, Selection(out, new.select("doc_id", F.lit(1).alias("sel_ord"), "node_id"))
+
     def plan(self) -> Plan:
         return Plan(self.df)
 
+    def _then(self, targets: Selection, verb: str, args: tuple, source: Selection | None = None) -> tuple | None:
+        """The steps of this table with one more, if the targets' routes are known."""
+        known = targets.owner is self and targets.route is not None and (source is None or source.owner is self and source.route is not None)
+        return (*self.steps, (targets.route, verb, args, source.route if source is not None else None)) if known else None
+
+    def settle(self) -> DataFrame:
+        """The rows; of an edited table, with their plan cut."""
+        if self.edited and not getattr(self, "_cut", False):
+            self.df, self._cut = cut(self.df), True
+        return self.df
+
     # -- selections --
 
     def selection(self, rows: DataFrame, *order) -> Selection:
@@ -58,11 +104,13 @@ class Nodes:
         ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("pre"))
         return Selection(self, rows.select("doc_id", "node_id", "pre").withColumn("sel_ord", ordinal).select("doc_id", "sel_ord", "node_id"))
 
-    def select(self, selector: str) -> Selection:
-        """All elements that match, in document order; SelectorError if it isn't a selector."""
-        return self._in_order(self.plan().select(selector))
+    def select(self, selector: str | tuple) -> Selection:
+        """All elements that match, in document order; SelectorError if it isn't a selector. A matcher() is as good."""
+        parsed = matcher(selector)
+        return Selection(self, lambda: self._in_order(self.plan().select(parsed)).rows, (("select", parsed),))
 
     def try_select(self, selector: str) -> Selection | None:
+        """None if it isn't a selector. A document where nothing matches has no rows, as for every selection."""
         try:
             return self.select(selector)
         except SelectorError:
@@ -108,7 +156,18 @@ class Nodes:
         """Elements by a path of restricted selectors, with repeats where several steps lead to one."""
         return self._walk(mini.parse_path(path), start)
 
+    def child_path(self, names: Sequence[str], start: Selection | None = None) -> Selection:
+        """The first child element of the first name, of that the first of the second, and so on."""
+        found = start or self.root()
+        for name in names:
+            found = found.child("element", F.col("tag") == name)
+        return found
+
     def _walk(self, path: list, start: Selection | None) -> Selection:
+        if start is None and path and all(s.combinator in (" ", ">") for s in path):
+            # what a step finds lies apart, so the path's order is that of the document
+            root = F.col("parent_id").isNull()
+            return self._in_order(self.plan().marked([root, *map(mini_column, path)], ["", *(s.combinator for s in path)], outermost=True))
         found = (start or self.root()).nodes("pre", "last", "parent_id", "sib_idx").withColumn("o", F.array(F.col("sel_ord")))
         elements = self.plan().elements
         for i, s in enumerate(path):
@@ -144,30 +203,40 @@ class Nodes:
         return self.root().fold(output).select("doc_id", "value")
 
     def edit(self, targets: Selection, verb: str, *args, source: Selection | None = None) -> Nodes:
-        """The table after a structural edit of the targets, numbered anew: see sylvan.markup.edit.edit."""
-        flags = [(targets, "__target"), *([(source, "__source")] if source is not None else [])]
-        rows = self.df
-        for own, name in flags:
+        """The table after a structural edit of the targets, numbered anew: see sylvan.markup.edit.edit.
+
+        Where a node would come to stand below itself, its document stays as it is; see `impossible`.
+        """
+        steps = self._then(targets, verb, args, source)
+        if steps is not None:
+            return Nodes(None, base=self.base or self, steps=steps)
+        rows = self.settle()
+        for own, name in [(targets, "__target"), *([(source, "__source")] if source is not None else [])]:
             rows = rows.join(own.rows.select(*KEY, F.col("sel_ord").alias(name)), KEY, "left")
-        given = [name for _, name in flags]
+        return Nodes(rebuilt(rows, ((None, verb, args, None),)), partitioned=True, edited=True)
 
-        def run(table: pa.Table) -> pa.Table:
-            table = table.sort_by("pre")
-            columns = {c: table[c].to_pylist() for c in (*NAMES, *given)}
-            doc, nodes, extra = tree_of(columns)
-            chosen = [[nodes[i] for _, i in sorted((o, i) for o, i in zip(columns[g], columns["node_id"], strict=True) if o is not None)] for g in given]
-            edit_tree(doc, chosen[0], verb, *(chosen[1:] or args))
-            id_ = table["doc_id"][0]
-            return pa.Table.from_batches([batch_of([id_.as_py()], [rows_of(doc, extra)], id_.type)])
-
-        kind = self.df.schema["doc_id"].dataType.simpleString()
-        return Nodes(rows.groupBy("doc_id").applyInArrow(run, ddl(kind)), partitioned=True)
+    def impossible(self, targets: Selection, source: Selection) -> DataFrame:
+        """doc_id of the documents where a source is one of the targets or holds one, which no edit moves there."""
+        held = source.nodes("pre", "last").select(F.col("doc_id").alias("s_doc"), F.col("pre").alias("s_pre"), F.col("last").alias("s_last"))
+        inside = (F.col("doc_id") == F.col("s_doc")) & (F.col("s_pre") <= F.col("pre")) & (F.col("pre") <= F.col("s_last"))
+        return targets.nodes("pre").join(held, inside, "left_semi").select("doc_id").distinct()
 
     def merge(self, other: Nodes) -> Nodes:
-        """Documents with the content of other's documents of the same id put at the end of their body."""
-        html = other.body().fold("inner_html").select(F.col("doc_id").alias("m_doc"), F.col("value").alias("m_html"))
-        pages = self.render("html").join(html, F.col("doc_id") == F.col("m_doc"), "left")
-        return Nodes.parse(pages.select(F.col("doc_id").alias("page_id"), F.concat("value", F.coalesce("m_html", F.lit(""))).alias("html")))
+        """Documents with copies of what is in the body of other's document of the same id at the end of theirs; ids go on from the last."""
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows:
+                return empty_rows(left.schema.field("doc_id").type)
+            doc, _, extra = tree_of(columns_of(left))
+            body = body_of(doc)
+            new = body_of(tree_of(columns_of(right))[0]) if right.num_rows else None
+            if body is not None and new is not None:
+                for c in new.children:
+                    body.append(copied(doc, c))
+            return numbered(left, doc, extra)
+
+        kind = self.df.schema["doc_id"].dataType.simpleString()
+        return Nodes(self.settle().groupBy("doc_id").cogroup(other.settle().groupBy("doc_id")).applyInArrow(run, ddl(kind)), partitioned=True, edited=True)
 
     def validate(self) -> DataFrame:
         """doc_id, problem: where intervals, parents or positions of the table don't fit together."""
@@ -182,28 +251,31 @@ class Nodes:
         )
         return rows.select("doc_id", problem.alias("problem")).filter("problem is not null")
 
-    # -- attributes and classes: columns only --
+    # -- attributes and classes: columns only, unless they follow other edits --
 
-    def _where(self, targets: Selection, **new: Column) -> Nodes:
+    def _where(self, targets: Selection, verb: str, args: tuple, **new: Column) -> Nodes:
         """New column values in the targets' rows; attribute columns follow attrs."""
+        steps = self._then(targets, verb, args)
+        if steps is not None and self.steps:
+            return Nodes(None, base=self.base, steps=steps)
         hit = targets.rows.select(*KEY, F.lit(True).alias("__hit"))
-        rows = self.df.join(hit, KEY, "left")
+        rows = self.settle().join(hit, KEY, "left")
         element = F.col("__hit") & (F.col("kind") == "element")
         for name, value in new.items():
             rows = rows.withColumn(name, F.when(element, value).otherwise(F.col(name)))
         if "attrs" in new:
             rows = rows.withColumn("id_attr", F.when(element, attr_value("id")).otherwise(F.col("id_attr")))
             rows = rows.withColumn("classes", F.when(element, tokens(F.coalesce(attr_value("class"), F.lit("")))).otherwise(F.col("classes")))
-        return Nodes(rows.select("doc_id", *NAMES), partitioned=True)
+        return Nodes(rows.select("doc_id", *NAMES), partitioned=True, base=self if steps else None, steps=steps or (), edited=True)
 
     def set_attr(self, targets: Selection, name: str, value: str) -> Nodes:
-        return self._where(targets, attrs=with_attr(F.col("attrs"), name, F.lit(value)))
+        return self._where(targets, "set_attr", (name, value), attrs=with_attr(F.col("attrs"), name, F.lit(value)))
 
     def remove_attrs(self, targets: Selection, names: Sequence[str]) -> Nodes:
-        return self._where(targets, attrs=F.filter("attrs", lambda a: ~a["name"].isin(list(names)))) if names else self
+        return self._where(targets, "remove_attrs", tuple(names), attrs=F.filter("attrs", lambda a: ~a["name"].isin(list(names)))) if names else self
 
     def retain_attrs(self, targets: Selection, names: Sequence[str]) -> Nodes:
-        return self._where(targets, attrs=F.filter("attrs", lambda a: a["name"].isin(list(names)) if names else F.lit(False)))
+        return self._where(targets, "retain_attrs", tuple(names), attrs=F.filter("attrs", lambda a: a["name"].isin(list(names)) if names else F.lit(False)))
 
     def remove_all_attrs(self, targets: Selection) -> Nodes:
         return self.retain_attrs(targets, [])
@@ -213,22 +285,149 @@ class Nodes:
         if not new:
             return self
         own = tokens(F.coalesce(attr_value("class"), F.lit("")))
-        return self._where(targets, attrs=with_attr(F.col("attrs"), "class", F.array_join(F.concat(own, F.array_except(F.array(*map(F.lit, new)), own)), " ")))
+        return self._where(targets, "add_class", (names,), attrs=with_attr(F.col("attrs"), "class", F.array_join(F.concat(own, F.array_except(F.array(*map(F.lit, new)), own)), " ")))
 
     def remove_class(self, targets: Selection, names: str) -> Nodes:
         old = names.split()
         if not old:
             return self
         kept = F.array_join(F.filter(tokens(F.coalesce(attr_value("class"), F.lit(""))), lambda c: ~c.isin(old)), " ")
-        return self._where(targets, attrs=F.when(attr_value("class").isNull(), F.col("attrs")).otherwise(with_attr(F.col("attrs"), "class", kept)))
+        return self._where(targets, "remove_class", (names,), attrs=F.when(attr_value("class").isNull(), F.col("attrs")).otherwise(with_attr(F.col("attrs"), "class", kept)))
 
     def rename(self, targets: Selection, name: str) -> Nodes:
         """New names, and positions among siblings of one name counted anew."""
-        rows = self._where(targets, tag=F.lit(name)).df
+        own = self._where(targets, "rename", (name,), tag=F.lit(name))
+        if own._df is None:
+            return own
+        rows = own.df
         alike = Window.partitionBy("doc_id", "parent_id", "ns", "tag", F.col("kind") == "element")
         place = {"type_idx": F.row_number().over(alike.orderBy("sib_idx")), "type_ridx": F.row_number().over(alike.orderBy(F.desc("sib_idx")))}
         rows = rows.withColumns({k: F.when(F.col("kind") == "element", v) for k, v in place.items()})
-        return Nodes(rows.select("doc_id", *NAMES), partitioned=True)
+        return Nodes(rows.select("doc_id", *NAMES), partitioned=True, base=own.base, steps=own.steps, edited=True)
+
+
+def alone(id_: int, kind: str, tag: str | None = None, text: str | None = None, ns: str = HTML, attached: bool = True) -> tuple:
+    """The row of a node that stands by itself."""
+    node = Node(id_, kind, tag, ns if kind == "element" else None, text=text)
+    return (*rows_of(Document(node))[0][:-1], attached)
+
+
+def columns_of(table: pa.Table, *more: str) -> dict[str, list]:
+    table = table.sort_by("pre")
+    return {c: table[c].to_pylist() for c in (*NAMES, *more)}
+
+
+def empty_rows(id_type: pa.DataType) -> pa.Table:
+    return pa.Table.from_batches([batch_of([], [], id_type)])
+
+
+def numbered(table: pa.Table, doc: Document, extra: list[Node]) -> pa.Table:
+    """The rows of a document that has the id of a table."""
+    return pa.Table.from_batches([batch_of([table["doc_id"][0].as_py()], [rows_of(doc, extra)], table.schema.field("doc_id").type)])
+
+
+def body_of(doc: Document) -> Node | None:
+    top = next((c for c in doc.root.children if c.kind == "element" and c.tag == "html"), None)
+    return next((c for c in top.children if c.kind == "element" and c.tag == "body"), None) if top is not None else None
+
+
+def follow(doc: Document, route: tuple) -> list[Node]:
+    """The nodes at the end of a route in one document, in order: what the selection of the same steps holds."""
+    found = [doc.root]
+    for step, *args in route:
+        if step == "select":
+            found = match.select(found, *args)
+        elif step == "get":
+            found = found[args[0] : args[0] + 1]
+        elif step == "last":
+            found = found[-1:]
+        elif step == "parent":
+            found = list({id(n.parent): n.parent for n in found if n.parent is not None}.values())
+        else:
+            found = list({id(c): c for n in found for c in n.elements()}.values())
+    return found
+
+
+def by_document(rows: DataFrame, work: Callable[[dict[str, list]], object], schema: str, batch: Callable) -> DataFrame:
+    """work(columns) of every document of rows, in the order of pre; batch(ids, results, id type) gives Arrow batches of them.
+
+    Documents come as rows that a window has put together, many to a batch, which costs far less than a group
+    each; a document's first row is the one numbered 1.
+    """
+    numbered_ = rows.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")))
+    names = numbered_.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {c: [] for c in names}
+        ids, results, size, id_type = [], [], 0, None
+        gc.disable()  # trees hold cycles: collecting between batches halves the work
+        try:
+            for more in chain(batches, [None]):
+                if more is not None:
+                    id_type = more.column("doc_id").type
+                    held = {c: held[c] + more.column(c).to_pylist() for c in names}
+                heads = [i for i, n in enumerate(held["__n"]) if n == 1] + ([len(held["__n"])] if more is None else [])
+                for a, b in zip(heads, heads[1:], strict=False):
+                    ids.append(held["doc_id"][a])
+                    results.append(work({c: v[a:b] for c, v in held.items()}))
+                    size += b - a
+                    if size >= 1 << 14:
+                        yield batch(ids, results, id_type)
+                        ids, results, size = [], [], 0
+                        gc.collect()
+                if heads:
+                    held = {c: v[heads[-1] :] for c, v in held.items()}
+            if ids:
+                yield batch(ids, results, id_type)
+        finally:
+            gc.enable()
+
+    return numbered_.mapInArrow(run, schema)
+
+
+def rebuilt(rows: DataFrame, steps: tuple) -> DataFrame:
+    """The node table after the steps (route, verb, arguments, source's route), document by document.
+
+    Without a route, targets and source are the rows with __target and __source, their order.
+    """
+    given = [c for c in ("__target", "__source") if c in rows.columns]
+
+    def work(columns: dict[str, list]) -> list[tuple]:
+        doc, nodes, extra = tree_of(columns)
+        flagged = [[nodes[i] for _, i in sorted((o, i) for o, i in zip(columns[g], columns["node_id"], strict=True) if o is not None)] for g in given]
+        for route, verb, args, source in steps:
+            targets, *more = flagged if route is None else [follow(doc, route), *([follow(doc, source)] if source is not None else [])]
+            edit_tree(doc, targets, verb, *(more or args))
+        return rows_of(doc, [n for n in extra if n.parent is None])
+
+    return by_document(rows, work, ddl(rows.schema["doc_id"].dataType.simpleString()), batch_of)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from a reliable checkpoint, in the folder that spark.checkpoint.dir names; set here only where all is one machine."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sylvan-"))
+    return df.checkpoint()
+
+
+def matcher(selector: str | tuple) -> tuple:
+    """A selector, parsed once for any number of selections."""
+    return parse(selector) if isinstance(selector, str) else selector
+
+
+def before(sorted_: Column, value: Column) -> Column:
+    """How many of an array in order are `value` at most: a binary search."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(sorted_) + 1)).cast("int") + 1)
+
+    def halve(a: Column, _) -> Column:
+        middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        right = (a["low"] < a["high"]) & (F.get(sorted_, middle) <= value)
+        return F.struct(F.when(right, middle + 1).otherwise(a["low"]).alias("low"), F.when(right | (a["low"] >= a["high"]), a["high"]).otherwise(middle).alias("high"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(sorted_).alias("high")), halve, lambda a: a["low"])
 
 
 def tokens(value: Column) -> Column:
@@ -249,10 +448,22 @@ def with_attr(attrs: Column, name: str, value: Column) -> Column:
 
 
 class Selection:
-    """doc_id, sel_ord, node_id of the selected nodes of each document."""
+    """doc_id, sel_ord, node_id of the selected nodes of each document.
+
+    route: the steps from the document that lead there, where those are known.
+    """
 
-    def __init__(self, owner: Nodes, rows: DataFrame):
-        self.owner, self.rows = owner, rows
+    def __init__(self, owner: Nodes, rows, route: tuple | None = None):
+        self.owner, self._rows, self.route = owner, rows, route
+
+    @property
+    def rows(self) -> DataFrame:
+        if callable(self._rows):
+            self._rows = self._rows()
+        return self._rows
+
+    def _routed(self, rows, *step) -> Selection:
+        return Selection(self.owner, rows, (*self.route, step) if self.route is not None else None)
 
     def nodes(self, *columns: str) -> DataFrame:
         """The selected rows of the node table, all columns unless some are named, with sel_ord."""
@@ -264,11 +475,24 @@ class Selection:
 
     # -- filters and set algebra --
 
-    def select(self, selector: str) -> Selection:
+    def select(self, selector: str | tuple) -> Selection:
         """Matches below the members, member by member, each once; its left parts may stand above them."""
-        found = self.owner.plan().select(selector).select("doc_id", "node_id", "pre")
-        roots = self.nodes("pre", "last").select(F.col("doc_id").alias("l_doc_id"), F.col("pre").alias("l_pre"), "last", "sel_ord")
-        return self._new(found.join(roots, (F.col("doc_id") == F.col("l_doc_id")) & (F.col("l_pre") < F.col("pre")) & (F.col("pre") <= F.col("last"))), "sel_ord", "pre")
+        parsed = matcher(selector)
+
+        def rows() -> DataFrame:
+            found = self.owner.plan().select(parsed).select("doc_id", "node_id", "pre")
+            roots = self.nodes("pre", "last")
+            if self.route is not None and all(step[0] == "select" for step in self.route):
+                # members in document order: the outermost one that holds a match comes first, and matches follow in their order
+                none = F.lit(None).cast("int")
+                both = found.select(*KEY, "pre", none.alias("last")).unionByName(roots.select(*KEY, "pre", "last"))
+                reach = F.max("last").over(Window.partitionBy("doc_id").orderBy("pre").rangeBetween(Window.unboundedPreceding, -1))
+                return self.owner._in_order(both.withColumn("__r", reach).filter("last is null and __r >= pre")).rows
+            roots = roots.select(F.col("doc_id").alias("l_doc_id"), F.col("pre").alias("l_pre"), "last", "sel_ord")
+            inside = (F.col("doc_id") == F.col("l_doc_id")) & (F.col("l_pre") < F.col("pre")) & (F.col("pre") <= F.col("last"))
+            return self._new(found.join(roots, inside), "sel_ord", "pre").rows
+
+        return self._routed(rows, "select", parsed)
 
     def filter(self, selector: str) -> Selection:
         rows = self.owner.plan().select(selector, self.owner.plan().holders.join(self.rows.select(*KEY), KEY, "left_semi"))
@@ -310,6 +534,21 @@ class Selection:
         found = self.rows.join(other.rows.select(*KEY), KEY, "left_semi").select("doc_id", F.lit(True).alias("hit")).distinct()
         return self._documents().join(found, "doc_id", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("value"))
 
+    def node_is(self, selector: str) -> DataFrame:
+        """doc_id, sel_ord, node_id, value: of each member whether it is an element that matches; false if it isn't a selector."""
+        own = self.try_filter(selector)
+        hits = (own.rows if own is not None else self.rows.limit(0)).select(*KEY, F.lit(True).alias("hit"))
+        rows = self.nodes("kind").join(hits, KEY, "left")
+        return rows.select("doc_id", "sel_ord", "node_id", (F.coalesce("hit", F.lit(False)) & (F.col("kind") == "element")).alias("value"))
+
+    def mini_filter(self, selector: str) -> Selection:
+        """Members that match a restricted selector, a single compound."""
+        return self._renumber(self.nodes().filter(mini_column(mini.parse_one(selector))).select("doc_id", "sel_ord", "node_id"))
+
+    def mini_is(self, selector: str) -> DataFrame:
+        """doc_id, value: whether any member matches a restricted selector."""
+        return self.mini_filter(selector).exists()
+
     def _documents(self) -> DataFrame:
         return self.owner.df.filter("attached and parent_id is null").select("doc_id")
 
@@ -320,11 +559,16 @@ class Selection:
         return rows.join(left, (F.col("doc_id") == F.col("l_doc_id")) & condition)
 
     def parent(self) -> Selection:
-        return self._new(self._joined(self.owner.plan().nodes, F.col("node_id") == F.col("l_parent_id"), "parent_id"), "l_sel_ord")
+        return self._routed(lambda: self._new(self._joined(self.owner.plan().nodes, F.col("node_id") == F.col("l_parent_id"), "parent_id"), "l_sel_ord").rows, "parent")
+
+    def children(self, kinds: str = "element", reverse: bool = False) -> Selection:
+        """Children of each member in turn, from the last one back if reverse."""
 
-    def children(self, kinds: str = "element") -> Selection:
-        rows = self.owner.plan().elements if kinds == "element" else self.owner.plan().nodes
-        return self._new(self._joined(rows, F.col("parent_id") == F.col("l_node_id")), "l_sel_ord", "sib_idx")
+        def rows() -> DataFrame:
+            own = self.owner.plan().elements if kinds == "element" else self.owner.plan().nodes
+            return self._new(self._joined(own, F.col("parent_id") == F.col("l_node_id")), "l_sel_ord", F.col("sib_idx") * (-1 if reverse else 1)).rows
+
+        return self._routed(rows, "children") if kinds == "element" and not reverse else Selection(self.owner, rows)
 
     def ancestors(self, most: int | None = None, kinds: str = "element") -> Selection:
         """Nearest first; most counts the document node."""
@@ -346,38 +590,43 @@ class Selection:
         return self._beside(-1)
 
     def _beside(self, by: int) -> Selection:
-        """The next or previous element sibling."""
+        """The next or previous element sibling: of elements, the one whose place is beside theirs."""
+        elements = self.owner.plan().elements
+        same = F.col("parent_id") == F.col("l_parent_id")
+        near = self._joined(elements, same & (F.col("elem_idx") == F.col("l_elem_idx") + by), "parent_id", "elem_idx").select("doc_id", "node_id", "l_sel_ord")
+        others = Selection(self.owner, self.nodes("kind").filter("kind <> 'element'").select("doc_id", "sel_ord", "node_id"))
         after = (F.col("sib_idx") - F.col("l_sib_idx")) * by > 0
-        rows = self._joined(self.owner.plan().elements, (F.col("parent_id") == F.col("l_parent_id")) & after, "parent_id", "sib_idx")
-        nearest = F.row_number().over(Window.partitionBy("doc_id", "l_node_id").orderBy(F.abs(F.col("sib_idx") - F.col("l_sib_idx"))))
-        return self._new(rows.withColumn("n", nearest).filter("n = 1"), "l_sel_ord")
+        rows = others._joined(elements, same & after, "parent_id", "sib_idx")
+        pick = F.min_by("node_id", F.abs(F.col("sib_idx") - F.col("l_sib_idx")))
+        return self._new(near.unionByName(rows.groupBy("doc_id", "l_sel_ord").agg(pick.alias("node_id")).select("doc_id", "node_id", "l_sel_ord")), "l_sel_ord")
 
     def child(self, which: str = "first", condition: Column | None = None) -> Selection:
         """One child each: the first or last of any kind, or the first element (that meets a condition)."""
-        rows = self.owner.plan().elements if which == "element" else self.owner.plan().nodes
-        if condition is not None:
-            rows = rows.filter(condition)
-        near = self._joined(rows, F.col("parent_id") == F.col("l_node_id"))
-        order = F.desc("sib_idx") if which == "last" else F.asc("sib_idx")
-        nearest = F.row_number().over(Window.partitionBy("doc_id", "l_node_id").orderBy(order))
-        return self._new(near.withColumn("n", nearest).filter("n = 1"), "l_sel_ord")
+        plan = self.owner.plan()
+        rows, own = (plan.elements, F.col("elem_idx") == 1) if which == "element" else (plan.nodes, F.col("sib_idx") == (1 if which == "first" else F.col("l_n_child")))
+        child = F.col("parent_id") == F.col("l_node_id")
+        if condition is None:
+            return self._new(self._joined(rows, child & own, "n_child"), "l_sel_ord")
+        near = self._joined(rows.filter(condition), child).groupBy("doc_id", "l_sel_ord")
+        return self._new(near.agg((F.max_by if which == "last" else F.min_by)("node_id", "sib_idx").alias("node_id")), "l_sel_ord")
 
     def siblings(self, which: str) -> Selection:
         """Of any kind: next, previous, or last (none for a node that is the last)."""
-        by = {"next": F.col("sib_idx") == F.col("l_sib_idx") + 1, "previous": F.col("sib_idx") == F.col("l_sib_idx") - 1, "last": F.col("sib_idx") > F.col("l_sib_idx")}[which]
-        rows = self._joined(self.owner.plan().nodes, (F.col("parent_id") == F.col("l_parent_id")) & by, "parent_id", "sib_idx")
+        nodes = self.owner.plan().nodes
         if which == "last":
-            rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "l_node_id").orderBy(F.desc("sib_idx")))).filter("n = 1")
-        return self._new(rows, "l_sel_ord")
+            up = self.owner.plan().holders.select(F.col("doc_id").alias("u_doc"), F.col("node_id").alias("u_id"), F.col("n_child").alias("u_n"))
+            nodes = nodes.join(up, (F.col("doc_id") == F.col("u_doc")) & (F.col("parent_id") == F.col("u_id")) & (F.col("sib_idx") == F.col("u_n")))
+        by = {"next": F.col("sib_idx") == F.col("l_sib_idx") + 1, "previous": F.col("sib_idx") == F.col("l_sib_idx") - 1, "last": F.col("sib_idx") > F.col("l_sib_idx")}[which]
+        return self._new(self._joined(nodes, (F.col("parent_id") == F.col("l_parent_id")) & by, "parent_id", "sib_idx"), "l_sel_ord")
 
     def first(self) -> Selection:
         return self.get(0)
 
     def last(self) -> Selection:
-        return Selection(self.owner, self.rows.groupBy("doc_id").agg(F.max_by("node_id", "sel_ord").alias("node_id")).select("doc_id", F.lit(1).alias("sel_ord"), "node_id"))
+        return self._routed(lambda: self.rows.groupBy("doc_id").agg(F.max_by("node_id", "sel_ord").alias("node_id")).select("doc_id", F.lit(1).alias("sel_ord"), "node_id"), "last")
 
     def get(self, index: int) -> Selection:
-        return Selection(self.owner, self.rows.filter(F.col("sel_ord") == index + 1).select("doc_id", F.lit(1).alias("sel_ord"), "node_id"))
+        return self._routed(lambda: self.rows.filter(F.col("sel_ord") == index + 1).select("doc_id", F.lit(1).alias("sel_ord"), "node_id"), "get", index)
 
     def length(self) -> DataFrame:
         """doc_id, value: members of every document, 0 where there are none."""
@@ -396,6 +645,12 @@ class Selection:
     def attrs(self) -> DataFrame:
         return self.first().nodes("attrs").select("doc_id", F.transform("attrs", lambda a: F.struct(a["name"], a["value"])).alias("value"))
 
+    def id_attr(self) -> DataFrame:
+        return self.attr("id")
+
+    def class_attr(self) -> DataFrame:
+        return self.attr("class")
+
     def has_attr(self, name: str) -> DataFrame:
         return self.first().nodes("attrs").select("doc_id", F.coalesce(F.exists("attrs", lambda a: a["name"] == name), F.lit(False)).alias("value"))
 
@@ -406,10 +661,17 @@ class Selection:
     # -- text --
 
     def text(self) -> DataFrame:
-        """doc_id, sel_ord, node_id, value: the text below each member, in order."""
-        texts = self.owner.plan().nodes.filter("kind = 'text'").select(F.col("doc_id").alias("t_doc_id"), F.col("pre").alias("t_pre"), F.col("text").alias("t_text"))
-        inside = (F.col("doc_id") == F.col("t_doc_id")) & (F.col("pre") <= F.col("t_pre")) & (F.col("t_pre") <= F.col("last"))
-        return self._concat(self.nodes("pre", "last").join(texts, inside, "left"))
+        """doc_id, sel_ord, node_id, value: the text below each member, in order.
+
+        A document's pieces of text are one array, of which each member has a slice.
+        """
+        nodes = self.owner.plan().nodes.filter("kind = 'text'").select("doc_id", "pre", "text")
+        pieces = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pre", "text"))).alias("__t"))
+        pieces = pieces.select("doc_id", F.transform("__t", lambda t: t["pre"]).alias("__at"), F.transform("__t", lambda t: t["text"]).alias("__t"))
+        rows = self.nodes("pre", "last").join(pieces, "doc_id", "left")
+        start, end = before(F.col("__at"), F.col("pre") - 1), before(F.col("__at"), F.col("last"))
+        value = F.array_join(F.slice("__t", start + 1, end - start), "")
+        return rows.select("doc_id", "sel_ord", "node_id", F.coalesce(value, F.lit("")).alias("value"))
 
     def immediate_text(self) -> DataFrame:
         texts = self.owner.plan().nodes.filter("kind = 'text'").select(F.col("doc_id").alias("t_doc_id"), F.col("parent_id").alias("t_parent"), F.col("node_id").alias("t_id"), F.col("pre").alias("t_pre"), F.col("text").alias("t_text"))
@@ -430,31 +692,60 @@ class Selection:
         one = F.regexp_replace("value", f"{SPACE}+", " ")
         return self.text().select("doc_id", "sel_ord", "node_id", F.length(F.btrim(one)).cast("long").alias("value"))
 
-    def fold(self, output: str) -> DataFrame:
-        """doc_id, sel_ord, node_id, value: each member written as one of FOLDS, document by document."""
-        rows = self.owner.df.join(self.rows, KEY, "left")
+    def fold(self, output: str, **options) -> DataFrame:
+        """doc_id, sel_ord, node_id, value: each member written as one of FOLDS (markdown: with skip), document by document."""
+        own = self.rows
+        rows = self.owner.df.join(own.select("doc_id").distinct(), "doc_id", "left_semi").join(own, KEY, "left")
         fold = FOLDS[output]
 
-        def run(table: pa.Table) -> pa.Table:
-            table = table.sort_by("pre")
-            columns = {c: table[c].to_pylist() for c in (*NAMES, "sel_ord")}
+        def work(columns: dict[str, list]) -> list[tuple]:
             _, nodes, _ = tree_of(columns)
-            own = sorted((o, i) for o, i in zip(columns["sel_ord"], columns["node_id"], strict=True) if o is not None)
-            return pa.table([pa.array([table["doc_id"][0].as_py()] * len(own), table["doc_id"].type), pa.array([o for o, _ in own], pa.int32()), pa.array([i for _, i in own], pa.int32()), pa.array([str(fold(nodes[i])) for _, i in own], pa.string())], names=["doc_id", "sel_ord", "node_id", "value"])
+            return [(o, i, str(fold(nodes[i], **options))) for o, i in sorted((o, i) for o, i in zip(columns["sel_ord"], columns["node_id"], strict=True) if o is not None)]
+
+        def batch(ids: list, results: list[list[tuple]], id_type: pa.DataType) -> pa.RecordBatch:
+            ordinal, node, value = zip(*(r for own in results for r in own), strict=True) if any(results) else ((), (), ())
+            owner = pa.array([i for i, own in zip(ids, results, strict=True) for _ in own], id_type)
+            return pa.RecordBatch.from_arrays([owner, pa.array(ordinal, pa.int32()), pa.array(node, pa.int32()), pa.array(value, pa.string())], names=["doc_id", "sel_ord", "node_id", "value"])
 
         kind = self.owner.df.schema["doc_id"].dataType.simpleString()
-        return rows.groupBy("doc_id").applyInArrow(run, f"doc_id {kind}, sel_ord int, node_id int, value string")
+        return by_document(rows, work, f"doc_id {kind}, sel_ord int, node_id int, value string", batch)
+
+    def _of_first(self, output: str, default: str | None) -> DataFrame:
+        """doc_id, value of the first member of every document; default where there is none."""
+        own = self.first().fold(output).select("doc_id", "value")
+        return self._documents().join(own, "doc_id", "left").select("doc_id", F.coalesce("value", F.lit(default)).alias("value"))
 
     def html(self) -> DataFrame:
-        return self.first().fold("html").select("doc_id", "value")
+        return self._of_first("html", "")
 
     def inner_html(self) -> DataFrame:
-        return self.first().fold("inner_html").select("doc_id", "value")
+        return self._of_first("inner_html", "")
+
+    def try_html(self) -> DataFrame:
+        """As html, and null where there is no member."""
+        return self._of_first("html", None)
+
+    def try_inner_html(self) -> DataFrame:
+        return self._of_first("inner_html", None)
 
     def to_fragment(self) -> Nodes:
-        """New documents, each a fragment that holds the first member's subtree."""
-        pages = self.first().fold("html").select(F.col("doc_id").alias("page_id"), F.col("value").alias("html"))
-        return Nodes.parse(pages, fragment=True)
+        """New documents: the whole one if the first member is its root or html, else a fragment with a copy of its subtree."""
+        own = self.first().rows
+        rows = self.owner.settle().join(own.select("doc_id", F.col("node_id").alias("__first")), "doc_id")
+
+        def work(columns: dict[str, list]) -> list[tuple]:
+            doc, nodes, extra = tree_of(columns)
+            node = nodes[columns["__first"][0]]
+            if node is not doc.root and node.tag != "html":
+                new = Document(Node(0, "fragment"))
+                context, top = new.new("element", tag="body", ns=HTML), new.new("element", tag="html", ns=HTML)
+                new.root.append(top)
+                top.append(copied(new, node))
+                doc, extra = new, [context]
+            return rows_of(doc, extra)
+
+        kind = self.owner.df.schema["doc_id"].dataType.simpleString()
+        return Nodes(by_document(rows, work, ddl(kind), batch_of), partitioned=True, edited=True)
 
     # -- edits --
 
@@ -476,9 +767,7 @@ def matches(selector: str) -> Column:
 def checked(nodes: Nodes) -> DataFrame:
     """doc_id, problems of the links between nodes, rebuilt document by document."""
 
-    def run(table: pa.Table) -> Iterator[pa.RecordBatch] | pa.Table:
-        table = table.sort_by("pre")
-        doc, _, _ = tree_of({c: table[c].to_pylist() for c in NAMES})
-        return pa.table([table["doc_id"][:1], pa.array([len(violations(doc))], pa.int64())], names=["doc_id", "problems"])
+    def batch(ids: list, results: list[int], id_type: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(results, pa.int64())], names=["doc_id", "problems"])
 
-    return nodes.df.groupBy("doc_id").applyInArrow(run, f"doc_id {nodes.df.schema['doc_id'].dataType.simpleString()}, problems long")
+    return by_document(nodes.df, lambda columns: len(violations(tree_of(columns)[0])), f"doc_id {nodes.df.schema['doc_id'].dataType.simpleString()}, problems long", batch)

@@ -1,8 +1,10 @@
 """Selectors as plans over a node table: filters, semi joins and anti joins.
 
-Positions are columns, so structural pseudo-classes are filters. A combinator is a left semi join on
-the document: on an interval of pre for descendants, on the parent for children and siblings. All joins
-hold doc_id, so a table that is partitioned by it is never shuffled again.
+Positions are columns, so structural pseudo-classes are filters. A selector whose compounds are all
+conditions on a row is one pass: rows that meet any of them are marked step by step by windows within
+the document, since a node lies below a marked one exactly if the greatest end of the marked ones before
+it reaches it. Work goes by rows, not by pairs of them. Other selectors are left semi joins on the
+document. Windows and joins hold doc_id, so a table that is partitioned by it is never shuffled again.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvan.css.match import CASELESS
@@ -168,7 +170,45 @@ class Plan:
             right = self.compound(self.elements, c).join(*mirrored(right, combinator), "left_semi")
         return right
 
+    def marked(self, conditions: list[Column], combinators: list[str], outermost: bool = False) -> DataFrame:
+        """Rows of PLACE that meet the last condition and have the others to their left, one by one through the combinators.
+
+        outermost: a descendant step before the last takes no match that lies in another.
+        """
+        rows = self.holders.select(*PLACE, *(F.coalesce(c, F.lit(False)).alias(f"__{i}") for i, c in enumerate(conditions)))
+        rows = rows.filter(reduce(or_, (F.col(f"__{i}") for i in range(len(conditions)))))
+        before = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+        beside = Window.partitionBy("doc_id", "parent_id").orderBy("elem_idx")
+        mark = F.col("__0")
+        ends = lambda: F.coalesce(F.max(F.when(F.col("__m"), F.col("last"))).over(before), F.lit(-1))
+        for i, combinator in enumerate(combinators):
+            if i:
+                rows = rows.withColumn("__m", mark)
+                if outermost and combinators[i - 1] == " ":
+                    rows = rows.withColumn("__e", ends()).withColumn("__m", F.col("__m") & (F.col("__e") < F.col("pre"))).drop("__e")
+                if combinator == " ":
+                    rows = rows.withColumn("__r", ends() >= F.col("pre"))
+                elif combinator == ">":  # a marked row also stands among its children
+                    own = F.struct(F.col("parent_id").alias("k"), F.lit(False).alias("above"))
+                    up = F.struct(F.col("node_id").alias("k"), F.lit(True).alias("above"))
+                    rows = rows.withColumn("__k", F.explode(F.when(F.col("__m"), F.array(own, up)).otherwise(F.array(own))))
+                    rows = rows.withColumns({"__a": F.col("__k.above"), "__k": F.col("__k.k")})
+                    rows = rows.withColumn("__r", F.max("__a").over(Window.partitionBy("doc_id", "__k"))).filter(~F.col("__a")).drop("__k", "__a")
+                elif combinator == "+":
+                    last = F.lag(F.when(F.col("__m"), F.col("elem_idx"))).over(beside)
+                    rows = rows.withColumn("__r", F.coalesce(last == F.col("elem_idx") - 1, F.lit(False)))
+                else:
+                    some = F.max("__m").over(beside.rowsBetween(Window.unboundedPreceding, -1))
+                    rows = rows.withColumn("__r", F.coalesce(some, F.lit(False)))
+                mark = F.col("__r") & F.col(f"__{i}")
+        return rows.filter(mark).select(*PLACE)
+
     def complex(self, s: Complex, last: DataFrame) -> DataFrame:
+        own = [compound_column(c) for c in s.compounds]
+        if len(own) > 1 and all(c is not None for c in own):
+            own[-1] = own[-1] & (F.col("kind") == "element") if last is self.elements else own[-1]
+            rows = self.marked(own, list(s.combinators))
+            return rows if last is self.elements or last is self.holders else last.join(rows.select(*KEY), KEY, "left_semi")
         left = None
         for i, (c, combinator) in enumerate(zip(s.compounds, s.combinators, strict=True)):
             own = self.compound(last if i == len(s.compounds) - 1 else self.holders, c)

@@ -5,7 +5,7 @@ from sylvan.css.parser import SelectorError
 from sylvan.markup.edit import edit, violations
 from sylvan.markup.serialize import to_html
 from sylvan.markup.treebuilder import parse_document
-from sylvan.operators.frame import Nodes, checked, matches
+from sylvan.operators.frame import Nodes, checked, matcher, matches
 from sylvan.sources.pages import documents, extract, parse, read_files, render, rewrite
 
 HTML = '<div id="a" class="x y"><p>one</p>two<p class="k"><b>three</b></p></div><ul><li>1</li><li>2</li><li>3</li></ul><template><i>t</i></template>'
@@ -78,8 +78,10 @@ def test_getters(nodes):
     assert values(nodes.select("div").text(), "value") == [(0, "onetwothree")]
     assert values(nodes.select("div").immediate_text(), "value") == [(0, "two")]
     assert values(nodes.select("div, b").text_joined(), "value") == [(0, "onetwothreethree")]
-    assert values(nodes.select("ul").inner_html(), "value") == [(0, "<li>1</li><li>2</li><li>3</li>")]
-    assert values(nodes.select("template").html(), "value") == [(0, "<template><i>t</i></template>")]
+    assert values(nodes.select("ul").inner_html(), "value") == [(0, "<li>1</li><li>2</li><li>3</li>"), (1, ""), (2, "")]
+    assert values(nodes.select("b").try_html(), "value") == [(0, "<b>three</b>"), (1, None), (2, None)]
+    assert values(nodes.select("p").last().class_attr(), "value") == [(0, "k"), (1, None)] and values(nodes.select("p").id_attr(), "value") == [(0, None), (1, None)]
+    assert values(nodes.select("template").html(), "value") == [(0, "<template><i>t</i></template>"), (1, ""), (2, "")]
     assert values(nodes.render("markdown"), "value") == [(0, "one\n\ntwo\n\n**three**\n\n- 1\n- 2\n- 3"), (1, "only"), (2, "")]
     assert values(nodes.select("ul").to_fragment().render("html"), "value") == [(0, "<html><ul><li>1</li><li>2</li><li>3</li></ul></html>")]
 
@@ -132,8 +134,9 @@ def test_selection_edits(nodes):
     assert '<p class="k"><b>three</b></p><li>1</li><li>2</li><li>3</li></div><ul></ul>' in body(nodes.select("div").edit("append_selection", source=li))
     assert body(nodes.select("p").edit("replace_with_selection", source=li)).count("<li>2</li>") == 2
     assert body(ul.edit("append_selection", source=nodes.select("nothing"))) == HTML
-    with pytest.raises(Exception, match="below itself"):
-        body(nodes.select("b").edit("append_selection", source=nodes.select("div")))
+    assert body(nodes.select("b").edit("append_selection", source=nodes.select("div"))) == HTML  # can't stand below itself
+    assert [r.doc_id for r in nodes.impossible(nodes.select("b"), nodes.select("div")).collect()] == [0]
+    assert nodes.impossible(nodes.select("li"), nodes.select("div")).count() == 0
 
 
 def test_documents_and_sources(spark, tmp_path):
@@ -189,3 +192,72 @@ def test_children_runs_and_merge(spark, nodes):
     assert '<ul><li>1</li><li>2</li><li>3</li><p class="k"><b>three</b></p></ul>' in body(nodes.select("p.k").edit("wrap_selection", source=nodes.select("ul")))
     two = Nodes.parse(spark.createDataFrame([(0, "<p>more</p>")], "page_id long, html string"))
     assert body(nodes.merge(two)) == HTML + "<p>more</p>"
+
+
+def test_chains_are_one_pass(nodes):
+    """Five edits in a row, structural ones and others, are one pass over the documents, as by the fused form."""
+    own = nodes
+    for k in range(5):
+        own = own.select("p").edit("append_html", f"<i>{k}</i>") if k % 2 else own.add_class(own.select("div > p").first(), f"k{k}")
+    plan = own.df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("InMemoryRelation")[0].count("MapInArrow") == 1 and plan.count("\n") < 40
+    assert '<p class="k0 k2 k4">one<i>1</i><i>3</i></p>' in {r.doc_id: r.value for r in own.render("html").collect()}[0]
+    one = nodes.select("p").edit("append_html", "<u></u>")
+    two = one.edit(one.select("u").next_sibling(), "remove")  # no route leads there: the table's plan is cut
+    assert two.df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") >= 1
+
+
+def test_fragments_keep_rows(spark):
+    """A subtree is copied as it is, though HTML of it alone would be read otherwise."""
+    page = "<table><tr><td>x<template><b>t</b></template></td></tr></table><select><option>o</select>"
+    own = Nodes.parse(spark.createDataFrame([(1, page), (2, "<p>")], "page_id long, html string"))
+    for name, html in (("td", "<td>x<template><b>t</b></template></td>"), ("tr", "<tr><td>x<template><b>t</b></template></td></tr>"), ("option", "<option>o</option>")):
+        new = own.select(name).to_fragment()
+        assert values(new.render("html"), "value") == [(1, f"<html>{html}</html>")]
+        assert {(r.node_id, r.kind, r.tag) for r in new.df.filter("node_id < 4").collect()} == {(0, "fragment", None), (1, "element", "body"), (2, "element", "html"), (3, "element", name)}
+        assert checked(new).filter("problems > 0").count() == new.validate().count() == 0
+    whole = own.select("html").to_fragment()
+    assert values(whole.render("html"), "value") == values(own.render("html"), "value")
+
+
+def test_new_nodes_and_trees(spark, nodes):
+    ids = spark.createDataFrame([(5,), (6,)], "id long")
+    for kind in ("document", "fragment"):
+        tree = Nodes.new(ids, kind)
+        assert [(r.node_id, r.kind, r.n_child) for r in tree.df.collect()] == [(0, kind, 0)] * 2
+        assert values(tree.render("html"), "value") == [(5, ""), (6, "")]
+    assert values(Nodes.new(ids, "element", "p").render("html"), "value") == [(5, "<p></p>"), (6, "<p></p>")]
+    own, made = nodes.create("element", tag="hr")
+    assert {r.attached for r in made.nodes("attached").collect()} == {False} and own.df.count() == nodes.df.count() + 3
+    put = own.edit(own.select("p"), "after_selection", source=made)
+    assert '<p>one</p><hr>two<p class="k"><b>three</b></p><hr></div>' in {r.doc_id: r.value for r in put.render("html").collect()}[0]
+    own, made = nodes.create("text", text="a<b")
+    assert values(made.text(), "value") == [(0, ""), (1, ""), (2, "")] and values(made.nodes("text"), "text") == [(0, "a<b"), (1, "a<b"), (2, "a<b")]
+
+
+def test_more_verbs(nodes):
+    assert tags(nodes.child_path(["html", "body", "div", "p"])) == [(0, 1, "p")]
+    assert tags(nodes.select("div").mini_filter("div.x[id]")) == [(0, 1, "div")]
+    assert values(nodes.select("p").mini_is("p.k"), "value") == [(0, True), (1, False), (2, False)]
+    assert values(nodes.select("p").node_is("div p:has(b)"), "sel_ord", "value") == [(0, 1, False), (0, 2, True), (1, 1, False)]
+    assert values(nodes.select("p").node_is("p:::"), "value") == [(0, False), (0, False), (1, False)]
+    assert values(nodes.root().node_is(":root"), "value") == [(0, False), (1, False), (2, False)]
+    assert tags(nodes.select("ul").children(reverse=True)) == [(0, 1, "li"), (0, 2, "li"), (0, 3, "li")]
+    assert values(nodes.select("ul").children(reverse=True).text(), "sel_ord", "value") == [(0, 1, "3"), (0, 2, "2"), (0, 3, "1")]
+    once = matcher("li + li")
+    assert tags(nodes.select(once)) == tags(nodes.select("ul").select(once)) == [(0, 1, "li"), (0, 2, "li")]
+    md = {r.doc_id: r.value for r in nodes.body().fold("markdown", skip=["ul"]).collect()}
+    assert md[0] == "one\n\ntwo\n\n**three**"
+    assert nodes.try_select("p::") is None
+
+
+def test_deep_and_wide_pages(spark):
+    pages = spark.createDataFrame([(1, "<blockquote>" * 1500 + "x"), (2, "<ul>" + "<li>y" * 20_000), (3, "<template>" * 1500)], "page_id long, html string")
+    assert {r.doc_id for r in render(pages, "markdown").collect()} == {1, 2, 3}
+    assert extract(pages, "li + li").count() == 19_999
+    done = rewrite(pages, [("li", "before_html", "<b></b>"), ("head", "append_html", "<i></i>")])
+    assert {r.doc_id: r.value.count("<b></b>") for r in done.collect()}[2] == 20_000
+    own = Nodes.parse(pages)
+    assert own.select("li ~ li").length().filter("doc_id = 2").first().value == 19_999
+    assert own.select("blockquote blockquote").length().filter("doc_id = 1").first().value == 1_499
+    assert own.select("li").first().next_sibling().rows.count() == 1
