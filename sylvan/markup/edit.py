@@ -142,7 +142,8 @@ def within(node: Node, other: Node) -> bool:
 def edit(doc: Document, targets: list[Node], verb: str, *args) -> None:
     """Apply a verb to all targets in order.
 
-    With HTML: set_html, append_html, prepend_html, before_html, after_html, replace_with_html, wrap_html.
+    With HTML: set_html, append_html, prepend_html, before_html, after_html, replace_with_html, wrap_html,
+    and replace_node_html, which leaves the targets where there is nothing to replace them with.
     With a list of nodes, which are taken from their place and copied to each target: append_selection,
     prepend_selection, before_selection, after_selection, replace_with_selection, wrap_selection (in the
     first of them). With a list of nodes that move to the first target, each with the siblings that follow
@@ -153,7 +154,8 @@ def edit(doc: Document, targets: list[Node], verb: str, *args) -> None:
     """
     if verb.endswith("_html"):
         nodes = fragment_nodes(args[0])
-        put(targets, verb.split("_")[0], lambda: [copied(doc, n) for n in nodes])
+        if nodes or not verb.endswith("_node_html"):
+            put(targets, verb.split("_")[0], lambda: [copied(doc, n) for n in nodes])
     elif verb.endswith("_selection"):
         sources = args[0][:1] if verb == "wrap_selection" else args[0]
         held = {id(n) for s in args[0] for n in s.walk()}

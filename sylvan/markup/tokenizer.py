@@ -19,6 +19,8 @@ _PAIR = re.compile(r" ([a-z0-9-]+)=\"([^\"]*)\"")
 _COMMENT_END = re.compile(r"--!?>")
 _SCRIPT = re.compile(r"<!--|-->|<(/?)script(?=[\t\n\f />])", re.IGNORECASE)
 _DOCTYPE = re.compile(r"[\t\n\f ]*([^\t\n\f >]*)[\t\n\f ]*(?:(public|system)[\t\n\f ]*(?:\"([^\">]*)\"?|'([^'>]*)'?)?[\t\n\f ]*(?:\"([^\">]*)\"?|'([^'>]*)'?)?)?[^>]*", re.IGNORECASE)
+#: A null, or a reference: its number sign, number, name and semicolon.
+_CHECKED = re.compile(r"\0|&(?:(#)([xX][0-9a-fA-F]+|[0-9]+)?|([A-Za-z0-9]+))(;?)")
 _LONGEST = max(map(len, html5))
 
 
@@ -71,7 +73,10 @@ class Tokenizer:
             end = text.find("<", at)
             end = n if end < 0 else end
             self.at = end
-            return ("text", decode(text[at:end]))
+            data = text[at:end]
+            if "&" in data or "\0" in data:
+                self.report(data)
+            return ("text", decode(data))
         follow = text[at + 1 : at + 2]
         if follow.isascii() and follow.isalpha():
             return self.tag(at + 1, False)
@@ -97,6 +102,18 @@ class Tokenizer:
         self.errors.append(what)
         self.at = at
 
+    def report(self, data: str, attribute: bool = False) -> None:
+        """What is wrong with the character references and characters of a text."""
+        for m in _CHECKED.finditer(data):
+            if m[0] == "\0":
+                self.errors.append("null character")
+            elif m[1] is not None:
+                self.errors += ["no digits in a character reference"] if not m[2] else ["no semicolon after a character reference"] if not m[4] else []
+            elif m[4] and m[3] + ";" not in html5:
+                self.errors.append("unknown character reference")
+            elif not m[4] and any(m[3][:n] in html5 for n in range(len(m[3]), 1, -1)) and not (attribute and data[m.end() : m.end() + 1] == "="):
+                self.errors.append("no semicolon after a character reference")
+
     def bogus(self, at: int) -> tuple:
         end = self.text.find(">", at)
         data = self.text[at : end if end >= 0 else None]
@@ -176,6 +193,8 @@ class Tokenizer:
             value = next((v for v in (m[2], m[4], m[6]) if v is not None), "")
             key = m[1] if m[1].islower() else "".join(c.lower() if c.isascii() else c for c in m[1])
             key, at = key.replace("\0", "�"), m.end()
+            if "&" in value:
+                self.report(value, True)
             if key in seen:
                 self.errors.append("duplicate attribute")
             else:
@@ -198,7 +217,10 @@ class Tokenizer:
             end = m.start() if m else n
         if end > at:
             self.at = end
-            data = text[at:end].replace("\0", "�")
+            data = text[at:end]
+            if self.mode == "rcdata":
+                self.report(data)
+            data = data.replace("\0", "�")
             return ("text", decode(data) if self.mode == "rcdata" else data)
         self.mode = "data"
         return self.tag(at + 2, True)

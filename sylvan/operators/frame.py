@@ -236,7 +236,9 @@ class Nodes:
             return numbered(left, doc, extra)
 
         kind = self.df.schema["doc_id"].dataType.simpleString()
-        return Nodes(self.settle().groupBy("doc_id").cogroup(other.settle().groupBy("doc_id")).applyInArrow(run, ddl(kind)), partitioned=True, edited=True)
+        right = other.settle()
+        right = right.toDF(*right.columns)  # the same table may stand on both sides
+        return Nodes(self.settle().groupBy("doc_id").cogroup(right.groupBy("doc_id")).applyInArrow(run, ddl(kind)), partitioned=True, edited=True)
 
     def validate(self) -> DataFrame:
         """doc_id, problem: where intervals, parents or positions of the table don't fit together."""

@@ -271,7 +271,7 @@ def empty_documents(spark, sf_dir):
     return render(pages(spark, sf_dir).select("page_id", F.lit("").alias("html")), "html").withColumnRenamed("value", "html")
 
 
-@query("parse_errors")
+@query("parse_errors", f"WITH {PAGES} SELECT page_id AS doc_id, 'no semicolon after a character reference' AS error FROM p WHERE regexp_matches(regexp_extract(h, '<title>(.*)</title>', 1), '&amp$') UNION ALL SELECT page_id, 'no semicolon after a character reference' FROM p WHERE regexp_matches(regexp_extract(h, '<h1>(.*)</h1>', 1), '&amp$')")
 def parse_errors(spark, sf_dir):
     return documents(pages(spark, sf_dir)).select("doc_id", F.explode("errors").alias("error"))
 
@@ -533,22 +533,22 @@ def markdown(spark, sf_dir):
 
 
 def parts_table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page for each size of parts: a table of key and name."""
+    """A page for each hundred parts: a table of key and name."""
     row = F.concat(F.lit("<tr><td>"), F.col("p_partkey").cast("string"), F.lit("</td><td>"), F.col("p_name"), F.lit("</td></tr>"))
-    rows = read(spark, sf_dir, "part").groupBy("p_size").agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))).alias("x"))
+    rows = read(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 100).alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))).alias("x"))
     html = F.concat(F.lit("<table><tr><th>Key</th><th>Näme</th></tr>"), F.array_join(F.transform("x", lambda r: r["r"]), ""), F.lit("</table>"))
-    return rows.select(F.col("p_size").cast("long").alias("page_id"), html.alias("html"))
+    return rows.select(F.col("page_id").cast("long"), html.alias("html"))
 
 
 @query(
     "markdown_table",
-    r"SELECT CAST(p_size AS BIGINT) AS doc_id, '| Key | Näme |' || chr(10) || '| --- | ----- |' || chr(10) || string_agg('| ' || p_partkey || ' | ' || regexp_replace(p_name, '([`*_{}\[\]<>()#+.!|])', '\\\1', 'g') || ' |', chr(10) ORDER BY p_partkey) AS md FROM part GROUP BY p_size",
+    r"SELECT CAST(p_partkey // 100 AS BIGINT) AS doc_id, '| Key | Näme |' || chr(10) || '| --- | ----- |' || chr(10) || string_agg('| ' || p_partkey || ' | ' || regexp_replace(p_name, '([`*_{}\[\]<>()#+.!|])', '\\\1', 'g') || ' |', chr(10) ORDER BY p_partkey) AS md FROM part GROUP BY p_partkey // 100",
 )
 def markdown_table(spark, sf_dir):
     return render(parts_table_html(spark, sf_dir), "markdown").withColumnRenamed("value", "md")
 
 
-@query("table_cells", "SELECT CAST(p_size AS BIGINT) AS doc_id, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS sel_ord, p_name AS name FROM part")
+@query("table_cells", "SELECT CAST(p_partkey // 100 AS BIGINT) AS doc_id, row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey) AS sel_ord, p_name AS name FROM part")
 def table_cells(spark, sf_dir):
     return extract(parts_table_html(spark, sf_dir), "table > tbody > tr > td:last-child", ["text"]).select("doc_id", long("sel_ord").alias("sel_ord"), F.col("text").alias("name"))
 
