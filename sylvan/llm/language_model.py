@@ -1,21 +1,29 @@
 """Language-model scores from a log-bilinear model trained with noise-contrastive estimation.
 
 Tokens are a text's words, lower-cased for A-Z, then one end. Counts cover every training document.
-The model predicts, from the two tokens before, one of the `outcomes` most frequent tokens or the
-class of all others: a context's vector is the sum of its tokens' embeddings through a matrix for each
-place, and a token's score that vector times the token's own, plus a bias (Mnih and Hinton, 2007). A
-token of the class takes its share of the class by smoothed counts, so an unseen one has a share too
-and probabilities add up to one.
-
-Training is data-parallel over all training documents: each task starts from the same parameters,
-learns from its own documents by minibatches of contexts with noise shared within a batch (Mnih and
-Teh, 2012), in numpy, and the parameters are averaged by tokens in rounds, so that no task or driver
-sees more than a few sets. Scores of all contexts and tokens are then fixed tables, made by batched
-matrix products with exact normalisation, of (outcomes + 2) ** 2 numbers; scoring looks them up.
-
-Counts of frequent tokens (`frequent` at most) are broadcast with the tables, a fixed size; counts of
-the others are joined by token, each document sending one row for each distinct one. Tokens that stand
-everywhere are among the frequent ones, so no key of that join is hot.
+The vocabulary is every token that stands `least` times or more, up to the `frequent` most frequent, so
+it grows with the corpus to a fixed bound of memory. The model predicts a token from the two before by
+its place in a tree. At the top stand the end, the most frequent tokens, up to CLASSES classes of the
+rest of the vocabulary (neighbours by spelling), and the class of all tokens outside it: `outcomes` in
+all and two. A class has about as many groups as a group has tokens. A context's vector is the sum of
+the embeddings of its tokens' outcomes through a matrix for each place, and the score of an outcome,
+group or token that vector times its own, plus a bias (Mnih and Hinton, 2007 and 2009); each choice is
+normalised over its alternatives, by batched matrix products. A token outside the vocabulary takes its
+share of that class by smoothed counts, so an unseen one has a share too and probabilities add up to one.
+
+Training is data-parallel over all training documents. For the top, each task starts a round from the
+same parameters and learns from its own documents by minibatches of contexts with noise shared within a
+batch (Mnih and Teh, 2012), in numpy; the round's parameters are the tasks', averaged by tokens. So what
+is learnt depends a little on how rows lie in partitions, and not on the order of tasks. Groups and
+tokens below take one full step of noise-contrastive estimation from the smoothed counts: with noise
+drawn by counts its gradient is a token's sum of context vectors less what its counts alone would have,
+scaled by the inverse of the vectors' covariance (Newton's step) and drawn towards 0 where counts are few. Those sums are exact for any
+partitioning. Scores of all contexts and top outcomes are fixed tables with exact normalisers, of
+(outcomes + 2) ** 2 numbers.
+
+Counts of frequent tokens (`frequent` at most) are broadcast with the tables and vectors, a fixed size;
+counts of the others are joined by token, each document sending one row for each distinct one. Tokens
+that stand everywhere are among the frequent ones, so no key of that join is hot.
 
 Null or empty texts are one end. Rows equal in id and text get equal scores, and count as often as they
 are there. Without training documents base and model give every token its unseen share. Empty tables
@@ -38,6 +46,9 @@ from sylvan.llm.toxicity import remainder
 
 END = b"\n"  # no word holds a line break
 SMOOTHING = 0.1
+CLASSES = 256
+#: Of the step below the top: its length, and the count at which it is half as long.
+RATE, HALF = 0.5, 20.0
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -98,7 +109,7 @@ class Parameters:
         square[rows] += grad * grad
         own[rows] += rate * grad / np.sqrt(square[rows])
 
-    def learn(self, before: np.ndarray, last: np.ndarray, token: np.ndarray, weight: np.ndarray, rng: np.random.Generator, noise: int = 64, batch: int = 1024, rate: float = 0.3, passes: int = 4, steps: int = 600) -> None:
+    def learn(self, before: np.ndarray, last: np.ndarray, token: np.ndarray, weight: np.ndarray, rng: np.random.Generator, noise: int = 64, batch: int = 1024, rate: float = 0.3, passes: int = 2, steps: int = 300) -> None:
         """Noise-contrastive estimation over weighted (token two before, token before, token): some passes, and `steps` batches at least."""
         log_noise = np.log(noise * self.share).astype(np.float32)
         sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
@@ -155,14 +166,140 @@ def contexts(ids: np.ndarray, lengths: np.ndarray, begin: int) -> tuple[np.ndarr
     return before, last
 
 
-def train(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], share: np.ndarray, dim: int, chunk: int = 1 << 22) -> Parameters:
-    """Parameters learned from all rows of docs; vocabulary: outcomes, all others being the last one."""
+class Tree:
+    """The vocabulary below the top: classes of tokens that are neighbours, and in each, groups of about as many."""
+
+    def __init__(self, counts: np.ndarray, n_classes: int):
+        n = len(counts)
+        self.counts = counts
+        self.of = np.arange(n) * n_classes // max(n, 1)  # the class of each token
+        self.start = np.searchsorted(self.of, np.arange(n_classes + 1))
+        size = np.diff(self.start)
+        self.width = np.maximum(1, np.ceil(np.sqrt(size))).astype(np.int64)  # tokens of a group
+        groups = -(-size // self.width)
+        self.first = np.concatenate([[0], np.cumsum(groups)])  # the groups of each class
+        self.group = self.first[self.of] + (np.arange(n) - self.start[self.of]) // self.width[self.of]
+        self.edge = np.append(np.searchsorted(self.group, np.arange(self.first[-1])), n)  # the tokens of each group
+
+    def fit(self, sums: np.ndarray, total: np.ndarray, products: np.ndarray, n: float) -> Tree:
+        """Vectors and biases from the sums of the context vectors of each token; total, products: sums over all n contexts."""
+        mean = total / max(n, 1)
+        variance = products / max(n, 1) - np.outer(mean, mean)
+        metric = np.linalg.inv(variance + np.eye(len(mean)) * (1e-3 * np.trace(variance) / len(mean) + 1e-6))
+        starts = self.edge[:-1]
+        tops = self.start[:-1]
+        group_sums, group_counts = (np.add.reduceat(x, starts, axis=0) if len(starts) else x for x in (sums, self.counts))
+        of_group = self.of[starts] if len(starts) else self.of
+        class_sums, class_counts = (np.add.reduceat(x, tops, axis=0) if len(tops) else x for x in (sums, self.counts))
+        self.group_vectors, self.group_bias = step(group_sums, group_counts, class_sums[of_group], class_counts[of_group], metric)
+        self.vectors, self.bias = step(sums, self.counts, group_sums[self.group], group_counts[self.group], metric)
+        return self
+
+    def log_shares(self, token: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Log probabilities of tokens within their classes, given context vectors: of the group, and of the token in it."""
+        of_group = chosen(self.of[token], self.group[token] - self.first[self.of[token]], context, self.first, self.group_vectors, self.group_bias)
+        return of_group + chosen(self.group[token], token - self.edge[self.group[token]], context, self.edge, self.vectors, self.bias)
+
+
+def step(sums: np.ndarray, counts: np.ndarray, all_sums: np.ndarray, all_counts: np.ndarray, metric: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and biases after one step of noise-contrastive estimation from zero vectors and smoothed counts.
+
+    Its gradient at a vector is the sum of its contexts less its share of all contexts of the alternatives.
+    """
+    own, middle = (s / np.maximum(c, 1)[:, None] for s, c in ((sums, counts), (all_sums, all_counts)))
+    vectors = (RATE * (counts / (counts + HALF))[:, None] * (own - middle) @ metric).astype(np.float32)
+    bias = np.log(counts + SMOOTHING) - (vectors * (own + middle) / 2).sum(1)
+    return vectors, bias.astype(np.float32)
+
+
+def chosen(parent: np.ndarray, place: np.ndarray, context: np.ndarray, edge: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Log probabilities of the child at a place among a parent's children, which stand together: a matrix product for each parent."""
+    out = np.empty(len(parent), np.float64)
+    order = np.argsort(parent, kind="stable")
+    heads = np.flatnonzero(np.append(True, np.diff(parent[order]) != 0)) if len(order) else []
+    for a, b in zip(heads, [*heads[1:], len(order)], strict=True):
+        rows = order[a:b]
+        k = parent[rows[0]]
+        s = context[rows] @ vectors[edge[k] : edge[k + 1]].T + bias[edge[k] : edge[k + 1]]
+        top = s.max(1)
+        out[rows] = s[np.arange(len(rows)), place[rows]] - top - np.log(np.exp(s - top[:, None]).sum(1))
+    return out
+
+
+def context_sums(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], n_out: int, tree: Tree, n_top: int, model: Parameters) -> Tree:
+    """The tree fitted to all rows of docs; vocabulary: top outcomes, then the tree's tokens from n_out on; n_top: outcomes before the classes."""
+    spark, dim = docs.sparkSession, model.embed.shape[1]
+    if not len(tree.counts):
+        return tree.fit(np.zeros((0, dim)), np.zeros(dim), np.zeros((dim, dim)), 0)
+    known = spark.sparkContext.broadcast((vocabulary, tree.of, tree.start, model.embed @ model.first, model.embed @ model.second))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, of, start, near, far = known.value
+        sums, ends = np.zeros((len(of), dim), np.float32), np.zeros((dim + 2, dim))
+        for batch in batches:
+            for part in slices(batch, "__sv_text", 2 << 20):
+                _, before, last, token = encoded([tokens(t) for t in utf8(part.column(0))], vocabulary, n_out, of, n_top)
+                at = np.flatnonzero(token >= n_out)
+                for a in range(0, len(at), 1 << 17):
+                    own = at[a : a + (1 << 17)]
+                    context = near[last[own]] + far[before[own]]
+                    rows, added = summed(token[own] - n_out, context)
+                    sums[rows] += added
+                    ends += np.concatenate([[context.sum(0), np.full(dim, len(own))], context.T @ context])
+        if ends[1, 0]:
+            flat = [ends.tobytes(), *(sums[a:b].tobytes() for a, b in zip(start, start[1:], strict=False))]
+            for k, blob in enumerate(flat):  # a row for each class
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=["k", "sums"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(blob, np.float32 if k else np.float64).astype(np.float64)
+                held[k] = held[k] + own if k in held else own
+        for k, own in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(own.astype(np.float32) if k else own).tobytes()], pa.binary())], names=["k", "sums"])
+
+    rows = docs.select(F.col(f"`{text_col}`").alias("__sv_text"))
+    parts = rows.rdd.getNumPartitions()
+    if parts > 4 * spark.sparkContext.defaultParallelism:  # fewer sets of sums to add up
+        rows = rows.coalesce(parts // 4)
+    rows = rows.mapInArrow(add, "k int, sums binary").repartition("k").mapInArrow(total, "k int, sums binary")
+    found = {r.k: r.sums for r in rows.collect()}  # (dim + 1) numbers for each token of the vocabulary, whose size is bounded
+    if not found:
+        return tree.fit(np.zeros((len(tree.counts), dim)), np.zeros(dim), np.zeros((dim, dim)), 0)
+    sums = np.concatenate([np.frombuffer(found[k], np.float32).reshape(-1, dim) for k in range(1, len(tree.start))])
+    ends = np.frombuffer(found[0]).reshape(dim + 2, dim)
+    return tree.fit(sums, ends[0], ends[2:], ends[1, 0])
+
+
+def encoded(texts: list[list[bytes]], vocabulary: dict[bytes, int], n_out: int, of: np.ndarray, n_top: int) -> tuple[np.ndarray, ...]:
+    """Of texts' joined tokens: top outcomes, those of the two tokens before, and the numbers in the vocabulary (n_out - 1: none)."""
+    lengths = np.array([len(t) for t in texts])
+    token = np.array([vocabulary.get(w, n_out - 1) for t in texts for w in t], np.int64)
+    ids = token.copy()
+    below = token >= n_out
+    ids[below] = n_top + of[token[below] - n_out]
+    return (ids, *contexts(ids, lengths, n_out), token)
+
+
+def train(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], share: np.ndarray, dim: int, of: np.ndarray, n_top: int, rounds: int = 2) -> Parameters:
+    """Parameters learned from all rows of docs; vocabulary and of: see encoded."""
+    model = Parameters(share, dim)
+    for _ in range(rounds):
+        model = train_round(docs, text_col, vocabulary, share, dim, of, n_top, model.flat())
+    return model
+
+
+def train_round(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], share: np.ndarray, dim: int, of: np.ndarray, n_top: int, start: np.ndarray, chunk: int = 1 << 22) -> Parameters:
+    """The tasks' parameters, each learned from the same start, averaged by tokens."""
     spark = docs.sparkSession
-    known, n = spark.sparkContext.broadcast((vocabulary, share)), len(share)
+    known, n = spark.sparkContext.broadcast((vocabulary, share, of, start)), len(share)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, share = known.value
+        vocabulary, share, of, start = known.value
         own, rng, total = Parameters(share, dim), np.random.default_rng(11), 0
+        own.load(start)
         held: list[np.ndarray] = []
 
         def flush() -> int:
@@ -174,10 +311,7 @@ def train(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], share: n
 
         for batch in batches:
             for part in slices(batch, "__sv_text", 4 << 20):
-                texts = [tokens(t) for t in utf8(part.column(0))]
-                lengths = np.array([len(t) for t in texts])
-                ids = np.array([vocabulary.get(w, n - 1) for t in texts for w in t], np.int64)
-                before, last = contexts(ids, lengths, n)
+                ids, before, last, _ = encoded([tokens(t) for t in utf8(part.column(0))], vocabulary, n, of, n_top)
                 held.append((before * (n + 1) + last) * n + ids)
                 if sum(map(len, held)) >= chunk:
                     total += flush()
@@ -202,14 +336,13 @@ def train(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], share: n
         parts = -(-parts // 16)
         rows = rows.repartition(parts).mapInArrow(add, kind)
     model, total, flat = Parameters(share, dim), 0.0, 0.0
-    for r in rows.toLocalIterator():
+    for r in rows.collect():  # 32 sets at most
         total, flat = total + r.n, flat + np.frombuffer(r.flat)
-    if total:
-        model.load(flat / total)
+    model.load(flat / total if total else start)
     return model
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fold: int = 10, outcomes: int = 1023, dim: int = 24, frequent: int = 400_000) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fold: int = 10, outcomes: int = 1023, dim: int = 24, frequent: int = 400_000, least_count: int = 5) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; log10 probabilities of whole texts."""
     spark = ship(docs.sparkSession)
     training = docs.filter(remainder(id_col, fold) != 0)
@@ -225,36 +358,52 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
         least = r.b
     top = counts.filter(bin_ >= least).select("token", "n").toArrow()
     rows = sorted(zip(top["token"].to_pylist(), top["n"].to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
-    chosen = [w for w, _ in rows if w != END][:outcomes]
     own = dict(rows)
     end = own.get(END, 0) or (counts.filter(F.col("token") == F.lit(END)).agg(F.sum("n")).first()[0] or 0)
-    rows = order(rows, chosen, end)
-    n_out = len(chosen) + 2  # the end, the chosen tokens, the class of all others
-    share = np.array([n for _, n in rows[: n_out - 1]] + [0], np.float64)
+    words = [r for r in rows if r[0] != END]
+    most = min(CLASSES, outcomes // 4)
+    heads, others = words[: outcomes - most], words[outcomes - most :]
+    below = sorted(r for r in others if r[1] >= least_count)
+    n_classes = min(most, -(-len(below) // 8))
+    rows = [(END, end), *heads, *below, *(r for r in others if r[1] < least_count)]
+    n_top = 1 + len(heads)
+    n_out = n_top + n_classes + 1  # the end, the frequent tokens, the classes, the class of all others
+    tree = Tree(np.array([c for _, c in below], np.float64), n_classes)
+    share = np.zeros(n_out)
+    share[:n_top] = [c for _, c in rows[:n_top]]
+    share[n_top:-1] = np.bincount(tree.of, tree.counts, n_classes)
     rest = total - share.sum()
     share[-1] = rest
     share = (share + 0.5) / (share + 0.5).sum()
-    vocabulary = {w: i for i, (w, _) in enumerate(rows[: n_out - 1])}
-    model = train(training, text_col, vocabulary, share, dim)
+    vocabulary = {w: i if i < n_top else i - n_top + n_out for i, (w, _) in enumerate(rows[: n_top + len(below)])}
+    model = train(training, text_col, vocabulary, share, dim, tree.of, n_top)
+    tree = context_sums(training, text_col, vocabulary, n_out, tree, n_top, model)
     base_norm = math.log10(total + SMOOTHING * (distinct + 1))
-    rest_norm = math.log10(rest + SMOOTHING * (max(0, distinct - sum(n > 0 for _, n in rows[: n_out - 1])) + 1))
-    known = spark.sparkContext.broadcast((n_out, {w: i for i, (w, _) in enumerate(rows)}, np.array([n for _, n in rows], np.float64), *model.tables()))
+    rest_norm = math.log10(rest + SMOOTHING * (max(0, distinct - sum(n > 0 for _, n in rows[: n_top + len(below)])) + 1))
+    vectors = (model.embed @ model.first, model.embed @ model.second)
+    known = spark.sparkContext.broadcast(({w: i for i, (w, _) in enumerate(rows)}, np.array([n for _, n in rows], np.float64), n_out, n_top, tree, vectors, model.tables()))
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["__sv_id", "__sv_hash", "token", "times", "n_tokens", "n_known", "log_counts", "log_model", "n_rest", "n_rows"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_out, index, count, s1, s2, norm = known.value
-        logs, ln10 = np.log10(count + SMOOTHING), math.log(10)
+        index, count, n_out, n_top, tree, (near, far), (s1, s2, norm) = known.value
+        logs, ln10, n_below = np.log10(count + SMOOTHING), math.log(10), len(tree.of)
         for batch in batches:
-            for part in slices(batch, "__sv_text", 2 << 20):
+            for part in slices(batch, "__sv_text", 4 << 20):
                 texts = [tokens(t) for t in utf8(part.column(2))]
                 lengths = np.array([len(t) for t in texts])
                 starts = np.cumsum(lengths) - lengths
                 flat = [w for t in texts for w in t]
                 at = np.array([index.get(w, -1) for w in flat], np.int64)
-                ids = np.where((at >= 0) & (at < n_out - 1), at, n_out - 1)
+                member = np.flatnonzero((at >= n_top) & (at < n_top + n_below))
+                ids = np.where((at >= 0) & (at < n_top), at, n_out - 1)
+                ids[member] = n_top + tree.of[at[member] - n_top]
                 before, last = contexts(ids, lengths, n_out)
-                logp = (s1[last, ids] + s2[before, ids] - norm[before, last]).astype(np.float64) / ln10
+                logp = (s1[last, ids] + s2[before, ids] - norm[before, last]).astype(np.float64)
+                for a in range(0, len(member), 1 << 18):
+                    own = member[a : a + (1 << 18)]
+                    logp[own] += tree.log_shares(at[own] - n_top, near[last[own]] + far[before[own]])
+                logp /= ln10
                 seen = at >= 0
                 sums = lambda x: np.add.reduceat(x, starts)
                 found = np.where(seen, logs[np.maximum(at, 0)], 0.0)
@@ -296,9 +445,3 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
         F.lit(total).cast("long").alias("train_tokens"), (one("c") - one("t") * base_norm).alias("base_score"),
         (one("m") + one("q") - one("r") * rest_norm).alias("score"),
     )
-
-
-def order(rows: list[tuple[bytes, int]], chosen: list[bytes], end: int) -> list[tuple[bytes, int]]:
-    """The end, the chosen tokens, then the other frequent ones."""
-    first, own = {END, *chosen}, dict(rows)
-    return [(END, end), *((w, own[w]) for w in chosen), *(r for r in rows if r[0] not in first)]

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from sylvan.llm import language_model
-from sylvan.llm.language_model import END, Parameters, contexts, score, tokens
+from sylvan.llm.language_model import END, Parameters, Tree, contexts, score, tokens
 
 
 def held(i):
@@ -81,6 +81,72 @@ def test_probabilities_add_up_and_learning_helps():
     assert learned > np.log(share[ids]).mean() + 1.0
 
 
+def test_tree_shares_add_up():
+    """Shares within each class, by a plain walk over its groups and tokens, and their sum over its tokens."""
+    rng = np.random.default_rng(3)
+    tree = Tree(rng.integers(5, 90, 157).astype(float), 6)
+    assert sorted(set(tree.of)) == list(range(6)) and all((np.diff(tree.group) >= 0) & (np.diff(tree.group) <= 1))
+    n, sums = tree.counts, rng.normal(size=(157, 4)) * tree.counts[:, None]
+    tree.fit(sums, sums.sum(0), (sums / n[:, None]).T @ sums, n.sum())
+    for context in rng.normal(size=(3, 4)):
+        got = np.exp(tree.log_shares(np.arange(157), np.repeat(context[None], 157, 0)))
+        assert np.allclose(np.bincount(tree.of, got), 1, atol=1e-5)
+        for t in range(157):
+            groups = [g for g in range(tree.first[tree.of[t]], tree.first[tree.of[t] + 1])]
+            scores = [math.exp(tree.group_vectors[g] @ context + tree.group_bias[g]) for g in groups]
+            inner = {u: math.exp(tree.vectors[u] @ context + tree.bias[u]) for u in range(157) if tree.group[u] == tree.group[t]}
+            assert got[t] == pytest.approx(scores[groups.index(tree.group[t])] / sum(scores) * inner[t] / sum(inner.values()), rel=1e-4)
+
+
+def test_tokens_below_the_top_are_scored_by_the_model(spark, monkeypatch):
+    """Pairs of tokens outside the top: a context tells which of them follows, which counts alone don't."""
+    rng = random.Random(4)
+    data = [(i, " ".join(f"k{j} {'ab'[j % 2]}{rng.randrange(3)}x{j % 7}" for j in rng.choices(range(2), k=30))) for i in range(300)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    total = lambda: sum(r.score for r in score(docs, outcomes=4).collect() if r.held_out)
+    learned = total()
+    monkeypatch.setattr(language_model, "RATE", 0.0)
+    assert learned > total() * 0.97
+
+
+def test_scores_against_a_plain_walk(spark, monkeypatch):
+    """The query's scores are the sums over the tokens of a text that its parameters give, taken one by one."""
+    kept = {}
+    fitted = language_model.context_sums
+
+    def spy(docs, text_col, vocabulary, n_out, tree, n_top, model):
+        kept.update(vocabulary=vocabulary, n_out=n_out, n_top=n_top, model=model, tree=fitted(docs, text_col, vocabulary, n_out, tree, n_top, model))
+        return kept["tree"]
+
+    monkeypatch.setattr(language_model, "context_sums", spy)
+    data = texts(150) + [(900, ""), (901, "unseen words a b")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    rows = {r.doc_id: r.score for r in score(docs, outcomes=8, least_count=30).collect()}
+    counts = Counter(w for i, t in data if not held(i) for w in tokens(t.encode()))
+    v, n_out, n_top, model, tree = (kept[k] for k in ("vocabulary", "n_out", "n_top", "model", "tree"))
+    assert len(tree.counts) > 3
+    outside = [c for w, c in counts.items() if w not in v]
+    near, far = model.embed @ model.first, model.embed @ model.second
+
+    def top(w):
+        at = v.get(w, n_out - 1)
+        return at if at < n_out else n_top + tree.of[at - n_out]
+
+    for i in (0, 7, 33, 900, 901):
+        total, before, last = 0.0, n_out, n_out
+        for w in tokens(dict(data)[i].encode()):
+            context = near[last] + far[before]
+            s = model.out @ context + model.bias
+            total += s[top(w)] - np.log(np.exp(s).sum())
+            at = v.get(w, -1)
+            if at >= n_out:
+                total += tree.log_shares(np.array([at - n_out]), context[None])[0]
+            elif at < 0:
+                total += math.log((counts[w] + 0.1) / (sum(outside) + 0.1 * (len(outside) + 1)))
+            before, last = last, top(w)
+        assert rows[i] == pytest.approx(total / math.log(10), rel=1e-4)
+
+
 def test_dictionaries_stay_small(spark):
     docs = spark.createDataFrame([(f"w{i} a",) for i in range(300)], "text string")
     got = {bytes(r.token): r.n for r in language_model.count_tokens(docs, "text", most=10).collect()}
