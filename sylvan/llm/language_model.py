@@ -5,14 +5,14 @@ The vocabulary is every token that stands `least` times or more, up to the `freq
 it grows with the corpus to a fixed bound of memory. The model predicts a token from the two before by
 its place in a tree. At the top stand the end, the most frequent tokens, up to CLASSES classes of the
 rest of the vocabulary (neighbours by spelling), and the class of all tokens outside it: `outcomes` in
-all and two. A class has about as many groups as a group has tokens. A context's vector is the sum of
+all and two. Classes hold groups, and groups tokens. A context's vector is the sum of
 the embeddings of its tokens' outcomes through a matrix for each place, and the score of an outcome,
 group or token that vector times its own, plus a bias (Mnih and Hinton, 2007 and 2009); each choice is
 normalised over its alternatives, by batched matrix products. A token outside the vocabulary takes its
 share of that class by smoothed counts, so an unseen one has a share too and probabilities add up to one.
 
 Training is data-parallel over all training documents. For the top, each task starts a round from the
-same parameters and learns from its own documents by minibatches of contexts with noise shared within a
+same parameters and learns from its own documents, each of which has one of the rounds, by minibatches of contexts with noise shared within a
 batch (Mnih and Teh, 2012), in numpy; the round's parameters are the tasks', averaged by tokens. So what
 is learnt depends a little on how rows lie in partitions, and not on the order of tasks. Groups and
 tokens below take one full step of noise-contrastive estimation from the smoothed counts: with noise
@@ -109,10 +109,15 @@ class Parameters:
         square[rows] += grad * grad
         own[rows] += rate * grad / np.sqrt(square[rows])
 
-    def learn(self, before: np.ndarray, last: np.ndarray, token: np.ndarray, weight: np.ndarray, rng: np.random.Generator, noise: int = 64, batch: int = 1024, rate: float = 0.3, passes: int = 2, steps: int = 300) -> None:
+    def learn(self, before: np.ndarray, last: np.ndarray, token: np.ndarray, weight: np.ndarray, rng: np.random.Generator, noise: int = 64, batch: int = 1024, rate: float = 0.3, passes: int = 1, steps: int = 200) -> None:
         """Noise-contrastive estimation over weighted (token two before, token before, token): some passes, and `steps` batches at least."""
         log_noise = np.log(noise * self.share).astype(np.float32)
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+        def sigmoid(x: np.ndarray) -> np.ndarray:  # in place
+            with np.errstate(over="ignore"):  # beyond the range it is 0
+                np.exp(np.negative(x, out=x), out=x)
+            return np.reciprocal(np.add(x, 1, out=x), out=x)
+
         cumulative, n = np.cumsum(self.share), len(token)
         for _ in range(max(passes, -(-steps // -(-n // batch)))):
             order = rng.permutation(n)
@@ -167,7 +172,7 @@ def contexts(ids: np.ndarray, lengths: np.ndarray, begin: int) -> tuple[np.ndarr
 
 
 class Tree:
-    """The vocabulary below the top: classes of tokens that are neighbours, and in each, groups of about as many."""
+    """The vocabulary below the top: classes of tokens that are neighbours, and in each, groups."""
 
     def __init__(self, counts: np.ndarray, n_classes: int):
         n = len(counts)
@@ -175,7 +180,7 @@ class Tree:
         self.of = np.arange(n) * n_classes // max(n, 1)  # the class of each token
         self.start = np.searchsorted(self.of, np.arange(n_classes + 1))
         size = np.diff(self.start)
-        self.width = np.maximum(1, np.ceil(np.sqrt(size))).astype(np.int64)  # tokens of a group
+        self.width = np.maximum(1, np.ceil(3 * np.sqrt(size))).astype(np.int64)  # tokens of a group: matrix products are few and not small
         groups = -(-size // self.width)
         self.first = np.concatenate([[0], np.cumsum(groups)])  # the groups of each class
         self.group = self.first[self.of] + (np.arange(n) - self.start[self.of]) // self.width[self.of]
@@ -191,8 +196,8 @@ class Tree:
         group_sums, group_counts = (np.add.reduceat(x, starts, axis=0) if len(starts) else x for x in (sums, self.counts))
         of_group = self.of[starts] if len(starts) else self.of
         class_sums, class_counts = (np.add.reduceat(x, tops, axis=0) if len(tops) else x for x in (sums, self.counts))
-        self.group_vectors, self.group_bias = step(group_sums, group_counts, class_sums[of_group], class_counts[of_group], metric)
-        self.vectors, self.bias = step(sums, self.counts, group_sums[self.group], group_counts[self.group], metric)
+        self.group_vectors, self.group_bias = step(group_sums, group_counts, class_sums, class_counts, of_group, metric)
+        self.vectors, self.bias = step(sums, self.counts, group_sums, group_counts, self.group, metric)
         return self
 
     def log_shares(self, token: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -201,49 +206,56 @@ class Tree:
         return of_group + chosen(self.group[token], token - self.edge[self.group[token]], context, self.edge, self.vectors, self.bias)
 
 
-def step(sums: np.ndarray, counts: np.ndarray, all_sums: np.ndarray, all_counts: np.ndarray, metric: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def step(sums: np.ndarray, counts: np.ndarray, all_sums: np.ndarray, all_counts: np.ndarray, parent: np.ndarray, metric: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Vectors and biases after one step of noise-contrastive estimation from zero vectors and smoothed counts.
 
     Its gradient at a vector is the sum of its contexts less its share of all contexts of the alternatives.
     """
-    own, middle = (s / np.maximum(c, 1)[:, None] for s, c in ((sums, counts), (all_sums, all_counts)))
-    vectors = (RATE * (counts / (counts + HALF))[:, None] * (own - middle) @ metric).astype(np.float32)
-    bias = np.log(counts + SMOOTHING) - (vectors * (own + middle) / 2).sum(1)
-    return vectors, bias.astype(np.float32)
+    vectors, bias = np.empty(sums.shape, np.float32), np.empty(len(sums), np.float32)
+    for a in range(0, len(sums), 1 << 14):  # a part at a time, to spare memory
+        c, k = counts[a : a + (1 << 14)], parent[a : a + (1 << 14)]
+        own, middle = sums[a : a + (1 << 14)] / np.maximum(c, 1)[:, None], all_sums[k] / np.maximum(all_counts[k], 1)[:, None]
+        part = RATE * (c / (c + HALF))[:, None] * (own - middle) @ metric
+        vectors[a : a + (1 << 14)] = part
+        bias[a : a + (1 << 14)] = np.log(c + SMOOTHING) - (part * (own + middle) / 2).sum(1)
+    return vectors, bias
 
 
 def chosen(parent: np.ndarray, place: np.ndarray, context: np.ndarray, edge: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Log probabilities of the child at a place among a parent's children, which stand together: a matrix product for each parent."""
-    out = np.empty(len(parent), np.float64)
     order = np.argsort(parent, kind="stable")
-    heads = np.flatnonzero(np.append(True, np.diff(parent[order]) != 0)) if len(order) else []
-    for a, b in zip(heads, [*heads[1:], len(order)], strict=True):
-        rows = order[a:b]
-        k = parent[rows[0]]
-        s = context[rows] @ vectors[edge[k] : edge[k + 1]].T + bias[edge[k] : edge[k + 1]]
-        top = s.max(1)
-        out[rows] = s[np.arange(len(rows)), place[rows]] - top - np.log(np.exp(s - top[:, None]).sum(1))
+    parent, place, context = parent[order], place[order], context[order]
+    heads = np.flatnonzero(np.append(True, parent[1:] != parent[:-1])) if len(order) else np.arange(0)
+    out, total = np.empty(len(parent), np.float64), np.empty(len(parent), np.float32)
+    picked = np.empty(len(parent), np.float32)
+    for a, b, k in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], parent[heads].tolist(), strict=True):
+        s = context[a:b] @ vectors[edge[k] : edge[k + 1]].T
+        s += bias[edge[k] : edge[k + 1]]
+        s -= s.max(1, keepdims=True)
+        picked[a:b] = s[np.arange(b - a), place[a:b]]
+        np.exp(s, out=s)
+        s.sum(1, out=total[a:b])
+    out[order] = picked - np.log(total)
     return out
 
 
-def context_sums(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], n_out: int, tree: Tree, n_top: int, model: Parameters) -> Tree:
-    """The tree fitted to all rows of docs; vocabulary: top outcomes, then the tree's tokens from n_out on; n_top: outcomes before the classes."""
+def context_sums(docs: DataFrame, words, tree: Tree, model: Parameters) -> Tree:
+    """The tree fitted to all rows of docs (numbered)."""
     spark, dim = docs.sparkSession, model.embed.shape[1]
     if not len(tree.counts):
         return tree.fit(np.zeros((0, dim)), np.zeros(dim), np.zeros((dim, dim)), 0)
-    known = spark.sparkContext.broadcast((vocabulary, tree.of, tree.start, model.embed @ model.first, model.embed @ model.second))
+    known = spark.sparkContext.broadcast((tree.start, model.embed @ model.first, model.embed @ model.second))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, of, start, near, far = known.value
-        sums, ends = np.zeros((len(of), dim), np.float32), np.zeros((dim + 2, dim))
+        (start, near, far), own_words = known.value, words.value
+        sums, ends = np.zeros((int(start[-1]), dim), np.float32), np.zeros((dim + 2, dim))
         for batch in batches:
-            for part in slices(batch, "__sv_text", 2 << 20):
-                _, before, last, token = encoded([tokens(t) for t in utf8(part.column(0))], vocabulary, n_out, of, n_top)
-                at = np.flatnonzero(token >= n_out)
+            for number, lengths in read_numbers(batch):
+                _, before, last, below, at = own_words.placed(number, lengths)[:5]
                 for a in range(0, len(at), 1 << 17):
                     own = at[a : a + (1 << 17)]
                     context = near[last[own]] + far[before[own]]
-                    rows, added = summed(token[own] - n_out, context)
+                    rows, added = summed(below[a : a + (1 << 17)], context)
                     sums[rows] += added
                     ends += np.concatenate([[context.sum(0), np.full(dim, len(own))], context.T @ context])
         if ends[1, 0]:
@@ -260,12 +272,13 @@ def context_sums(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], n
         for k, own in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(own.astype(np.float32) if k else own).tobytes()], pa.binary())], names=["k", "sums"])
 
-    rows = docs.select(F.col(f"`{text_col}`").alias("__sv_text"))
+    rows = docs.select("numbers")
     parts = rows.rdd.getNumPartitions()
     if parts > 4 * spark.sparkContext.defaultParallelism:  # fewer sets of sums to add up
         rows = rows.coalesce(parts // 4)
     rows = rows.mapInArrow(add, "k int, sums binary").repartition("k").mapInArrow(total, "k int, sums binary")
-    found = {r.k: r.sums for r in rows.collect()}  # (dim + 1) numbers for each token of the vocabulary, whose size is bounded
+    found = {r.k: r.sums for r in rows.collect()}  # dim numbers for each token of the vocabulary, whose size is bounded
+    known.destroy()
     if not found:
         return tree.fit(np.zeros((len(tree.counts), dim)), np.zeros(dim), np.zeros((dim, dim)), 0)
     sums = np.concatenate([np.frombuffer(found[k], np.float32).reshape(-1, dim) for k in range(1, len(tree.start))])
@@ -273,31 +286,62 @@ def context_sums(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], n
     return tree.fit(sums, ends[0], ends[2:], ends[1, 0])
 
 
-def encoded(texts: list[list[bytes]], vocabulary: dict[bytes, int], n_out: int, of: np.ndarray, n_top: int) -> tuple[np.ndarray, ...]:
-    """Of texts' joined tokens: top outcomes, those of the two tokens before, and the numbers in the vocabulary (n_out - 1: none)."""
-    lengths = np.array([len(t) for t in texts])
-    token = np.array([vocabulary.get(w, n_out - 1) for t in texts for w in t], np.int64)
-    ids = token.copy()
-    below = token >= n_out
-    ids[below] = n_top + of[token[below] - n_out]
-    return (ids, *contexts(ids, lengths, n_out), token)
+class Words:
+    """The frequent tokens by number: those of the top, those of the tree's classes (of), and others."""
+
+    def __init__(self, numbers: dict[bytes, int], n_top: int, n_out: int, of: np.ndarray):
+        self.numbers, self.n_top, self.n_out, self.of = numbers, n_top, n_out, of
+
+    def encoded(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+        """Of texts' joined tokens: top outcomes, those of the two before, places in the tree and where those stand, numbers (-1: none), lengths."""
+        get = self.numbers.get
+        return self.placed(np.array([get(w, -1) for t in texts for w in t], np.int64), np.array([len(t) for t in texts]))
+
+    def placed(self, number: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+        ids = np.where((number >= 0) & (number < self.n_top), number, self.n_out - 1)
+        at = np.flatnonzero((number >= self.n_top) & (number < self.n_top + len(self.of)))
+        below = number[at] - self.n_top
+        ids[at] = self.n_top + self.of[below]
+        return (ids, *contexts(ids, lengths, self.n_out), below, at, number, lengths)
 
 
-def train(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], share: np.ndarray, dim: int, of: np.ndarray, n_top: int, rounds: int = 2) -> Parameters:
-    """Parameters learned from all rows of docs; vocabulary and of: see encoded."""
+def numbered(docs: DataFrame, text_col: str, words) -> DataFrame:
+    """Each text's tokens by number, as bytes of 32-bit integers, and a hash of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = words.value.numbers.get
+        for batch in batches:
+            for part in slices(batch, "__sv_text", 4 << 20):
+                own = [np.array([get(w, -1) for w in tokens(t)], np.int32).tobytes() for t in utf8(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], names=["hash", "numbers"])
+
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"), text.alias("__sv_text")).mapInArrow(run, "hash long, numbers binary")
+
+
+def read_numbers(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The numbers of the texts of a batch, joined, and their lengths, in parts of bounded size."""
+    for part in slices(batch, "numbers", 4 << 20):
+        own = [np.frombuffer(x, np.int32) for x in part.column("numbers").to_pylist()]
+        yield np.concatenate(own).astype(np.int64), np.array([len(x) for x in own])
+
+
+def train(docs: DataFrame, words, share: np.ndarray, dim: int, rounds: int = 2) -> Parameters:
+    """Parameters learned from all rows of docs (numbered), each in one of the rounds; words: a broadcast of Words without its numbers."""
     model = Parameters(share, dim)
-    for _ in range(rounds):
-        model = train_round(docs, text_col, vocabulary, share, dim, of, n_top, model.flat())
+    for k in range(rounds):
+        part = docs.filter(F.pmod("hash", F.lit(rounds)) == k)
+        model = train_round(part, words, share, dim, model.flat())
     return model
 
 
-def train_round(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], share: np.ndarray, dim: int, of: np.ndarray, n_top: int, start: np.ndarray, chunk: int = 1 << 22) -> Parameters:
+def train_round(docs: DataFrame, words, share: np.ndarray, dim: int, start: np.ndarray, chunk: int = 1 << 22) -> Parameters:
     """The tasks' parameters, each learned from the same start, averaged by tokens."""
     spark = docs.sparkSession
-    known, n = spark.sparkContext.broadcast((vocabulary, share, of, start)), len(share)
+    known, n = spark.sparkContext.broadcast((share, start)), len(share)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, share, of, start = known.value
+        share, start = known.value
         own, rng, total = Parameters(share, dim), np.random.default_rng(11), 0
         own.load(start)
         held: list[np.ndarray] = []
@@ -310,8 +354,8 @@ def train_round(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], sh
             return int(weight.sum())
 
         for batch in batches:
-            for part in slices(batch, "__sv_text", 4 << 20):
-                ids, before, last, _ = encoded([tokens(t) for t in utf8(part.column(0))], vocabulary, n, of, n_top)
+            for number, lengths in read_numbers(batch):
+                ids, before, last, *_ = words.value.placed(number, lengths)
                 held.append((before * (n + 1) + last) * n + ids)
                 if sum(map(len, held)) >= chunk:
                     total += flush()
@@ -330,7 +374,7 @@ def train_round(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], sh
             yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([flat.tobytes()], pa.binary())], names=["n", "flat"])
 
     kind = "n double, flat binary"
-    rows = docs.select(F.col(f"`{text_col}`").alias("__sv_text"))
+    rows = docs.select("numbers")
     parts, rows = rows.rdd.getNumPartitions(), rows.mapInArrow(learn, kind)
     while parts > 32:  # sums of sums, so that each task adds up 16 sets or so
         parts = -(-parts // 16)
@@ -358,51 +402,52 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
         least = r.b
     top = counts.filter(bin_ >= least).select("token", "n").toArrow()
     rows = sorted(zip(top["token"].to_pylist(), top["n"].to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
-    own = dict(rows)
-    end = own.get(END, 0) or (counts.filter(F.col("token") == F.lit(END)).agg(F.sum("n")).first()[0] or 0)
-    words = [r for r in rows if r[0] != END]
+    del top
+    end = next((c for w, c in rows if w == END), 0) or (counts.filter(F.col("token") == F.lit(END)).agg(F.sum("n")).first()[0] or 0)
+    rows = [r for r in rows if r[0] != END]
     most = min(CLASSES, outcomes // 4)
-    heads, others = words[: outcomes - most], words[outcomes - most :]
+    heads, others = rows[: outcomes - most], rows[outcomes - most :]
     below = sorted(r for r in others if r[1] >= least_count)
     n_classes = min(most, -(-len(below) // 8))
     rows = [(END, end), *heads, *below, *(r for r in others if r[1] < least_count)]
-    n_top = 1 + len(heads)
+    n_top, n_below = 1 + len(heads), len(below)
     n_out = n_top + n_classes + 1  # the end, the frequent tokens, the classes, the class of all others
-    tree = Tree(np.array([c for _, c in below], np.float64), n_classes)
+    numbers, amounts = {w: i for i, (w, _) in enumerate(rows)}, np.array([c for _, c in rows], np.float64)
+    del rows, heads, others, below
+    tree = Tree(amounts[n_top : n_top + n_below], n_classes)
     share = np.zeros(n_out)
-    share[:n_top] = [c for _, c in rows[:n_top]]
+    share[:n_top] = amounts[:n_top]
     share[n_top:-1] = np.bincount(tree.of, tree.counts, n_classes)
     rest = total - share.sum()
     share[-1] = rest
     share = (share + 0.5) / (share + 0.5).sum()
-    vocabulary = {w: i if i < n_top else i - n_top + n_out for i, (w, _) in enumerate(rows[: n_top + len(below)])}
-    model = train(training, text_col, vocabulary, share, dim, tree.of, n_top)
-    tree = context_sums(training, text_col, vocabulary, n_out, tree, n_top, model)
+    words = spark.sparkContext.broadcast(Words(numbers, n_top, n_out, tree.of))
+    n_inside = int((amounts[: n_top + n_below] > 0).sum())
+    del numbers
+    training = materialize(numbered(training, text_col, words), "numbers")
+    places = spark.sparkContext.broadcast(Words({}, n_top, n_out, tree.of))
+    model = train(training, places, share, dim)
+    tree = context_sums(training, places, tree, model)
     base_norm = math.log10(total + SMOOTHING * (distinct + 1))
-    rest_norm = math.log10(rest + SMOOTHING * (max(0, distinct - sum(n > 0 for _, n in rows[: n_top + len(below)])) + 1))
+    rest_norm = math.log10(rest + SMOOTHING * (max(0, distinct - n_inside) + 1))
     vectors = (model.embed @ model.first, model.embed @ model.second)
-    known = spark.sparkContext.broadcast(({w: i for i, (w, _) in enumerate(rows)}, np.array([n for _, n in rows], np.float64), n_out, n_top, tree, vectors, model.tables()))
+    known = spark.sparkContext.broadcast((amounts, tree, vectors, model.tables()))
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["__sv_id", "__sv_hash", "token", "times", "n_tokens", "n_known", "log_counts", "log_model", "n_rest", "n_rows"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, count, n_out, n_top, tree, (near, far), (s1, s2, norm) = known.value
-        logs, ln10, n_below = np.log10(count + SMOOTHING), math.log(10), len(tree.of)
+        count, tree, (near, far), (s1, s2, norm) = known.value
+        logs, ln10 = np.log10(count + SMOOTHING), math.log(10)
         for batch in batches:
             for part in slices(batch, "__sv_text", 4 << 20):
                 texts = [tokens(t) for t in utf8(part.column(2))]
-                lengths = np.array([len(t) for t in texts])
-                starts = np.cumsum(lengths) - lengths
                 flat = [w for t in texts for w in t]
-                at = np.array([index.get(w, -1) for w in flat], np.int64)
-                member = np.flatnonzero((at >= n_top) & (at < n_top + n_below))
-                ids = np.where((at >= 0) & (at < n_top), at, n_out - 1)
-                ids[member] = n_top + tree.of[at[member] - n_top]
-                before, last = contexts(ids, lengths, n_out)
+                ids, before, last, below, member, at, lengths = words.value.encoded(texts)
+                starts = np.cumsum(lengths) - lengths
                 logp = (s1[last, ids] + s2[before, ids] - norm[before, last]).astype(np.float64)
-                for a in range(0, len(member), 1 << 18):
-                    own = member[a : a + (1 << 18)]
-                    logp[own] += tree.log_shares(at[own] - n_top, near[last[own]] + far[before[own]])
+                for a in range(0, len(member), 1 << 20):
+                    own = member[a : a + (1 << 20)]
+                    logp[own] += tree.log_shares(below[a : a + (1 << 20)], near[last[own]] + far[before[own]])
                 logp /= ln10
                 seen = at >= 0
                 sums = lambda x: np.add.reduceat(x, starts)

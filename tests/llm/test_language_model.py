@@ -114,10 +114,20 @@ def test_scores_against_a_plain_walk(spark, monkeypatch):
     kept = {}
     fitted = language_model.context_sums
 
-    def spy(docs, text_col, vocabulary, n_out, tree, n_top, model):
-        kept.update(vocabulary=vocabulary, n_out=n_out, n_top=n_top, model=model, tree=fitted(docs, text_col, vocabulary, n_out, tree, n_top, model))
+    def spy(docs, words, tree, model):
+        own = words.value
+        kept.update(n_out=own.n_out, n_top=own.n_top, model=model, tree=fitted(docs, words, tree, model))
         return kept["tree"]
 
+    number = language_model.numbered
+
+    def spy_numbers(docs, text_col, words):
+        own = words.value
+        kept["vocabulary"] = {w: i if i < own.n_top else i - own.n_top + own.n_out for w, i in own.numbers.items() if i < own.n_top + len(own.of)}
+        return number(docs, text_col, words)
+
+    monkeypatch.setattr(language_model, "numbered", spy_numbers)
+
     monkeypatch.setattr(language_model, "context_sums", spy)
     data = texts(150) + [(900, ""), (901, "unseen words a b")]
     docs = spark.createDataFrame(data, "doc_id long, text string")
