@@ -152,6 +152,7 @@ def test_documents_and_sources(spark, tmp_path):
 
 def test_one_shuffle_only(nodes):
     """A table that is partitioned by document isn't shuffled again by joins or windows."""
+    nodes.df.count()  # the partitioning of a cached table is known once it is there
     nodes.df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plan = nodes.select("div > p + p, li:has(+ li)").rows._jdf.queryExecution().executedPlan().toString()
