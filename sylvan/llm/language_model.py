@@ -292,12 +292,8 @@ class Words:
     def __init__(self, numbers: dict[bytes, int], n_top: int, n_out: int, of: np.ndarray):
         self.numbers, self.n_top, self.n_out, self.of = numbers, n_top, n_out, of
 
-    def encoded(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
-        """Of texts' joined tokens: top outcomes, those of the two before, places in the tree and where those stand, numbers (-1: none), lengths."""
-        get = self.numbers.get
-        return self.placed(np.array([get(w, -1) for t in texts for w in t], np.int64), np.array([len(t) for t in texts]))
-
     def placed(self, number: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of texts' joined tokens: top outcomes, those of the two before, places in the tree and where those stand, numbers (-1: none), lengths."""
         ids = np.where((number >= 0) & (number < self.n_top), number, self.n_out - 1)
         at = np.flatnonzero((number >= self.n_top) & (number < self.n_top + len(self.of)))
         below = number[at] - self.n_top
@@ -305,18 +301,24 @@ class Words:
         return (ids, *contexts(ids, lengths, self.n_out), below, at, number, lengths)
 
 
-def numbered(docs: DataFrame, text_col: str, words) -> DataFrame:
-    """Each text's tokens by number, as bytes of 32-bit integers, and a hash of the text."""
+def numbered(docs: DataFrame, id_col: str, text_col: str, words) -> DataFrame:
+    """Rows' keys, their tokens by number, as bytes of 32-bit integers (-1: none), and the tokens without one, by line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = words.value.numbers.get
         for batch in batches:
             for part in slices(batch, "__sv_text", 4 << 20):
-                own = [np.array([get(w, -1) for w in tokens(t)], np.int32).tobytes() for t in utf8(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], names=["hash", "numbers"])
+                own, rare = [], []
+                for text in utf8(part.column(2)):
+                    flat = tokens(text)
+                    number = np.array([get(w, -1) for w in flat], np.int32)
+                    own.append(number.tobytes())
+                    rare.append(b"\n".join([flat[i] for i in np.flatnonzero(number < 0).tolist()]))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.binary()), pa.array(rare, pa.binary())], names=["__sv_id", "__sv_hash", "numbers", "rare"])
 
-    text = F.col(f"`{text_col}`")
-    return docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"), text.alias("__sv_text")).mapInArrow(run, "hash long, numbers binary")
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(*row_key(id_col, text_col), F.col(f"`{text_col}`").alias("__sv_text"))
+    return rows.mapInArrow(run, f"__sv_id {kind}, __sv_hash long, numbers binary, rare binary")
 
 
 def read_numbers(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -330,7 +332,7 @@ def train(docs: DataFrame, words, share: np.ndarray, dim: int, rounds: int = 2)
     """Parameters learned from all rows of docs (numbered), each in one of the rounds; words: a broadcast of Words without its numbers."""
     model = Parameters(share, dim)
     for k in range(rounds):
-        part = docs.filter(F.pmod("hash", F.lit(rounds)) == k)
+        part = docs.filter(F.pmod("__sv_hash", F.lit(rounds)) == k)
         model = train_round(part, words, share, dim, model.flat())
     return model
 
@@ -424,7 +426,9 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     words = spark.sparkContext.broadcast(Words(numbers, n_top, n_out, tree.of))
     n_inside = int((amounts[: n_top + n_below] > 0).sum())
     del numbers
-    training = materialize(numbered(training, text_col, words), "numbers")
+    every = materialize(numbered(docs, id_col, text_col, words), "numbers")
+    words.destroy()
+    training = every.filter(remainder("__sv_id", fold) != 0)
     places = spark.sparkContext.broadcast(Words({}, n_top, n_out, tree.of))
     model = train(training, places, share, dim)
     tree = context_sums(training, places, tree, model)
@@ -432,17 +436,15 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     rest_norm = math.log10(rest + SMOOTHING * (max(0, distinct - n_inside) + 1))
     vectors = (model.embed @ model.first, model.embed @ model.second)
     known = spark.sparkContext.broadcast((amounts, tree, vectors, model.tables()))
-    kind = docs.schema[id_col].dataType.simpleString()
     names = ["__sv_id", "__sv_hash", "token", "times", "n_tokens", "n_known", "log_counts", "log_model", "n_rest", "n_rows"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, tree, (near, far), (s1, s2, norm) = known.value
         logs, ln10 = np.log10(count + SMOOTHING), math.log(10)
         for batch in batches:
-            for part in slices(batch, "__sv_text", 4 << 20):
-                texts = [tokens(t) for t in utf8(part.column(2))]
-                flat = [w for t in texts for w in t]
-                ids, before, last, below, member, at, lengths = words.value.encoded(texts)
+            for part in slices(batch, "numbers", 3 << 20):
+                own_numbers = [np.frombuffer(x, np.int32) for x in part.column(2).to_pylist()]
+                ids, before, last, below, member, at, lengths = places.value.placed(np.concatenate(own_numbers).astype(np.int64), np.array([len(x) for x in own_numbers]))
                 starts = np.cumsum(lengths) - lengths
                 logp = (s1[last, ids] + s2[before, ids] - norm[before, last]).astype(np.float64)
                 for a in range(0, len(member), 1 << 20):
@@ -457,12 +459,12 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
                 # of the class's tokens only the share within the class counts, added below; others have none
                 inner = pa.array(sums(np.where((ids == n_out - 1) & seen, found, 0.0)))
                 owner, rare, times = [], [], []
-                missing = np.flatnonzero(~seen)
-                whose = np.searchsorted(starts, missing, "right") - 1
-                for (d, w), k in Counter(zip(whose.tolist(), [flat[i] for i in missing.tolist()], strict=True)).items():
-                    owner.append(d)
-                    rare.append(w)
-                    times.append(k)
+                for d, lines in enumerate(part.column(3).to_pylist()):
+                    if lines:
+                        once = Counter(lines.split(b"\n"))
+                        owner += [d] * len(once)
+                        rare += once
+                        times += once.values()
                 n, m = part.num_rows, len(owner)
                 take = pa.array([*range(n), *owner], pa.int64())
                 empty = pa.nulls(m, pa.int64())
@@ -474,8 +476,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
                     names=[*names[:-1], "log_rest", "n_rows"],
                 )
 
-    columns = f"__sv_id {kind}, __sv_hash long, token binary, times long, n_tokens long, n_known long, log_counts double, log_model double, n_rest long, log_rest double, n_rows long"
-    parts = docs.select(*row_key(id_col, text_col), F.col(f"`{text_col}`").alias("__sv_text")).mapInArrow(run, columns)
+    columns = f"__sv_id {every.schema['__sv_id'].dataType.simpleString()}, __sv_hash long, token binary, times long, n_tokens long, n_known long, log_counts double, log_model double, n_rest long, log_rest double, n_rows long"
+    parts = every.mapInArrow(run, columns)
     scored = parts.join(counts.filter(bin_ < least), "token", "left")
     of_rare = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTHING)
     scored = scored.groupBy("__sv_id", "__sv_hash").agg(

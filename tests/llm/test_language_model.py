@@ -121,10 +121,10 @@ def test_scores_against_a_plain_walk(spark, monkeypatch):
 
     number = language_model.numbered
 
-    def spy_numbers(docs, text_col, words):
+    def spy_numbers(docs, id_col, text_col, words):
         own = words.value
         kept["vocabulary"] = {w: i if i < own.n_top else i - own.n_top + own.n_out for w, i in own.numbers.items() if i < own.n_top + len(own.of)}
-        return number(docs, text_col, words)
+        return number(docs, id_col, text_col, words)
 
     monkeypatch.setattr(language_model, "numbered", spy_numbers)
 
