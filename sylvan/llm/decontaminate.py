@@ -266,11 +266,13 @@ def find_matches(
             yield from result(rows, texts)
 
     prefix = "__sv_" if keep else ""
-    kept = [F.col(f"`{c}`") for c in docs.columns] if keep else [F.col(f"`{id_col}`")]
-    source = docs.select(*kept, F.col(f"`{text_col}`").alias("__sv_text"))
-    names = [*source.columns[:-1], *(f"{prefix}{c}" for c in ("n_words", "n_hit", "items", "matches"))]
-    kinds = [*(source.schema[i].dataType.simpleString() for i in range(len(source.columns) - 1)), "long", "long", "array<string>", "array<struct<item_id:string,doc_word:long,item_word:long,n_words:long>>"]
-    return source.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
+    kept = docs.columns if keep else [id_col]
+    source = docs.select(*(F.col(f"`{c}`").alias(f"__sv_{i}") for i, c in enumerate(kept)), F.col(f"`{text_col}`").alias("__sv_text"))  # any name may come, a dot in it too
+    new = ("n_words", "n_hit", "items", "matches")
+    names = [*source.columns[:-1], *new]
+    kinds = [*(source.schema[i].dataType.simpleString() for i in range(len(kept))), "long", "long", "array<string>", "array<struct<item_id:string,doc_word:long,item_word:long,n_words:long>>"]
+    out = source.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    return out.select(*(F.col(f"__sv_{i}").alias(c) for i, c in enumerate(kept)), *(F.col(c).alias(f"{prefix}{c}") for c in new))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -63,6 +63,34 @@ def test_added_spans(spark):
     assert docs[1][1][s.start : s.end].startswith("password=")
 
 
+def test_precision_and_recall_of_added_spans(spark):
+    """Against planted data that the base patterns pass over, among look-alikes that are none."""
+    rng = random.Random(21)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    data, want = [], []
+    for i in range(400):
+        words = [letters(rng.randrange(2, 9)) for _ in range(30)]
+        kind = i % 5
+        if kind == 0:
+            words[12] = f"{rng.choice(['password', 'token', 'api_key', 'secret'])}={''.join(rng.choice('0123456789abcdef') for _ in range(20))}"
+        elif kind == 1:
+            words[12] = f"{letters(5)}{i}@{letters(6)}.com"
+        elif kind == 2:
+            words[12] = rng.choice(["version 2.10", "page 117", "chapter 3.2", "12:30", "1,250"])
+        elif kind == 3:
+            words[12] = rng.choice([letters(20), f"{letters(4)}={letters(4)}", f"{letters(3)}{i}"])
+        data.append((i, " ".join(words)))
+        at = len(" ".join(words[:12])) + 1
+        want.append({(at, at + len(words[12]))} if kind < 2 else set())
+    hit = found = planted = 0
+    for r in find(spark.createDataFrame(data, "doc_id long, text string")).collect():
+        got = {(s.start, s.end) for s in r["__sv_pii"].spans}
+        hit += sum(any(a < e and s < b for a, b in want[r.doc_id]) for s, e in got)
+        found += len(got)
+        planted += len(want[r.doc_id])
+    assert hit >= 0.9 * planted and hit >= 0.9 * found, (hit, found, planted)
+
+
 def test_running(spark):
     for n in (0, 1, 255, 256, 257, 1000):
         values = [(i * 7) % 11 for i in range(n)]

@@ -61,3 +61,40 @@ def test_stages_against_plain_python(spark, tmp_path):
         assert abs(taken[s] - target) <= largest[s] / 2 + 1e-6
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted((r.doc_id, r.text) for r in again.collect()) == sorted((i, t) for i, t, _ in mixed)
+
+
+EXTRA = ["token", "score", "kept", "n", "k", "rows", "hash", "line", "fingerprint", "component_id", "item_id", "size", "a.b"]
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing names: each stage has a defined result."""
+    own, _ = write(spark, tmp_path)
+    long = " ".join(f"w{i * i % 9973}" for i in range(60_000))
+    data = [(i, t, "en", s, len(t or ""), *["x"] * len(EXTRA)) for i, t, s in own]
+    data += [(None, None, None, None, None, *[None] * len(EXTRA))] * 2
+    data += [(None, own[30][1] + " and more", None, None, None, *[None] * len(EXTRA)), (200, long, None, None, 5, *["y"] * len(EXTRA))]
+    data += [data[40]] * 2
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in EXTRA)
+    docs = spark.createDataFrame(data, kind)
+    plain = lambda rows: [(r.doc_id, r.text) for r in rows]
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.schema.simpleString() == docs.schema.simpleString(), name
+        out[name] = got.collect()
+        for r in out[name]:
+            if r.doc_id is not None:
+                assert r["a.b"] == ("y" if r.doc_id == 200 else "x"), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    repeated = (data[40][0], data[40][1])
+    assert plain(out["quality_rules"]).count(repeated) == 3 and not any(not t for _, t in plain(out["quality_rules"]))
+    assert plain(out["line_dedup"]).count(repeated) == 3 and plain(out["line_dedup"]).count((None, None)) == 2
+    near = plain(out["near_dedup"])
+    assert near.count(repeated) == 1 and sum(not t for _, t in near) == 1 and (113, None) in near
+    clean = plain(out["decontaminate"])
+    assert clean.count(repeated) == 3 and clean.count((None, None)) == 2 and 110 not in {i for i, _ in clean}
+    copies = Counter(plain(out["mix_sources"]))
+    assert max(n for k, n in copies.items() if k != repeated and k[1]) <= 2 and copies[repeated] in (0, 3, 6)
+    for name in ("quality_rules", "line_dedup", "near_dedup", "decontaminate"):
+        assert [t for i, t in plain(out[name]) if i == 200] in ([long], []), name
+    assert (200, long) in plain(out["line_dedup"]) and (200, long) in near and (200, long) in clean

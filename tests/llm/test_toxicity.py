@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from sylvan.llm.toxicity import BITS, fit, score, subwords, train
+from sylvan.llm.toxicity import BITS, fit, score, subwords, tokens, train
 
 RNG = random.Random(3)
 CLEAN = ["".join(RNG.choice("abdefghilmnoprstu") for _ in range(RNG.randrange(3, 9))) for _ in range(600)]
@@ -76,3 +76,17 @@ def test_scores_do_not_depend_on_the_cache():
     z, _ = model.logits(many)
     fresh = toxicity.Model(model.weights, model.bias, model.span)
     assert np.allclose(z[[0, 350, 700]], fresh.logits([many[0], many[350], many[700]])[0])
+
+
+def test_scores_against_a_plain_walk(spark):
+    """The query's score is the greatest, over windows of 8 words, of the mean of the words' mean subword weights, taken one by one."""
+    docs, labels = tables(spark, 200)
+    model, own_texts = fit(docs, labels), {r.doc_id: r.text for r in docs.collect()}
+    for r in score(docs, model).collect()[:60]:
+        words, windows = tokens(own_texts[r.doc_id]), []
+        for a in range(0, len(words), 8):
+            own = [float(np.mean(model.weights[subwords([w])[1]])) for w in words[a : a + 8]]
+            windows.append(sum(own) / len(own))
+        want = 1 / (1 + np.exp(-(model.bias + max(windows))))
+        assert abs(r.score - want) < 1e-5
+        assert windows[r.worst_window] == max(windows)
