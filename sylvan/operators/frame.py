@@ -21,9 +21,9 @@ from sylvan.markup.dom import HTML, Document, Node
 from sylvan.markup.edit import copied, violations
 from sylvan.markup.edit import edit as edit_tree
 from sylvan.plans.selector import KEY, Plan, compound_column, mini_column
-from sylvan.schema import FIELDS, NAMES, batch_of, ddl, rows_of, tree_of
+from sylvan.schema import FIELDS, NAMES, OWN, batch_of, classes_of, ddl, rows_of, tree_of
 from sylvan.session import ship, shuffle_partitions
-from sylvan.sources.pages import FOLDS
+from sylvan.sources.pages import FOLDS, each_document, pages_of
 from sylvan.sources.pages import parse as parse_pages
 
 SPACE = r"[\t\n\x0B\f\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -44,28 +44,47 @@ class Nodes:
     Edits whose targets are found by a route (selectors and steps from the document) make a list of steps
     on the first table, carried out together document by document, however long the chain. Edits of other
     targets of an edited table cut its plan by a checkpoint, so that plans grow with the number of edits.
+
+    What a route leads to in parsed pages (edited or not) is read from the pages in one pass, with no table,
+    shuffle or join in between, as a plan over the table would parse the pages once for each of its parts.
+    A table that is set (`nodes.df = nodes.df.cache()`) is used instead.
     """
 
-    def __init__(self, df: DataFrame | None, partitioned: bool = False, base: Nodes | None = None, steps: tuple = (), edited: bool = False):
+    def __init__(self, df: DataFrame | None, partitioned: bool = False, base: Nodes | None = None, steps: tuple = (), edited: bool = False, source: tuple | None = None):
         self.base, self.steps, self.edited = base, steps, edited or bool(steps)
-        self._df = df
-        if df is not None:
-            ship(df.sparkSession)
-            self._df = df if partitioned else df.repartition(shuffle_partitions(df.sparkSession), "doc_id")
+        self.source, self.given = source, False
+        self._df = df if df is None or partitioned else dealt(df)
 
     @property
     def df(self) -> DataFrame:
         if self._df is None:
-            self._df = rebuilt(self.base.df, self.steps)
+            origin, steps = self.origin, self.steps
+            if origin is None:
+                self._df = rebuilt(self.base.df, steps)
+            else:
+                pages, fragment = origin
+                self._df = dealt(parse_pages(pages, id_col="doc_id", fragment=fragment, change=(lambda doc: carried_out(doc, steps)) if steps else None))
         return self._df
 
     @df.setter
     def df(self, df: DataFrame) -> None:
-        self._df = df
+        self._df, self.given = df, True
+
+    @property
+    def origin(self) -> tuple | None:
+        """The pages (doc_id, html) that the steps start from, and whether they are fragments; None if the table is what there is."""
+        top = self.base or self
+        return None if self.given or top.given else top.source
 
     @classmethod
-    def parse(cls, pages: DataFrame, **options) -> Nodes:
-        return cls(parse_pages(pages, **options))
+    def parse(cls, pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", fragment: bool = False) -> Nodes:
+        return cls(None, source=(pages_of(pages, id_col, html_col), fragment))
+
+    def sizes(self) -> DataFrame:
+        """doc_id, value: how many nodes each document has, those in templates included."""
+        if self.origin is not None:
+            return self.root()._fused([VALUE_LONG], lambda _, doc: [(sum(1 for n in everything(doc)),)])
+        return self.df.groupBy("doc_id").agg(F.count("*").alias("value"))
 
     @classmethod
     def new(cls, ids: DataFrame, kind: str = "document", tag: str | None = None) -> Nodes:
@@ -123,16 +142,19 @@ class Nodes:
         return self._in_order(self.df.filter(condition))
 
     def root(self) -> Selection:
-        return self.all("attached and parent_id is null")
+        return Selection(self, lambda: self.all("attached and parent_id is null").rows, ())
 
     def html_root(self) -> Selection:
-        return self._in_order(self.plan().elements.filter("depth = 1 and elem_idx = 1"))
+        return Selection(self, lambda: self._in_order(self.plan().elements.filter("depth = 1 and elem_idx = 1")).rows, (("top",),))
 
     def _part(self, tag: str) -> Selection:
-        top = self.plan().elements.filter("depth = 1 and tag = 'html'")
-        rows = self.plan().elements.filter((F.col("tag") == tag) & (F.col("depth") == 2))
-        rows = rows.join(top.select(F.col("doc_id"), F.col("node_id").alias("parent_id")), ["doc_id", "parent_id"], "left_semi")
-        return self._in_order(rows).first()
+        def rows() -> DataFrame:
+            top = self.plan().elements.filter("depth = 1 and tag = 'html'")
+            own = self.plan().elements.filter((F.col("tag") == tag) & (F.col("depth") == 2))
+            own = own.join(top.select(F.col("doc_id"), F.col("node_id").alias("parent_id")), ["doc_id", "parent_id"], "left_semi")
+            return self._in_order(own).first().rows
+
+        return Selection(self, rows, (("part", tag),))
 
     def head(self) -> Selection:
         return self._part("head")
@@ -150,11 +172,13 @@ class Nodes:
 
     def find(self, path: Sequence[str], start: Selection | None = None) -> Selection:
         """Elements by a path of names; steps before the last don't enter what they match."""
-        return self._walk([mini.Mini(tag=name) for name in path], start)
+        walk = lambda: self._walk([mini.Mini(tag=name) for name in path], start)
+        return walk() if start is not None else Selection(self, lambda: walk().rows, (("find", list(path)),))
 
     def find_descendants(self, path: str, start: Selection | None = None) -> Selection:
         """Elements by a path of restricted selectors, with repeats where several steps lead to one."""
-        return self._walk(mini.parse_path(path), start)
+        steps = mini.parse_path(path)
+        return self._walk(steps, start) if start is not None else Selection(self, lambda: self._walk(steps, None).rows, (("find_descendants", path),))
 
     def child_path(self, names: Sequence[str], start: Selection | None = None) -> Selection:
         """The first child element of the first name, of that the first of the second, and so on."""
@@ -258,8 +282,8 @@ class Nodes:
     def _where(self, targets: Selection, verb: str, args: tuple, **new: Column) -> Nodes:
         """New column values in the targets' rows; attribute columns follow attrs."""
         steps = self._then(targets, verb, args)
-        if steps is not None and self.steps:
-            return Nodes(None, base=self.base, steps=steps)
+        if steps is not None and (self.steps or self.origin is not None):
+            return Nodes(None, base=self.base or self, steps=steps)
         hit = targets.rows.select(*KEY, F.lit(True).alias("__hit"))
         rows = self.settle().join(hit, KEY, "left")
         element = F.col("__hit") & (F.col("kind") == "element")
@@ -308,6 +332,32 @@ class Nodes:
         return Nodes(rows.select("doc_id", *NAMES), partitioned=True, base=own.base, steps=own.steps, edited=True)
 
 
+#: Columns of what is read from pages: names, Arrow types and SQL types.
+MEMBER = [("sel_ord", pa.int32(), "int"), ("node_id", pa.int32(), "int")]
+VALUE, VALUE_LONG, VALUE_BOOL = ("value", pa.string(), "string"), ("value", pa.int64(), "long"), ("value", pa.bool_(), "boolean")
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    return df.repartition(shuffle_partitions(ship(df.sparkSession)), "doc_id")
+
+
+def carried_out(doc: Document, steps: tuple) -> None:
+    """Edits of one document: (route, verb, arguments, source's route)."""
+    for route, verb, args, source in steps:
+        targets = follow(doc, route)
+        edit_tree(doc, targets, verb, *((follow(doc, source),) if source is not None else args))
+
+
+def everything(doc: Document) -> Iterator[Node]:
+    """All nodes, those in templates included."""
+    roots = [doc.root]
+    for root in roots:
+        for n in root.walk():
+            yield n
+            if n.template is not None:
+                roots.append(n.template)
+
+
 def alone(id_: int, kind: str, tag: str | None = None, text: str | None = None, ns: str = HTML, attached: bool = True) -> tuple:
     """The row of a node that stands by itself."""
     node = Node(id_, kind, tag, ns if kind == "element" else None, text=text)
@@ -345,11 +395,60 @@ def follow(doc: Document, route: tuple) -> list[Node]:
             found = found[-1:]
         elif step == "parent":
             found = list({id(n.parent): n.parent for n in found if n.parent is not None}.values())
-        else:
+        elif step == "children":
             found = list({id(c): c for n in found for c in n.elements()}.values())
+        elif step == "filter":
+            hits = matching(found, *args)
+            found = [n for n in found if id(n) in hits]
+        elif step == "add":
+            found = list({id(n): n for n in [*found, *follow(doc, args[0])]}.values()) if found or args[1] else []
+        elif step == "filter_selection":
+            both = {id(n) for n in follow(doc, args[0])}
+            found = [n for n in found if id(n) in both] if both else found
+        elif step == "ancestors":
+            found = list({id(a): a for n in found for a in above(n, *args)}.values())
+        elif step == "descendants":
+            found = list({id(d): d for n in found for d in n.walk() if d is not n}.values())
+        elif step == "beside":
+            found = list({id(b): b for n in found if (b := beside(n, *args)) is not None}.values())
+        elif step == "top":
+            found = doc.root.elements()[:1]
+        elif step == "part":
+            found = [c for top in doc.root.elements() if top.tag == "html" for c in top.elements() if c.tag == args[0]][:1]
+        else:
+            found = (mini.find if step == "find" else mini.find_descendants)(doc.root, *args)
     return found
 
 
+def matching(nodes: list[Node], parsed: tuple) -> set[int]:
+    """Which of the nodes of one document match, by identity: elements, documents and fragments."""
+    if not nodes:
+        return set()
+    top = nodes[0]
+    while top.parent is not None:
+        top = top.parent
+    tree = match.Tree(top)
+    return {id(n) for n, hit in zip(tree.nodes, tree.any([tree.complex(s) for s in parsed]), strict=True) if hit}
+
+
+def above(node: Node, most: int | None, kinds: str) -> Iterator[Node]:
+    """Ancestors, nearest first."""
+    n = 0
+    while (node := node.parent) is not None and not (most and n >= most):
+        n += 1
+        if kinds != "element" or node.kind == "element":
+            yield node
+
+
+def beside(node: Node, by: int) -> Node | None:
+    """The next element sibling, or the previous one."""
+    if node.parent is None:
+        return None
+    own = node.parent.children
+    at = next(i for i, c in enumerate(own) if c is node)
+    return next((c for c in (own[at + 1 :] if by > 0 else own[:at][::-1]) if c.kind == "element"), None)
+
+
 def by_document(rows: DataFrame, work: Callable[[dict[str, list]], object], schema: str, batch: Callable) -> DataFrame:
     """work(columns) of every document of rows, in the order of pre; batch(ids, results, id type) gives Arrow batches of them.
 
@@ -397,9 +496,12 @@ def rebuilt(rows: DataFrame, steps: tuple) -> DataFrame:
     def work(columns: dict[str, list]) -> list[tuple]:
         doc, nodes, extra = tree_of(columns)
         flagged = [[nodes[i] for _, i in sorted((o, i) for o, i in zip(columns[g], columns["node_id"], strict=True) if o is not None)] for g in given]
-        for route, verb, args, source in steps:
-            targets, *more = flagged if route is None else [follow(doc, route), *([follow(doc, source)] if source is not None else [])]
-            edit_tree(doc, targets, verb, *(more or args))
+        for step in steps:
+            if step[0] is None:
+                targets, *more = flagged
+                edit_tree(doc, targets, step[1], *(more or step[2]))
+            else:
+                carried_out(doc, (step,))
         return rows_of(doc, [n for n in extra if n.parent is None])
 
     return by_document(rows, work, ddl(rows.schema["doc_id"].dataType.simpleString()), batch_of)
@@ -452,26 +554,69 @@ def with_attr(attrs: Column, name: str, value: Column) -> Column:
 class Selection:
     """doc_id, sel_ord, node_id of the selected nodes of each document.
 
-    route: the steps from the document that lead there, where those are known.
+    path: the steps from the document that lead there, where those are known; route: the same, where edits may follow them.
     """
 
-    def __init__(self, owner: Nodes, rows, route: tuple | None = None):
-        self.owner, self._rows, self.route = owner, rows, route
+    def __init__(self, owner: Nodes, rows, path: tuple | None = None):
+        self.owner, self._rows, self.path = owner, rows, path
+
+    @property
+    def route(self) -> tuple | None:
+        return None if self.path is None or any(step[0] == "beside" for step in self.path) else self.path
 
     @property
     def rows(self) -> DataFrame:
         if callable(self._rows):
-            self._rows = self._rows()
+            read = self._fused(MEMBER, lambda own, _: [(i, n.id) for i, n in enumerate(own, 1)])
+            self._rows = self._rows() if read is None else read
         return self._rows
 
     def _routed(self, rows, *step) -> Selection:
-        return Selection(self.owner, rows, (*self.route, step) if self.route is not None else None)
+        return Selection(self.owner, rows, (*self.path, step) if self.path is not None else None)
+
+    def _with(self, rows, other: Selection, step: str, *more) -> Selection:
+        """What comes of another selection of the same documents."""
+        known = self.path is not None and other.path is not None and other.owner is self.owner
+        return Selection(self.owner, rows, (*self.path, (step, other.path, *more)) if known else None)
+
+    def _fused(self, fields: list[tuple], work: Callable[[list[Node], Document], list[tuple]]) -> DataFrame | None:
+        """doc_id and the fields of what work(members, document) gives for each document, in one pass over the pages; None where only the table is known."""
+        origin, path, steps = self.owner.origin, self.path, self.owner.steps
+        if origin is None or path is None:
+            return None
+
+        def run(doc: Document) -> list[tuple]:
+            carried_out(doc, steps)
+            return work(follow(doc, path), doc)
+
+        return each_document(*origin, run, fields)
+
+    def _read(self, columns: Sequence[str], fields: list[tuple] = (), *values: Callable[[Node], object]) -> DataFrame | None:
+        """doc_id, sel_ord, node_id, a field for each of the values of a member, and columns of the node table, as _fused."""
+        own, at = [OWN.get(n) for n in columns], [NAMES.index(n) for n in columns]
+
+        def work(found: list[Node], doc: Document) -> list[tuple]:
+            if all(own):
+                gets = (*values, *own)
+                return [(i, n.id, *(f(n) for f in gets)) for i, n in enumerate(found, 1)]
+            rows = {r[0]: r for r in rows_of(doc)} if found else {}
+            return [(i, n.id, *(f(n) for f in values), *(rows[n.id][k] for k in at)) for i, n in enumerate(found, 1)]
+
+        return self._fused([*MEMBER, *fields, *(FIELDS[k] for k in at)], work)
 
     def nodes(self, *columns: str) -> DataFrame:
         """The selected rows of the node table, all columns unless some are named, with sel_ord."""
         names = columns or tuple(n for n in NAMES if n != "node_id")
+        read = self._read(names)
+        if read is not None:
+            return read.select(*KEY, "sel_ord", *names)
         return self.rows.join(self.owner.df.select(*KEY, *names), KEY)
 
+    def each_attr(self, name: str) -> DataFrame:
+        """doc_id, sel_ord, node_id, value: the attribute of each member."""
+        read = self._read((), [VALUE], lambda n: n.attr(name))
+        return read if read is not None else self.nodes("attrs").select("doc_id", "sel_ord", "node_id", attr_value(name).alias("value"))
+
     def _new(self, rows: DataFrame, *order) -> Selection:
         return Selection(self.owner, ranked(rows, *order))
 
@@ -497,8 +642,13 @@ class Selection:
         return self._routed(rows, "select", parsed)
 
     def filter(self, selector: str) -> Selection:
-        rows = self.owner.plan().select(selector, self.owner.plan().holders.join(self.rows.select(*KEY), KEY, "left_semi"))
-        return self._renumber(self.rows.join(rows.select(*KEY), KEY, "left_semi"))
+        parsed = matcher(selector)
+
+        def rows() -> DataFrame:
+            own = self.owner.plan().select(parsed, self.owner.plan().holders.join(self.rows.select(*KEY), KEY, "left_semi"))
+            return self._renumber(self.rows.join(own.select(*KEY), KEY, "left_semi")).rows
+
+        return self._routed(rows, "filter", parsed)
 
     def try_filter(self, selector: str) -> Selection | None:
         try:
@@ -511,28 +661,45 @@ class Selection:
 
     def filter_selection(self, other: Selection) -> Selection:
         """Members of both; where other has none in a document, the members unchanged."""
-        some = other.rows.select("doc_id", F.lit(True).alias("some")).distinct()
-        both = other.rows.select(*KEY, F.lit(True).alias("both"))
-        rows = self.rows.join(some, "doc_id", "left").join(both, KEY, "left").filter("some is null or both")
-        return self._renumber(rows)
+
+        def rows() -> DataFrame:
+            some = other.rows.select("doc_id", F.lit(True).alias("some")).distinct()
+            both = other.rows.select(*KEY, F.lit(True).alias("both"))
+            return self._renumber(self.rows.join(some, "doc_id", "left").join(both, KEY, "left").filter("some is null or both")).rows
+
+        return self._with(rows, other, "filter_selection")
 
     def add_selection(self, other: Selection) -> Selection:
         """Members, then those of other that aren't yet; in documents without members, other's."""
-        rows = self.rows.withColumn("side", F.lit(0)).unionByName(other.rows.withColumn("side", F.lit(1)))
-        return self._new(rows, "side", "sel_ord")
+
+        def rows() -> DataFrame:
+            return self._new(self.rows.withColumn("side", F.lit(0)).unionByName(other.rows.withColumn("side", F.lit(1))), "side", "sel_ord").rows
+
+        return self._with(rows, other, "add", True)
 
     def add(self, selector: str) -> Selection:
         """Members, then the document's other matches; documents without members stay without."""
         own = self.owner.select(selector)
-        return self.add_selection(Selection(self.owner, own.rows.join(self.rows.select("doc_id").distinct(), "doc_id", "left_semi")))
+
+        def rows() -> DataFrame:
+            return self.add_selection(Selection(self.owner, own.rows.join(self.rows.select("doc_id").distinct(), "doc_id", "left_semi"))).rows
+
+        return self._with(rows, own, "add", False)
 
     def is_(self, selector: str) -> DataFrame:
         """doc_id, value: whether any member matches; invalid selectors match nothing."""
         hits = self.try_filter(selector)
+        read = hits._fused([VALUE_BOOL], lambda own, _: [(bool(own),)]) if hits is not None else None
+        if read is not None:
+            return read
         found = (hits.rows if hits is not None else self.rows.limit(0)).select("doc_id", F.lit(True).alias("hit")).distinct()
         return self._documents().join(found, "doc_id", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("value"))
 
     def is_selection(self, other: Selection) -> DataFrame:
+        path = other.path
+        read = self._fused([VALUE_BOOL], lambda own, doc: [(not {id(n) for n in own}.isdisjoint(map(id, follow(doc, path))),)]) if path is not None and other.owner is self.owner else None
+        if read is not None:
+            return read
         found = self.rows.join(other.rows.select(*KEY), KEY, "left_semi").select("doc_id", F.lit(True).alias("hit")).distinct()
         return self._documents().join(found, "doc_id", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("value"))
 
@@ -574,22 +741,28 @@ class Selection:
 
     def ancestors(self, most: int | None = None, kinds: str = "element") -> Selection:
         """Nearest first; most counts the document node."""
-        rows = self.owner.plan().holders
-        near = self._joined(rows, (F.col("pre") < F.col("l_pre")) & (F.col("l_pre") <= F.col("last")), "pre", "depth")
-        if most:
-            near = near.filter(F.col("depth") >= F.col("l_depth") - most)
-        if kinds == "element":
-            near = near.filter("kind = 'element'")
-        return self._new(near, "l_sel_ord", -F.col("depth"))
+
+        def rows() -> DataFrame:
+            near = self._joined(self.owner.plan().holders, (F.col("pre") < F.col("l_pre")) & (F.col("l_pre") <= F.col("last")), "pre", "depth")
+            if most:
+                near = near.filter(F.col("depth") >= F.col("l_depth") - most)
+            if kinds == "element":
+                near = near.filter("kind = 'element'")
+            return self._new(near, "l_sel_ord", -F.col("depth")).rows
+
+        return self._routed(rows, "ancestors", most, kinds)
 
     def descendants(self) -> Selection:
-        return self._new(self._joined(self.owner.plan().nodes, (F.col("l_pre") < F.col("pre")) & (F.col("pre") <= F.col("l_last")), "pre", "last"), "l_sel_ord", "pre")
+        def rows() -> DataFrame:
+            return self._new(self._joined(self.owner.plan().nodes, (F.col("l_pre") < F.col("pre")) & (F.col("pre") <= F.col("l_last")), "pre", "last"), "l_sel_ord", "pre").rows
+
+        return self._routed(rows, "descendants")
 
     def next_sibling(self) -> Selection:
-        return self._beside(1)
+        return self._routed(lambda: self._beside(1).rows, "beside", 1)
 
     def prev_sibling(self) -> Selection:
-        return self._beside(-1)
+        return self._routed(lambda: self._beside(-1).rows, "beside", -1)
 
     def _beside(self, by: int) -> Selection:
         """The next or previous element sibling: of elements, the one whose place is beside theirs."""
@@ -632,6 +805,9 @@ class Selection:
 
     def length(self) -> DataFrame:
         """doc_id, value: members of every document, 0 where there are none."""
+        read = self._fused([VALUE_LONG], lambda own, _: [(len(own),)])
+        if read is not None:
+            return read
         own = self.rows.groupBy("doc_id").agg(F.count("*").alias("n"))
         return self._documents().join(own, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("value"))
 
@@ -641,8 +817,8 @@ class Selection:
     # -- getters of the first member --
 
     def attr(self, name: str, default: str | None = None) -> DataFrame:
-        value = attr_value(name)
-        return self.first().nodes("attrs").select("doc_id", (F.coalesce(value, F.lit(default)) if default is not None else value).alias("value"))
+        value = self.first().each_attr(name)
+        return value.select("doc_id", F.coalesce("value", F.lit(default)).alias("value") if default is not None else "value")
 
     def attrs(self) -> DataFrame:
         return self.first().nodes("attrs").select("doc_id", F.transform("attrs", lambda a: F.struct(a["name"], a["value"])).alias("value"))
@@ -658,24 +834,33 @@ class Selection:
 
     def has_class(self, name: str) -> DataFrame:
         """Whether any member has the class."""
+        read = self._fused([VALUE_BOOL], lambda own, _: [(any(name in classes_of(n) for n in own if n.kind == "element"),)] if own else [])
+        if read is not None:
+            return read
         return self.nodes("classes").groupBy("doc_id").agg(F.coalesce(F.bool_or(F.array_contains("classes", name)), F.lit(False)).alias("value"))
 
     # -- text --
 
-    def text(self) -> DataFrame:
-        """doc_id, sel_ord, node_id, value: the text below each member, in order.
+    def text(self, *columns: str) -> DataFrame:
+        """doc_id, sel_ord, node_id, value: the text below each member, in order; then the columns of the node table that are named.
 
         A document's pieces of text are one array, of which each member has a slice.
         """
+        read = self._read(columns, [VALUE], Node.string)
+        if read is not None:
+            return read
         nodes = self.owner.plan().nodes.filter("kind = 'text'").select("doc_id", "pre", "text")
         pieces = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pre", "text"))).alias("__t"))
         pieces = pieces.select("doc_id", F.transform("__t", lambda t: t["pre"]).alias("__at"), F.transform("__t", lambda t: t["text"]).alias("__t"))
-        rows = self.nodes("pre", "last").join(pieces, "doc_id", "left")
+        rows = self.nodes("pre", "last", *columns).join(pieces, "doc_id", "left")
         start, end = before(F.col("__at"), F.col("pre") - 1), before(F.col("__at"), F.col("last"))
         value = F.array_join(F.slice("__t", start + 1, end - start), "")
-        return rows.select("doc_id", "sel_ord", "node_id", F.coalesce(value, F.lit("")).alias("value"))
+        return rows.select("doc_id", "sel_ord", "node_id", F.coalesce(value, F.lit("")).alias("value"), *columns)
 
     def immediate_text(self) -> DataFrame:
+        read = self._read((), [VALUE], FOLDS["immediate_text"])
+        if read is not None:
+            return read
         texts = self.owner.plan().nodes.filter("kind = 'text'").select(F.col("doc_id").alias("t_doc_id"), F.col("parent_id").alias("t_parent"), F.col("node_id").alias("t_id"), F.col("pre").alias("t_pre"), F.col("text").alias("t_text"))
         own = (F.col("doc_id") == F.col("t_doc_id")) & ((F.col("t_parent") == F.col("node_id")) | (F.col("t_id") == F.col("node_id")))
         return self._concat(self.rows.join(texts, own, "left"))
@@ -686,6 +871,9 @@ class Selection:
 
     def text_joined(self) -> DataFrame:
         """doc_id, value: the members' texts one after the other, which repeats what overlaps."""
+        read = self._fused([VALUE], lambda own, _: [("".join(n.string() for n in own),)] if own else [])
+        if read is not None:
+            return read
         parts = F.array_sort(F.collect_list(F.struct("sel_ord", "value")))
         return self.text().groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda t: t["value"]), "").alias("value"))
 
@@ -696,9 +884,12 @@ class Selection:
 
     def fold(self, output: str, **options) -> DataFrame:
         """doc_id, sel_ord, node_id, value: each member written as one of FOLDS (markdown: with skip), document by document."""
+        fold = FOLDS[output]
+        read = self._read((), [VALUE], lambda n: str(fold(n, **options)))
+        if read is not None:
+            return read
         own = self.rows
         rows = self.owner.df.join(own.select("doc_id").distinct(), "doc_id", "left_semi").join(own, KEY, "left")
-        fold = FOLDS[output]
 
         def work(columns: dict[str, list]) -> list[tuple]:
             _, nodes, _ = tree_of(columns)
@@ -714,6 +905,10 @@ class Selection:
 
     def _of_first(self, output: str, default: str | None) -> DataFrame:
         """doc_id, value of the first member of every document; default where there is none."""
+        fold = FOLDS[output]
+        read = self.first()._fused([VALUE], lambda own, _: [(str(fold(own[0])) if own else default,)])
+        if read is not None:
+            return read
         own = self.first().fold(output).select("doc_id", "value")
         return self._documents().join(own, "doc_id", "left").select("doc_id", F.coalesce("value", F.lit(default)).alias("value"))
 
@@ -768,6 +963,9 @@ def matches(selector: str) -> Column:
 
 def checked(nodes: Nodes) -> DataFrame:
     """doc_id, problems of the links between nodes, rebuilt document by document."""
+    read = nodes.root()._fused([("problems", pa.int64(), "long")], lambda _, doc: [(len(violations(doc)),)])
+    if read is not None:
+        return read
 
     def batch(ids: list, results: list[int], id_type: pa.DataType) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(results, pa.int64())], names=["doc_id", "problems"])

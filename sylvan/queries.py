@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sylvan.operators.frame import Nodes, Selection, attr_value, checked
 from sylvan.session import ship, shuffle_partitions
-from sylvan.sources.pages import documents, extract, parse, render
+from sylvan.sources.pages import documents, extract, render
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,13 +98,9 @@ def long(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 
 
-def data(name: str) -> Column:
-    return attr_value(f"data-{name}")
-
-
 def parts(own: Selection) -> DataFrame:
     """doc_id, sel_ord, part of selected items."""
-    return own.nodes("attrs").select("doc_id", long("sel_ord").alias("sel_ord"), data("part").alias("part"))
+    return own.each_attr("data-part").select("doc_id", long("sel_ord").alias("sel_ord"), F.col("value").alias("part"))
 
 
 # -- selectors over items: name, selector, the same as a condition in SQL --
@@ -248,7 +244,7 @@ def lang_filter(spark, sf_dir):
 
 @query("any_link", f"WITH {PAGES} SELECT page_id AS doc_id, i AS sel_ord, href FROM links")
 def any_link(spark, sf_dir):
-    return page_nodes(spark, sf_dir).select(":any-link").nodes("attrs").select("doc_id", long("sel_ord").alias("sel_ord"), attr_value("href").alias("href"))
+    return page_nodes(spark, sf_dir).select(":any-link").each_attr("href").select("doc_id", long("sel_ord").alias("sel_ord"), F.col("value").alias("href"))
 
 
 @query("ad_class", f"WITH {PAGES} SELECT page_id AS doc_id, {decoded(chr(10).join(['regexp_extract(h, ', chr(39) + '<div class=' + chr(34) + 'ad' + chr(34) + '>([^<]*)' + chr(39) + ', 1)']))} AS text FROM p")
@@ -346,7 +342,7 @@ def last_sibling(spark, sf_dir):
 
 @query("descendants", "SELECT o_orderkey AS doc_id, 2 * count(l_orderkey) + 1 AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def descendants(spark, sf_dir):
-    return order_nodes(spark, sf_dir).select("div").descendants().rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return order_nodes(spark, sf_dir).select("div").descendants().length().withColumnRenamed("value", "n")
 
 
 @query("filter", f"WITH {ITEMS} SELECT k AS doc_id, row_number() OVER (PARTITION BY k ORDER BY i) AS sel_ord, p AS part FROM it WHERE f = 'R' AND i % 2 = 0")
@@ -401,7 +397,7 @@ def find_restricted(spark, sf_dir):
 @query("find_restricted_repeats", f"WITH {ITEMS} SELECT b.k AS doc_id, b.p AS part, count(*) AS n FROM it a JOIN it b ON a.k = b.k AND a.i < b.i WHERE a.f = 'R' GROUP BY b.k, b.i, b.p")
 def find_restricted_repeats(spark, sf_dir):
     found = order_nodes(spark, sf_dir).find_descendants("li.R ~ li:hover")
-    return found.nodes("attrs").groupBy("doc_id", "node_id", data("part").alias("part")).agg(F.count("*").alias("n")).select("doc_id", "part", "n")
+    return found.each_attr("data-part").groupBy("doc_id", "node_id", F.col("value").alias("part")).agg(F.count("*").alias("n")).select("doc_id", "part", "n")
 
 
 @query("base_uri", "SELECT page_id AS doc_id, 'https://x/' || page_id AS value FROM pages")
@@ -653,8 +649,7 @@ def edit_normalize(spark, sf_dir):
     nodes = nodes.select("ul").edit("replace_with_html", "x")
     nodes = nodes.select("div").edit("append_html", "y")
     nodes = nodes.select("div").edit("normalize")
-    own = nodes.select("div").nodes("n_child").select("doc_id", long("n_child").alias("n"))
-    return own.join(nodes.select("div").text().select("doc_id", F.col("value").alias("text")), "doc_id")
+    return nodes.select("div").text("n_child").select("doc_id", long("n_child").alias("n"), F.col("value").alias("text"))
 
 
 @query("validate", "SELECT page_id AS doc_id, 'none' AS problem FROM pages WHERE false")
@@ -670,4 +665,4 @@ def validate_links(spark, sf_dir):
 
 @query("node_counts", "SELECT o_orderkey AS doc_id, 6 + 2 * count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def node_counts(spark, sf_dir):
-    return parse(orders_html(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return order_nodes(spark, sf_dir).sizes().withColumnRenamed("value", "n")

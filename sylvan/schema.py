@@ -32,6 +32,18 @@ def classes_of(node: Node) -> list[str]:
     return [c for c in SPLIT.split(node.attr("class") or "") if c]
 
 
+def attrs_of(node: Node) -> list[dict] | None:
+    return [dict(zip(("ns", "prefix", "name", "value"), a, strict=True)) for a in node.attrs] if node.kind == "element" else None
+
+
+#: Columns of nodes in the tree that the node and its children decide.
+OWN = {
+    "parent_id": lambda n: n.parent.id if n.parent is not None else None, "n_child": lambda n: len(n.children), "n_elem": lambda n: len(n.elements()), "n_solid": lambda n: sum(c.kind == "text" and not is_blank(c.text) for c in n.children),
+    "kind": lambda n: n.kind, "ns": lambda n: n.ns, "tag": lambda n: n.tag, "attrs": attrs_of, "id_attr": lambda n: n.attr("id") if n.kind == "element" else None,
+    "classes": lambda n: classes_of(n) if n.kind == "element" else None, "text": lambda n: n.text, "attached": lambda n: True,
+}
+
+
 def rows_of(doc: Document, extra: list[Node] = ()) -> list[tuple]:
     """The rows of a document in the order of FIELDS; extra: further roots without a place."""
     out, pre = [], 0

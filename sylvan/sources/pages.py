@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sylvan.css import match, mini
 from sylvan.css.parser import parse as parse_selector
+from sylvan.markup.dom import Document
 from sylvan.markup.edit import edit
 from sylvan.markup.markdown import to_markdown
 from sylvan.markup.serialize import to_html
@@ -46,16 +47,19 @@ def _parsed(batches: Iterator[pa.RecordBatch], fragment: bool):
         gc.enable()
 
 
-def _source(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+def pages_of(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """doc_id, html."""
     ship(pages.sparkSession)
     return pages.select(F.col(id_col).alias("doc_id"), F.col(html_col).cast("string").alias("html"))
 
 
-def parse(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", fragment: bool = False) -> DataFrame:
-    """The node table of all pages. One pass, no shuffle; null pages count as empty."""
+def parse(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", fragment: bool = False, change: Callable[[Document], None] | None = None) -> DataFrame:
+    """The node table of all pages, each changed first if so wished. One pass, no shuffle; null pages count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, docs in _parsed(batches, fragment):
+            for d in docs if change is not None else ():
+                change(d)
             yield batch_of(ids.to_pylist(), [rows_of(d, [d_context(d)] if fragment else []) for d in docs], ids.type)
 
     def d_context(doc):
@@ -63,10 +67,26 @@ def parse(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html",
 
         return Node(1, "element", "body", HTML)  # the context element, which has no place
 
-    source = _source(pages, id_col, html_col)
+    source = pages_of(pages, id_col, html_col)
     return source.mapInArrow(run, ddl(source.schema["doc_id"].dataType.simpleString()))
 
 
+def each_document(source: DataFrame, fragment: bool, work: Callable[[Document], list[tuple]], fields: Sequence[tuple[str, pa.DataType, str]]) -> DataFrame:
+    """doc_id and the fields (name, Arrow type, SQL type) of the rows that work gives for each document of doc_id, html: one pass, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, docs in _parsed(batches, fragment):
+            owner, rows = [], []
+            for i, d in enumerate(docs):
+                own = work(d)
+                owner += [i] * len(own)
+                rows += own
+            columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner, pa.int64())), *(pa.array(c, t) for c, (_, t, _) in zip(columns, fields, strict=True))], names=["doc_id", *(f[0] for f in fields)])
+
+    return source.mapInArrow(run, ", ".join([f"doc_id {source.schema['doc_id'].dataType.simpleString()}", *(f"`{n}` {t}" for n, _, t in fields)]))
+
+
 def documents(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", fragment: bool = False) -> DataFrame:
     """doc_id, kind, quirks_mode, errors (in order) of every page."""
 
@@ -77,7 +97,7 @@ def documents(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "htm
                 names=["doc_id", "kind", "quirks_mode", "errors"],
             )
 
-    source = _source(pages, id_col, html_col)
+    source = pages_of(pages, id_col, html_col)
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, kind string, quirks_mode string, errors array<string>")
 
 
@@ -126,7 +146,7 @@ def extract(
             columns += [pa.array([n.attr(a) for n in found], pa.string()) for a in attrs]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sel_ord", "node_id", "tag", *outputs, *(f"attr_{a}" for a in attrs)])
 
-    source = _source(pages, id_col, html_col)
+    source = pages_of(pages, id_col, html_col)
     kinds = [f"{o} {'long' if o == 'char_count' else 'string'}" for o in outputs] + [f"`attr_{a}` string" for a in attrs]
     return source.mapInArrow(run, ", ".join([f"doc_id {source.schema['doc_id'].dataType.simpleString()}, sel_ord int, node_id int, tag string", *kinds]))
 
@@ -139,7 +159,7 @@ def render(pages: DataFrame, output: str, *, id_col: str = "page_id", html_col:
         for ids, docs in _parsed(batches, fragment):
             yield pa.RecordBatch.from_arrays([ids, pa.array([str(fold(d.root)) for d in docs], pa.string())], names=["doc_id", "value"])
 
-    source = _source(pages, id_col, html_col)
+    source = pages_of(pages, id_col, html_col)
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, value string")
 
 
@@ -160,7 +180,7 @@ def rewrite(pages: DataFrame, steps: Sequence[tuple], output: str = "html", *, i
                     edit(doc, match.select([doc.root], selectors), verb, *args)
             yield pa.RecordBatch.from_arrays([ids, pa.array([str(fold(d.root)) for d in docs], pa.string())], names=["doc_id", "value"])
 
-    source = _source(pages, id_col, html_col)
+    source = pages_of(pages, id_col, html_col)
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, value string")
 
 
