@@ -41,21 +41,25 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page for each order: a div with its status, id and priority, and a list of its lines."""
-    line = read(spark, sf_dir, "lineitem")
+    """A page for each order: a div with its status, id and priority, and a list of its lines.
+
+    Lines and orders are dealt by order once, as short columns; their pages are made where they meet. The numbers
+    of partitions are given, since there are few bytes and much parsing.
+    """
+    n = shuffle_partitions(spark)
+    line = read(spark, sf_dir, "lineitem").repartition(n, "l_orderkey")
     item = F.concat(
         F.lit('<li class="item '), "l_returnflag", F.lit(" "), "l_linestatus", F.lit('" data-qty="'), F.col("l_quantity").cast("long").cast("string"),
         F.lit('" data-part="'), F.col("l_partkey").cast("string"), F.lit('">part '), F.col("l_partkey").cast("string"), F.lit("</li>"),
     )
     items = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", item.alias("li")))).alias("x"))
     items = items.select(F.col("l_orderkey").alias("o_orderkey"), F.array_join(F.transform("x", lambda r: r["li"]), "").alias("items"))
-    rows = read(spark, sf_dir, "orders").join(items, "o_orderkey", "left")
+    rows = read(spark, sf_dir, "orders").repartition(n, "o_orderkey").join(items.hint("merge"), "o_orderkey", "left")
     html = F.concat(
         F.lit('<div class="order '), "o_orderstatus", F.lit('" id="o'), F.col("o_orderkey").cast("string"), F.lit('" data-prio="'), "o_orderpriority",
         F.lit('"><ul>'), F.coalesce("items", F.lit("")), F.lit("</ul></div>"),
     )
-    pages = rows.select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
-    return pages.repartition(shuffle_partitions(spark), "page_id")  # few bytes, much parsing
+    return rows.select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
 
 
 def page_nodes(spark: SparkSession, sf_dir: str) -> Nodes:

@@ -27,10 +27,12 @@ BATCH = 1 << 20  # characters of HTML parsed before a batch of rows is handed on
 def _parsed(batches: Iterator[pa.RecordBatch], fragment: bool):
     """Documents in groups of about BATCH characters: ids as an Arrow array, and the trees.
 
-    Trees hold cycles; collecting garbage between groups instead of during them halves the work.
+    Trees hold cycles; collecting garbage between groups instead of during them halves the work, and what
+    the worker holds besides is left out of it.
     """
     make = parse_fragment if fragment else parse_document
     gc.disable()
+    gc.freeze()
     try:
         for batch in batches:
             sizes = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
@@ -44,6 +46,7 @@ def _parsed(batches: Iterator[pa.RecordBatch], fragment: bool):
                     start, total = i, 0
                 total += n or 0
     finally:
+        gc.unfreeze()
         gc.enable()
 
 

@@ -113,3 +113,32 @@ def test_any_text_parses(html):
 def test_deep_nesting():
     html = "<div>" * 20000 + "x"
     assert to_html(parse_document(html).root).count("</div>") == 20000
+
+
+def test_usual_tokens_are_read_as_by_the_rules(monkeypatch):
+    """Runs of plain blocks, list items and text need no dispatch, and give the same trees, ids and errors."""
+    import random
+
+    from sylvan.markup.treebuilder import Builder
+
+    def trees(pages):
+        out = []
+        for page in pages:
+            for fragment in (False, True):
+                doc = Builder(page, fragment).run()
+                out.append(([(n.id, n.kind, n.tag, n.ns, n.attrs, n.text, n.parent and n.parent.id) for n in doc.root.walk()], doc.errors, doc.quirks, doc.size))
+        return out
+
+    pick = random.Random(5)
+    opens = ["<div>", '<ul class="a b" id="k">', "<li>", '<li a="1" a="2">', "<p>", "<b>", "<h1>", "<table>", "<td>", "<template>", "<svg>", "<pre>", "<a href=x>", "<LI>", "<dd>", "<button>"]
+    rest = ["</div>", "</ul>", "</li>", "</p>", "</b>", "</h1>", "</table>", "</template>", "</svg>", '</div a="b">', "x", " ", "\n", "a&amp;b", "&lt", "\0", "<", "<!--c-->", "</body>"]
+    pages = ["".join(pick.choice(pick.choice([opens, rest])) for _ in range(20)) for _ in range(1500)]
+    order = '<div class="order"><ul>' + '<li class="item">part 1</li>' * 20 + "</ul></div>"
+    calls, dispatch = [], Builder.dispatch
+    monkeypatch.setattr(Builder, "dispatch", lambda self, token: (calls.append(token), dispatch(self, token))[1])
+    fast = trees([*pages, order])
+    calls.clear()
+    trees([order])
+    assert len(calls) <= 6
+    monkeypatch.setattr(Builder, "usual", lambda self: None)
+    assert trees([*pages, order]) == fast
