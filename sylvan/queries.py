@@ -52,8 +52,8 @@ def orders_html(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<li class="item '), "l_returnflag", F.lit(" "), "l_linestatus", F.lit('" data-qty="'), F.col("l_quantity").cast("long").cast("string"),
         F.lit('" data-part="'), F.col("l_partkey").cast("string"), F.lit('">part '), F.col("l_partkey").cast("string"), F.lit("</li>"),
     )
-    items = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", item.alias("li")))).alias("x"))
-    items = items.select(F.col("l_orderkey").alias("o_orderkey"), F.array_join(F.transform("x", lambda r: r["li"]), "").alias("items"))
+    items = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", item.alias("li")))).alias("x"))
+    items = items.select(F.col("l_orderkey").alias("o_orderkey"), F.array_join(F.col("x.li"), "").alias("items"))
     rows = read(spark, sf_dir, "orders").repartition(n, "o_orderkey").join(items.hint("merge"), "o_orderkey", "left")
     html = F.concat(
         F.lit('<div class="order '), "o_orderstatus", F.lit('" id="o'), F.col("o_orderkey").cast("string"), F.lit('" data-prio="'), "o_orderpriority",

@@ -24,11 +24,23 @@ from sylvan.session import ship
 BATCH = 1 << 20  # characters of HTML parsed before a batch of rows is handed on
 
 
+def take_apart(docs: list[Document]) -> None:
+    """Empties the list of trees that nothing needs any more, and cuts the links in them that would keep them."""
+    stack = [d.root for d in docs]
+    docs.clear()
+    while stack:
+        node = stack.pop()
+        node.parent, own, node.children = None, node.children, []
+        stack += own
+        if node.template is not None:
+            stack.append(node.template)
+
+
 def _parsed(batches: Iterator[pa.RecordBatch], fragment: bool):
     """Documents in groups of about BATCH characters: ids as an Arrow array, and the trees.
 
-    Trees hold cycles; collecting garbage between groups instead of during them halves the work, and what
-    the worker holds besides is left out of it.
+    Trees hold cycles. They are taken apart after use, so that between groups there is little garbage left to
+    collect; what the worker holds besides is left out of that.
     """
     make = parse_fragment if fragment else parse_document
     gc.disable()
@@ -41,7 +53,9 @@ def _parsed(batches: Iterator[pa.RecordBatch], fragment: bool):
                 if n is None or total and total + n > BATCH:
                     if i > start:
                         part = batch.slice(start, i - start)
-                        yield part.column(0), [make(h) for h in part.column(1).to_pylist()]
+                        docs = [make(h) for h in part.column(1).to_pylist()]
+                        yield part.column(0), docs
+                        take_apart(docs)
                         gc.collect()
                     start, total = i, 0
                 total += n or 0

@@ -87,3 +87,24 @@ def test_fragments_are_read_in_one_pass(pages):
     own = Nodes.parse(pages, fragment=True)
     assert {r.value for r in own.select("p.k").html().collect()} == {'<p class="k"><b>three</b></p>', ""}
     assert {r.doc_id: r.value for r in own.sizes().collect()}[2] == 2
+
+
+def test_trees_taken_apart_leave_no_garbage():
+    """Trees that have been read go at once, without a search for cycles."""
+    import gc
+    import weakref
+
+    from sylvan.markup.dom import Document
+    from sylvan.markup.treebuilder import parse_document
+    from sylvan.sources.pages import take_apart
+
+    gc.disable()
+    try:
+        docs = [parse_document(page) for page in PAGES]
+        gone = [weakref.ref(d) for d in docs]
+        tops = [d.root for d in docs]
+        take_apart(docs)
+        assert docs == [] and all(r() is None for r in gone) and all(t.children == [] for t in tops)
+        assert isinstance(parse_document(""), Document)
+    finally:
+        gc.enable()
