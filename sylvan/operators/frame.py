@@ -384,11 +384,35 @@ def body_of(doc: Document) -> Node | None:
 
 
 def follow(doc: Document, route: tuple) -> list[Node]:
-    """The nodes at the end of a route in one document, in order: what the selection of the same steps holds."""
+    """The nodes at the end of a route in one document, in order: what the selection of the same steps holds.
+
+    In a tree that serves several pages, those of a route that no value has a say in are found once.
+    """
+    if doc.kept is None:
+        return walked(doc, route)
+    if id(route) not in doc.kept:
+        doc.kept[id(route)] = route, walked(doc, route) if valueless(route) else None
+    known = doc.kept[id(route)][1]
+    return walked(doc, route) if known is None else known
+
+
+def valueless(route: tuple) -> bool:
+    """Whether no attribute value or text has a say in where a route leads."""
+    for step, *args in route:
+        if step in ("select", "filter") and not match.valueless(args[0]):
+            return False
+        if step in ("add", "filter_selection") and not valueless(args[0]):
+            return False
+        if step == "find_descendants" and any(s.id is not None or s.classes or s.attrs for s in mini.parse_path(args[0])):
+            return False
+    return True
+
+
+def walked(doc: Document, route: tuple) -> list[Node]:
     found = [doc.root]
     for step, *args in route:
         if step == "select":
-            found = match.select(found, *args)
+            found = match.select(found, *args, doc.trees)
         elif step == "get":
             found = found[args[0] : args[0] + 1]
         elif step == "last":
@@ -398,7 +422,7 @@ def follow(doc: Document, route: tuple) -> list[Node]:
         elif step == "children":
             found = list({id(c): c for n in found for c in n.elements()}.values())
         elif step == "filter":
-            hits = matching(found, *args)
+            hits = matching(found, *args, doc.trees)
             found = [n for n in found if id(n) in hits]
         elif step == "add":
             found = list({id(n): n for n in [*found, *follow(doc, args[0])]}.values()) if found or args[1] else []
@@ -420,14 +444,14 @@ def follow(doc: Document, route: tuple) -> list[Node]:
     return found
 
 
-def matching(nodes: list[Node], parsed: tuple) -> set[int]:
+def matching(nodes: list[Node], parsed: tuple, trees: dict | None = None) -> set[int]:
     """Which of the nodes of one document match, by identity: elements, documents and fragments."""
     if not nodes:
         return set()
     top = nodes[0]
     while top.parent is not None:
         top = top.parent
-    tree = match.Tree(top)
+    tree = match.tree_under(top, trees)
     return {id(n) for n, hit in zip(tree.nodes, tree.any([tree.complex(s) for s in parsed]), strict=True) if hit}
 
 
@@ -586,10 +610,10 @@ class Selection:
             return None
 
         def run(doc: Document) -> list[tuple]:
-            carried_out(doc, steps)
             return work(follow(doc, path), doc)
 
-        return each_document(*origin, run, fields)
+        fixed = all(valueless(route) and valueless(source or ()) and verb not in ("add_class", "remove_class") for route, verb, _, source in steps)
+        return each_document(*origin, run, fields, (lambda doc: carried_out(doc, steps)) if steps else None, fixed)
 
     def _read(self, columns: Sequence[str], fields: list[tuple] = (), *values: Callable[[Node], object]) -> DataFrame | None:
         """doc_id, sel_ord, node_id, a field for each of the values of a member, and columns of the node table, as _fused."""

@@ -14,10 +14,10 @@ from sylvan.css import match, mini
 from sylvan.css.parser import parse as parse_selector
 from sylvan.markup.dom import Document
 from sylvan.markup.edit import edit
+from sylvan.markup.forms import Forms
 from sylvan.markup.markdown import to_markdown
 from sylvan.markup.serialize import to_html
 from sylvan.markup.textfmt import char_count, formatted
-from sylvan.markup.treebuilder import parse_document, parse_fragment
 from sylvan.schema import batch_of, ddl, rows_of
 from sylvan.session import ship
 
@@ -36,13 +36,14 @@ def take_apart(docs: list[Document]) -> None:
             stack.append(node.template)
 
 
-def _parsed(batches: Iterator[pa.RecordBatch], fragment: bool):
-    """Documents in groups of about BATCH characters: ids as an Arrow array, and the trees.
+def _parsed(batches: Iterator[pa.RecordBatch], fragment: bool, change: Callable[[Document], None] | None = None, fixed: bool = False):
+    """Documents in groups of about BATCH characters: ids as an Arrow array, and the trees, changed if so wished, one after the other.
 
-    Trees hold cycles. They are taken apart after use, so that between groups there is little garbage left to
-    collect; what the worker holds besides is left out of that.
+    A tree is good until the next, which may be the same with other values (see sylvan.markup.forms). Trees hold
+    cycles. They are taken apart after use, so that between groups there is little garbage left to collect; what
+    the worker holds besides is left out of that.
     """
-    make = parse_fragment if fragment else parse_document
+    forms = Forms(fragment, change, fixed)
     gc.disable()
     gc.freeze()
     try:
@@ -53,9 +54,8 @@ def _parsed(batches: Iterator[pa.RecordBatch], fragment: bool):
                 if n is None or total and total + n > BATCH:
                     if i > start:
                         part = batch.slice(start, i - start)
-                        docs = [make(h) for h in part.column(1).to_pylist()]
-                        yield part.column(0), docs
-                        take_apart(docs)
+                        yield part.column(0), map(forms.read, part.column(1).to_pylist())
+                        take_apart(forms.spent)
                         gc.collect()
                     start, total = i, 0
                 total += n or 0
@@ -74,9 +74,7 @@ def parse(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html",
     """The node table of all pages, each changed first if so wished. One pass, no shuffle; null pages count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, docs in _parsed(batches, fragment):
-            for d in docs if change is not None else ():
-                change(d)
+        for ids, docs in _parsed(batches, fragment, change):
             yield batch_of(ids.to_pylist(), [rows_of(d, [d_context(d)] if fragment else []) for d in docs], ids.type)
 
     def d_context(doc):
@@ -88,11 +86,16 @@ def parse(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html",
     return source.mapInArrow(run, ddl(source.schema["doc_id"].dataType.simpleString()))
 
 
-def each_document(source: DataFrame, fragment: bool, work: Callable[[Document], list[tuple]], fields: Sequence[tuple[str, pa.DataType, str]]) -> DataFrame:
-    """doc_id and the fields (name, Arrow type, SQL type) of the rows that work gives for each document of doc_id, html: one pass, no shuffle."""
+def each_document(
+    source: DataFrame, fragment: bool, work: Callable[[Document], list[tuple]], fields: Sequence[tuple[str, pa.DataType, str]], change: Callable[[Document], None] | None = None, fixed: bool = False
+) -> DataFrame:
+    """doc_id and the fields (name, Arrow type, SQL type) of the rows that work gives for each document of doc_id, html: one pass, no shuffle.
+
+    Each document is changed first if so wished; fixed: no attribute value or text has a say in that.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, docs in _parsed(batches, fragment):
+        for ids, docs in _parsed(batches, fragment, change, fixed):
             owner, rows = [], []
             for i, d in enumerate(docs):
                 own = work(d)
@@ -109,8 +112,9 @@ def documents(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, docs in _parsed(batches, fragment):
+            kinds, quirks, errors = zip(*((d.root.kind, d.quirks, d.errors) for d in docs), strict=True)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([d.root.kind for d in docs]), pa.array([d.quirks for d in docs]), pa.array([d.errors for d in docs], pa.list_(pa.string()))],
+                [ids, pa.array(kinds), pa.array(quirks), pa.array(errors, pa.list_(pa.string()))],
                 names=["doc_id", "kind", "quirks_mode", "errors"],
             )
 
@@ -142,25 +146,24 @@ def extract(
     """
     if engine == "css":
         selector_list = parse_selector(selector)
-        finder = lambda root: match.select([root], selector_list)
+        finder = lambda d: match.select([d.root], selector_list, d.trees)
     elif engine == "mini":
-        finder = lambda root: mini.find_descendants(root, selector)
+        finder = lambda d: mini.find_descendants(d.root, selector)
     else:
         names = selector.split()
-        finder = lambda root: mini.find(root, names)
+        finder = lambda d: mini.find(d.root, names)
     folds = [(o, FOLDS[o]) for o in outputs]
+    types = [pa.int32(), pa.int32(), pa.string(), *(pa.int64() if o == "char_count" else pa.string() for o in outputs), *(pa.string() for _ in attrs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, docs in _parsed(batches, fragment):
-            owner, ordinal, found = [], [], []
+            owner, rows = [], []
             for i, d in enumerate(docs):
-                own = finder(d.root)[: 1 if single else None]
+                own = finder(d)[: 1 if single else None]
                 owner += [i] * len(own)
-                ordinal += range(1, len(own) + 1)
-                found += own
-            columns = [ids.take(pa.array(owner, pa.int64())), pa.array(ordinal, pa.int32()), pa.array([n.id for n in found], pa.int32()), pa.array([n.tag for n in found], pa.string())]
-            columns += [pa.array([f(n) for n in found], pa.int64() if o == "char_count" else pa.string()) for o, f in folds]
-            columns += [pa.array([n.attr(a) for n in found], pa.string()) for a in attrs]
+                rows += [(k, n.id, n.tag, *(f(n) for _, f in folds), *(n.attr(a) for a in attrs)) for k, n in enumerate(own, 1)]
+            columns = zip(zip(*rows, strict=True) if rows else [()] * len(types), types, strict=True)
+            columns = [ids.take(pa.array(owner, pa.int64())), *(pa.array(c, t) for c, t in columns)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sel_ord", "node_id", "tag", *outputs, *(f"attr_{a}" for a in attrs)])
 
     source = pages_of(pages, id_col, html_col)
@@ -190,11 +193,12 @@ def rewrite(pages: DataFrame, steps: Sequence[tuple], output: str = "html", *, i
     parsed = [(parse_selector(selector), verb, args) for selector, verb, *args in steps]
     fold = FOLDS[output]
 
+    def change(doc: Document) -> None:
+        for selectors, verb, args in parsed:
+            edit(doc, match.select([doc.root], selectors), verb, *args)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, docs in _parsed(batches, fragment):
-            for doc in docs:
-                for selectors, verb, args in parsed:
-                    edit(doc, match.select([doc.root], selectors), verb, *args)
+        for ids, docs in _parsed(batches, fragment, change):
             yield pa.RecordBatch.from_arrays([ids, pa.array([str(fold(d.root)) for d in docs], pa.string())], names=["doc_id", "value"])
 
     source = pages_of(pages, id_col, html_col)
