@@ -20,10 +20,11 @@ from sylvan.css.parser import SelectorError, parse
 from sylvan.markup.dom import HTML, Document, Node
 from sylvan.markup.edit import copied, violations
 from sylvan.markup.edit import edit as edit_tree
+from sylvan.markup.forms import Stage
 from sylvan.plans.selector import KEY, Plan, compound_column, mini_column
 from sylvan.schema import FIELDS, NAMES, OWN, batch_of, classes_of, ddl, rows_of, tree_of
 from sylvan.session import ship, shuffle_partitions
-from sylvan.sources.pages import FOLDS, each_document, pages_of
+from sylvan.sources.pages import FOLDS, each_document, pages_of, written
 from sylvan.sources.pages import parse as parse_pages
 
 SPACE = r"[\t\n\x0B\f\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -348,6 +349,18 @@ def carried_out(doc: Document, steps: tuple) -> None:
         edit_tree(doc, targets, verb, *((follow(doc, source),) if source is not None else args))
 
 
+def stage(route: tuple, verb: str, args: tuple, source: tuple | None) -> Stage:
+    """An edit as one that may be done once for several pages."""
+
+    def find(doc: Document) -> tuple[list[Node], list[Node]]:
+        return follow(doc, route), follow(doc, source) if source is not None else []
+
+    def change(doc: Document, targets: list[Node], sources: list[Node]) -> None:
+        edit_tree(doc, targets, verb, *((sources,) if source is not None else args))
+
+    return Stage(find, change, valueless(route) and valueless(source or ()), verb in ("add_class", "remove_class"))
+
+
 def everything(doc: Document) -> Iterator[Node]:
     """All nodes, those in templates included."""
     roots = [doc.root]
@@ -612,8 +625,7 @@ class Selection:
         def run(doc: Document) -> list[tuple]:
             return work(follow(doc, path), doc)
 
-        fixed = all(valueless(route) and valueless(source or ()) and verb not in ("add_class", "remove_class") for route, verb, _, source in steps)
-        return each_document(*origin, run, fields, (lambda doc: carried_out(doc, steps)) if steps else None, fixed)
+        return each_document(*origin, run, fields, (lambda doc: carried_out(doc, steps)) if steps else None, [stage(*step) for step in steps])
 
     def _read(self, columns: Sequence[str], fields: list[tuple] = (), *values: Callable[[Node], object]) -> DataFrame | None:
         """doc_id, sel_ord, node_id, a field for each of the values of a member, and columns of the node table, as _fused."""
@@ -929,8 +941,7 @@ class Selection:
 
     def _of_first(self, output: str, default: str | None) -> DataFrame:
         """doc_id, value of the first member of every document; default where there is none."""
-        fold = FOLDS[output]
-        read = self.first()._fused([VALUE], lambda own, _: [(str(fold(own[0])) if own else default,)])
+        read = self.first()._fused([VALUE], lambda own, doc: [(str(written(output, own[0], doc)) if own else default,)])
         if read is not None:
             return read
         own = self.first().fold(output).select("doc_id", "value")

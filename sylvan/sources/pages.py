@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from sylvan.css import match, mini
 from sylvan.css.parser import parse as parse_selector
-from sylvan.markup.dom import Document
+from sylvan.markup.dom import Document, Node
 from sylvan.markup.edit import edit
-from sylvan.markup.forms import Forms
+from sylvan.markup.forms import Forms, Stage
 from sylvan.markup.markdown import to_markdown
 from sylvan.markup.serialize import to_html
 from sylvan.markup.textfmt import char_count, formatted
@@ -36,14 +36,14 @@ def take_apart(docs: list[Document]) -> None:
             stack.append(node.template)
 
 
-def _parsed(batches: Iterator[pa.RecordBatch], fragment: bool, change: Callable[[Document], None] | None = None, fixed: bool = False):
+def _parsed(batches: Iterator[pa.RecordBatch], fragment: bool, change: Callable[[Document], None] | None = None, stages: Sequence[Stage] | None = None):
     """Documents in groups of about BATCH characters: ids as an Arrow array, and the trees, changed if so wished, one after the other.
 
     A tree is good until the next, which may be the same with other values (see sylvan.markup.forms). Trees hold
     cycles. They are taken apart after use, so that between groups there is little garbage left to collect; what
     the worker holds besides is left out of that.
     """
-    forms = Forms(fragment, change, fixed)
+    forms = Forms(fragment, change, stages)
     gc.disable()
     gc.freeze()
     try:
@@ -87,15 +87,15 @@ def parse(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html",
 
 
 def each_document(
-    source: DataFrame, fragment: bool, work: Callable[[Document], list[tuple]], fields: Sequence[tuple[str, pa.DataType, str]], change: Callable[[Document], None] | None = None, fixed: bool = False
+    source: DataFrame, fragment: bool, work: Callable[[Document], list[tuple]], fields: Sequence[tuple[str, pa.DataType, str]], change: Callable[[Document], None] | None = None, stages: Sequence[Stage] | None = None
 ) -> DataFrame:
     """doc_id and the fields (name, Arrow type, SQL type) of the rows that work gives for each document of doc_id, html: one pass, no shuffle.
 
-    Each document is changed first if so wished; fixed: no attribute value or text has a say in that.
+    Each document is changed first if so wished; stages: the same change, edit by edit.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, docs in _parsed(batches, fragment, change, fixed):
+        for ids, docs in _parsed(batches, fragment, change, stages):
             owner, rows = [], []
             for i, d in enumerate(docs):
                 own = work(d)
@@ -135,6 +135,13 @@ FOLDS = {
 }
 
 
+def written(output: str, node: Node, doc: Document):
+    """A node of a document as one of FOLDS."""
+    if doc.form is not None and output in ("html", "inner_html"):
+        return doc.form.html(node, output == "inner_html")
+    return FOLDS[output](node)
+
+
 def extract(
     pages: DataFrame, selector: str, outputs: Sequence[str] = ("text",), attrs: Sequence[str] = (), *, engine: str = "css", id_col: str = "page_id", html_col: str = "html",
     fragment: bool = False, single: bool = False,
@@ -152,7 +159,6 @@ def extract(
     else:
         names = selector.split()
         finder = lambda d: mini.find(d.root, names)
-    folds = [(o, FOLDS[o]) for o in outputs]
     types = [pa.int32(), pa.int32(), pa.string(), *(pa.int64() if o == "char_count" else pa.string() for o in outputs), *(pa.string() for _ in attrs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +167,7 @@ def extract(
             for i, d in enumerate(docs):
                 own = finder(d)[: 1 if single else None]
                 owner += [i] * len(own)
-                rows += [(k, n.id, n.tag, *(f(n) for _, f in folds), *(n.attr(a) for a in attrs)) for k, n in enumerate(own, 1)]
+                rows += [(k, n.id, n.tag, *(written(o, n, d) for o in outputs), *(n.attr(a) for a in attrs)) for k, n in enumerate(own, 1)]
             columns = zip(zip(*rows, strict=True) if rows else [()] * len(types), types, strict=True)
             columns = [ids.take(pa.array(owner, pa.int64())), *(pa.array(c, t) for c, t in columns)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sel_ord", "node_id", "tag", *outputs, *(f"attr_{a}" for a in attrs)])
@@ -173,11 +179,9 @@ def extract(
 
 def render(pages: DataFrame, output: str, *, id_col: str = "page_id", html_col: str = "html", fragment: bool = False) -> DataFrame:
     """doc_id, value: whole documents written as one of FOLDS, without a node table in between."""
-    fold = FOLDS[output]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, docs in _parsed(batches, fragment):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([str(fold(d.root)) for d in docs], pa.string())], names=["doc_id", "value"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([str(written(output, d.root, d)) for d in docs], pa.string())], names=["doc_id", "value"])
 
     source = pages_of(pages, id_col, html_col)
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, value string")
@@ -191,15 +195,13 @@ def rewrite(pages: DataFrame, steps: Sequence[tuple], output: str = "html", *, i
     remove_class(names). Each step selects in the document that the steps before it left.
     """
     parsed = [(parse_selector(selector), verb, args) for selector, verb, *args in steps]
-    fold = FOLDS[output]
-
     def change(doc: Document) -> None:
         for selectors, verb, args in parsed:
             edit(doc, match.select([doc.root], selectors), verb, *args)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, docs in _parsed(batches, fragment, change):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([str(fold(d.root)) for d in docs], pa.string())], names=["doc_id", "value"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([str(written(output, d.root, d)) for d in docs], pa.string())], names=["doc_id", "value"])
 
     source = pages_of(pages, id_col, html_col)
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, value string")

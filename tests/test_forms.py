@@ -8,8 +8,9 @@ from sylvan.css.parser import parse
 from sylvan.markup import forms
 from sylvan.markup.serialize import to_html
 from sylvan.markup.treebuilder import parse_document, parse_fragment
-from sylvan.operators.frame import carried_out, everything, follow, valueless
+from sylvan.operators.frame import carried_out, everything, follow, stage
 from sylvan.schema import rows_of
+from sylvan.sources.pages import written
 
 TAGS = "div p ul li b i a table tr td template svg math annotation-xml title textarea script style select option input form pre html body head frameset colgroup button span h1 comment".split()
 VALUES = ["x", "", "a b", "k", "R", "hidden", "text/html", "a>b", "a<b", "-->", "'", "=", " x ", "é\xa0", "a\nb", "<b>", "t0", "\1"]
@@ -83,14 +84,32 @@ EDITS = [("ul", "wrap_html", ("<b>x</b>",)), ("li.R", "remove", ()), ("li", "set
 def test_edits_see_the_values_of_each_page(selector, verb, args):
     route = (("select", parse(selector)),)
     steps = ((route, verb, args, None), ((("select", parse("div")),), "normalize", (), None))
-    rng, reader = random.Random(5), forms.Forms(False, lambda doc: carried_out(doc, steps), valueless(route) and "class" not in verb)
+    end, shared = (("select", parse("li, b, [class=R]")),), 0
+    rng, reader = random.Random(5), forms.Forms(False, lambda doc: carried_out(doc, steps), [stage(*step) for step in steps])
     for _ in range(200):
         html = lists(rng)
         want = parse_document(html)
         carried_out(want, steps)
         got = reader.read(html)
-        assert to_html(got.root) == to_html(want.root) and got.size == want.size
-    assert reader.met > 100
+        assert to_html(got.root) == to_html(want.root) and got.size == want.size, html
+        assert [n.id for n in follow(got, end)] == [n.id for n in follow(want, end)], html
+        assert all(written(o, n, got) == to_html(m, o == "inner_html") for o in ("html", "inner_html") for n, m in zip(everything(got), everything(want), strict=True))
+        shared += got.form is not None
+    assert reader.met > 100 and shared > 50
+
+
+@pytest.mark.parametrize("verb", ["prepend_selection", "before_selection", "append_run", "reparent_children"])
+def test_moves_see_the_values_of_each_page(verb):
+    steps = (((("select", parse("ul")),), verb, (), (("select", parse("li.R")),)),)
+    rng, reader, shared = random.Random(9), forms.Forms(False, lambda doc: carried_out(doc, steps), [stage(*step) for step in steps]), 0
+    for _ in range(200):
+        html = lists(rng)
+        want = parse_document(html)
+        carried_out(want, steps)
+        got = reader.read(html)
+        assert whole(got) == whole(want), html
+        shared += got.form is not None
+    assert shared > 50
 
 
 def test_a_form_is_parsed_once(monkeypatch):
