@@ -335,6 +335,8 @@ class Nodes:
 
 #: Columns of what is read from pages: names, Arrow types and SQL types.
 MEMBER = [("sel_ord", pa.int32(), "int"), ("node_id", pa.int32(), "int")]
+#: Columns of the node table that hand values on as they are, or don't hold any.
+PLAIN = {"kind", "ns", "tag", "parent_id", "n_child", "n_elem", "id_attr", "text", "attached"}
 VALUE, VALUE_LONG, VALUE_BOOL = ("value", pa.string(), "string"), ("value", pa.int64(), "long"), ("value", pa.bool_(), "boolean")
 
 
@@ -358,7 +360,8 @@ def stage(route: tuple, verb: str, args: tuple, source: tuple | None) -> Stage:
     def change(doc: Document, targets: list[Node], sources: list[Node]) -> None:
         edit_tree(doc, targets, verb, *((sources,) if source is not None else args))
 
-    return Stage(find, change, valueless(route) and valueless(source or ()), verb in ("add_class", "remove_class"))
+    own = asked((*route, *([("add", source)] if source is not None else [])))
+    return Stage(find, change, own, verb in ("add_class", "remove_class"))
 
 
 def everything(doc: Document) -> Iterator[Node]:
@@ -399,26 +402,29 @@ def body_of(doc: Document) -> Node | None:
 def follow(doc: Document, route: tuple) -> list[Node]:
     """The nodes at the end of a route in one document, in order: what the selection of the same steps holds.
 
-    In a tree that serves several pages, those of a route that no value has a say in are found once.
+    In a tree that serves several pages they are found once for those of which the route's selectors ask the same.
     """
     if doc.kept is None:
         return walked(doc, route)
-    if id(route) not in doc.kept:
-        doc.kept[id(route)] = route, walked(doc, route) if valueless(route) else None
-    known = doc.kept[id(route)][1]
-    return walked(doc, route) if known is None else known
+    own = doc.kept.get(id(route)) or doc.form.kept(route, asked(route))
+    return own.get(lambda: walked(doc, route))
 
 
-def valueless(route: tuple) -> bool:
-    """Whether no attribute value or text has a say in where a route leads."""
+def asked(route: tuple) -> frozenset | None:
+    """What a route asks of attribute values (see match.tests); None if texts, or values in other ways, have a say in where it leads."""
+    out: frozenset = frozenset()
     for step, *args in route:
-        if step in ("select", "filter") and not match.valueless(args[0]):
-            return False
-        if step in ("add", "filter_selection") and not valueless(args[0]):
-            return False
-        if step == "find_descendants" and any(s.id is not None or s.classes or s.attrs for s in mini.parse_path(args[0])):
-            return False
-    return True
+        own: frozenset | None = frozenset()
+        if step in ("select", "filter"):
+            own = match.tests(args[0])
+        elif step in ("add", "filter_selection"):
+            own = asked(args[0])
+        elif step == "find_descendants" and any(s.id is not None or s.classes or s.attrs for s in mini.parse_path(args[0])):
+            own = None
+        if own is None:
+            return None
+        out |= own
+    return out
 
 
 def walked(doc: Document, route: tuple) -> list[Node]:
@@ -604,7 +610,7 @@ class Selection:
     @property
     def rows(self) -> DataFrame:
         if callable(self._rows):
-            read = self._fused(MEMBER, lambda own, _: [(i, n.id) for i, n in enumerate(own, 1)])
+            read = self._fused(MEMBER, lambda own, _: [(i, n.id) for i, n in enumerate(own, 1)], "nothing")
             self._rows = self._rows() if read is None else read
         return self._rows
 
@@ -616,19 +622,23 @@ class Selection:
         known = self.path is not None and other.path is not None and other.owner is self.owner
         return Selection(self.owner, rows, (*self.path, (step, other.path, *more)) if known else None)
 
-    def _fused(self, fields: list[tuple], work: Callable[[list[Node], Document], list[tuple]]) -> DataFrame | None:
-        """doc_id and the fields of what work(members, document) gives for each document, in one pass over the pages; None where only the table is known."""
+    def _fused(self, fields: list[tuple], work: Callable[[list[Node], Document], list[tuple]], reads: str = "tree") -> DataFrame | None:
+        """doc_id and the fields of what work(members, document) gives for each document, in one pass over the pages; None where only the table is known.
+
+        reads: see each_document.
+        """
         origin, path, steps = self.owner.origin, self.path, self.owner.steps
         if origin is None or path is None:
             return None
 
-        def run(doc: Document) -> list[tuple]:
-            return work(follow(doc, path), doc)
+        def find(doc: Document) -> list[Node]:
+            return follow(doc, path)
 
-        return each_document(*origin, run, fields, (lambda doc: carried_out(doc, steps)) if steps else None, [stage(*step) for step in steps])
+        change = (lambda doc: carried_out(doc, steps)) if steps else None
+        return each_document(*origin, find, work, fields, reads=reads, tests=asked(path), change=change, stages=[stage(*step) for step in steps])
 
-    def _read(self, columns: Sequence[str], fields: list[tuple] = (), *values: Callable[[Node], object]) -> DataFrame | None:
-        """doc_id, sel_ord, node_id, a field for each of the values of a member, and columns of the node table, as _fused."""
+    def _read(self, columns: Sequence[str], fields: list[tuple] = (), *values: Callable[[Node], object], plain: bool = True) -> DataFrame | None:
+        """doc_id, sel_ord, node_id, a field for each of the values of a member, and columns of the node table, as _fused. plain: values are handed on as they are."""
         own, at = [OWN.get(n) for n in columns], [NAMES.index(n) for n in columns]
 
         def work(found: list[Node], doc: Document) -> list[tuple]:
@@ -638,7 +648,7 @@ class Selection:
             rows = {r[0]: r for r in rows_of(doc)} if found else {}
             return [(i, n.id, *(f(n) for f in values), *(rows[n.id][k] for k in at)) for i, n in enumerate(found, 1)]
 
-        return self._fused([*MEMBER, *fields, *(FIELDS[k] for k in at)], work)
+        return self._fused([*MEMBER, *fields, *(FIELDS[k] for k in at)], work, "nothing" if plain and PLAIN.issuperset(columns) else "tree")
 
     def nodes(self, *columns: str) -> DataFrame:
         """The selected rows of the node table, all columns unless some are named, with sel_ord."""
@@ -725,7 +735,7 @@ class Selection:
     def is_(self, selector: str) -> DataFrame:
         """doc_id, value: whether any member matches; invalid selectors match nothing."""
         hits = self.try_filter(selector)
-        read = hits._fused([VALUE_BOOL], lambda own, _: [(bool(own),)]) if hits is not None else None
+        read = hits._fused([VALUE_BOOL], lambda own, _: [(bool(own),)], "nothing") if hits is not None else None
         if read is not None:
             return read
         found = (hits.rows if hits is not None else self.rows.limit(0)).select("doc_id", F.lit(True).alias("hit")).distinct()
@@ -841,7 +851,7 @@ class Selection:
 
     def length(self) -> DataFrame:
         """doc_id, value: members of every document, 0 where there are none."""
-        read = self._fused([VALUE_LONG], lambda own, _: [(len(own),)])
+        read = self._fused([VALUE_LONG], lambda own, _: [(len(own),)], "nothing")
         if read is not None:
             return read
         own = self.rows.groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -921,7 +931,7 @@ class Selection:
     def fold(self, output: str, **options) -> DataFrame:
         """doc_id, sel_ord, node_id, value: each member written as one of FOLDS (markdown: with skip), document by document."""
         fold = FOLDS[output]
-        read = self._read((), [VALUE], lambda n: str(fold(n, **options)))
+        read = self._read((), [VALUE], lambda n: str(fold(n, **options)), plain=False)
         if read is not None:
             return read
         own = self.rows
@@ -941,7 +951,7 @@ class Selection:
 
     def _of_first(self, output: str, default: str | None) -> DataFrame:
         """doc_id, value of the first member of every document; default where there is none."""
-        read = self.first()._fused([VALUE], lambda own, doc: [(str(written(output, own[0], doc)) if own else default,)])
+        read = self.first()._fused([VALUE], lambda own, doc: [(str(written(output, own[0], doc)) if own else default,)], "form" if output in ("html", "inner_html") else "tree")
         if read is not None:
             return read
         own = self.first().fold(output).select("doc_id", "value")

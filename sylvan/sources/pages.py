@@ -36,14 +36,14 @@ def take_apart(docs: list[Document]) -> None:
             stack.append(node.template)
 
 
-def _parsed(batches: Iterator[pa.RecordBatch], fragment: bool, change: Callable[[Document], None] | None = None, stages: Sequence[Stage] | None = None):
+def _parsed(batches: Iterator[pa.RecordBatch], fragment: bool, change: Callable[[Document], None] | None = None, stages: Sequence[Stage] | None = None, lazy: bool = False):
     """Documents in groups of about BATCH characters: ids as an Arrow array, and the trees, changed if so wished, one after the other.
 
     A tree is good until the next, which may be the same with other values (see sylvan.markup.forms). Trees hold
     cycles. They are taken apart after use, so that between groups there is little garbage left to collect; what
     the worker holds besides is left out of that.
     """
-    forms = Forms(fragment, change, stages)
+    forms = Forms(fragment, change, stages, lazy)
     gc.disable()
     gc.freeze()
     try:
@@ -55,8 +55,9 @@ def _parsed(batches: Iterator[pa.RecordBatch], fragment: bool, change: Callable[
                     if i > start:
                         part = batch.slice(start, i - start)
                         yield part.column(0), map(forms.read, part.column(1).to_pylist())
-                        take_apart(forms.spent)
-                        gc.collect()
+                        if forms.spent:
+                            take_apart(forms.spent)
+                            gc.collect()
                     start, total = i, 0
                 total += n or 0
     finally:
@@ -87,21 +88,30 @@ def parse(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html",
 
 
 def each_document(
-    source: DataFrame, fragment: bool, work: Callable[[Document], list[tuple]], fields: Sequence[tuple[str, pa.DataType, str]], change: Callable[[Document], None] | None = None, stages: Sequence[Stage] | None = None
-) -> DataFrame:
-    """doc_id and the fields (name, Arrow type, SQL type) of the rows that work gives for each document of doc_id, html: one pass, no shuffle.
+    source: DataFrame, fragment: bool, find: Callable[[Document], list[Node]], work: Callable[[list[Node], Document], list[tuple]], fields: Sequence[tuple[str, pa.DataType, str]], *,
+    reads: str = "tree", tests: frozenset | None = None, change: Callable[[Document], None] | None = None, stages: Sequence[Stage] | None = None,
+) -> DataFrame:
+    """doc_id and the fields (name, Arrow type, SQL type) of the rows that work makes of what find finds in each document of doc_id, html: one pass, no shuffle.
 
-    Each document is changed first if so wished; stages: the same change, edit by edit.
+    Each document is changed first if so wished; stages: the same change, edit by edit. reads: what work looks at
+    besides: the tree; form, by `written` only; or nothing, handing values on as they are. tests: what find asks of values.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, docs in _parsed(batches, fragment, change, stages):
-            owner, rows = [], []
+        for ids, docs in _parsed(batches, fragment, change, stages, True):
+            owner: list[int] = []
+            columns: list[list] = [[] for _ in fields]
             for i, d in enumerate(docs):
-                own = work(d)
-                owner += [i] * len(own)
-                rows += own
-            columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+                if d.form is not None and reads == "nothing":
+                    owner += [i] * d.form.rows(columns, find, work, tests)
+                    continue
+                if d.form is not None and reads == "tree":
+                    d.form.fill()
+                own = work(find(d), d)
+                if own:
+                    owner += [i] * len(own)
+                    for out, new in zip(columns, zip(*own, strict=True), strict=True):
+                        out += new
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner, pa.int64())), *(pa.array(c, t) for c, (_, t, _) in zip(columns, fields, strict=True))], names=["doc_id", *(f[0] for f in fields)])
 
     return source.mapInArrow(run, ", ".join([f"doc_id {source.schema['doc_id'].dataType.simpleString()}", *(f"`{n}` {t}" for n, _, t in fields)]))

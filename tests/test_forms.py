@@ -8,7 +8,8 @@ from sylvan.css.parser import parse
 from sylvan.markup import forms
 from sylvan.markup.serialize import to_html
 from sylvan.markup.treebuilder import parse_document, parse_fragment
-from sylvan.operators.frame import carried_out, everything, follow, stage
+from sylvan.operators import frame
+from sylvan.operators.frame import asked, carried_out, everything, follow, stage
 from sylvan.schema import rows_of
 from sylvan.sources.pages import written
 
@@ -112,6 +113,54 @@ def test_moves_see_the_values_of_each_page(verb):
     assert shared > 50
 
 
+def members(found: list, _) -> list[tuple]:
+    return [(i, n.id, n.attr("class"), n.string(), n.attr("id"), len(n.children), n.tag) for i, n in enumerate(found, 1)]
+
+
+@pytest.mark.parametrize("selector", [*SELECTORS, "li[id]", "li.R, [id=a i]", "*", "li:is(.R, #k):not([class$='k'])", "b"])
+def test_rows_hand_on_the_values_of_each_page(selector):
+    route = (("select", parse(selector)), ("add", (("select", parse("p.k")),), True))
+    rng, reader, given = random.Random(4), forms.Forms(False, lazy=True), 0
+    for _ in range(400):
+        html = lists(rng).replace("b c", rng.choice(["b c", "100 %s", "x > y", "\xa0"]))
+        doc, columns = reader.read(html), [[] for _ in range(7)]
+        if doc.form is not None:
+            n = doc.form.rows(columns, lambda d: follow(d, route), members, asked(route))
+            want = members(follow(parse_document(html), route), None)
+            assert n == len(want) and list(zip(*columns, strict=True)) == want, html
+            given += 1
+    assert given > 150
+
+
+def test_rows_of_other_cells_are_read_from_each_page():
+    work, reader = (lambda found, _: [(len(n.string()), [n.attr("class")]) for n in found]), forms.Forms(False, lazy=True)
+    for i in range(50):
+        doc, columns = reader.read(f'<p class="c{i}">{"x" * i}y</p>'), [[], []]
+        if i > 2:
+            assert doc.form.rows(columns, lambda d: follow(d, (("select", parse("p")),)), work, frozenset()) == 1 and columns == [[i + 1], [[f"c{i}"]]]
+
+
+def test_what_a_selector_leads_to_is_found_once_for_pages_of_which_it_asks_the_same(monkeypatch):
+    """Each page's values were looked at by the selector anew, and its rows made anew."""
+    calls, walk = [], frame.walked
+    monkeypatch.setattr(frame, "walked", lambda doc, route: calls.append(route) or walk(doc, route))
+    reader = forms.Forms(False)
+    for selector in ("li.R", "li:not(.N)", "[id]", "li[id*='7'], li:is(.R, .A):first-child"):
+        route = (("select", parse(selector)),)
+        for i in range(500):
+            html = f'<ul><li class="{"RNA"[i % 3]}" id="k{i}">{i}</li><li class="{"RNA"[i // 3 % 3]}" id="m{i}">{i}</li></ul>'
+            assert [n.id for n in follow(reader.read(html), route)] == [n.id for n in walk(parse_document(html), route)]
+    assert len(calls) < 60
+
+
+def test_what_seldom_comes_again_is_not_kept():
+    reader, route = forms.Forms(False), (("select", parse(", ".join(f".c{i}" for i in range(2000)))),)
+    for i in range(2000):
+        doc = reader.read(f'<p class="c{i}">x</p>')
+        assert [n.tag for n in follow(doc, route)] == ["p"]
+    assert doc.form.kept(route, asked(route)).judges is None and reader.left[0] > 0
+
+
 def test_a_form_is_parsed_once(monkeypatch):
     """Each page was parsed by itself, which took more time than all else."""
     calls = []
