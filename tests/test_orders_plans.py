@@ -10,7 +10,7 @@ from sylvan.operators.frame import carried_out, stage
 from sylvan.queries import EDITS
 
 SF = "/root/testdata/sf0.001"
-READS = ["ancestors", "ancestors_k", "children"]
+READS = ["ancestors", "ancestors_k", "children", "descendants"]
 EDITED = [f"edit_{n}" for n in ()]
 
 
