@@ -11,7 +11,7 @@ from sylvan.queries import EDITS
 
 SF = "/root/testdata/sf0.001"
 READS = ["ancestors", "ancestors_k", "children", "descendants"]
-EDITED = [f"edit_{n}" for n in ()]
+EDITED = [f"edit_{n}" for n in ("append_html",)]
 
 
 @pytest.mark.parametrize("name", READS + EDITED)
