@@ -11,7 +11,7 @@ from sylvan.queries import EDITS
 
 SF = "/root/testdata/sf0.001"
 READS = ["ancestors", "ancestors_k", "children", "descendants"]
-EDITED = [f"edit_{n}" for n in ("append_html", "before_html", "normalize", "prepend_html", "remove_children", "replace_with_html", "replace_with_nothing", "set_html", "set_text", "strip")]
+EDITED = [f"edit_{n}" for n in ("append_html", "before_html", "normalize", "prepend_html", "remove_children", "replace_with_html", "replace_with_nothing", "set_html", "set_text", "strip", "unwrap")]
 
 
 @pytest.mark.parametrize("name", READS + EDITED)
