@@ -10,7 +10,7 @@ from sylvan.operators.frame import carried_out, stage
 from sylvan.queries import EDITS
 
 SF = "/root/testdata/sf0.001"
-READS = ["ancestors", "ancestors_k", "children", "descendants", "sel_li_nth_last", "sel_attr_substring"]
+READS = ["ancestors", "ancestors_k", "children", "descendants", "sel_li_nth_last", "sel_attr_substring", "sel_attr_exists"]
 EDITED = [f"edit_{n}" for n in ("append_html", "before_html", "normalize", "prepend_html", "remove_children", "replace_with_html", "replace_with_nothing", "set_html", "set_text", "strip", "unwrap")]
 
 
